@@ -7,13 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, mixing, ngram_join, sharding, substring_dedup
+from tessera.llm import audio, decontamination, mixing, ngram_join, pii, quality, sharding, substring_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.inspect(audio.encode(table(spark, sf_dir, "documents")))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count(table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -37,11 +58,16 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mpeg_audio": op1_mpeg_audio,
     "op2_sharding": op2_sharding,
+    "op3_token_counts": op3_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality": op8_quality,
     "op9_ngram_join": op9_ngram_join,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
