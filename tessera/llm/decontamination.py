@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.automaton import SuffixAutomaton
 from tessera.llm.columns import narrow
@@ -100,7 +101,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
     return d.drop("text")
 
 
-def _pass(held):
+def _pass(held, kept: str = "doc_id"):
     def scan(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = held.value
         for batch, words in batches(iterator, ALNUM):
@@ -113,7 +114,7 @@ def _pass(held):
                 items[d] |= which
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.diff(words.bounds), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                ["doc_id", "text", "n_words", "spans", "items"],
+                [kept, "text", "n_words", "spans", "items"],
             )
 
     return scan
@@ -146,6 +147,16 @@ def judged(found: DataFrame) -> DataFrame:
     return d.withColumn("items_sha256", F.sha2(F.encode(F.concat_ws(",", F.array_sort("items")), "UTF-8"), 256)).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """docs less the contaminated documents, all columns as they are. Rows are judged where they stand, whatever their doc_ids."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    found = docs.select(row, F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start: int, end: int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    schema = T.StructType([found.schema["row"], *(T.StructField(n, found.schema[n].dataType) for n in ("text", "n_words", "spans", "items"))])
+    for index in shards(benchmark, window, shard_words):
+        found = found.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(index), "row"), schema)
+    return judged(found).filter(~F.col("contaminated")).select("row.*")
+
+
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text less the given spans of words, with what stands between their words."""
     if not spans or not text:

@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.columns import narrow
-
 #: Buckets of each source and size class, so that a source with a third of all rows is numbered by many tasks.
 SALT = 32
 WEIGHTS = (3, 1, 2)
@@ -52,26 +50,41 @@ def hashed(value: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(F.md5(F.encode(F.coalesce(value.cast("string"), F.lit("\x00null")), "UTF-8")), 1, digits), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, limit: float = 2.0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, for each document. keep: more columns of docs to carry.
+def _placed(docs: DataFrame, *carried: Column) -> DataFrame:
+    """doc_id, source, size, the carried columns, and each document's place in the order: hash, size class, bucket."""
+    d = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text").cast("string")).alias("size"), *carried)
+    h = hashed(F.col("doc_id"))
+    return d.withColumn("_h", h).withColumn("_class", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 4)).otherwise(-1).cast("long")).withColumn("_bucket", F.col("_h") % SALT)
 
-    Rows are numbered in three steps: rows per (source, size class, bucket), where each bucket starts, and a row number within
-    the bucket; the last shares its partitioning with the join, so documents are shuffled once, without their texts.
-    """
-    d = narrow(docs, "doc_id", "source", "text", *keep).select("doc_id", "source", *keep, words_in(F.col("text")).alias("size"))
-    d = d.withColumn("_h", hashed(F.col("doc_id"))).withColumn("_class", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 4)).otherwise(-1).cast("long")).withColumn("_bucket", F.col("_h") % SALT)
+
+def _with_copies(counted: DataFrame, rows: DataFrame, seed: str, weights: tuple[int, ...], share: float, limit: float) -> DataFrame:
+    """rows with source_size, target and copies. Rows are numbered in three steps: rows per (source, size class, bucket) of counted,
+    where each bucket starts, and a row number within the bucket; the last shares its partitioning with the join."""
     key = ["source", "_class", "_bucket"]
-    buckets = d.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"), F.sum("size").alias("_size"))
-    sources = allotted(buckets.groupBy("source").agg(F.sum("_size").alias("source_size"), F.sum("_rows").alias("source_docs")), weights, share, limit)
+    buckets = counted.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"), F.sum("size").alias("_size"))
+    sources = allotted(buckets.groupBy("source").agg(F.sum("_size").alias("source_size"), F.sum("_rows").alias("source_docs")), weights, share, limit).alias("s")
     before = Window.partitionBy("source").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).alias("b")
-    s = sources.alias("s")
-    starts = starts.join(s, F.col("b.source").eqNullSafe(F.col("s.source"))).select(*(F.col(f"b.{k}").alias(k) for k in key), "_start", F.col("s.source_size").alias("source_size"), "target")
-    n = d.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_h", "size", "doc_id"))).alias("d")
+    starts = starts.join(sources, F.col("b.source").eqNullSafe(F.col("s.source"))).select(*(F.col(f"b.{k}").alias(k) for k in key), "_start", F.col("s.source_size").alias("source_size"), "target")
+    n = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_h", "size", "doc_id"))).alias("d")
     same = F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d._class") == F.col("b._class")) & (F.col("d._bucket") == F.col("b._bucket"))
-    j = n.join(starts.alias("b"), same)
     e = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(limit)))).otherwise(0.0)
     u = hashed(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("d.source"), F.lit("\x00null"))), 6) / F.lit(float(16**6))
     place = F.col("_start") + F.col("_n")
     copies = F.least(F.floor(place * e + u) - F.floor((place - 1) * e + u), F.ceil(e)).cast("long")
-    return j.select(F.col("d.doc_id").alias("doc_id"), *(F.col(f"d.{k}").alias(k) for k in keep), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return n.join(starts.alias("b"), same).select("d.*", "source_size", "target", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, limit: float = 2.0) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, for each document."""
+    d = _placed(docs)
+    m = _with_copies(d, d, seed, weights, share, limit)
+    return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def mixed(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, limit: float = 2.0) -> DataFrame:
+    """The rows of docs, each as often as it is taken; texts are shuffled once. Documents without words are never taken."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    m = _with_copies(_placed(docs), _placed(docs, row), seed, weights, share, limit)
+    taken = m.filter((F.col("copies") > 0) & (F.col("size") > 0))
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")

@@ -149,3 +149,18 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", fitted_on:
 
     d = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double")
     return d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """docs less the documents that the classifier rejects, all columns as they are. One pass; rows are judged where they stand."""
+    held = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, labels, label)))
+    at = docs.columns.index("text")
+
+    def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        for batch in iterator:
+            for first, data, offsets in slices(batch.column(at)):
+                part = batch.slice(first, len(offsets) - 1)
+                yield part if model is None else part.filter(pa.array(model.score(features(data, offsets)) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

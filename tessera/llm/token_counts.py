@@ -98,10 +98,13 @@ def count(docs: DataFrame, tokenizer: str | None = None, cache: str | None = Non
     texts = keyed.select("digest", "row", "text").join(distinct, ["digest", "row"], "left_semi").select("digest", "text")
 
     def encode(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = counter(tokenizer)
+        counts, last = counter(tokenizer), None
         for batch in iterator:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
+                digests = part.column(0).to_pylist()  # rows that repeat both doc_id and text stand together
+                part = part.filter(pa.array([a != b for a, b in zip(digests, [last, *digests], strict=False)]))
+                last = digests[-1]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts(part.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
 
     texts.mapInArrow(encode, schema).write.mode("append").parquet(path)
