@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.columns import cut
+
 #: Buckets of each source and size class, so that a source with a third of all rows is numbered by many tasks.
 SALT = 32
 WEIGHTS = (3, 1, 2)
@@ -77,7 +79,7 @@ def _with_copies(counted: DataFrame, rows: DataFrame, seed: str, weights: tuple[
 
 def mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, limit: float = 2.0) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, for each document."""
-    d = _placed(docs)
+    d = cut(_placed(docs), "sizes")  # words are counted once; what is kept has no texts
     m = _with_copies(d, d, seed, weights, share, limit)
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
