@@ -33,7 +33,11 @@ def transcript(spark: SparkSession, path: str) -> DataFrame:
 
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
     """path, title, tags, kind, body of Markdown files below a folder; front matter is the block between --- lines at the start."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return front_matter(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text")))
+
+
+def front_matter(raw: DataFrame) -> DataFrame:
+    """path, title, tags, kind, body of (path, text) rows."""
     front, body = F.regexp_extract("text", "(?s)^---\\r?\\n(.*?)\\r?\\n---\\r?\\n?(.*)$", 1), F.regexp_extract("text", "(?s)^---\\r?\\n(.*?)\\r?\\n---\\r?\\n?(.*)$", 2)
     r = raw.withColumn("front", front).withColumn("body", F.when(front == "", F.col("text")).otherwise(body))
     field = lambda name: F.trim(F.regexp_replace(F.regexp_extract("front", f"(?m)^{name}:[ \\t]*(.*)$", 1), "^[\"']|[\"']$", ""))
@@ -51,7 +55,7 @@ def tags(line, front):
 
 def handoffs(spark: SparkSession, folder: str) -> DataFrame:
     """path, date, number, body: date from the name, else the text; number from the name."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
     name = F.substring_index("path", "/", -1)
     date = F.coalesce(*(F.nullif(F.regexp_extract(x, "(\\d{4}-\\d{2}-\\d{2})", 1), F.lit("")) for x in (name, F.col("body"))))
     number = F.nullif(F.regexp_extract(name, "(?i)(?:session|handoff)[-_ ]?(\\d+)", 1), F.lit("")).cast("int")
@@ -68,7 +72,7 @@ def templates(spark: SparkSession, path: str) -> DataFrame:
 
 def projects(spark: SparkSession, folder: str) -> DataFrame:
     """project, text of YAML files of a folder; of two files for one project the first by name counts."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.y*ml").text(folder).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    raw = spark.read.option("pathGlobFilter", "*.y*ml").text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     name = F.regexp_replace(F.substring_index("path", "/", -1), "\\.ya?ml$", "")
     return raw.withColumn("project", name).groupBy("project").agg(F.min_by("text", "path").alias("text"))
 
