@@ -71,7 +71,7 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with sensitive parts."""
     d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(d, F.concat_ws(" ", F.substring("text", 1, 40), pick(SECRETS, d), pick(SECRETS, F.floor(d / 3))).alias("content"), pick(["user_session", "github_issue", "jira"], d).alias("source_type"))
+    return table(spark, sf_dir, "documents").select(d, F.concat_ws(" ", F.regexp_replace(F.substring("text", 1, 40), "[0-9@+]", "x"), pick(SECRETS, d), pick(SECRETS, F.floor(d / 3))).alias("content"), pick(["user_session", "github_issue", "jira"], d).alias("source_type"))
 
 
 def queries_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ SQL = {
       vec_id % 4 <> 0 AS is_current, 'a' || (vec_id % 3) AS agent_id, {pick_sql(SOURCES, 'vec_id // 2')} AS source, 'src/m' || (vec_id % 11) || {pick_sql(EXTENSIONS, 'vec_id')} AS file_path, 's' || (vec_id % 9) AS session_id, label, embedding FROM embeddings""",
     "prompts": f"SELECT doc_id, {pick_sql(PROMPTS, 'doc_id')} AS prompt, text FROM documents",
     "code": f"SELECT doc_id, {pick_sql(['src/auth/a', 'node_modules/b', 'tests/c', 'lib/Dockerfile', 'docs/d', 'src/api/e'], 'doc_id // 7')} || (doc_id % 13) || {pick_sql(['.py', '.ts', '.md', '', '.js', '.PY', '.png'], 'doc_id')} AS file_path, {pick_sql(CODE, 'doc_id')} AS content, n_chars AS size FROM documents",
-    "exposed": f"SELECT doc_id, substr(text, 1, 40) || ' ' || {pick_sql(SECRETS, 'doc_id')} || ' ' || {pick_sql(SECRETS, 'doc_id // 3')} AS content, {pick_sql(['user_session', 'github_issue', 'jira'], 'doc_id')} AS source_type FROM documents",
+    "exposed": f"SELECT doc_id, regexp_replace(substr(text, 1, 40), '[0-9@+]', 'x', 'g') || ' ' || {pick_sql(SECRETS, 'doc_id')} || ' ' || {pick_sql(SECRETS, 'doc_id // 3')} AS content, {pick_sql(['user_session', 'github_issue', 'jira'], 'doc_id')} AS source_type FROM documents",
     "queries": "SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 100 = 0",
     "sessions": f"SELECT conv_id, turn, role, text, {_at('1704067200 + conv_id * 600 + turn * 97')} AS ts FROM conversations",
     "commits": f"SELECT o_orderkey AS commit_id, {_at('1704067200 + o_orderkey % 2000 * 1800')} AS committed_at, ['src/m' || (o_orderkey % 11) || {pick_sql(EXTENSIONS, 'o_orderkey')}, 'src/m' || (o_orderkey % 5) || '.py'] AS files_changed, o_orderkey % 10 <> 0 AS is_current FROM orders",
