@@ -6,7 +6,8 @@ words, or all its words as one run where it has fewer. Documents with equal sets
 Bands and rows are chosen so that a pair at the threshold shares a band with the target probability or more. Band hashes are
 shuffled without sets; buckets with the same members are compared once; sets travel only to buckets of two members or more. A
 bucket of many members is dealt out as pairs of blocks to many tasks, and each task returns a row per document (links counted,
-and the least linked document of its part), never a row per pair. A pair that meets in several buckets counts in one of them.
+and the least document that it hangs together with over the links of its part), never a row per pair. A pair that meets in several
+buckets counts in one of them.
 
 Defined cases: null and empty texts, and texts without words, have empty sets: they link only to texts equal to them (null as
 empty); repeated rows and repeated doc_ids are documents like any other; an empty table gives an empty result; a class is named
@@ -145,6 +146,23 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: fl
     return inter >= threshold * union - 1e-6
 
 
+def _roots(link: np.ndarray, nodes: list[bytes]) -> list[bytes]:
+    """For each of the nodes, the least one of its component; link is symmetric."""
+    roots, seen = list(nodes), np.zeros(len(nodes), bool)
+    for start in np.flatnonzero(link.any(1)):
+        if seen[start]:
+            continue
+        seen[start], found, front = True, [start], np.array([start])
+        while len(front):
+            front = np.flatnonzero(link[front].any(0) & ~seen)
+            seen[front] = True
+            found += front.tolist()
+        least = min(nodes[i] for i in found)
+        for i in found:
+            roots[i] = least
+    return roots
+
+
 def _compare(threshold: float) -> Callable:
     def one(members: list[dict]) -> Iterator[tuple[bytes, int, bytes]]:
         """Links within a bucket's block, or between two of its blocks."""
@@ -170,14 +188,13 @@ def _compare(threshold: float) -> Callable:
         sets = lambda part: [np.frombuffer(m["shingles"], np.uint64) for m in part]
         link = linked(sets(a), None if lo == hi else sets(b), threshold) & ~skip
         weight = lambda part: np.array([m["copies"] for m in part], np.int64)
-        nodes_a, nodes_b = [m["node"] for m in a], [m["node"] for m in b]
-        for i in np.flatnonzero(link.any(1)):
-            js = np.flatnonzero(link[i])
-            yield nodes_a[i], int(weight(b)[js].sum()), min(nodes_b[j] for j in js)
+        nodes, counts = [m["node"] for m in a], link @ weight(b)
         if lo != hi:
-            for j in np.flatnonzero(link.any(0)):
-                is_ = np.flatnonzero(link[:, j])
-                yield nodes_b[j], int(weight(a)[is_].sum()), min(nodes_a[i] for i in is_)
+            nodes, counts = nodes + [m["node"] for m in b], np.concatenate([counts, weight(a) @ link])
+            link = np.block([[np.zeros((len(a), len(a)), bool), link], [link.T, np.zeros((len(b), len(b)), bool)]])
+        roots = _roots(link, nodes)
+        for i in np.flatnonzero(link.any(1)):
+            yield nodes[i], int(counts[i]), roots[i]
 
     def compare(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, group = [], None

@@ -4,6 +4,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +77,35 @@ def test_repeated_rows_nulls_and_empty(spark, empty):
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.bands_and_rows(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 160
+
+
+@pytest.mark.parametrize(("lo", "hi"), [(0, 0), (0, 1)])
+def test_a_path_in_one_bucket_keeps_together(lo, hi):
+    """a-b, b-c, c-d with a < c and d < b: a and b name each other, as do c and d, if each names its least neighbour."""
+    runs = {b"1a": range(0, 100), b"4b": range(8, 108), b"2c": range(16, 116), b"3d": range(24, 124)}
+    far = {b"5e": range(500, 600)}
+    rows = [
+        {"key": 7, "lo": lo, "hi": hi, "block": hi if node in (b"4b", b"3d") else lo, "node": node, "copies": k + 1, "keys": [7], "shingles": np.array(run, np.uint64).tobytes()}
+        for k, (node, run) in enumerate({**runs, **far}.items())
+    ]
+    found = [r for b in ngram_join._compare(0.8)(iter(pa.RecordBatch.from_pylist(rows).slice(k, 2) for k in range(0, len(rows), 2))) for r in b.to_pylist()]
+    assert sorted(r["node"] for r in found) == sorted(runs)
+    assert {r["node"]: r["links"] for r in found} == {b"1a": 2, b"4b": 1 + 3, b"2c": 2 + 4, b"3d": 3}
+    group = {n: n for n in runs}
+    for _ in runs:
+        for r in found:
+            group[r["node"]] = group[r["to"]] = min(group[r["node"]], group[r["to"]])
+    assert set(group.values()) == {b"1a"}
+
+
+def test_chains_equal_brute_force(spark):
+    """Chains of texts, each near to the next alone, many of which share a bucket."""
+    rng, docs = random.Random(5), []
+    for chain in range(30):
+        words = [f"w{chain}x{k}" for k in range(220)]
+        docs += [(0, " ".join(words[8 * k : 8 * k + 100])) for k in range(9)]
+    rng.shuffle(docs)
+    docs = [(k, t) for k, (_, t) in enumerate(docs)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    for block in (512, 3):
+        assert sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.join(d, block=block).collect()) == brute(docs)
