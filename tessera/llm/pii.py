@@ -2,9 +2,9 @@
 
 The rules find e-mail and IP addresses, card and phone numbers, in time linear in the text. The tagger is trained here, from labelled
 spans: sentences made from patterns of such data and of harmless numbers. It reads the text around every digit and "@", since
-nothing of these kinds lacks both, in overlapping windows; where windows overlap, emissions are averaged, and one Viterbi pass over
-the whole stretch decides, so that no span is cut at a window's edge. Spans of the tagger that pass the kind's own tests and touch
-no span of the rules are added.
+nothing of these kinds lacks both, as far as an address around the "@" can reach, in overlapping windows; where windows overlap,
+emissions are averaged, and one Viterbi pass over the whole stretch decides, so that no span is cut at an edge. An address that the tagger finds in part is taken whole. Spans of the
+tagger that pass the kind's own tests and touch no span of the rules are added.
 
 Defined cases: null and empty texts have no spans; equal texts have equal spans; repeated doc_ids are documents like any other; an
 empty table gives an empty result; extra columns are not looked at.
@@ -89,7 +89,7 @@ for _c in range(128):
 _CLASS[128:] = len(_SIGNS) + 3
 TAGS = 1 + 2 * len(KINDS)
 LENGTH, STRIDE, HIDDEN = 64, 32, 16
-#: Characters around a digit or "@" that are read, and the gap up to which such places are one stretch.
+#: Characters around a digit, "@" or address that are read, and the gap up to which such places are one stretch.
 AROUND, GAP = 20, 24
 
 
@@ -253,14 +253,36 @@ def train(steps: int = 260, batch: int = 48, seed: int = 10) -> Tagger:
     return tagger
 
 
+def _reach(text: str, at: int) -> tuple[int, int]:
+    """Where an address around the "@" at that place can begin and end: blanks beside it, then the characters of its kind."""
+    i, j = at, at + 1
+    while i and text[i - 1] == " ":
+        i -= 1
+    while i and text[i - 1] in _LOCAL:
+        i -= 1
+    while j < len(text) and text[j] == " ":
+        j += 1
+    while j < len(text) and text[j] in _LOCAL:
+        j += 1
+    return i, j
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Where the tagger reads: around digits and "@"."""
+    """Where the tagger reads: around digits and "@", whole addresses and what stands around them. Stretches do not overlap."""
     at = np.array([m.start() for m in re.finditer("[0-9@]", text)])
     if not len(at):
         return []
     breaks = np.flatnonzero(np.diff(at) > GAP)
     first, last = at[np.concatenate([[0], breaks + 1])], at[np.concatenate([breaks, [len(at) - 1]])]
-    return [(max(0, int(i) - AROUND), min(len(text), int(j) + 1 + AROUND)) for i, j in zip(first, last, strict=True)]
+    ends = [(int(i), int(j) + 1) for i, j in zip(first, last, strict=True)]
+    ends += [_reach(text, m.start()) for m in re.finditer("@", text)]
+    out: list[tuple[int, int]] = []
+    for i, j in sorted((max(0, i - AROUND), min(len(text), j + AROUND)) for i, j in ends):
+        if out and i < out[-1][1]:
+            out[-1] = out[-1][0], max(j, out[-1][1])
+        else:
+            out.append((i, j))
+    return out
 
 
 _FADE = np.minimum(np.arange(1, LENGTH + 1), np.arange(LENGTH, 0, -1)).astype(np.float32)
@@ -316,6 +338,9 @@ def spans_of(found: np.ndarray, text: str, at: int, taken: list[Span]) -> list[S
         while j < n and found[j] == 2 + 2 * k:
             j += 1
         a, b = at + i, at + j
+        if KINDS[k] == "email" and text.count("@", a, b) == 1:
+            start, end = _reach(text, text.index("@", a))
+            a, b = min(a, start), max(b, end)
         while b > a and text[b - 1] in " .,-:\n":
             b -= 1
         while a < b and text[a] in " .,-:\n":

@@ -43,6 +43,25 @@ def test_tagger_learns_and_adds(tagger):
     assert pii.spans_of(pii.tags(tagger, [pii.classes(text[i:j])])[0], text, i, []) == [("phone", 5, 19)]
 
 
+def found(tagger, text, where):
+    return [s for i, j in where for s in pii.spans_of(pii.tags(tagger, [pii.classes(text[i:j])])[0], text, i, [])]
+
+
+@pytest.mark.parametrize("address", ["bartholomew.montgomery-smythe @ example.org", "firstname_lastnameoftheperson @ mail.example.com", "alexandria.constantinopolis @ verylongcompanynamehere.com"])
+def test_long_addresses_are_read_and_taken_whole(tagger, address):
+    text = f"Please write to {address} before the end of the month, or wait."
+    want = [("email", 16, 16 + len(address))]
+    assert found(tagger, text, pii.stretches(text)) == found(tagger, text, [(0, len(text))]) == want
+
+
+def test_stretches_hold_addresses_and_do_not_overlap():
+    text = "x" * 70 + "  @  " + "y" * 90 + ".org " + "é" * 50 + " 12 " + "é" * 27 + " 34 " + "z" * 40
+    got = pii.stretches(text)
+    assert got[0] == (0, 70 + 5 + 94 + 20)
+    assert all(i[1] <= j[0] for i, j in zip(got, got[1:], strict=False))
+    assert len(pii.stretches("a@" * 100_000)) == 1
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     t = pii.train(steps=1, batch=2)
