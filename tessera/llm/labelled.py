@@ -9,8 +9,6 @@ from tessera.llm.columns import narrow
 
 #: Labelled documents that a classifier is fitted on at most. This bounds what is sent to the driver.
 MOST = 4000
-#: Characters of one labelled text that fitting looks at; scoring reads whole texts.
-MOST_CHARS = 20_000
 FOLDS = 5
 
 
@@ -19,9 +17,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % FOLDS == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST, chars: int = MOST_CHARS) -> list[tuple[str, int]]:
-    """(text, label) of the labelled rows with the least hashes; rows without label or doc_id are passed over."""
+def chosen(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST) -> DataFrame:
+    """doc_id, whole text, label of the labelled rows with the least hashes; rows without label or doc_id are passed over."""
     known = narrow(labels, "doc_id", label).filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = narrow(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text"), "label")
-    return [(r.text, r.label) for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.text))]
+    least = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return narrow(docs, "doc_id", "text").join(F.broadcast(least), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST) -> list[tuple[str, int]]:
+    """(whole text, label) of the chosen rows."""
+    return [(r.text, r.label) for r in sorted(chosen(docs, labels, label, most).collect(), key=lambda r: (r.doc_id, r.text))]

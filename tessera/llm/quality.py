@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.columns import narrow
-from tessera.llm.labelled import held_out, sample
+from tessera.llm.labelled import chosen, held_out
 from tessera.llm.tokens import NON_SPACE, batches, cut_words, hash_runs, slices
 
 THRESHOLD = 0.3
@@ -105,12 +105,27 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(rows: list[tuple[str, int]], steps: int = 400, pairs: int = 2048, l2: float = 2e-3, seed: int = 5) -> Ranking | None:
-    """Learns from (text, label) rows; None without both labels."""
+def _featured(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, features as bytes, label of rows doc_id, text, label."""
+    for batch in iterator:
+        for first, data, offsets in slices(batch.column(1)):
+            part = batch.slice(first, len(offsets) - 1)
+            x = pa.array([row.tobytes() for row in features(data, offsets)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), x, part.column(2)], ["doc_id", "x", "label"])
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str) -> list[tuple[bytes, int]]:
+    """(features of the whole text as bytes, label) of the labelled rows: texts stay with the executors."""
+    rows = chosen(docs, labels, label).mapInArrow(_featured, "doc_id long, x binary, label int").collect()
+    return [(bytes(r.x), r.label) for r in sorted(rows, key=lambda r: (r.doc_id, bytes(r.x)))]
+
+
+def fit(rows: list[tuple[bytes, int]], steps: int = 400, pairs: int = 2048, l2: float = 2e-3, seed: int = 5) -> Ranking | None:
+    """Learns from (features as bytes, label) rows; None without both labels."""
     y = np.array([label for _, label in rows])
     if not len(y) or y.min() == y.max():
         return None
-    x = np.concatenate([features(d, o) for _, d, o in slices(pa.array([t for t, _ in rows], pa.string()))])
+    x = np.stack([np.frombuffer(r, np.float32) for r, _ in rows])
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-4)
     x = np.clip((x - mean) / scale, -8, 8)
     rng, good, bad = np.random.default_rng(seed), np.flatnonzero(y == 1), np.flatnonzero(y == 0)

@@ -76,6 +76,19 @@ def test_units_join_single_letters_and_windows():
     assert max(end - start) == toxicity.LONGEST and max(end) == 80
 
 
+def test_fitting_reads_whole_texts(spark):
+    texts = ["a few words " * 2500 + f"and number {k}" for k in range(1, 9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(8)], "doc_id long, quality int, toxic int")
+    known = [k for k in range(8) if zlib.crc32(str(k).encode()) % 5]
+    assert toxicity.sample(docs, labels, "toxic") == [(texts[k], k % 2) for k in known]
+    from tessera.llm.tokens import slices
+
+    (_, data, offsets), = slices(pa.array([texts[k] for k in known]))
+    got = np.stack([np.frombuffer(x, np.float32) for x, _ in quality.sample(docs, labels, "quality")])
+    assert np.allclose(got, quality.features(data, offsets), atol=1e-6)
+
+
 def test_features_do_not_mix_documents():
     texts = ["One two two.\nOne two two.", "", "ÄÖ !!", "a"]
     from tessera.llm.tokens import slices
