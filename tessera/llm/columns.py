@@ -15,9 +15,18 @@ def narrow(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*(F.col(f"`{n}`").cast("string").alias(n) if n in ("text", "source") else F.col(f"`{n}`").alias(n) for n in names))
 
 
+def id_field(docs: DataFrame) -> str:
+    """doc_id with the type that it has in docs, as a field of a schema."""
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder that the driver and all executors share: below spark.checkpoint.dir, or a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'tessera-checkpoints')}"
+    """A fresh folder that the driver and all executors share: below spark.checkpoint.dir. A local one only in local mode, where
+    that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or f"file://{os.path.join(tempfile.gettempdir(), 'tessera-checkpoints')}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.columns import narrow
 
@@ -18,12 +19,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def chosen(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST) -> DataFrame:
-    """doc_id, whole text, label of the labelled rows with the least hashes; rows without label or doc_id are passed over."""
+    """doc_id, whole text, label of the labelled rows with the least hashes; rows without label or doc_id are passed over. A doc_id
+    with several texts is taken with the one of the least hash, so there are no more rows than doc_ids."""
     known = narrow(labels, "doc_id", label).filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     least = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return narrow(docs, "doc_id", "text").join(F.broadcast(least), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    d = narrow(docs, "doc_id", "text").join(F.broadcast(least), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    return d.withColumn("_h", F.xxhash64("text")).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("_h", "text"))).filter("_n = 1").select("doc_id", "text", "label")
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST) -> list[tuple[str, int]]:
     """(whole text, label) of the chosen rows."""
-    return [(r.text, r.label) for r in sorted(chosen(docs, labels, label, most).collect(), key=lambda r: (r.doc_id, r.text))]
+    return [(r.text, r.label) for r in sorted(chosen(docs, labels, label, most).collect(), key=lambda r: r.doc_id)]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.columns import narrow
+from tessera.llm.columns import id_field, narrow
 from tessera.llm.labelled import chosen, held_out
 from tessera.llm.tokens import NON_SPACE, batches, cut_words, hash_runs, slices
 
@@ -111,13 +111,13 @@ def _featured(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, data, offsets in slices(batch.column(1)):
             part = batch.slice(first, len(offsets) - 1)
             x = pa.array([row.tobytes() for row in features(data, offsets)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), x, part.column(2)], ["doc_id", "x", "label"])
+            yield pa.RecordBatch.from_arrays([part.column(0), x, part.column(2)], ["doc_id", "x", "label"])
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str) -> list[tuple[bytes, int]]:
     """(features of the whole text as bytes, label) of the labelled rows: texts stay with the executors."""
-    rows = chosen(docs, labels, label).mapInArrow(_featured, "doc_id long, x binary, label int").collect()
-    return [(bytes(r.x), r.label) for r in sorted(rows, key=lambda r: (r.doc_id, bytes(r.x)))]
+    rows = chosen(docs, labels, label).mapInArrow(_featured, f"{id_field(docs)}, x binary, label int").collect()
+    return [(bytes(r.x), r.label) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def fit(rows: list[tuple[bytes, int]], steps: int = 400, pairs: int = 2048, l2: float = 2e-3, seed: int = 5) -> Ranking | None:
@@ -162,7 +162,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", fitted_on:
                 p = np.full(len(part), 0.5) if model is None else model.score(features(data, offsets))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
-    d = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double")
+    d = narrow(docs, "doc_id", "text").mapInArrow(run, f"{id_field(docs)}, score double")
     return d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

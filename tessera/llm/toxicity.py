@@ -4,22 +4,25 @@ A unit is a token's letters: signs inside it are dropped or read as the letters
 unit, and long units are taken in overlapping windows, so "s-t-u-p-i-d", "s t u p i d" and "stu*pid" are near "stupid". The kernel
 counts the subsequences of two and three letters that two units share, each weighted by a decay for every letter it spans.
 
-Training takes labelled sentences. A label is of a document, so a toxic document's sentence only counts as toxic if it holds a unit
-that toxic sentences prefer; the unit that stands for a sentence is chosen again with each round, and clean units that score
-highest join the other side (multiple instances, hard negatives). Landmarks span the Nyström features; the machine is linear in
-them, and its weights fold into one table over subsequences, which gives the same decision without comparing to landmarks again.
+Training takes labelled sentences, each counted once. A label is of a document, so which units make it toxic is learnt: those that
+toxic documents hold more often than chance allows (a test corrected for the number of units). Each is a positive with a margin that
+grows with its odds; units that no clean text holds are also learnt with a letter put in at every inner place, as positives and
+landmarks of their own, so that "stuxpid" and "stu-xpid" count. Clean units are the other side, those that score highest added with
+each round. Landmarks span the Nyström features; the machine is linear in them, and its weights fold into one table over
+subsequences, which gives the same decision without comparing to landmarks again.
 
-A document's score is that of its most toxic unit, mapped to 0..1 by a logistic fit.
+A document's evidence is its highest decision, the sum of what lies above 0 over its units, and its length; a logistic fit on the
+labelled documents maps it to 0..1.
 
 Defined cases: null, empty and letterless texts have the score of a text without units (0 evidence); a table without labels, or with
-one label alone, gives everyone the score 0; an empty table gives an empty result; equal texts score alike; extra columns are not
-looked at.
+one label alone, gives everyone the score 0; where no unit tells the labels apart, everyone has the share of toxic rows; an empty
+table gives an empty result; equal texts score alike; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.columns import narrow
+from tessera.llm.columns import id_field, narrow
 from tessera.llm.labelled import held_out, sample
 from tessera.llm.tokens import NON_SPACE, cut_words, hash_runs, slices
 
@@ -36,11 +39,13 @@ from tessera.llm.tokens import NON_SPACE, cut_words, hash_runs, slices
 LONGEST, STEP = 24, 12
 #: Letters that a subsequence may span, and the weight of each spanned.
 SPAN, DECAY = 8, 0.6
-LANDMARKS = 400
+LANDMARKS = 600
 #: Units that a task remembers.
 REMEMBERED = 1_000_000
 #: Evidence of a text without units.
 NOTHING = -3.0
+#: Numbers that describe a text.
+EVIDENCE = 5
 
 LETTER = np.full(256, 255, np.uint8)
 LETTER[97:123] = np.arange(26)
@@ -139,45 +144,99 @@ def _flat(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Machine:
-    """The folded table over subsequences, its offset, and the logistic map of a document's highest decision."""
+    """The folded table over subsequences, its offset, and the logistic map of a text's evidence."""
 
     table: np.ndarray
     bias: float
-    slope: float
+    weights: np.ndarray
     shift: float
 
     def decide(self, letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return apply_table(self.table, letters, start, end) + self.bias
 
-    def score(self, highest: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * highest + self.shift, -40, 40)))
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(evidence @ self.weights + self.shift, -40, 40)))
 
 
 def _sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?])\s|\n", text) if s.strip()]
 
 
-def _units_of(texts: list[str]) -> list[set[bytes]]:
-    out: list[set[bytes]] = []
+def _novel(rows: list[tuple[str, int]]) -> list[str]:
+    """What each text says that no earlier one did, and, of toxic texts, no clean one: copies and near copies add nothing."""
+    clean, seen, out = {hash(x) for t, y in rows if not y for x in _sentences(t)}, set(), []
+    for text, y in rows:
+        own = [x for x in _sentences(text) if (h := hash(x)) not in seen and not (y and h in clean)]
+        seen.update(map(hash, own))
+        out.append("\n".join(own))
+    return out
+
+
+@dataclass
+class Bags:
+    """The distinct units of some texts, and which text holds which: pairs (doc, unit), sorted."""
+
+    strings: list[bytes]
+    doc: np.ndarray
+    unit: np.ndarray
+
+
+def bags(texts: list[str]) -> Bags:
+    hashes, docs, names, at = [], [], {}, 0
     for _, data, offsets in slices(pa.array(texts, pa.string())):
         letters, start, end, doc = units(data, offsets)
-        own: list[set[bytes]] = [set() for _ in range(len(offsets) - 1)]
+        h = hash_runs(letters, start, end)
+        pairs = np.unique(np.stack([doc.astype(np.uint64) + np.uint64(at), h]), axis=1)
+        docs.append(pairs[0].astype(np.int64))
+        hashes.append(pairs[1])
+        own, first = np.unique(h, return_index=True)
         raw = letters.tobytes()
-        for i, j, d in zip(start.tolist(), end.tolist(), doc.tolist(), strict=True):
-            own[d].add(raw[i:j])
-        out += own
-    return out
+        for k, i in zip(own.tolist(), first.tolist(), strict=True):
+            if k not in names:
+                names[k] = raw[start[i] : end[i]]
+        at += len(offsets) - 1
+    order = sorted(names, key=names.__getitem__)
+    place = np.array(order, np.uint64)
+    by = np.argsort(place)
+    unit = by[np.searchsorted(place[by], np.concatenate(hashes))] if hashes else np.zeros(0, np.int64)
+    return Bags([names[k] for k in order], np.concatenate(docs) if docs else np.zeros(0, np.int64), unit)
+
+
+def _tail(k: int, n: int, p: float) -> float:
+    """Log of a bound (Chernoff) on the chance of k or more of n at rate p."""
+    q = k / n
+    return 0.0 if q <= p else -n * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0))
+
 
+def insults(b: Bags, y: np.ndarray) -> dict[int, float]:
+    """Units that toxic texts hold more often than chance allows, and the log of their odds.
 
-def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 30, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Squared hinge by Newton steps over the violated margins; the last entry is the offset."""
+    That chance times the number of units must stay below 1 in 20, so the test is as strict for any number of units and texts.
+    """
+    n, rate = len(b.strings), float(y.mean())
+    toxic, clean = (np.bincount(b.unit[y[b.doc] == k], minlength=n) for k in (1, 0))
+    some = np.flatnonzero(toxic * (1 - rate) > clean * rate)
+    limit, prior = math.log(0.05 / n) if n else 0.0, math.log((1 - rate) / rate)
+    return {u: math.log((toxic[u] + 0.5) / (clean[u] + 0.5)) + prior for u in some.tolist() if _tail(int(toxic[u]), int(toxic[u] + clean[u]), rate) < limit}
+
+
+def disguised(unit: bytes, rng: np.random.Generator, letters: int = 6) -> list[bytes]:
+    """The unit with one letter put in at each inner place: doubled, and some at random."""
+    out = []
+    for k in range(1, len(unit)):
+        out += [unit[:k] + bytes([x]) + unit[k:] for x in {unit[k - 1], *rng.integers(0, 26, letters).tolist()}]
+    return sorted(set(out))
+
+
+def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 30, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Squared hinge by Newton steps over the violated margins, each its own target's size; the last entry is the offset."""
     x = np.hstack([z, np.ones((len(z), 1), z.dtype)]).astype(np.float64)
     c, ridge = weight / weight.sum(), l2 * np.diag(np.append(np.ones(z.shape[1]), 1e-6))
     w, active = np.zeros(x.shape[1]), np.ones(len(x), bool)
     for _ in range(steps):
         own = x[active] * c[active, None]
         w = np.linalg.solve(own.T @ x[active] + ridge, own.T @ y[active])
-        now = y * (x @ w) < 1
+        now = np.sign(y) * (x @ w) < np.abs(y)
         if (now == active).all():
             break
         active = now
@@ -185,79 +244,61 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 30, l2:
 
 
 def fit(rows: list[tuple[str, int]], rounds: int = 5, seed: int = 4) -> Machine | None:
-    """Learns from (text, label) rows; None without both labels, or where no unit tells them apart."""
+    """Learns from (text, label) rows. None without both labels; the base rate for everyone where no unit tells them apart."""
     rows = list(dict.fromkeys(rows))
-    if len({y for _, y in rows}) < 2:
+    y = np.array([label for _, label in rows])
+    if not len(y) or y.min() == y.max():
         return None
-    side: dict[str, int] = {}
-    for text, y in rows:
-        for s in _sentences(text):
-            side[s] = max(side.get(s, 0), y)
-    sentences = list(side)
-    bags, y = _units_of(sentences), np.array([side[s] for s in sentences])
-    # a document speaks for a unit once, and only by sentences not seen before: copies and near copies of it add nothing
-    of, first = dict(zip(sentences, bags, strict=True)), set()
-    docs_of: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, k in rows:
-        new = [x for x in _sentences(text) if x not in first]
-        first.update(new)
-        docs_of[k].update(set().union(*(of[x] for x in new)))
-    in_clean, in_toxic = docs_of
-    n_clean, n_toxic = (sum(k == y for _, k in rows) for y in (0, 1))
-    odds = {u: (n + 0.5) / (in_clean[u] + 0.5) * n_clean / n_toxic for u, n in in_toxic.items() if n >= 4 and len(u) >= 3}
-    seeds = {u: o for u, o in odds.items() if o > 20}
-    if not seeds:
-        return None
-    witnesses = [max(own, key=lambda u: (seeds[u], u)) for b, k in zip(bags, y, strict=True) if k and (own := b & seeds.keys())]
+    b = bags(_novel(rows))
+    known = insults(b, y)
+    if not known:
+        rate = float(y.mean())
+        return Machine(np.zeros(PAIRS + TRIPLES, np.float32), 0.0, np.zeros(EVIDENCE), math.log(rate / (1 - rate)))
     rng = np.random.default_rng(seed)
-    clean = sorted(u for u in in_clean if len(u) >= 2 and u not in seeds)
+    seen = np.bincount(b.unit[y[b.doc] == 0], minlength=len(b.strings))
+    target = {b.strings[u]: min(2.0, 0.3 * odds) for u, odds in known.items() if len(b.strings[u]) >= 2}
+    pure = [u for k in known if not seen[k] and len(u := b.strings[k]) >= 4]  # no clean text holds them
+    clean = [u for k, u in enumerate(b.strings) if seen[k] and len(u) >= 2 and u not in target]
+    common = [u for k in np.argsort(-seen, kind="stable")[:300].tolist() if len(u := b.strings[k]) >= 2 and u not in target]
     hard = [clean[i] for i in rng.choice(len(clean), min(len(clean), 3000), replace=False)]
-    common = [u for u, _ in in_clean.most_common(300) if len(u) >= 2 and u not in seeds]
-    toxic_bags = [b for b, k in zip(bags, y, strict=True) if k and b & seeds.keys()]
+    forms = {f: target[u] for u in pure for f in disguised(u, rng)}
+    forms = {f: t for f, t in forms.items() if f not in target}
+    per_form = 4 * len(pure) / max(1, len(forms))
     flat_clean = _flat(clean)
     for step in range(rounds):
-        count = Counter(witnesses)
-        plus = list(count)
-        minus = sorted(set(hard) | set(common))
-        marks = [u for u, _ in count.most_common(LANDMARKS // 2)]
-        marks += minus[:: max(1, len(minus) // (LANDMARKS - len(marks)))][: LANDMARKS - len(marks)]
+        plus, minus = [*target, *forms], sorted({*hard, *common})
+        marks = sorted(target, key=lambda u: (-target[u], u))[: LANDMARKS // 4]
+        for pool, upto in ((sorted(forms), LANDMARKS // 2), (minus, LANDMARKS)):
+            marks += pool[:: max(1, -(-len(pool) // max(1, upto - len(marks))))]
         phi = embed(marks)
-        values, vectors = np.linalg.eigh(phi.astype(np.float64) @ phi.T)
+        gram = np.zeros((len(marks), len(marks)))
+        for i in range(0, phi.shape[1], 4096):
+            part = phi[:, i : i + 4096].astype(np.float64)
+            gram += part @ part.T
+        values, vectors = np.linalg.eigh(gram)
         good = values > 1e-6 * values[-1]
-        root = vectors[:, good] / np.sqrt(values[good])
-        z = apply_table(np.ascontiguousarray(phi.T), *_flat(plus + minus)) @ root
-        labels = np.array([1.0] * len(plus) + [-1.0] * len(minus))
-        weight = np.concatenate([np.sqrt([count[u] for u in plus]), np.ones(len(minus))])
+        root = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
+        table, strings = np.ascontiguousarray(phi.T), plus + minus
+        z = np.concatenate([apply_table(table, *_flat(strings[i : i + 1000])) @ root for i in range(0, len(strings), 1000)])
+        labels = np.array([*target.values(), *forms.values(), *[-1.0] * len(minus)])
+        weight = np.concatenate([np.ones(len(target)), np.full(len(forms), per_form), np.ones(len(minus))])
         weight[: len(plus)] *= len(minus) / weight[: len(plus)].sum()
         w, bias = _svm(z, labels, weight)
-        machine = Machine((phi.T @ (root @ w)).astype(np.float32), bias, 1.0, 0.0)
+        machine = Machine((phi.T @ (root @ w)).astype(np.float32), bias, np.zeros(EVIDENCE), 0.0)
         if step + 1 < rounds:
-            f = machine.decide(*flat_clean)
-            hard = sorted({*hard, *(clean[i] for i in np.argsort(-f)[:800])})
-            scores: dict[bytes, float] = {}
-            every = sorted(set().union(*toxic_bags))
-            scores.update(zip(every, machine.decide(*_flat(every)).tolist(), strict=True))
-            witnesses = [max((u for u in b if len(u) >= 2), key=lambda u: (scores[u], u)) for b in toxic_bags]
-    by_text = defaultdict(int)
-    for text, label in rows:
-        by_text[text] = max(by_text[text], label)
-    texts = list(by_text)
-    top = highest(texts, machine)
-    labels = np.array([by_text[t] for t in texts], float)
-    machine.slope, machine.shift = _logistic(top, labels)
+            hard = sorted({*hard, *(clean[i] for i in np.argsort(-machine.decide(*flat_clean))[:800])})
+    machine.weights, machine.shift = _logistic(evidence([t for t, _ in rows], machine), y.astype(float))
     return machine
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    a, b = 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([((p - y) * x).mean() + 1e-4 * a, (p - y).mean()])
-        h = np.array([[(w * x * x).mean() + 1e-4, (w * x).mean()], [(w * x).mean(), w.mean() + 1e-6]])
-        da, db = np.linalg.solve(h, g)
-        a, b = float(np.clip(a - np.clip(da, -2, 2), 0.01, 50)), float(b - np.clip(db, -2, 2))
-    return a, b
+def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 100) -> tuple[np.ndarray, float]:
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w, ridge = np.zeros(x.shape[1]), l2 * np.diag(np.append(np.ones(x.shape[1] - 1), 1e-3))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x / len(x) + ridge
+        w -= np.clip(np.linalg.solve(h, x.T @ (p - y) / len(x) + ridge @ w), -2, 2)
+    return w[:-1], float(w[-1])
 
 
 class Known:
@@ -282,18 +323,31 @@ class Known:
             self.hashes, self.values = hashes[order], values[order]
         return out[back]
 
-    def highest(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        top = np.full(len(offsets) - 1, NOTHING, np.float64)
+    def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each text: its highest decision; its decisions above 0, and what is above 1, summed over distinct units; those
+        above 0 over all units; its length."""
+        n = len(offsets) - 1
+        out = np.zeros((n, EVIDENCE))
+        out[:, 0] = NOTHING
         letters, start, end, doc = units(data, offsets)
         if len(start):
-            np.maximum.at(top, doc, self.decide(letters, start, end))
-        return top
-
-
-def highest(texts: list[str], machine: Machine) -> np.ndarray:
-    """The highest decision among each text's units."""
+            f = self.decide(letters, start, end)
+            np.maximum.at(out[:, 0], doc, f)
+            hit = np.flatnonzero(f > 0)
+            h = hash_runs(letters, start[hit], end[hit])
+            order = np.lexsort((h, doc[hit]))
+            hit, h = hit[order], h[order]
+            first = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[hit][1:] != doc[hit][:-1])])[: len(hit)]
+            out[:, 1] = np.log1p(np.bincount(doc[hit][first], f[hit][first], n))
+            out[:, 2] = np.log1p(np.bincount(doc[hit][first], np.maximum(f[hit][first] - 1, 0), n))
+            out[:, 3] = np.log1p(np.bincount(doc[hit], f[hit], n))
+            out[:, 4] = np.log1p(np.bincount(doc, minlength=n))
+        return out
+
+
+def evidence(texts: list[str], machine: Machine) -> np.ndarray:
     known = Known(machine)
-    return np.concatenate([known.highest(d, o) for _, d, o in slices(pa.array(texts, pa.string()))])
+    return np.concatenate([known.evidence(d, o) for _, d, o in slices(pa.array(texts, pa.string()))])
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
@@ -306,8 +360,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame
         for batch in iterator:
             for first, data, offsets in slices(batch.column(1)):
                 part = batch.slice(first, len(offsets) - 1)
-                p = machine.score(known.highest(data, offsets)) if known else np.zeros(len(part))
+                p = machine.score(known.evidence(data, offsets)) if known else np.zeros(len(part))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
-    d = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double")
+    d = narrow(docs, "doc_id", "text").mapInArrow(run, f"{id_field(docs)}, score double")
     return d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

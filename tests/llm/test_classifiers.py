@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 import zlib
 
@@ -47,16 +48,49 @@ def test_without_labels_or_rows(spark, corpus, empty, module):
     assert len({r.score for r in module.score(docs.limit(20), labels.limit(0)).collect()}) == 1
 
 
-def test_gapped_insults():
+def inserted(word, letters="abcdefghijklmnopqrstuvwxyz"):
+    return [word[:k] + c + word[k:] for k in range(1, len(word)) for c in letters]
+
+
+def test_gapped_and_inserted_insults():
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefghilmnoprstuvw") for _ in range(rng.randint(2, 9)))
     rows = [(" ".join([word() for _ in range(20)] + (["stupid"] if k % 4 == 0 else [])), int(k % 4 == 0)) for k in range(600)]
     m = toxicity.fit(rows)
-    score = lambda s: float(m.score(toxicity.highest([s], m))[0])
-    assert min(score(s) for s in ("you stupid", "s-t-u-p-i-d", "s t u p i d", "STUP!D", "st.upid")) > 0.5
+    score = lambda s: float(m.score(toxicity.evidence([s], m))[0])
+    assert min(score(s) for s in ("you stupid", "s-t-u-p-i-d", "s t u p i d", "STUP!D", "st.upid", "s-t-u-x-p-i-d", "stu*xpid", "stuupid")) > 0.5
+    assert np.mean([score("you " + f) > 0.5 for f in inserted("stupid")]) >= 0.9
     assert max(score(s) for s in ("hello there", "cup of stew", "", "!!!")) < 0.5
 
 
+def test_units_are_toxic_by_more_than_chance():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    rows = [(" ".join(word() for _ in range(30)), int(k % 5 == 0)) for k in range(300)]
+    y = np.array([label for _, label in rows])
+    assert not toxicity.insults(toxicity.bags(toxicity._novel(rows)), y)
+    m = toxicity.fit(rows)
+    assert {round(float(p), 6) for p in m.score(toxicity.evidence(["abc", "", "stupid"], m))} == {round(float(y.mean()), 6)}
+    copies = [("a quarrel of zzzz birds.", 1)] * 40 + rows  # a text that is copied says what it says once
+    y = np.array([label for _, label in copies])
+    assert not toxicity.insults(toxicity.bags(toxicity._novel(copies)), y)
+
+
+FOLDER = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_accuracy_on_the_given_tables(spark):
+    """Held-out precision, and insults of the data with a letter put in anywhere, on the fit of sf0.1."""
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{n}.parquet") for n in ("documents", "labels"))
+    m = toxicity.fit(toxicity.sample(docs, labels, "toxic"))
+    score = lambda texts: m.score(toxicity.evidence(texts, m)) >= 0.5
+    held = [r for r in docs.join(labels, "doc_id").select("doc_id", "text", "toxic").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    y, p = np.array([r.toxic for r in held]), score([r.text or "" for r in held])
+    assert y[p].mean() >= 0.9 and p[y == 1].mean() >= 0.85
+    assert np.mean([score([f"you {f} there" for f in inserted(w)]).mean() for w in ("clown", "disgusting", "idiot", "moron", "pathetic", "stupid", "trash", "worthless")]) >= 0.9
+
+
 def test_folded_table_equals_kernel():
     marks = [b"\x00\x01\x02\x03", b"\x05\x06\x07"]
     phi = toxicity.embed(marks)
