@@ -10,8 +10,8 @@ and the least document that it hangs together with over the links of its part),
 buckets counts in one of them.
 
 Defined cases: null and empty texts, and texts without words, have empty sets: they link only to texts equal to them (null as
-empty); repeated rows and repeated doc_ids are documents like any other; an empty table gives an empty result; a class is named
-by its least doc_id.
+empty); repeated rows, repeated doc_ids and null doc_ids are documents like any other; an empty table gives an empty result; a class
+is named by its least doc_id (null where no document of it has one).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.columns import cut, narrow
+from tessera.llm.columns import cut, id_field
 from tessera.llm.components import components
 from tessera.llm.tokens import ALNUM, Words, batches, grams, inside, mix
 
@@ -97,16 +97,16 @@ def _signer(bands: int, rows: int) -> Callable:
             for d in range(words.docs):
                 distinct = _set_of(hashes[bounds[d] : bounds[d + 1]])
                 nodes.append(_node(distinct, b"" if len(distinct) else (text[d].as_py() or "").encode()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum(offsets), pa.int32()), pa.array(keys.ravel().view(np.int64)))],
-                ["doc_id", "node", "bands"],
-            )
+            kept = [batch.column(k) for k in range(batch.num_columns) if k != 1]
+            names = [n for n in batch.schema.names if n != "text"]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets), pa.int32()), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(nodes, pa.binary()), lists], [*names, "node", "bands"])
 
     return sign
 
 
 def _sets(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, shingles of texts that are what their node says (a doc_id may name several texts)."""
+    """node, shingles of texts that are what their node says (two texts may have one row hash)."""
     for batch, words in batches(iterator, ALNUM):
         hashes, bounds = shingle_sets(words)
         wanted, out = batch.column(2).to_pylist(), ([], [])
@@ -219,21 +219,29 @@ def _compare(threshold: float) -> Callable:
     return compare
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id (least doc_id of all documents linked to it, directly or over others), n_links (other documents with at
-    least that similarity, equal ones included), set_id (names documents with equal sets), for each document."""
+def _row(docs: DataFrame) -> list:
+    """Hashes of a row: of doc_id and text (a key of work tables, checked wherever it matters), again with another seed, of the rest."""
+    rest = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes if c not in ("doc_id", "text")]
+    text = F.col("`text`").cast("string")
+    return [F.xxhash64("`doc_id`", text).alias("rid"), F.xxhash64(F.lit("second"), text, "`doc_id`").alias("rid2"), F.xxhash64(F.lit(0), *rest).alias("rest")]
+
+
+def _grouped(docs: DataFrame, threshold: float, recall: float, block: int, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, rid, more, node) and nodes (node, root, copies, first, links)."""
     bands, rows = bands_and_rows(threshold, recall)
-    source = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = cut(source.mapInArrow(_signer(bands, rows), "doc_id long, node binary, bands array<long>"), "signatures")
-    classes = signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    hashes = dict(zip(("rid", "rid2", "rest"), _row(docs), strict=True))
+    source = docs.select(F.col("`doc_id`"), F.col("`text`").cast("string").alias("text"), *(hashes[k] for k in ("rid", *more)))
+    schema = f"{id_field(docs)}, " + "".join(f"{k} long, " for k in ("rid", *more)) + "node binary, bands array<long>"
+    signed = cut(source.mapInArrow(_signer(bands, rows), schema), "signatures")
+    classes = signed.groupBy("node").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     # a class's bands are those of any of its documents: they depend on the set alone
-    keyed = signed.join(classes.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"]).select("node", F.explode("bands").alias("key")).distinct()
+    keyed = signed.join(classes.select("node", "rid"), ["node", "rid"]).select("node", F.explode("bands").alias("key")).distinct()
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("m2")).filter("members > 1")
     kept = buckets.groupBy("m1", "m2", "members").agg(F.min("key").alias("key")).select("key", "members")
     members = cut(keyed.join(kept, "key"), "buckets")
     keys = members.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    wanted = keys.join(classes, "node")
-    texts = source.join(wanted.select(F.col("first").alias("doc_id"), "node"), "doc_id").select("doc_id", "text", "node")
+    wanted = keys.join(classes.select("node", "rid", "copies"), "node")
+    texts = source.join(wanted.select("rid", "node"), "rid").select("doc_id", "text", "node")
     sets = texts.mapInArrow(_sets, "node binary, shingles binary").join(wanted.select("node", "keys", "copies"), "node").dropDuplicates(["node"])
     blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
     placed = members.select("key", "node", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -243,15 +251,23 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("u"), F.col("to").alias("v")))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(links, "node", "left")
+    return signed, named.select("node", "root", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id (least doc_id of all documents linked to it, directly or over others), n_links (other documents with at
+    least that similarity, equal ones included), set_id (names documents with equal sets), for each document."""
+    signed, named = _grouped(docs, threshold, recall, block)
     least = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    named = named.join(least, "root").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    named = named.join(least, "root").select("node", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
     return signed.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "n_links", F.hex("node").alias("set_id"))
 
 
-def representatives(docs: DataFrame, **options) -> DataFrame:
-    """docs less all but one document of each class: the one with the least doc_id, one row of it where rows repeat it. Documents
-    without a doc_id cannot be named and stay."""
-    classes = join(docs, **options)
-    keep = classes.filter(F.col("class_id") == F.col("doc_id")).select("doc_id").distinct()
-    stay = docs.filter(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+def representatives(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """docs less all but one row of each class: the one with the least doc_id (null last), and, where a doc_id repeats, the least
+    hash of its text and of its other columns. Rows of other classes stay whatever their doc_id is; reruns agree."""
+    signed, named = _grouped(docs, threshold, recall, block, "rid2", "rest")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid", "rid2", "rest")
+    keep = signed.drop("bands").join(named.select("node", "root"), "node").groupBy("root").agg(F.min(order).alias("row")).select("row.rid", "row.rid2", "row.rest")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(row, *_row(docs)).join(keep, ["rid", "rid2", "rest"], "left_semi").dropDuplicates(["rid", "rid2", "rest"]).select("row.*")

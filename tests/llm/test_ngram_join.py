@@ -71,7 +71,26 @@ def test_repeated_rows_nulls_and_empty(spark, empty):
     d = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (3, ""), (None, "q r s t u"), (1, "other text")], "doc_id long, text string")
     got = ngram_join.join(d).collect()
     assert sorted((r.doc_id or 0, r.n_links) for r in got) == [(0, 0), (1, 0), (1, 1), (1, 1), (2, 1), (3, 1)]
-    assert sorted(str(r.doc_id) for r in ngram_join.representatives(d).collect()) == ["1", "2", "None"]
+    assert sorted((str(r.doc_id), r.text) for r in ngram_join.representatives(d).collect()) == [("1", "a b c d e f g"), ("1", "other text"), ("2", None), ("None", "q r s t u")]
+
+
+def test_representatives_lose_no_class(spark):
+    """Repeated and null doc_ids: one row of each class stays, the same on every run; no text goes without a near copy that stays."""
+    base = " ".join(f"w{k}" for k in range(100))
+    near = base + " more"
+    texts = {"a": "one two three four five six", "b": "seven eight nine ten eleven", "c": "red green blue yellow black white"}
+    rows = [(7, texts["a"], 1), (7, texts["b"], 1), (9, texts["c"], 1), (3, near, 1), (2, base, 1), (2, base, 2), (2, texts["a"], 5), (None, near, 1), (None, "only here, without a name", 1), (None, "only here without a name", 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, rid int").withColumn("m", F.create_map(F.lit("k"), F.col("rid")))
+    got = {(r.doc_id, r.text, r.rid) for r in ngram_join.representatives(d).collect()}
+    assert {(i, t) for i, t, _ in got if i} == {(7, texts["b"]), (9, texts["c"]), (2, base), (2, texts["a"])} and len(got) == 5
+    assert got == {(r.doc_id, r.text, r.rid) for r in ngram_join.representatives(d.repartition(7).orderBy(F.desc("rid"))).collect()}
+    joined = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in ngram_join.join(d).collect())
+    assert joined == sorted([("7", "2", 1), ("7", "7", 0), ("9", "9", 0), ("3", "2", 3), ("2", "2", 3), ("2", "2", 3), ("2", "2", 1), ("None", "2", 3), ("None", "None", 1), ("None", "None", 1)])
+
+
+def test_ids_keep_their_type(spark):
+    d = spark.createDataFrame([("x", "a b c d e f"), ("y", "a b c d e f")], "doc_id string, text string")
+    assert sorted((r.doc_id, r.class_id) for r in ngram_join.join(d).collect()) == [("x", "x"), ("y", "x")]
 
 
 def test_bands_reach_the_recall():
