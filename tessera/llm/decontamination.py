@@ -7,8 +7,12 @@ word; words inside any window are hit.
 The automaton runs only where it could complete a window: a vectorised filter finds runs of consecutive words whose neighbouring
 pairs all occur in some item, long enough for the shortest window. All else cannot match, so the filter loses nothing.
 
+A large benchmark is taken in shards of a bounded number of words. Each shard is a pass of its own, written to the shared folder before
+the next one is broadcast, so that one automaton at a time is held, however many there are.
+
 Defined cases: null texts and items have no words; an item without words is never found; repeated item_ids merge, repeated items
-each count; an empty document table gives an empty result, an empty benchmark leaves everything clean.
+each count; a null item_id reads as an empty one; repeated and null doc_ids are documents like any other; an empty document table
+gives an empty result, an empty benchmark leaves everything clean; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,14 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.automaton import SuffixAutomaton
-from tessera.llm.columns import narrow
+from tessera.llm.columns import cut, narrow
 from tessera.llm.tokens import ALNUM, Words, batches, cut_words, grams, inside, slices
 
 WINDOW = 13
-#: Words of test items in one automaton. That bounds what is broadcast; a larger benchmark is taken in several passes.
-SHARD_WORDS = 2_000_000
+#: Words of test items in one automaton, of some 300 bytes each. That bounds what is broadcast.
+SHARD_WORDS = 300_000
 
-SCHEMA = "doc_id long, text string, n_words long, spans array<struct<start: int, end: int>>, items array<string>"
+FOUND = "text string, n_words long, spans array<struct<start: int, end: int>>, items array<string>"
 
 
 class ItemIndex:
@@ -43,14 +47,19 @@ class ItemIndex:
             if words := (text or "").encode().translate(ALNUM.table).split():
                 sequences.append((item, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]))
                 self.automaton.add(sequences[-1][1])
-        lengths, windows = set(), {}
+        lengths, windows, self.items = set(), {}, []
+        place: dict[str, int] = {}
         for item, ids in sequences:
-            n = min(window, len(ids))
+            n, own = min(window, len(ids)), place.setdefault(item, len(place))
             lengths.add(n)
             for k, (state, _) in enumerate(self.automaton.matches(ids)):
-                if k >= n - 1:
-                    windows.setdefault((self.automaton.at_length(state, n), n), set()).add(item)
-        self.windows, self.lengths = windows, sorted(lengths)
+                if k >= n - 1:  # mostly one item has a window: its number alone, else a tuple of them
+                    key = self.automaton.at_length(state, n) * (window + 1) + n
+                    have = windows.setdefault(key, own)
+                    if have != own and not (isinstance(have, tuple) and own in have):
+                        windows[key] = (*have, own) if isinstance(have, tuple) else (have, own)
+        self.items = list(place)
+        self.window, self.windows, self.lengths = window, windows, sorted(lengths)
         self.shortest = self.lengths[0] if lengths else 0
         self.gram = min(2, self.shortest)
         self.filter = np.zeros(1 << 22, bool)
@@ -82,8 +91,9 @@ class ItemIndex:
             for size in self.lengths:
                 if size > n:
                     break
-                if items := self.windows.get((self.automaton.at_length(state, size), size)):
-                    found |= items
+                have = self.windows.get(self.automaton.at_length(state, size) * (self.window + 1) + size)
+                if have is not None:
+                    found.update(self.items[x] for x in (have if isinstance(have, tuple) else (have,)))
                     start, end = i + k + 1 - size, i + k + 1
                     while spans and spans[-1][1] >= start:
                         start = min(start, spans.pop()[0])
@@ -91,17 +101,31 @@ class ItemIndex:
         return spans, found
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, n_words, spans of hit words, items, for each document. No shuffle: each shard of the benchmark is one pass of the
-    same stage, which hands the texts and what it found on to the next."""
-    none = F.array().cast("array<struct<start: int, end: int>>")
-    d = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"), none.alias("spans"), F.array().cast("array<string>").alias("items"))
+def _passes(d: DataFrame, benchmark: DataFrame, window: int, shard_words: int, kept: str) -> DataFrame:
+    """d (kept, text, n_words, spans, items) with what every shard finds. No shuffle. Each pass hands the texts and what it found on
+    to the next; all but the last are written first."""
+    spark, before = d.sparkSession, None
     for index in shards(benchmark, window, shard_words):
-        d = d.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(index)), SCHEMA)
-    return d.drop("text")
+        if before is not None:
+            d = cut(d, "decontamination")
+            before.unpersist()
+        before = spark.sparkContext.broadcast(index)
+        schema = T.StructType([d.schema[kept], *T.StructType.fromDDL(FOUND).fields])
+        d = d.mapInArrow(_pass(before, kept), schema)
+    return d
+
+
+def _blank(docs: DataFrame, *kept) -> DataFrame:
+    none = F.array().cast("array<struct<start: int, end: int>>")
+    return docs.select(*kept, F.col("`text`").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), none.alias("spans"), F.array().cast("array<string>").alias("items"))
+
 
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, n_words, spans of hit words, items, for each document."""
+    return _passes(_blank(docs, F.col("`doc_id`")), benchmark, window, shard_words, "doc_id").drop("text")
 
-def _pass(held, kept: str = "doc_id"):
+
+def _pass(held, kept: str):
     def scan(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = held.value
         for batch, words in batches(iterator, ALNUM):
@@ -121,16 +145,21 @@ def _pass(held, kept: str = "doc_id"):
 
 
 def shards(benchmark: DataFrame, window: int, shard_words: int) -> Iterable[ItemIndex]:
-    """Indexes of at most shard_words words each (an item is never split), read one row at a time."""
+    """Indexes of shard_words words at most, read one row at a time. A longer item is cut into pieces that overlap by a window less
+    a word, so that no window is lost."""
     held, words, made = [], 0, 0
+    most = max(shard_words, 2 * window)
     rows = narrow(benchmark, "item_id", "text").select(F.col("item_id").cast("string"), "text").toLocalIterator()
     for item, text in rows:
-        n = len((text or "").split()) + 1
-        if held and words + n > shard_words:
-            yield ItemIndex(held, window)
-            held, words, made = [], 0, made + 1
-        held.append(("" if item is None else item, text))
-        words += n
+        own = (text or "").encode().translate(ALNUM.table).split()
+        starts = range(0, max(1, len(own) - window + 1), most - window + 1)
+        for i in starts:
+            part = own[i : i + most]
+            if held and words + len(part) > most:
+                yield ItemIndex(held, window)
+                held, words, made = [], 0, made + 1
+            held.append(("" if item is None else item, b" ".join(part).decode()))
+            words += len(part)
     if held or not made:
         yield ItemIndex(held, window)
 
@@ -150,10 +179,7 @@ def judged(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs less the contaminated documents, all columns as they are. Rows are judged where they stand, whatever their doc_ids."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    found = docs.select(row, F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start: int, end: int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = T.StructType([found.schema["row"], *(T.StructField(n, found.schema[n].dataType) for n in ("text", "n_words", "spans", "items"))])
-    for index in shards(benchmark, window, shard_words):
-        found = found.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(index), "row"), schema)
+    found = _passes(_blank(docs, row), benchmark, window, shard_words, "row")
     return judged(found).filter(~F.col("contaminated")).select("row.*")
 
 

@@ -85,8 +85,10 @@ def mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS
 
 
 def mixed(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, limit: float = 2.0) -> DataFrame:
-    """The rows of docs, each as often as it is taken; texts are shuffled once. Documents without words are never taken."""
+    """The rows of docs, each as often as it is taken; words are counted and texts shuffled once. Documents without words are never
+    taken."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    m = _with_copies(_placed(docs), _placed(docs, row), seed, weights, share, limit)
+    d = cut(_placed(docs, row), "placed")
+    m = _with_copies(d.drop("_row"), d, seed, weights, share, limit)
     taken = m.filter((F.col("copies") > 0) & (F.col("size") > 0))
     return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")

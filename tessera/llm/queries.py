@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import audio, decontamination, mixing, ngram_join, pii, quality, sharding, substring_dedup, token_counts, toxicity
 
+from tessera.llm.columns import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,7 +38,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"))
+    return sharding.mapped(table(spark, sf_dir, "documents"), shared_dir(spark, "slot-map"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,9 @@
 Records hash into a fixed number of virtual slots, bytes are summed per slot, and a versioned map deals the slots to shards.
 Rebalancing edits the map, never the hash, so only the rows of moved slots move.
 
-Defined cases: a null text has size 1 (no bytes, plus 1) and crc32 0; a null doc_id is a record like any other (slot of its own
-hash); repeated doc_ids fall into one slot; ties are broken by slot number; an empty table gives an empty result; extra columns
-are not looked at.
+Defined cases: a null text has size 1 (no bytes, plus 1) and crc32 0; a record's slot goes by its doc_id and its text's crc32, so
+that null and repeated doc_ids spread; rows that repeat both fall into one slot; ties are broken by slot number; an empty table gives
+an empty result and a map without slots; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -14,22 +14,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.columns import narrow
+from tessera.llm.columns import exists, narrow
 
 #: Virtual slots: far more than shards, so that whole slots balance to a small part of a shard; the map stays this long for any input.
 SLOTS = 4096
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
+def slot_of(*key: Column, slots: int = SLOTS) -> Column:
     """Fixed virtual slot of a record."""
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+    return F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")
 
 
 def measured(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot; the text itself goes no further than the scan."""
     d = narrow(docs, "doc_id", "text")
     body = F.coalesce(F.col("text"), F.lit(""))
-    return d.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), slot_of(F.col("doc_id"), slots).alias("virtual_slot"))
+    d = d.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"))
+    return d.withColumn("virtual_slot", slot_of(F.col("doc_id"), F.col("text_crc32"), slots=slots))
 
 
 def slot_bytes(records: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def rebalanced(current: DataFrame, loads: DataFrame, shards: int, tolerance: flo
     """The next version of a map: slots leave shards above (1 + tolerance) times the mean, lightest slots first, for the lightest
     shards; slots never seen before go there too. All other slots keep their shard, so only moved slots move rows.
     """
-    known = loads.join(F.broadcast(current), "virtual_slot", "left")
+    known = loads.join(current, "virtual_slot", "full").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
     per = Window.partitionBy("shard").orderBy("bytes", "virtual_slot").rowsBetween(Window.unboundedPreceding, 0)
     mean = loads.agg((F.sum("bytes") / shards).alias("mean"))
     sized = known.withColumn("above", F.sum("bytes").over(Window.partitionBy("shard"))).join(F.broadcast(mean))
@@ -90,12 +91,20 @@ def save_map(mapping: DataFrame, path: str) -> None:
 
 def load_map(spark, path: str, version: int | None = None) -> DataFrame:
     """A version of the map, the latest by default."""
-    table = spark.read.parquet(path)
+    table = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
     if version is not None:
         return table.filter(F.col("version") == version)
     return table.join(F.broadcast(table.agg(F.max("version").alias("version"))), "version")
 
 
+def mapped(docs: DataFrame, path: str, shards: int = 8, slots: int = SLOTS) -> DataFrame:
+    """As shard(), by the map whose table is at path. Without a table the first version is dealt and stored; with one, the latest
+    version is edited for the loads of docs and stored as the next."""
+    spark, loads = docs.sparkSession, slot_bytes(measured(docs, slots))
+    save_map(rebalanced(load_map(spark, path), loads, shards) if exists(spark, path) else slot_map(loads, shards), path)
+    return shard(docs, shards, slots, load_map(spark, path))
+
+
 def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, mapping: DataFrame | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (place in the shard, gapless from 0), grown_shard (null: sizes decide), virtual_slot.
 

@@ -23,10 +23,10 @@ from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.columns import narrow, shared_dir
+from tessera.llm.columns import exists, narrow, shared_dir
 
 #: Pieces that one task remembers.
 REMEMBERED = 400_000
@@ -79,11 +79,6 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
     return count
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def count(docs: DataFrame, tokenizer: str | None = None, cache: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, digest, for each document. cache: the table's folder; a fresh one in the shared folder by default."""
     spark = docs.sparkSession
@@ -93,7 +88,7 @@ def count(docs: DataFrame, tokenizer: str | None = None, cache: str | None = Non
     keyed = narrow(docs, "doc_id", "text").select(F.col("doc_id"), body.alias("text"), F.unhex(F.sha2(F.encode(body, "UTF-8"), 256)).alias("digest"), F.octet_length(body).cast("long").alias("n_bytes"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("row"))
     distinct = keyed.groupBy("digest").agg(F.min("row").alias("row"))
     schema = "digest binary, n_tokens long"
-    if _exists(spark, path):
+    if exists(spark, path):
         distinct = distinct.join(spark.read.schema(schema).parquet(path), "digest", "left_anti")
     texts = keyed.select("digest", "row", "text").join(distinct, ["digest", "row"], "left_semi").select("digest", "text")
 

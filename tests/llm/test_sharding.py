@@ -47,3 +47,21 @@ def test_rebalancing_moves_few(spark, tmp_path):
 def test_empty_and_null_ids(spark, empty):
     assert sharding.shard(empty).count() == 0
     assert sharding.shard(spark.createDataFrame([(None, "a"), (None, None), (1, "b"), (1, "b")], "doc_id long, text string")).count() == 4
+
+
+def test_the_stored_map_is_edited(spark, tmp_path, empty):
+    path = f"file://{tmp_path}/map"
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
+    place = lambda df: {r.doc_id: (r.shard, r.virtual_slot) for r in df.collect()}
+    first = place(sharding.mapped(d, path))
+    assert first == place(sharding.shard(d))
+    full = [k for k, (shard, _) in first.items() if shard == 0]
+    grown = d.unionByName(d.filter(F.col("doc_id").isin(full)).withColumn("times", F.explode(F.sequence(F.lit(1), F.lit(5)))).drop("times"))
+    second = place(sharding.mapped(grown, path))
+    assert sorted(r.version for r in sharding.load_map(spark, path).select("version").distinct().collect()) == [2]
+    assert place(sharding.shard(d, mapping=sharding.load_map(spark, path, 1))) == first
+    moved = {second[k][1] for k in first if first[k][0] != second[k][0]}
+    assert 0 < len(moved) < 0.5 * len({v for _, v in first.values()})
+    few = sharding.mapped(d.filter("doc_id < 10"), path)  # slots without records keep their shards
+    assert few.count() == 10 and sharding.load_map(spark, path).count() >= sharding.load_map(spark, path, 1).count()
+    assert sharding.mapped(empty, f"file://{tmp_path}/none").count() == 0
