@@ -295,3 +295,30 @@ def without_low_value_lines(text: Column) -> Column:
     """Less rulers, menu tags and cut-off box drawings."""
     keep = lambda x: ~(F.rlike(x, F.lit("^\\s*─")) | F.rlike(x, F.lit("\\[(?:MH|CH|PS|DA|CR|DS|PM)\\]")) | F.rlike(strip(x), F.lit("[┌┐└┘├┤┬┴┼│─].*\\.\\.\\.$")))
     return F.array_join(F.filter(F.split(text, "\n"), keep), "\n")
+
+
+# Families of build and test commands, and what a command of each holds.
+COMMANDS = {
+    "npm": ["npm test", "npm run test", "npm run build", "npm ci"], "yarn": ["yarn test", "yarn build", "yarn install"], "pnpm": ["pnpm test", "pnpm build", "pnpm install"],
+    "pytest": ["pytest", "python -m pytest", "python3 -m pytest"], "python": ["python setup.py", "python -m unittest"], "pip": ["pip install", "pip3 install"],
+    "make": ["make", "make test", "make build", "make install"], "cmake": ["cmake", "ctest"], "gradle": ["gradle test", "gradle build", "./gradlew"], "maven": ["mvn test", "mvn build", "mvn install"],
+    "go": ["go test", "go build", "go install", "go mod"], "cargo": ["cargo test", "cargo build", "cargo check"], "docker": ["docker build", "docker-compose up", "docker compose up"],
+    "jest": ["jest", "npm run jest"], "mocha": ["mocha", "npm run mocha"], "vitest": ["vitest", "npm run vitest"],
+    "eslint": ["eslint", "npm run lint"], "pylint": ["pylint"], "black": ["black"], "mypy": ["mypy"],
+}
+
+
+def command_family(command: Column) -> Column:
+    """The first family that a command holds a pattern of; null for other commands."""
+    cases = [F.when(F.greatest(*(F.contains(command, F.lit(p)) for p in ps), F.lit(False)), F.lit(k)) for k, ps in COMMANDS.items()]
+    return F.coalesce(*cases)
+
+
+def routing_cases() -> list[tuple[str, str]]:
+    """Every trigger phrase and what it is routed to; a phrase of two lists, or that holds one of another, goes to both."""
+    talk, practice = [*DECISION_PHRASES, *SESSION_PHRASES], PRACTICE_PHRASES
+    out = []
+    for p in dict.fromkeys([*talk, *practice]):
+        to = ["discussions"] * any(x in p for x in talk) + ["conventions!"] * any(x in p for x in practice)
+        out.append((p, ",".join(to)))
+    return out

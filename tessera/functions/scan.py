@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.chunking import column
+
 # Kind, pattern, replacement, confidence. Matches of a secret block a text; the rest is masked.
 SECRETS = [
     ("secret_token", "ghp_[A-Za-z0-9_]{36}|github_pat_[A-Za-z0-9_]{82}", None, 0.95), ("secret_api_key", "AKIA[0-9A-Z]{16}", None, 0.93),
@@ -21,34 +27,72 @@ PERSONAL = [
 ]
 
 FINDINGS = "array<struct<kind: string, start: int, end: int, text: string, replacement: string, confidence: double>>"
+Finding = tuple[str, int, int, str, str | None, float]
+_COMPILED = {"secrets": [(k, re.compile(p), r, c) for k, p, r, c in SECRETS], "personal": [(k, re.compile(p), r, c) for k, p, r, c in PERSONAL]}
+#: What a text must hold for any pattern of personal data to match: a digit, an "@" or a link.
+_ANY = re.compile(r"[\d@]|https?://")
+
 
+def luhn(text: str) -> bool:
+    digits = [int(c) for c in re.sub("[^0-9]", "", text)]
+    doubled = [d * 2 - 9 * (d > 4) if k % 2 else d for k, d in enumerate(reversed(digits))]
+    return bool(digits) and sum(doubled) % 10 == 0
 
-def _matches(text: Column, kind: str, pattern: str, replacement: str | None, confidence: float) -> Column:
-    """Matches with their places, from the pieces between them: the built-ins give matches, splitting gives what precedes each."""
-    found, before = F.regexp_extract_all(text, F.lit(f"({pattern})")), F.split(text, pattern, -1)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(FINDINGS).alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(before, i))
-        m = F.get(found, i)
-        item = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), m.alias("text"), F.lit(replacement).cast("string").alias("replacement"), F.lit(confidence).alias("confidence"))
-        return F.struct((start + F.length(m)).alias("at"), F.array_append(acc["out"], item).alias("out"))
+def find(text: str, which: str = "personal") -> list[Finding]:
+    """Matches of the patterns of one set, pattern by pattern; card numbers must pass Luhn."""
+    if which == "personal" and not _ANY.search(text):
+        return []
+    out = [(kind, m.start(), m.end(), m.group(0), replacement, confidence) for kind, rx, replacement, confidence in _COMPILED[which] for m in rx.finditer(text)]
+    return [f for f in out if f[0] != "pii_cc" or luhn(f[3])]
 
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), state, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, folded).otherwise(F.array().cast(FINDINGS))
+
+def resolve(found: list[Finding]) -> list[Finding]:
+    """Findings that do not overlap: more confident ones first, then longer ones, then earlier ones; in order of place."""
+    kept: list[Finding] = []
+    starts: list[int] = []
+    for f in sorted(found, key=lambda f: (-f[5], f[1] - f[2], f[1])):
+        k = bisect_left(starts, f[1])
+        if (k == 0 or kept[k - 1][2] <= f[1]) and (k == len(kept) or kept[k][1] >= f[2]):
+            kept.insert(k, f)
+            starts.insert(k, f[1])
+    return kept
+
+
+def mask(text: str, found: list[Finding]) -> str:
+    """The text with each of some findings, in order and apart from each other, replaced."""
+    out, at = [], 0
+    for _, start, end, _, replacement, _ in found:
+        out += [text[at:start], replacement or ""]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def persons(text: str, tagger: Callable[[list[str]], list[list[tuple[int, int]]]], most: int = 2000) -> list[Finding]:
+    """Names that an injected tagger finds: it gets the text in segments of a size at most, and gives places within each. Segments
+    overlap, so that it sees what stands around a name; a name counts in the segment in whose middle it begins."""
+    around = most // 20
+    begins = range(0, len(text), most - 2 * around)
+    segments = [(max(0, i - around), text[max(0, i - around) : i + most - around]) for i in begins]
+    found = tagger([s for _, s in segments]) if segments else []
+    out = []
+    for i, (at, s), places in zip(begins, segments, found, strict=True):
+        out += [("pii_name", at + a, at + b, s[a:b], "[NAME_REDACTED]", 0.80) for a, b in places if i <= at + a < i + most - 2 * around]
+    return out
 
 
 def is_luhn(text: Column) -> Column:
     return F.call_function("luhn_check", F.regexp_replace(text, "[^0-9]", ""))
 
 
+def _row(f: Finding) -> dict:
+    return dict(zip(("kind", "start", "end", "text", "replacement", "confidence"), f, strict=True))
+
+
 def findings(text: Column, secrets: bool = True, personal: bool = True) -> Column:
-    """All findings of the patterns; card numbers must pass Luhn."""
-    parts = [_matches(text, *p) for p in (SECRETS if secrets else [])]
-    for p in PERSONAL if personal else []:
-        m = _matches(text, *p)
-        parts.append(F.filter(m, lambda x: is_luhn(x["text"])) if p[0] == "pii_cc" else m)
-    return F.concat(*parts)
+    """All findings of the patterns. Places within a text need a pass over it per pattern, which no built-in gives: Arrow-batched."""
+    sets = [n for n, on in (("secrets", secrets), ("personal", personal)) if on]
+    return column(lambda t: [_row(f) for n in sets for f in find(t, n)], FINDINGS, text)
 
 
 def has_secret(text: Column) -> Column:
@@ -58,38 +102,38 @@ def has_secret(text: Column) -> Column:
     return c
 
 
-def resolved(found: Column) -> Column:
-    """Findings that do not overlap: more confident ones first, then longer ones, then earlier ones; in order of place."""
-    order = F.transform(F.array_sort(F.transform(found, lambda x: F.struct((-x["confidence"]).alias("a"), (x["start"] - x["end"]).alias("b"), x["start"].alias("c"), x.alias("f")))), lambda x: x["f"])
+def _found(row) -> Finding:
+    return row["kind"], row["start"], row["end"], row["text"], row["replacement"], row["confidence"]
 
-    def take(acc: Column, x: Column) -> Column:
-        return F.when(F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), acc).otherwise(F.array_append(acc, x))
 
-    kept = F.aggregate(order, F.array().cast(FINDINGS), take)
-    return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x.alias("f")))), lambda x: x["f"])
+def resolved(found: Column) -> Column:
+    """As resolve(), over columns of findings."""
+    return column(lambda rows: [_row(f) for f in resolve([_found(r) for r in rows])], FINDINGS, found)
 
 
-def masked(text: Column, found: Column) -> Column:
-    """The text with each finding replaced, from the last to the first, so that places stay right."""
-    return F.aggregate(F.reverse(found), text, lambda t, x: F.concat(F.substr(t, F.lit(1), x["start"]), x["replacement"], F.substr(t, x["end"] + 1, F.length(t))))
+def masked(text: Column, found: Column | None = None) -> Column:
+    """The text with its findings replaced: those given, or its personal data."""
+    if found is not None:
+        return column(lambda t, rows: mask(t, [_found(r) for r in rows]), "string", text, found)
+    return column(lambda t: mask(t, resolve(find(t))), "string", text)
 
 
 def scanned(text: Column, mode: Column) -> Column:
-    """action and content: off passes everything, a secret blocks, personal data is masked."""
-    found = resolved(findings(text, secrets=False))
+    """action and content: off passes everything, a secret blocks, personal data is masked. Only what is left is masked."""
+    clean = masked(F.when((mode != "off") & ~has_secret(text), text))
     return (
         F.when(mode == "off", F.struct(F.lit("passed").alias("action"), text.alias("content")))
         .when(has_secret(text), F.struct(F.lit("blocked").alias("action"), F.lit("").alias("content")))
-        .when(F.size(found) > 0, F.struct(F.lit("masked").alias("action"), masked(text, found).alias("content")))
+        .when(clean != text, F.struct(F.lit("masked").alias("action"), clean.alias("content")))
         .otherwise(F.struct(F.lit("passed").alias("action"), text.alias("content")))
     )
 
 
 def entropy(text: Column) -> Column:
     """Shannon entropy of a string's characters in bits."""
-    chars = F.split(text, "")
-    per = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.length(text))
-    return F.coalesce(F.aggregate(per, F.lit(0.0), lambda s, p: s - p * F.log2(p)), F.lit(0.0))
+    chars = F.array_distinct(F.split(text, ""))
+    per = F.transform(chars, lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / F.length(text))
+    return F.coalesce(F.aggregate(F.filter(per, lambda p: p > 0), F.lit(0.0), lambda s, p: s - p * F.log2(p)), F.lit(0.0))
 
 
 def for_log(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Changes since a memory was stored, and what a tier's score is multiplied by.
 AGING, STALE, EXPIRED = 3, 10, 25
@@ -13,13 +14,13 @@ PENALTY = {"fresh": 1.0, "aging": 0.9, "stale": 0.0, "expired": 0.0, "unverified
 def changes_since(memories: DataFrame, commits: DataFrame) -> DataFrame:
     """memories with commit_count: current changes to their file, strictly after they were stored.
 
-    Changes are exploded to (file, time) and joined by file; the time test is the join's residual. Counting by file and time first
-    keeps a file with very many changes small before the join.
+    Changes are exploded to (file, time) and counted; with the memories of the file between them in order of time, a running sum gives
+    each its count, so a file costs its changes plus its memories, never their product.
     """
-    touched = commits.filter("is_current").select(F.explode(F.array_distinct("files_changed")).alias("file_path"), F.col("committed_at")).groupBy("file_path", "committed_at").agg(F.count(F.lit(1)).alias("n"))
-    m = memories.select("point_id", "file_path", "stored_at").alias("m")
-    hits = m.join(touched.alias("c"), (F.col("m.file_path") == F.col("c.file_path")) & (F.col("c.committed_at") > F.col("m.stored_at")))
-    count = hits.groupBy("point_id").agg(F.sum("n").alias("commit_count"))
+    touched = commits.filter("is_current").select(F.explode(F.array_distinct("files_changed")).alias("file_path"), F.col("committed_at").alias("at")).groupBy("file_path", "at").agg(F.count(F.lit(1)).alias("n"))
+    line = touched.select("file_path", "at", "n", F.lit(None).cast("string").alias("point_id")).unionByName(memories.select("file_path", F.col("stored_at").alias("at"), F.lit(0).cast("long").alias("n"), F.col("point_id").cast("string")))
+    later = Window.partitionBy("file_path").orderBy(F.col("at").desc(), F.col("point_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)  # at one moment the memory stands before the change
+    count = line.withColumn("commit_count", F.sum("n").over(later)).filter("point_id IS NOT NULL").select("point_id", "commit_count")
     return memories.join(count, "point_id", "left").withColumn("commit_count", F.coalesce("commit_count", F.lit(0)))
 
 

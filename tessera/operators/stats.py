@@ -69,3 +69,44 @@ def newest_until(rows: DataFrame, by: list[str], at: str, size: str, most: int)
     """The newest rows whose sizes still fit."""
     w = Window.partitionBy(*by).orderBy(F.col(at).desc()).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("_s", F.sum(size).over(w)).filter(F.col("_s") <= most).drop("_s")
+
+
+def compared(baseline: DataFrame, new: DataFrame) -> DataFrame:
+    """How recall (query_id, recalled) changed; shares are of all queries of the baseline, also of those that were not asked again."""
+    b, n = baseline.select("query_id", F.col("recalled").alias("b")), new.select("query_id", F.col("recalled").alias("n"))
+    j = b.join(n, "query_id", "left")
+    up, down = F.coalesce(F.col("n") & ~F.col("b"), F.lit(False)), F.coalesce(F.col("b") & ~F.col("n"), F.lit(False))
+    t = j.agg(F.count(F.lit(1)).alias("total_queries"), F.count_if(up).alias("recall_improved"), F.count_if(down).alias("recall_regressed"), F.coalesce(F.min(F.col("n").cast("int")), F.lit(1)).cast("double").alias("min_recall_at_5"))
+    share = lambda c: F.when(F.col("total_queries") > 0, F.col(c) / F.col("total_queries")).otherwise(0.0)
+    return t.withColumn("improvement_pct", share("recall_improved")).withColumn("regression_pct", share("recall_regressed"))
+
+
+def evaluated(traces: DataFrame, key: str, at: str, since: Column, until: Column, fits: Column, rate: float, judge: Column) -> DataFrame:
+    """key, sampled, score of the traces of a time: those that fit are sampled by a hash of their key, so a rerun takes the same ones,
+    and scored if they have an output."""
+    h = F.conv(F.substring(F.md5(F.encode(F.col(key).cast("string"), "UTF-8")), 1, 6), 16, 10).cast("long") % 100
+    t = traces.filter((F.col(at) >= since) & (F.col(at) < until))
+    sampled = F.coalesce(fits & (h < round(rate * 100)) & F.col("output").isNotNull(), F.lit(False))
+    return t.select(key, sampled.alias("sampled"), F.when(sampled, judge).alias("score"))
+
+
+def alerts(scores: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """evaluator, score (mean), alert: below the evaluator's own threshold."""
+    limits = F.create_map(*(F.lit(x) for kv in thresholds.items() for x in kv))
+    return scores.groupBy("evaluator").agg(F.avg("score").alias("score")).select("evaluator", "score", (F.col("score") < F.element_at(limits, F.col("evaluator"))).alias("alert"))
+
+
+def newest_within(rows: DataFrame, at: str, key: str, size: str, most: int, buckets: int = 200) -> DataFrame:
+    """The newest rows whose sizes sum to no more than most. Sums per bucket of time tell which buckets are kept whole; only the bucket
+    in which the sum is reached is ordered row by row."""
+    low, high = rows.agg(F.min(F.unix_micros(F.col(at).cast("timestamp"))), F.max(F.unix_micros(F.col(at).cast("timestamp")))).first()
+    if low is None:
+        return rows
+    span = max(1, (high - low) // buckets + 1)
+    b = rows.withColumn("_b", F.floor((F.unix_micros(F.col(at).cast("timestamp")) - low) / span))
+    above = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = b.groupBy("_b").agg(F.sum(size).alias("_own")).withColumn("_above", F.coalesce(F.sum("_own").over(above), F.lit(0)))
+    near = b.join(F.broadcast(sums), "_b").filter(F.col("_above") <= most)
+    w = Window.partitionBy("_b").orderBy(F.col(at).desc(), F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    whole, cut = near.filter(F.col("_above") + F.col("_own") <= most), near.filter(F.col("_above") + F.col("_own") > most)
+    return whole.select(*rows.columns).unionByName(cut.withColumn("_run", F.col("_above") + F.sum(size).over(w)).filter(F.col("_run") <= most).select(*rows.columns))

@@ -75,16 +75,6 @@ def issue_sync(spark, d):
     return r.select(F.get_json_object("raw", "$.number").cast("long").alias("number"))
 
 
-@query("G5_commit_sync", "SELECT commit_id, 'Commit ' || substr(md5(commit_id::VARCHAR), 1, 8) AS title, 2 AS files FROM {commits} WHERE is_current")
-def commit_sync(spark, d):
-    return commits(spark, d).filter("is_current").select("commit_id", F.concat(F.lit("Commit "), F.substring(F.md5(F.encode(F.col("commit_id").cast("string"), "UTF-8")), 1, 8)).alias("title"), F.size("files_changed").alias("files"))
-
-
-@query("G6_ci_sync", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS conclusion FROM events WHERE event_type IN ('error', 'purchase')")
-def ci_sync(spark, d):
-    return table(spark, d, "events").filter(F.col("event_type").isin("error", "purchase")).select("event_id", F.when(F.col("event_type") == "error", "failure").otherwise("success").alias("conclusion"))
-
-
 @query("G7_code_blob_sync", "WITH s AS (SELECT doc_id AS id, md5(content) AS h FROM {code} WHERE doc_id % 5 <> 0), t AS (SELECT doc_id AS id, md5(CASE WHEN doc_id % 3 = 0 THEN content || 'x' ELSE content END) AS h FROM {code} WHERE doc_id % 7 <> 0) SELECT coalesce(s.id, t.id) AS id, CASE WHEN s.id IS NULL OR s.h <> t.h THEN 'store' WHEN t.id IS NULL THEN 'close' ELSE 'touch' END AS action FROM s FULL JOIN t ON s.id = t.id")
 def blob_sync(spark, d):
     c, md = code(spark, d), lambda x: F.md5(F.encode(x, "UTF-8"))
@@ -93,13 +83,6 @@ def blob_sync(spark, d):
     return versions.difference(s, t, "id", "h").select("id", F.when(F.col("state").isin("new", "changed"), "store").when(F.col("state") == "deleted", "close").otherwise("touch").alias("action"))
 
 
-@query("G1_sync_cycle", "SELECT kind, count(*) AS n, max(moment)::BIGINT AS cursor FROM (SELECT 'commit' AS kind, epoch(committed_at) AS moment FROM {commits} UNION ALL SELECT 'message', epoch(ts) FROM {sessions}) GROUP BY 1")
-def sync_cycle(spark, d):
-    a = commits(spark, d).select(F.lit("commit").alias("kind"), F.col("committed_at").cast("long").alias("at"))
-    b = sessions(spark, d).select(F.lit("message").alias("kind"), F.col("ts").cast("long").alias("at"))
-    return a.unionByName(b).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("cursor"))
-
-
 @query("S19_markdown_source", "SELECT 'T' || n AS title, 'x,y' || n AS tags FROM (SELECT unnest(range(0, 5)) AS n)")
 def markdown_source(spark, d):
     out = _shared(spark, "markdown")
@@ -139,67 +122,17 @@ def piece_count(spark, d):
     return table(spark, d, "documents").select("doc_id", chunking.column(lambda t: len(chunking.pieces(t)), "long", F.col("text")).alias("tokens"))
 
 
-@query("C36_tags", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a,b' WHEN 1 THEN 'c' ELSE '' END AS tags FROM documents")
-def tags(spark, d):
-    line = tables.pick(["[A, b, 'a']", "C", ""], F.col("doc_id"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(files.tags(line, F.lit("")), ",").alias("tags"))
-
-
 @query("K13_rule_table", "SELECT * FROM (VALUES ('error_pattern', 0.9, 3), ('port', 0.95, 2), ('rule', 0.9, 2), ('blocker', 0.85, 2), ('decision', 0.95, 1)) v(kind, confidence, patterns)".replace("0.9,", "0.9::DOUBLE,").replace("0.95,", "0.95::DOUBLE,").replace("0.85,", "0.85::DOUBLE,"))
 def rule_table(spark, d):
     return spark.createDataFrame([(k, c, len(p)) for k, c, p in classify.RULES], "kind string, confidence double, patterns int")
 
 
-@query("K15_provider_chain", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'second' ELSE 'first' END AS provider FROM documents")
-def provider_chain(spark, d):
-    """Injected providers in order; the next is asked only for what the ones before did not answer."""
-    rows, out = table(spark, d, "documents").select("doc_id"), None
-    for name, fails in (("first", F.col("doc_id") % 3 == 0), ("second", F.lit(False))):
-        answered = rows.filter(~fails).withColumn("provider", F.lit(name))
-        out, rows = answered if out is None else out.unionByName(answered), rows.filter(fails)
-    return out
-
-
-@query("K25_imports", "SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN 3 WHEN 4 THEN 1 WHEN 5 THEN 1 ELSE 0 END AS n FROM documents")
-def imports(spark, d):
-    return code(spark, d).select("doc_id", F.size(chunking.column(chunking.python_imports, "array<string>", F.col("content"))).alias("n"))
-
-
-@query("P8_constraints", "SELECT n AS line FROM (SELECT unnest(['global: be brief', 'phase: test']) AS n)")
-def constraints(spark, d):
-    out = _shared(spark, "constraints")
-    spark.createDataFrame([("global: be brief",), ("phase: test",)], "value string").write.text(out)
-    return spark.read.text(out).select(F.col("value").alias("line"))
-
-
 @query("P7_state_reset", "SELECT conv_id, count(*) FILTER (WHERE turn > last) AS since FROM (SELECT *, coalesce(max(turn) FILTER (WHERE role = 'system') OVER (PARTITION BY conv_id), -1) AS last FROM conversations) GROUP BY 1")
 def state_reset(spark, d):
     last = F.coalesce(F.max(F.when(F.col("role") == "system", F.col("turn"))).over(Window.partitionBy("conv_id")), F.lit(-1))
     return table(spark, d, "conversations").withColumn("last", last).groupBy("conv_id").agg(F.count_if(F.col("turn") > F.col("last")).alias("since"))
 
 
-@query("B2_reclassification", "SELECT doc_id, doc_id % 27 IN (0, 9, 10, 14, 15, 16, 17, 18) AS changed FROM documents WHERE doc_id >= 20")
-def reclassification(spark, d):
-    r = classify.classified(F.col("prompt"), F.lit("user_message"))
-    return prompts(spark, d).filter("doc_id >= 20").select("doc_id", (r["type"] != "user_message").alias("changed"))
-
-
-@query("B8_reembedding", f"SELECT point_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm FROM {_M} WHERE collection = 'code-patterns'")
-def reembedding(spark, d):
-    return memories(spark, d).filter("collection = 'code-patterns'").select("point_id", F.round(vector.norm(F.col("embedding")), 5).alias("norm"))
-
-
-@query("E2_trace_scores", "SELECT user_id, md5(user_id || ':trace:quality') AS score_id, round(avg(value), 6) AS score FROM events GROUP BY 1")
-def trace_scores(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("score")).select("user_id", text.score_id(F.col("user_id").cast("string"), F.lit("trace"), F.lit("quality")).alias("score_id"), "score")
-
-
-@query("E4_routing_dataset", "SELECT n AS prompt, x AS expected FROM (VALUES ('why did we do it', 'discussions'), ('fix src/app/main.py', 'code-patterns'), ('which naming convention applies', 'conventions!'), ('hello', 'discussions,code-patterns,conventions!')) v(n, x)")
-def routing_dataset(spark, d):
-    p = spark.createDataFrame([("why did we do it",), ("fix src/app/main.py",), ("which naming convention applies",), ("hello",)], "prompt string")
-    return p.select("prompt", F.array_join(classify.routes(F.col("prompt")), ",").alias("expected"))
-
-
 @query("O1_sort_and_limit", f"SELECT point_id FROM {_M} ORDER BY label DESC, point_id LIMIT 25")
 def sort_and_limit(spark, d):
     return memories(spark, d).orderBy(F.col("label").desc(), "point_id").limit(25).select("point_id")

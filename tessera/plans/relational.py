@@ -106,7 +106,7 @@ _filter("F7_ranges", f"access_count >= 2 AND access_count < 4 AND stored_at < {_
 _filter("F8_match_except", "freshness_status IS NOT NULL AND freshness_status NOT IN ('fresh', 'aging')", lambda: F.col("freshness_status").isNotNull() & ~F.col("freshness_status").isin("fresh", "aging"))
 _filter("F24_confidence", "label / 10.0 >= 0.5", lambda: F.col("label") / 10.0 >= 0.5)
 _filter("F25_issue_filters", "collection = 'jira-data' AND type = 'jira_issue' AND agent_id = 'a0'", lambda: (F.col("collection") == "jira-data") & (F.col("type") == "jira_issue") & (F.col("agent_id") == "a0"))
-_filter("F26_forge_filters", "collection = 'github' AND type = 'github_pr' AND freshness_status = 'fresh'", lambda: (F.col("collection") == "github") & (F.col("type") == "github_pr") & (F.col("freshness_status") == "fresh"))
+_filter("F26_forge_filters", "collection = 'github' AND type = 'github_pr' AND freshness_status = 'aging'", lambda: (F.col("collection") == "github") & (F.col("type") == "github_pr") & (F.col("freshness_status") == "aging"))
 _filter("F11_project_cleanup", "group_id NOT IN ('g0', 'g6')", lambda: ~F.col("group_id").isin("g0", "g6"))
 
 
@@ -120,27 +120,6 @@ def logs(spark, d):
     return table(spark, d, "events").filter((F.col("event_type") == "view") & (F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")) & (F.col("value") >= 20)).select("event_id")
 
 
-@query("F12_payload_validation", f"SELECT point_id, concat_ws('; ', CASE WHEN source IS NULL THEN 'missing source' END, CASE WHEN length(content) < 22 THEN 'content too short' END, CASE WHEN type NOT IN ('rule', 'guideline', 'decision') THEN 'invalid type' END) AS errors FROM {_M}")
-def validation(spark, d):
-    errors = F.array_compact(F.array(F.when(F.col("source").isNull(), F.lit("missing source")), F.when(F.length("content") < 22, F.lit("content too short")), F.when(~F.col("type").isin("rule", "guideline", "decision"), F.lit("invalid type"))))
-    return memories(spark, d).select("point_id", F.array_join(errors, "; ").alias("errors"))
-
-
-@query("F13_storage_validation", "SELECT doc_id, (length(content) // 4 > 20)::INT + contains(content, 'TODO')::INT + (NOT regexp_matches(content, '[a-z]+\\.py'))::INT AS problems FROM {code}")
-def storage_validation(spark, d):
-    c = F.col("content")
-    return code(spark, d).select("doc_id", ((text.estimated_tokens(c) > 20).cast("int") + F.contains(c, F.lit("TODO")).cast("int") + (~F.rlike(c, F.lit("[a-z]+\\.py"))).cast("int")).alias("problems"))
-
-
-@query("F14_metadata_validation", f"SELECT point_id, (source IS NULL)::INT + (agent_id NOT IN ('a0', 'a1'))::INT + (NOT regexp_full_match(group_id, 'g[0-5]'))::INT + (stored_at > TIMESTAMP '2024-02-20')::INT AS problems FROM {_M}")
-def metadata_validation(spark, d):
-    checks = [F.col("source").isNull(), ~F.col("agent_id").isin("a0", "a1"), ~F.rlike("group_id", F.lit("^g[0-5]$")), F.col("stored_at") > F.lit("2024-02-20").cast("timestamp")]
-    total = checks[0].cast("int")
-    for c in checks[1:]:
-        total = total + c.cast("int")
-    return memories(spark, d).select("point_id", total.alias("problems"))
-
-
 @query("F15_template_validation", "SELECT doc_id, length(prompt) BETWEEN 10 AND 60 AND NOT regexp_matches(prompt, '(?i)traceback|failed') AS valid, array_to_string(list_sort(list_distinct(list_filter(string_split(lower(prompt), ' '), lambda x: x <> ''))), ',') AS tags FROM {prompts}")
 def template_validation(spark, d):
     p = F.col("prompt")
@@ -179,36 +158,33 @@ _TIER = "CASE WHEN vec_id % 17 = 0 THEN 'unknown' WHEN vec_id % 13 = 0 THEN 'exp
 
 
 def _tiers(spark, d):
-    m = freshness.changes_since(memories(spark, d), commits(spark, d).filter("commit_id % 200 = 0"))
+    m = freshness.changes_since(memories(spark, d), commits(spark, d))
     known, same, n = F.col("vec_id") % 17 != 0, F.col("vec_id") % 13 != 0, F.col("commit_count")
     return m.select("point_id", "collection", freshness.tier(known, same, n).alias("tier"), freshness.reason(known, same, n).alias("reason"))
 
 
-_FEW = _COUNTS.replace("WHERE is_current", "WHERE is_current AND commit_id % 200 = 0")
-
-
-@query("N1_freshness_scan", f"SELECT point_id, {_TIER} AS tier FROM ({_FEW})")
+@query("N1_freshness_scan", f"SELECT point_id, {_TIER} AS tier FROM ({_COUNTS})")
 def scan(spark, d):
     return _tiers(spark, d).select("point_id", "tier")
 
 
-@query("N2_tier_reason", f"SELECT point_id, CASE WHEN vec_id % 17 = 0 THEN 'no ground truth' WHEN vec_id % 13 = 0 THEN 'content changed' WHEN n >= 3 THEN n || ' changes since stored' ELSE n || ' changes, below the limit' END AS reason FROM ({_FEW})")
+@query("N2_tier_reason", f"SELECT point_id, CASE WHEN vec_id % 17 = 0 THEN 'no ground truth' WHEN vec_id % 13 = 0 THEN 'content changed' WHEN n >= 3 THEN n || ' changes since stored' ELSE n || ' changes, below the limit' END AS reason FROM ({_COUNTS})")
 def reasons(spark, d):
     return _tiers(spark, d).select("point_id", "reason")
 
 
-@query("N3_status_write_back", f"SELECT tier AS freshness_status, count(*) AS points FROM (SELECT {_TIER} AS tier FROM ({_FEW})) GROUP BY 1")
+@query("N3_status_write_back", f"SELECT tier AS freshness_status, count(*) AS points FROM (SELECT {_TIER} AS tier FROM ({_COUNTS})) GROUP BY 1")
 def write_back(spark, d):
     m = memories(spark, d).select("point_id", "freshness_status")
     return versions.updated(m, _tiers(spark, d).select("point_id", F.col("tier").alias("freshness_status")), "point_id", ["freshness_status"]).groupBy("freshness_status").agg(F.count(F.lit(1)).alias("points"))
 
 
-@query("A6_tier_counts", f"SELECT collection, count(*) FILTER (WHERE t = 'fresh') AS fresh, count(*) FILTER (WHERE t = 'aging') AS aging, count(*) FILTER (WHERE t = 'stale') AS stale, count(*) FILTER (WHERE t = 'expired') AS expired, count(*) FILTER (WHERE t = 'unknown') AS unknown FROM (SELECT collection, {_TIER} AS t FROM ({_FEW})) GROUP BY 1")
+@query("A6_tier_counts", f"SELECT collection, count(*) FILTER (WHERE t = 'fresh') AS fresh, count(*) FILTER (WHERE t = 'aging') AS aging, count(*) FILTER (WHERE t = 'stale') AS stale, count(*) FILTER (WHERE t = 'expired') AS expired, count(*) FILTER (WHERE t = 'unknown') AS unknown FROM (SELECT collection, {_TIER} AS t FROM ({_COUNTS})) GROUP BY 1")
 def tier_counts(spark, d):
     return _tiers(spark, d).groupBy("collection").agg(*(F.count_if(F.col("tier") == t).alias(t) for t in ("fresh", "aging", "stale", "expired", "unknown")))
 
 
-@query("N4_freshness_report", f"SELECT '| ' || collection || ' | ' || count(*) || ' | ' || count(*) FILTER (WHERE t = 'expired') || ' |' AS line FROM (SELECT collection, {_TIER} AS t FROM ({_FEW})) GROUP BY collection")
+@query("N4_freshness_report", f"SELECT '| ' || collection || ' | ' || count(*) || ' | ' || count(*) FILTER (WHERE t = 'expired') || ' |' AS line FROM (SELECT collection, {_TIER} AS t FROM ({_COUNTS})) GROUP BY collection")
 def report(spark, d):
     t = _tiers(spark, d).groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("tier") == "expired").alias("e"))
     return t.select(F.concat(F.lit("| "), "collection", F.lit(" | "), F.col("n").cast("string"), F.lit(" | "), F.col("e").cast("string"), F.lit(" |")).alias("line"))
@@ -235,27 +211,6 @@ def deleted(spark, d):
     return s.join(t, "id", "left_anti").select("id")
 
 
-_HALVES = f"WITH s AS (SELECT group_id, sha256(content) AS h, min(point_id) AS existing_id FROM {_M} WHERE vec_id % 2 = 0 GROUP BY 1, 2), i AS (SELECT point_id, group_id, sha256(content) AS h FROM {_M} WHERE vec_id % 2 = 1)"
-
-
-@query("J5_hash_duplicates", f"{_HALVES} SELECT point_id, existing_id FROM i JOIN s USING (group_id, h)")
-def hash_duplicates(spark, d):
-    m = memories(spark, d)
-    return dedup.hash_matches(m.filter("vec_id % 2 = 1"), m.filter("vec_id % 2 = 0"))
-
-
-@query("D3_hash_duplicates_any_tenant", "WITH s AS (SELECT sha256(content) AS h, min(point_id) AS existing_id FROM {memories} WHERE vec_id % 2 = 0 GROUP BY 1) SELECT point_id, existing_id FROM {memories} m JOIN s ON sha256(m.content) = s.h WHERE vec_id % 2 = 1")
-def any_tenant(spark, d):
-    m = memories(spark, d)
-    return dedup.hash_matches(m.filter("vec_id % 2 = 1"), m.filter("vec_id % 2 = 0"), tenant=False)
-
-
-@query("D2_store_once", f"{_HALVES} SELECT min(point_id) AS point_id FROM i ANTI JOIN s USING (group_id, h) GROUP BY group_id, h")
-def store_once(spark, d):
-    m = memories(spark, d)
-    new = m.filter("vec_id % 2 = 1")
-    rest = new.join(dedup.hash_matches(new, m.filter("vec_id % 2 = 0")).select("point_id"), "point_id", "left_anti")
-    return dedup.first_of_each(rest, ["group_id", text.content_hash(F.col("content"))], ["point_id"]).select("point_id")
 
 
 @query("J6_new_templates", "SELECT DISTINCT sha256(prompt) AS hash FROM {prompts} WHERE sha256(prompt) NOT IN (SELECT sha256(prompt) FROM {prompts} WHERE doc_id % 27 < 9)")
@@ -299,40 +254,9 @@ def issue_comments(spark, d):
     return c.filter("turn = 0").select("conv_id").join(c.filter("turn > 0"), "conv_id").groupBy("conv_id").agg(F.count("turn").alias("comments"), F.max("turn").alias("last_turn"))
 
 
-
-
-@query("J11_vector_near_duplicates", f"SELECT point_id, round(max(sim), 6) AS similarity FROM (SELECT a.point_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM {_M} a JOIN {_M} b ON a.label = b.label AND a.point_id <> b.point_id) WHERE sim >= 0.5 GROUP BY 1")
-def near(spark, d):
-    m = memories(spark, d)
-    return dedup.nearest(m, m, ["label"], 0.5).select("point_id", F.round("similarity", 6).alias("similarity"))
-
-
 _REPEAT = "SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY text ORDER BY ts) <= 300000000, false) AS is_repeat FROM (SELECT conv_id, turn, left(text, 1) AS text, ts FROM {sessions})"
 
 
-@query("J12_repeated_messages", f"SELECT conv_id, turn, is_repeat FROM ({_REPEAT})")
-def repeated(spark, d):
-    s = sessions(spark, d).withColumn("text", F.substring("text", 1, 1))
-    return dedup.within_minutes(s, ["text"], "ts").select("conv_id", "turn", "is_repeat")
-
-
-@query("D5_conversation_duplicates", f"SELECT conv_id, count(*) FILTER (WHERE is_repeat) AS repeats FROM ({_REPEAT}) GROUP BY 1")
-def conversation_duplicates(spark, d):
-    return repeated(spark, d).groupBy("conv_id").agg(F.count_if("is_repeat").alias("repeats"))
-
-
-@query("D1_two_stage_dedup", f"""WITH i AS (SELECT *, sha256(content) AS h FROM (SELECT point_id, group_id, label, embedding, CASE WHEN vec_id % 20 = 1 THEN '' WHEN vec_id % 20 = 3 THEN 'short' ELSE content END AS content FROM {_M} WHERE vec_id % 2 = 1)),
-s AS (SELECT *, sha256(content) AS h FROM {_M} WHERE vec_id % 2 = 0),
-hashed AS (SELECT DISTINCT i.point_id FROM i JOIN s ON i.group_id = s.group_id AND i.h = s.h),
-near AS (SELECT i.point_id, max(list_cosine_similarity(i.embedding::DOUBLE[], s.embedding::DOUBLE[])) AS sim FROM i JOIN s ON i.label = s.label AND i.group_id = s.group_id GROUP BY 1)
-SELECT i.point_id, CASE WHEN content IN ('', 'short') THEN false ELSE hashed.point_id IS NOT NULL OR coalesce(sim >= 0.95, false) END AS is_duplicate,
- CASE WHEN content = '' THEN 'empty_content' WHEN content = 'short' THEN 'content_too_short' WHEN hashed.point_id IS NOT NULL THEN 'hash_match' WHEN sim >= 0.95 THEN 'semantic_similarity' ELSE 'unique' END AS reason FROM i LEFT JOIN hashed USING (point_id) LEFT JOIN near USING (point_id)""")
-def two_stage(spark, d):
-    m = memories(spark, d)
-    i = m.filter("vec_id % 2 = 1").withColumn("content", F.when(F.col("vec_id") % 20 == 1, "").when(F.col("vec_id") % 20 == 3, "short").otherwise(F.col("content")))
-    return dedup.checked(i, m.filter("vec_id % 2 = 0"), ["group_id", "label"]).select("point_id", "is_duplicate", "reason")
-
-
 @query("D4_cross_collection_check", f"SELECT a.point_id, a.collection, count(DISTINCT b.collection) AS others FROM {_M} a JOIN {_M} b ON a.content = b.content AND a.collection <> b.collection GROUP BY 1, 2")
 def cross(spark, d):
     m = memories(spark, d).select("point_id", "collection", text.content_hash(F.col("content")).alias("h"))
@@ -340,18 +264,6 @@ def cross(spark, d):
     return m.join(per.filter("n > 1"), "h").select("point_id", "collection", (F.col("n") - 1).alias("others"))
 
 
-@query("D6_result_dedup", f"SELECT query_id, min(point_id) AS point_id FROM (SELECT q.query_id, point_id, left(sha256(content), 16) AS h FROM {_M}, {{queries}} q) GROUP BY query_id, h")
-def result_dedup(spark, d):
-    r = memories(spark, d).select("point_id", text.short_hash(F.col("content"), 16).alias("h")).crossJoin(F.broadcast(queries_table(spark, d).select("query_id")))
-    return dedup.first_of_each(r, ["query_id", "h"], ["point_id"]).select("query_id", "point_id")
-
-
-@query("J13_baseline_comparison", "SELECT o.o_orderkey AS item, o.o_totalprice > l.total AS better FROM orders o JOIN (SELECT l_orderkey, sum(l_extendedprice) AS total FROM lineitem GROUP BY 1) l ON o.o_orderkey = l.l_orderkey")
-def baseline(spark, d):
-    t = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("total"))
-    return table(spark, d, "orders").join(t, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("item"), (F.col("o_totalprice") > F.col("total")).alias("better"))
-
-
 _ALL = classify.DECISION_PHRASES + classify.SESSION_PHRASES + classify.PRACTICE_PHRASES
 _VALUES = ", ".join("({}, '{}')".format(i, p.replace("'", "''")) for i, p in enumerate(_ALL))
 
@@ -554,11 +466,6 @@ def difference(spark, d):
     return m.filter("collection = 'code-patterns'").select("file_path").subtract(m.filter("collection = 'github'").select("file_path"))
 
 
-@query("U4_ordered_distinct", "SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: {'p': list_position(w, x), 'x': x})), lambda s: s.x), ' ') AS words FROM (SELECT doc_id, string_split(substr(text, 1, 200), ' ') AS w FROM documents)")
-def ordered_distinct(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(F.split(F.substring("text", 1, 200), " ")), " ").alias("words"))
-
-
 @query("U5_tag_overlap", f"SELECT a.point_id FROM {_M} a WHERE a.type IN ('rule', 'decision') OR a.source IN ('manual')")
 def overlap(spark, d):
     tags = F.array_compact(F.array("type", "source"))
@@ -566,9 +473,6 @@ def overlap(spark, d):
 
 
 # Packing
-@query("P3_gating", "SELECT query_id, collection, CASE WHEN best < 0.45 THEN 'hard_skip' WHEN best >= g THEN 'full' WHEN best >= g - 0.05 THEN 'soft_gate' ELSE 'soft_skip' END AS gate FROM (SELECT query_id, collection, max(score) AS best, CASE collection WHEN 'conventions' THEN 0.65 WHEN 'code-patterns' THEN 0.55 ELSE 0.6 END AS g FROM (" + _SIMS + ") GROUP BY 1, 2)")
-def gating(spark, d):
-    return _found(spark, d).groupBy("query_id", "collection").agg(F.max("score").alias("best")).select("query_id", "collection", packing.gate(F.col("best"), F.col("collection")).alias("gate"))
 
 
 _PEN = "CASE coalesce(freshness_status, 'unverified') WHEN 'fresh' THEN 1.0 WHEN 'aging' THEN 0.9 WHEN 'stale' THEN 0 WHEN 'expired' THEN 0 WHEN 'unverified' THEN 1.0 ELSE 0.8 END"
@@ -634,13 +538,6 @@ def retry_outcome(spark, d):
     return queue(spark, d).select("id", F.when(F.col("retry_count") >= F.col("max_retries") - 1, "dead_letter").otherwise("retry").alias("outcome"))
 
 
-@query("B10_queue_repair", "SELECT failure_reason, count(*) FILTER (WHERE id % 11 <> 0) AS valid, count(*) FILTER (WHERE id % 11 = 0) AS broken FROM {queue} GROUP BY 1")
-def repair(spark, d):
-    q = queue(spark, d).withColumn("raw", F.when(F.col("id") % 11 == 0, F.lit('{"id": ')).otherwise(F.to_json(F.struct("id", "retry_count"))))
-    good = F.get_json_object("raw", "$.retry_count").isNotNull()
-    return q.groupBy("failure_reason").agg(F.count_if(good).alias("valid"), F.count_if(~good).alias("broken"))
-
-
 @query("E1_observation_scores", "SELECT event_id, md5(event_id || ':' || user_id || ':relevance:2024-01-01') AS score_id, CASE WHEN value > 50 THEN 'good' WHEN value > 10 THEN 'fair' ELSE 'poor' END AS category FROM events WHERE event_type = 'view' AND ('0x' || substr(md5(event_id::VARCHAR), 1, 6))::BIGINT % 100 < 20")
 def observations(spark, d):
     h = F.conv(F.substring(F.md5(F.encode(F.col("event_id").cast("string"), "UTF-8")), 1, 6), 16, 10).cast("long")
@@ -648,11 +545,6 @@ def observations(spark, d):
     return e.select("event_id", text.score_id(F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.lit("relevance"), F.lit("2024-01-01")).alias("score_id"), F.when(F.col("value") > 50, "good").when(F.col("value") > 10, "fair").otherwise("poor").alias("category"))
 
 
-@query("E3_alert_thresholds", "SELECT event_type, round(avg(value), 6) AS score, avg(value) < 30 AS alert FROM events GROUP BY 1")
-def alerts(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("s")).select("event_type", F.round("s", 6).alias("score"), (F.col("s") < 30).alias("alert"))
-
-
 @query("T11_look_back_window", "SELECT event_type, count(*) AS n FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-20' AND TIMESTAMP '2024-01-25' GROUP BY 1")
 def look_back(spark, d):
     at = lambda s: F.lit(s).cast("timestamp_ntz")
@@ -675,25 +567,10 @@ def error_detection(spark, d):
     return prompts(spark, d).select("doc_id", ((F.col("doc_id") % 4 == 1) | F.rlike("prompt", F.lit("\\w+Error:|Error:|Traceback|FAILED:"))).alias("is_error"))
 
 
-@query("H6_error_fixes", """WITH e AS (SELECT event_id, user_id, value FROM events WHERE event_type = 'error'), f AS (SELECT user_id, event_id AS fix, value FROM events WHERE event_type = 'purchase' AND value > 20)
-SELECT e.event_id, count(f.fix) AS fixes, round(max(f.value), 6) AS best FROM e LEFT JOIN f USING (user_id) GROUP BY 1""")
-def error_fixes(spark, d):
-    e = table(spark, d, "events")
-    f = e.filter("event_type = 'purchase' AND value > 20").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("v"))
-    return e.filter("event_type = 'error'").join(f, "user_id", "left").select("event_id", F.coalesce("n", F.lit(0)).alias("fixes"), F.round("v", 6).alias("best"))
-
-
 _FAMILIES = {"pytest": "test", "npm test": "test", "cargo build": "build", "make": "build", "tsc": "typecheck", "ruff": "lint"}
 _COMMANDS = ["pytest -q", "npm test --all", "cargo build", "make all", "tsc .", "ls -la", "ruff check ."]
 
 
-@query("H7_command_family", f"SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'test' WHEN 1 THEN 'test' WHEN 2 THEN 'build' WHEN 3 THEN 'build' WHEN 4 THEN 'typecheck' WHEN 6 THEN 'lint' ELSE 'other' END AS family FROM documents")
-def family(spark, d):
-    c = tables.pick(_COMMANDS, F.col("doc_id"))
-    found = F.coalesce(*(F.when(F.startswith(c, F.lit(k)), F.lit(v)) for k, v in _FAMILIES.items()), F.lit("other"))
-    return table(spark, d, "documents").select("doc_id", found.alias("family"))
-
-
 @query("H8_query_construction", "SELECT doc_id, concat_ws(' ', lang, 'errors failures', array_to_string(string_split(source, 'c')[1:3], ' '), 'common issues') AS q FROM documents")
 def construction(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "lang", F.lit("errors failures"), F.array_join(F.slice(F.split("source", "c"), 1, 3), " "), F.lit("common issues")).alias("q"))

@@ -22,7 +22,6 @@ _SIM = "list_cosine_similarity(m.embedding::DOUBLE[], q.query::DOUBLE[])"
 _HALF = "CASE type WHEN 'github_pr' THEN 30 WHEN 'jira_issue' THEN 30 WHEN 'guideline' THEN 60 WHEN 'rule' THEN 60 ELSE CASE collection WHEN 'code-patterns' THEN 14 WHEN 'discussions' THEN 21 WHEN 'conventions' THEN 60 WHEN 'jira-data' THEN 30 WHEN 'github' THEN 14 ELSE 21 END END"
 _AGE = f"greatest((epoch_us(TIMESTAMP '{NOW}') - epoch_us(stored_at)) / 86400e6, 0)"
 _TIME = f"CASE WHEN access_count >= 3 THEN 1.0 ELSE pow(0.5, {_AGE} / ({_HALF})) END"
-_TEXTS = ["memory about label 3", "label 7 memory 12", "about 5"]
 
 
 def _ranked(inner: str, score: str, k: int, columns: str = "query_id, point_id", by: str = "query_id") -> str:
@@ -56,11 +55,12 @@ def half_life(spark, d):
     return memories(spark, d).select("point_id", vector.half_life(F.col("type"), F.col("collection")).alias("half_life"))
 
 
-def _lexical_queries(spark):
-    return spark.createDataFrame(list(enumerate(_TEXTS)), "query_id long, text string")
+def _asked(spark, d):
+    """Query texts: the content of every hundredth row."""
+    return memories(spark, d).filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("content").alias("text"), F.col("embedding").alias("query"))
 
 
-_ASKED = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_TEXTS)) + ") v(query_id, text)"
+_ASKED = "SELECT vec_id AS query_id, content AS text FROM {memories} WHERE vec_id % 100 = 0"
 _BM25 = f"""
 WITH docs AS (SELECT point_id, term, count(*) AS tf FROM (SELECT point_id, unnest(list_filter(regexp_split_to_array(lower(content), '\\W+'), lambda x: x <> '')) AS term FROM {{memories}}) GROUP BY ALL),
 sizes AS (SELECT point_id, sum(tf) AS dl FROM docs GROUP BY 1), whole AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sizes), df AS (SELECT term, count(*) AS df FROM docs GROUP BY 1),
@@ -71,27 +71,21 @@ FROM docs JOIN asked USING (term) JOIN df USING (term) JOIN sizes USING (point_i
 
 @query("V7_bm25", f"SELECT query_id, point_id, round(score, 6) AS score FROM ({_BM25})")
 def bm25(spark, d):
-    return search.bm25(memories(spark, d), _lexical_queries(spark)).select("query_id", "point_id", F.round("score", 6).alias("score"))
+    return search.bm25(memories(spark, d), _asked(spark, d)).select("query_id", "point_id", F.round("score", 6).alias("score"))
 
 
 _LEG = "SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY round({s}, 9) DESC, point_id) AS rank FROM ({t})"
-_HYBRID_Q = "(SELECT row_number() OVER (ORDER BY vec_id) - 1 AS query_id, embedding AS query FROM embeddings WHERE vec_id IN (0, 100, 200)) q"
-_DENSE3 = f"SELECT query_id, point_id, {_SIM} AS similarity FROM {{memories}} m, {_HYBRID_Q}"
-_RRF = f"SELECT query_id, point_id, sum(1.0 / (60 + rank)) AS fused FROM (SELECT * FROM ({_LEG.format(s='similarity', t=_DENSE3)}) WHERE rank <= 50 UNION ALL SELECT * FROM ({_LEG.format(s='score', t=_BM25)}) WHERE rank <= 50) GROUP BY ALL".replace("{{", "{").replace("}}", "}")
-
-
-def _hybrid_queries(spark, d):
-    ids = spark.createDataFrame([(0, 0, _TEXTS[0]), (100, 1, _TEXTS[1]), (200, 2, _TEXTS[2])], "vec_id long, query_id long, text string")
-    return table(spark, d, "embeddings").join(F.broadcast(ids), "vec_id").select("query_id", F.col("embedding").alias("query"), "text")
+_DENSE = f"SELECT query_id, point_id, {_SIM} AS similarity FROM {{memories}} m, {{queries}} q"
+_RRF = f"SELECT query_id, point_id, sum(1.0 / (60 + rank)) AS fused FROM (SELECT * FROM ({_LEG.format(s='similarity', t=_DENSE)}) WHERE rank <= 50 UNION ALL SELECT * FROM ({_LEG.format(s='score', t=_BM25)}) WHERE rank <= 50) GROUP BY ALL".replace("{{", "{").replace("}}", "}")
 
 
 def _legs(spark, d):
-    m, q = memories(spark, d), _hybrid_queries(spark, d)
+    m, q = memories(spark, d), _asked(spark, d)
     first = search.top(search.scored(m, q.select("query_id", "query")).withColumn("similarity", F.round("similarity", 9)), 50, "similarity")
     return first, search.top(search.bm25(m, q.select("query_id", "text")).withColumn("score", F.round("score", 9)), 50)
 
 
-@query("V5_hybrid_prefetch", f"SELECT 'dense' AS leg, * FROM ({_LEG.format(s='similarity', t=_DENSE3)}) WHERE rank <= 50 UNION ALL SELECT 'sparse', * FROM ({_LEG.format(s='score', t=_BM25)}) WHERE rank <= 50")
+@query("V5_hybrid_prefetch", f"SELECT 'dense' AS leg, * FROM ({_LEG.format(s='similarity', t=_DENSE)}) WHERE rank <= 50 UNION ALL SELECT 'sparse', * FROM ({_LEG.format(s='score', t=_BM25)}) WHERE rank <= 50")
 def prefetch(spark, d):
     a, b = _legs(spark, d)
     pick = lambda x, leg: x.select(F.lit(leg).alias("leg"), "query_id", "point_id", F.col("rank").cast("long").alias("rank"))
@@ -104,11 +98,11 @@ def fusion(spark, d):
 
 
 @query("V8_max_sim", """WITH t AS (SELECT conv AS id, list(v ORDER BY vec_id) AS m FROM (SELECT vec_id, vec_id // 4 AS conv, embedding::DOUBLE[] AS v FROM embeddings) GROUP BY conv),
-p AS (SELECT q.id AS query_id, d.id AS doc_id, q.m AS a, d.m AS b FROM t q, t d WHERE q.id < 5)
+p AS (SELECT q.id AS query_id, d.id AS doc_id, q.m AS a, d.m AS b FROM t q, t d WHERE q.id % 100 = 0)
 SELECT query_id, doc_id, round(list_sum(list_transform(a, lambda x: list_max(list_transform(b, lambda y: list_dot_product(x, y))))), 6) AS score FROM p""")
 def max_sim(spark, d):
     t = table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 4).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("m"))
-    q = t.filter("id < 5").select(F.col("id").alias("query_id"), F.col("m").alias("a"))
+    q = t.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("m").alias("a"))
     return t.crossJoin(F.broadcast(q)).select("query_id", F.col("id").alias("doc_id"), F.round(vector.max_sim(F.col("a"), F.col("m")), 6).alias("score"))
 
 
@@ -158,24 +152,11 @@ def routed(spark, d):
     return _out(legs[0].unionByName(legs[1]).unionByName(legs[2]))
 
 
-@query("V17_semantic_duplicates", f"SELECT query_id, collection, point_id, round(similarity, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY similarity DESC, point_id) AS r FROM ({_PAIRS}) WHERE similarity >= 0.85) WHERE r <= 5")
-def semantic_duplicates(spark, d):
-    w = Window.partitionBy("query_id", "collection").orderBy(F.col("similarity").desc(), "point_id")
-    return search.scored(memories(spark, d), queries_table(spark, d), 0.85).withColumn("r", F.row_number().over(w)).filter("r <= 5").select("query_id", "collection", "point_id", F.round("similarity", 6).alias("score"))
-
-
 @query("V19_confidence", f"SELECT query_id, round(0.7 * avg(similarity) + 0.3 * least(count(*) / 3.0, 1), 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, point_id) AS r FROM ({_PAIRS}) WHERE similarity >= 0) WHERE r <= 5 GROUP BY 1")
 def confidence(spark, d):
     return search.confidence(search.dense(memories(spark, d), queries_table(spark, d), 5)).select("query_id", F.round("confidence", 6).alias("confidence"))
 
 
-@query("V18_subagent_answer", f"SELECT query_id, string_agg(content, chr(10) ORDER BY r) AS answer, count(*) AS sources FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, point_id) AS r FROM ({_PAIRS}) WHERE similarity >= 0 AND collection = 'discussions') WHERE r <= 3 GROUP BY 1")
-def subagent(spark, d):
-    found = search.dense(memories(spark, d), queries_table(spark, d), 3, search.Filters("discussions"))
-    parts = F.array_sort(F.collect_list(F.struct("rank", "content")))
-    return found.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda x: x["content"]), "\n").alias("answer"), F.count(F.lit(1)).alias("sources"))
-
-
 @query("V20_access_increment", f"""WITH hit AS (SELECT point_id, count(DISTINCT query_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, point_id) AS r FROM ({_PAIRS}) WHERE similarity >= 0) WHERE r <= 10 GROUP BY 1)
 SELECT point_id, access_count + coalesce(n, 0) AS access_count, access_count < 3 AND access_count + coalesce(n, 0) >= 3 AS newly_protected FROM {{memories}} LEFT JOIN hit USING (point_id)""")
 def access(spark, d):

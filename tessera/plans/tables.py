@@ -50,7 +50,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         v, F.concat(F.lit("p"), F.lpad(v.cast("string"), 6, "0")).alias("point_id"), pick(COLLECTIONS, v).alias("collection"), F.concat(F.lit("g"), (v % 7).cast("string")).alias("group_id"),
         pick(TYPES, F.floor(v / 5)).alias("type"), F.concat(F.lit("memory "), (v % 97).cast("string"), F.lit(" about label "), F.col("label").cast("string")).alias("content"),
-        F.timestamp_seconds(F.lit(1704067200) + v % 1440 * 3600).alias("stored_at"), (F.floor(v / 3) % 5).cast("int").alias("access_count"), pick(FRESHNESS, F.floor(v / 5)).alias("freshness_status"),
+        F.timestamp_seconds(F.lit(1704067200) + v * 7 % 1440 * 3600).alias("stored_at"), (F.floor(v / 3) % 5).cast("int").alias("access_count"), pick(FRESHNESS, F.floor(v / 5)).alias("freshness_status"),
         (v % 4 != 0).alias("is_current"), F.concat(F.lit("a"), (v % 3).cast("string")).alias("agent_id"), pick(SOURCES, F.floor(v / 2)).alias("source"),
         F.concat(F.lit("src/m"), (v % 11).cast("string"), pick(EXTENSIONS, v)).alias("file_path"), F.concat(F.lit("s"), (v % 9).cast("string")).alias("session_id"), F.col("label"), F.col("embedding"),
     )
@@ -69,9 +69,9 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exposed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with sensitive parts."""
+    """Whole texts, with sensitive parts after them."""
     d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(d, F.concat_ws(" ", F.regexp_replace(F.substring("text", 1, 40), "[0-9@+]", "x"), pick(SECRETS, d), pick(SECRETS, F.floor(d / 3))).alias("content"), pick(["user_session", "github_issue", "jira"], d).alias("source_type"))
+    return table(spark, sf_dir, "documents").select(d, F.concat_ws(" ", "text", pick(SECRETS, d), pick(SECRETS, F.floor(d / 3))).alias("content"), pick(["user_session", "github_issue", "jira"], d).alias("source_type"))
 
 
 def queries_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,11 +102,11 @@ def _at(seconds: str) -> str:
 
 SQL = {
     "memories": f"""SELECT vec_id, 'p' || lpad(vec_id::VARCHAR, 6, '0') AS point_id, {pick_sql(COLLECTIONS, 'vec_id')} AS collection, 'g' || (vec_id % 7) AS group_id, {pick_sql(TYPES, 'vec_id // 5')} AS type,
-      'memory ' || (vec_id % 97) || ' about label ' || label AS content, {_at('1704067200 + vec_id % 1440 * 3600')} AS stored_at, ((vec_id // 3) % 5)::INT AS access_count, {pick_sql(FRESHNESS, 'vec_id // 5')} AS freshness_status,
+      'memory ' || (vec_id % 97) || ' about label ' || label AS content, {_at('1704067200 + vec_id * 7 % 1440 * 3600')} AS stored_at, ((vec_id // 3) % 5)::INT AS access_count, {pick_sql(FRESHNESS, 'vec_id // 5')} AS freshness_status,
       vec_id % 4 <> 0 AS is_current, 'a' || (vec_id % 3) AS agent_id, {pick_sql(SOURCES, 'vec_id // 2')} AS source, 'src/m' || (vec_id % 11) || {pick_sql(EXTENSIONS, 'vec_id')} AS file_path, 's' || (vec_id % 9) AS session_id, label, embedding FROM embeddings""",
     "prompts": f"SELECT doc_id, {pick_sql(PROMPTS, 'doc_id')} AS prompt, text FROM documents",
     "code": f"SELECT doc_id, {pick_sql(['src/auth/a', 'node_modules/b', 'tests/c', 'lib/Dockerfile', 'docs/d', 'src/api/e'], 'doc_id // 7')} || (doc_id % 13) || {pick_sql(['.py', '.ts', '.md', '', '.js', '.PY', '.png'], 'doc_id')} AS file_path, {pick_sql(CODE, 'doc_id')} AS content, n_chars AS size FROM documents",
-    "exposed": f"SELECT doc_id, regexp_replace(substr(text, 1, 40), '[0-9@+]', 'x', 'g') || ' ' || {pick_sql(SECRETS, 'doc_id')} || ' ' || {pick_sql(SECRETS, 'doc_id // 3')} AS content, {pick_sql(['user_session', 'github_issue', 'jira'], 'doc_id')} AS source_type FROM documents",
+    "exposed": f"SELECT doc_id, text || ' ' || {pick_sql(SECRETS, 'doc_id')} || ' ' || {pick_sql(SECRETS, 'doc_id // 3')} AS content, {pick_sql(['user_session', 'github_issue', 'jira'], 'doc_id')} AS source_type FROM documents",
     "queries": "SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 100 = 0",
     "sessions": f"SELECT conv_id, turn, role, text, {_at('1704067200 + conv_id * 600 + turn * 97')} AS ts FROM conversations",
     "commits": f"SELECT o_orderkey AS commit_id, {_at('1704067200 + o_orderkey % 2000 * 1800')} AS committed_at, ['src/m' || (o_orderkey % 11) || {pick_sql(EXTENSIONS, 'o_orderkey')}, 'src/m' || (o_orderkey % 5) || '.py'] AS files_changed, o_orderkey % 10 <> 0 AS is_current FROM orders",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions import classify, scan, text
+from tessera.functions import chunking, classify, scan, text, validation
 from tessera.plans import tables
 from tessera.plans.registry import query
 from tessera.plans.tables import code, exposed, memories, prompts, table
@@ -25,7 +26,7 @@ def _re(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def simple(name: str, source, key: str, sql: str, **columns: Callable[[], Column]) -> None:
+def simple(name: str, source, key: str, sql: str | None, **columns: Callable[[], Column]) -> None:
     """A query of one projection. Its columns are built when it is asked for, as they need a session."""
     query(name, sql)(lambda spark, d: source(spark, d).select(key, *(c().alias(n) for n, c in columns.items())))
 
@@ -143,18 +144,23 @@ simple("K30_infer_story", _notes, "doc_id", rf"SELECT doc_id, coalesce(nullif(re
 simple("K31_type_collection", memories, "point_id", "SELECT point_id, CASE WHEN type IN ('guideline', 'rule', 'naming', 'port', 'structure', 'best_practice') THEN 'conventions' WHEN type IN ('decision', 'session', 'blocker', 'preference', 'context', 'session_summary', 'chat_memory', 'agent_decision', 'user_message', 'agent_response') THEN 'discussions' ELSE 'code-patterns' END AS target FROM {memories}", target=lambda: classify.collection_of(F.col("type")))
 simple("K33_authority", memories, "point_id", "SELECT point_id, (CASE WHEN source = 'manual' THEN 1.0 WHEN source = 'github' THEN 0.6 ELSE 0.4 END)::DOUBLE AS authority FROM {memories}", authority=lambda: F.when(F.col("source") == "manual", 1.0).when(F.col("source") == "github", 0.6).otherwise(0.4))
 simple("K34_agent_budget", memories, "point_id", "SELECT point_id, CASE agent_id WHEN 'a0' THEN 1500 WHEN 'a1' THEN 800 ELSE 1000 END AS budget FROM {memories}", budget=lambda: classify.mapped({"a0": 1500, "a1": 800}, F.col("agent_id"), F.lit(classify.AGENT_BUDGETS_OTHER)))
-_JSON = ['{"type": "rule", "confidence": 0.9}', 'Here: ```json\n{"type": "port", "confidence": 0.8}\n``` done', 'so {"type": "decision", "confidence": 1} it is', "no json", '{"type": ']
+_JSON = [("", ""), ("Here: ```json\n", "\n``` done"), ("so ", " it is"), ("```", "\n```"), ("no json ", ""), ("", ", ")]
+_ANSWER_SQL = "(SELECT doc_id, " + tables.pick_sql([a for a, _ in _JSON], "doc_id") + " || CASE WHEN doc_id % 6 = 4 THEN '' ELSE '{\"type\": \"' || source || '\", \"confidence\": ' || (doc_id % 97) || ', \"reason\": \"' || lang || '\"}' END || " + tables.pick_sql([b for _, b in _JSON], "doc_id") + " AS raw FROM documents)"
 _fence = lambda: F.regexp_extract(F.col("raw"), "(?s)```(?:json)?\\s*(\\{.*?\\})\\s*```", 1)
 _brace = lambda: F.regexp_extract(F.col("raw"), "(?s)(\\{.*\\})", 1)
 
 
 def _answers(spark, d):
-    return _docs(spark, d).select("doc_id", tables.pick(_JSON, F.col("doc_id")).alias("raw"))
+    """Answers of a model, in all the shapes that they come in."""
+    k = F.col("doc_id")
+    body = F.when(k % 6 == 4, "").otherwise(F.concat(F.lit('{"type": "'), "source", F.lit('", "confidence": '), (k % 97).cast("string"), F.lit(', "reason": "'), "lang", F.lit('"}')))
+    return _docs(spark, d).select(k, F.concat(tables.pick([a for a, _ in _JSON], k), body, tables.pick([b for _, b in _JSON], k)).alias("raw"))
 
 
-_best = lambda: F.coalesce(F.get_json_object("raw", "$.type"), F.get_json_object(F.nullif(_fence(), F.lit("")), "$.type"), F.get_json_object(F.nullif(_brace(), F.lit("")), "$.type"))
-simple("K17_parse_model_answer", _answers, "doc_id", f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'rule' WHEN 1 THEN 'port' WHEN 2 THEN 'decision' END AS kind FROM documents", kind=lambda: _best())
-simple("K35_parse_judgement", _answers, "doc_id", "SELECT doc_id, (CASE doc_id % 5 WHEN 0 THEN 0.9 WHEN 1 THEN 0.8 WHEN 2 THEN 1 END)::DOUBLE AS score FROM documents", score=lambda: F.coalesce(F.get_json_object("raw", "$.confidence"), F.get_json_object(F.nullif(_fence(), F.lit("")), "$.confidence"), F.get_json_object(F.nullif(_brace(), F.lit("")), "$.confidence")).cast("double"))
+_told = lambda path: F.coalesce(F.get_json_object("raw", path), F.get_json_object(F.nullif(_fence(), F.lit("")), path), F.get_json_object(F.nullif(_brace(), F.lit("")), path))
+_TOLD_SQL = "coalesce(CASE WHEN json_valid(raw) THEN raw END, CASE WHEN json_valid(nullif(regexp_extract(raw, '(?s)```(?:json)?\\s*(\\{.*?\\})\\s*```', 1), '')) THEN regexp_extract(raw, '(?s)```(?:json)?\\s*(\\{.*?\\})\\s*```', 1) END, CASE WHEN json_valid(nullif(regexp_extract(raw, '(?s)(\\{.*\\})', 1), '')) THEN regexp_extract(raw, '(?s)(\\{.*\\})', 1) END)"
+simple("K17_parse_model_answer", _answers, "doc_id", f"SELECT doc_id, json_extract_string({_TOLD_SQL}, '$.type') AS kind FROM {_ANSWER_SQL}", kind=lambda: _told("$.type"))
+simple("K35_parse_judgement", _answers, "doc_id", f"SELECT doc_id, json_extract_string({_TOLD_SQL}, '$.confidence')::DOUBLE AS score FROM {_ANSWER_SQL}", score=lambda: _told("$.confidence").cast("double"))
 simple("K18_prompt_build", _docs, "doc_id", "SELECT doc_id, 'Classify into one of: rule, port, decision.' || chr(10) || left(text, 4000) AS prompt FROM documents", prompt=lambda: F.concat(F.lit("Classify into one of: rule, port, decision.\n"), F.substring("text", 1, 4000)))
 _IMPL = {"python": ["import ", "from "], "javascript": ["import ", "require(", "const "]}
 _first50 = lambda: F.filter(F.transform(F.slice(F.split(_C(), "\n"), 1, 50), text.strip), lambda x: (F.startswith(x, F.lit("import ")) | F.startswith(x, F.lit("from "))) & (F.size(F.split(x, "\\s+")) >= 2))
@@ -164,7 +170,7 @@ simple("K26_import_modules", code, "doc_id", r"SELECT doc_id, array_to_string(li
 _SIGCODE = r"regexp_matches(content, '\bdef\s+\w+\s*\(|\bfunction\s+\w+\s*\(|\bfunc\s+\w+\s*\(|\bfn\s+\w+\s*\(') OR regexp_matches(content, '(?m)^\s*\w+\s*:\s*function\s*\(') OR regexp_matches(content, '\b(?:class|interface|struct|trait|enum)\s+\w+') OR regexp_matches(content, '(?m)^\s*@\w+') OR regexp_matches(content, '(?m)(?:^\s*(?:import|from) [^\n]*\n){2}^\s*(?:import|from) ')"
 simple("F17_significant_code", code, "doc_id", f"SELECT doc_id, {_SIGCODE} AS significant FROM {{code}}", significant=lambda: classify.is_significant_code(_C()))
 simple("F16_should_store", code, "doc_id", f"SELECT doc_id, {_EXT} NOT IN ({', '.join(map(_re, classify.SKIPPED_EXTENSIONS))}) AND NOT {_sql_any('file_path', classify.SKIPPED_PATHS)} AND ({_SIGCODE}) AS store FROM {{code}}", store=lambda: classify.should_store(_F(), _C()))
-simple("W3_import_run", code, "doc_id", "SELECT doc_id, (CASE doc_id % 12 WHEN 0 THEN 3 WHEN 4 THEN 1 WHEN 5 THEN 1 WHEN 6 THEN 1 ELSE 0 END)::INT AS run FROM documents", run=lambda: classify.import_run(_C()))
+simple("W3_import_run", code, "doc_id", r"SELECT doc_id, coalesce(max(n), 0)::INT AS run FROM (SELECT doc_id, count(*) FILTER (WHERE m) AS n FROM (SELECT doc_id, i, m, i - sum(m::INT) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM (SELECT doc_id, i, regexp_matches(l[i], '^\s*(import|from) ') AS m FROM (SELECT doc_id, string_split(content, chr(10)) AS l, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM {code}))) GROUP BY doc_id, island) GROUP BY 1", run=lambda: classify.import_run(_C()))
 simple("F18_sync_eligibility", code, "doc_id", f"SELECT doc_id, {_EXT} NOT IN ({', '.join(map(_re, classify.BINARY_EXTENSIONS))}) AND size <= 4000 AND (lower(split_part(file_path, '/', -1)) = 'dockerfile' OR {_EXT} IN ({', '.join(map(_re, classify.SYNC_LANGUAGES))})) AND NOT ends_with(file_path, '3.js') AND NOT list_contains(string_split(file_path, '/'), 'node_modules') AS eligible FROM {{code}}", eligible=lambda: classify.should_sync(_F(), F.col("size"), 4000, ["*3.js", "node_modules"]))
 _MENU = ["──── menu", "[MH] main", "plain line", "│ box ...", "text [CR] tag", "ends ..."]
 
@@ -175,25 +181,40 @@ def _menus(spark, d):
 
 
 simple("F19_low_value_lines", _menus, "doc_id", f"SELECT doc_id, array_to_string(list_filter([{tables.pick_sql(_MENU, 'doc_id')}, {tables.pick_sql(_MENU, 'doc_id // 2')}, {tables.pick_sql(_MENU, 'doc_id // 5')}], lambda x: x IN ('plain line', 'ends ...')), chr(10)) AS kept FROM documents", kept=lambda: classify.without_low_value_lines(_C()))
-simple("F20_empty_sessions", prompts, "doc_id", "SELECT doc_id, contains(prompt, 'hello') AND contains(prompt, 'there') AND ends_with(rtrim(prompt), 'friend') AS empty FROM {prompts}", empty=lambda: F.contains(_P(), F.lit("hello")) & F.contains(_P(), F.lit("there")) & F.endswith(F.rtrim(_P()), F.lit("friend")))
+_SUMMARY = ["Tools Used: None\nFiles Modified (0)\nUser Interactions: 0 prompts\nKey Activities:\n  ", "Tools Used: None\nFiles Modified (0)\nUser Interactions: 0 prompts\nKey Activities: x", "Tools Used: None\nFiles Modified (0)\nUser Interactions: 0 prompts", "Tools Used: Bash\nFiles Modified (2)\nUser Interactions: 0 prompts\nKey Activities:"]
+_summaries = lambda: F.concat(F.col("text"), F.lit("\n"), tables.pick(_SUMMARY, F.col("doc_id")), F.when(F.col("doc_id") % 11 == 0, F.col("text")).otherwise(""))
+_SUM_SQL = f"text || chr(10) || {tables.pick_sql(_SUMMARY, 'doc_id')} || CASE WHEN doc_id % 11 = 0 THEN text ELSE '' END"
+simple("F20_empty_sessions", _docs, "doc_id", f"SELECT doc_id, contains(c, 'Tools Used: None') AND contains(c, 'Files Modified (0)') AND contains(c, 'User Interactions: 0 prompts') AND contains(c, 'Key Activities:') AND regexp_full_match(string_split(c, 'Key Activities:')[-1], '\\s*') AS empty FROM (SELECT doc_id, {_SUM_SQL} AS c FROM documents)", empty=lambda: validation.is_empty_session(_summaries()))
 simple("F21_false_errors", prompts, "doc_id", r"SELECT doc_id, regexp_matches(prompt, '(?i)error|failed') AND NOT regexp_matches(prompt, '\w+Error:|Traceback') AS false_positive FROM {prompts}", false_positive=lambda: F.rlike(_P(), F.lit("(?i)error|failed")) & ~F.rlike(_P(), F.lit("\\w+Error:|Traceback")))
 
-_MAIL, _AWS, _SSN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "AKIA[0-9A-Z]{16}", r"\b\d{3}-\d{2}-\d{4}\b"
-_found = lambda: scan.findings(_C())
-_count = lambda kind: F.size(F.filter(_found(), lambda x: x["kind"] == kind))
-_two = lambda a: f"((doc_id % 10 IN ({a}))::INT + ((doc_id // 3) % 10 IN ({a}))::INT)"
-simple("X1_regex_scan", exposed, "doc_id", f"SELECT doc_id, {_two('1')} AS emails, {_two('4')} AS ssns, {_two('5')} AS ips, {_two('6')} AS cards, {_two('7')} AS urls FROM documents", emails=lambda: _count("pii_email"), ssns=lambda: _count("pii_ssn"), ips=lambda: _count("pii_ip"), cards=lambda: _count("pii_cc"), urls=lambda: _count("pii_internal_url"))
-simple("X3_secret_scan", exposed, "doc_id", r"SELECT doc_id, regexp_matches(content, 'AKIA[0-9A-Z]{16}|xox[bpors]-[A-Za-z0-9-]{10,}|ghp_[A-Za-z0-9_]{36}|sk_live_[A-Za-z0-9]{24,}') AS secret FROM {exposed}", secret=lambda: scan.has_secret(_C()))
-_CARD = ["4111 1111 1111 1111", "4111 1111 1111 1112", "5500-0000-0000-0004", "1234", "0000"]
-simple("X4_luhn", _docs, "doc_id", "SELECT doc_id, doc_id % 5 IN (0, 2, 4) AS ok FROM documents", ok=lambda: scan.is_luhn(tables.pick(_CARD, F.col("doc_id"))))
-simple("X5_entropy", _docs, "doc_id", "SELECT doc_id, round(coalesce(-sum(n / t * log2(n / t)), 0), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM (SELECT doc_id, c, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(string_split(substr(text, 1, 60), '')) AS c FROM documents) GROUP BY ALL)) GROUP BY 1", entropy=lambda: F.round(scan.entropy(F.substring("text", 1, 60)), 6))
-_mask_sql = "content"
-for _a, _b in ((r"\bbob\.smith@example\.com\b", "[EMAIL_REDACTED]"), ("415-555-2671", "[PHONE_REDACTED]"), ("xoxb-1234567890abc", "xoxb-[PHONE_REDACTED]abc"), ("123-45-6789", "[SSN_REDACTED]"), (r"8\.8\.8\.8", "[IP_REDACTED]"), ("4111 1111 1111 1111", "[CC_REDACTED]"), (r"https://wiki\.corp\.example/x/y", "[INTERNAL_URL_REDACTED]")):
-    _mask_sql = f"regexp_replace({_mask_sql}, '{_a}', '{_b}', 'g')"
-_blocked = "regexp_matches(content, 'AKIA[0-9A-Z]{16}|xox[bpors]-[A-Za-z0-9-]{10,}')"
-simple("X8_masked", exposed, "doc_id", f"SELECT doc_id, {_mask_sql} AS masked FROM {{exposed}}", masked=lambda: scan.masked(_C(), scan.resolved(scan.findings(_C(), secrets=False))))
+_count = lambda kind: F.size(F.filter(scan.findings(_C()), lambda x: x["kind"] == kind))
+_hits = lambda kind: "len(regexp_extract_all(content, {}))".format(_re(next(p for k, p, _, _ in scan.PERSONAL if k == kind)))
+_SECRET = "regexp_matches(content, {})".format(_re("|".join(p for _, p, _, _ in scan.SECRETS)))
+simple("X1_regex_scan", exposed, "doc_id", f"SELECT doc_id, {_hits('pii_email')}::INT AS emails, {_hits('pii_ssn')}::INT AS ssns, {_hits('pii_internal_url')}::INT AS urls FROM {{exposed}}", emails=lambda: _count("pii_email"), ssns=lambda: _count("pii_ssn"), urls=lambda: _count("pii_internal_url"))
+simple("X1_numbers_and_handles", exposed, "doc_id", None, phones=lambda: _count("pii_phone"), ips=lambda: _count("pii_ip"), cards=lambda: _count("pii_cc"), handles=lambda: _count("pii_handle"))
+simple("X3_secret_scan", exposed, "doc_id", f"SELECT doc_id, {_SECRET} AS secret FROM {{exposed}}", secret=lambda: scan.has_secret(_C()))
+_card = lambda: F.concat(F.lit("4111-"), F.lpad((F.col("doc_id") * 7919 % 100_000_000).cast("string"), 8, "0"), F.lit(" "), F.lpad((F.col("doc_id") % 10_000).cast("string"), 4, "0"))
+_digits = "list_reverse(string_split('4111' || lpad((doc_id * 7919 % 100000000)::VARCHAR, 8, '0') || lpad((doc_id % 10000)::VARCHAR, 4, '0'), ''))"
+simple("X4_luhn", _docs, "doc_id", f"SELECT doc_id, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN d[i]::INT WHEN d[i]::INT > 4 THEN d[i]::INT * 2 - 9 ELSE d[i]::INT * 2 END)) % 10 = 0 AS ok FROM (SELECT doc_id, {_digits} AS d FROM documents)", ok=lambda: scan.is_luhn(_card()))
+simple("X5_entropy", _docs, "doc_id", "SELECT doc_id, round(coalesce(-sum(n / t * log2(n / t)), 0), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM (SELECT doc_id, c, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) GROUP BY ALL)) GROUP BY 1", entropy=lambda: F.round(scan.entropy(_T()), 6))
+_PERSON = r"\b(?:Mr|Mrs|Ms|Dr)\. ((?:[A-Z][a-z]+)(?: [A-Z][a-z]+)?)"
+
+
+def name_tagger(segments: list[str]) -> list[list[tuple[int, int]]]:
+    """A stand-in for a model of names: what follows a title."""
+    return [[m.span(1) for m in re.finditer(_PERSON, s)] for s in segments]
+
+
+def _named(spark, d):
+    who = tables.pick(["Dr. Ada Byron called", "no one here", "ask Mr. Smith and Mrs. Jane Roe"], F.col("doc_id"))
+    return _docs(spark, d).select("doc_id", F.concat_ws(" ", "text", who).alias("content"))
+
+
+simple("X6_person_entities", _named, "doc_id", f"SELECT doc_id, array_to_string(regexp_extract_all(text || ' ' || {tables.pick_sql(['Dr. Ada Byron called', 'no one here', 'ask Mr. Smith and Mrs. Jane Roe'], 'doc_id')}, {_re(_PERSON)}, 1), ',') AS names FROM documents",
+       names=lambda: F.array_join(chunking.column(lambda t: [f[3] for f in scan.persons(t, name_tagger)], "array<string>", _C()), ","))
+simple("X8_masked", exposed, "doc_id", None, masked=lambda: scan.masked(_C()))
 _mode = lambda: F.when(F.col("source_type") == "jira", "off").otherwise("relaxed")
-simple("X9_scan_by_mode", exposed, "doc_id", f"SELECT doc_id, CASE WHEN source_type = 'jira' THEN 'passed' WHEN {_blocked} THEN 'blocked' WHEN {_mask_sql} <> content THEN 'masked' ELSE 'passed' END AS action, CASE WHEN source_type = 'jira' THEN content WHEN {_blocked} THEN '' ELSE {_mask_sql} END AS cleaned FROM {{exposed}}", action=lambda: scan.scanned(_C(), _mode())["action"], cleaned=lambda: scan.scanned(_C(), _mode())["content"])
-query("X10_batch_scan", f"SELECT source_type, count(*) FILTER (WHERE {_blocked}) AS blocked, count(*) FILTER (WHERE NOT {_blocked} AND {_mask_sql} <> content) AS masked, count(*) AS n FROM {{exposed}} GROUP BY 1")(
-    lambda spark, d: exposed(spark, d).withColumn("r", scan.scanned(_C(), F.lit("relaxed"))["action"]).groupBy("source_type").agg(F.count_if(F.col("r") == "blocked").alias("blocked"), F.count_if(F.col("r") == "masked").alias("masked"), F.count(F.lit(1)).alias("n")))
+simple("X9_scan_by_mode", exposed, "doc_id", None, action=lambda: scan.scanned(_C(), _mode())["action"], cleaned=lambda: scan.scanned(_C(), _mode())["content"])
+query("X10_batch_scan")(
+    lambda spark, d: exposed(spark, d).select("source_type", scan.scanned(_C(), F.lit("relaxed"))["action"].alias("r")).groupBy("source_type").agg(F.count_if(F.col("r") == "blocked").alias("blocked"), F.count_if(F.col("r") == "masked").alias("masked"), F.count(F.lit(1)).alias("n")))
 simple("X11_log_mask", memories, "point_id", "SELECT point_id, CASE WHEN length(content) > 10 THEN left(content, 4) || '...' || right(content, 4) ELSE '<redacted>' END AS logged FROM {memories}", logged=lambda: scan.for_log(_C()))

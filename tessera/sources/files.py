@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,12 +56,18 @@ def tags(line, front):
 
 
 def handoffs(spark: SparkSession, folder: str) -> DataFrame:
-    """path, date, number, body: date from the name, else the text; number from the name."""
+    """path, date, number, body of handoff files."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
+    return handoff_rows(raw)
+
+
+def handoff_rows(raw: DataFrame) -> DataFrame:
+    """Of (path, body) rows: date from the name, else the text; number from the session line at the start of the text, else the name."""
     name = F.substring_index("path", "/", -1)
     date = F.coalesce(*(F.nullif(F.regexp_extract(x, "(\\d{4}-\\d{2}-\\d{2})", 1), F.lit("")) for x in (name, F.col("body"))))
-    number = F.nullif(F.regexp_extract(name, "(?i)(?:session|handoff)[-_ ]?(\\d+)", 1), F.lit("")).cast("int")
-    return raw.select("path", F.to_date(date).alias("date"), number.alias("number"), "body")
+    said = F.regexp_extract(F.substring("body", 1, 500), "\\*\\*Session\\*\\*:\\s*PM\\s*#(\\d+)", 1)
+    number = F.coalesce(*(F.nullif(x, F.lit("")) for x in (said, F.regexp_extract(name, "(?i)(?:session|handoff)[-_ ]?(\\d{1,3})(?![\\d-])", 1), F.regexp_extract(name, "(?i)session[-_ ](\\d{1,3})-", 1))))
+    return raw.select("path", F.to_date(date).alias("date"), number.cast("int").alias("number"), "body")
 
 
 def templates(spark: SparkSession, path: str) -> DataFrame:
@@ -77,6 +85,34 @@ def projects(spark: SparkSession, folder: str) -> DataFrame:
     return raw.withColumn("project", name).groupBy("project").agg(F.min_by("text", "path").alias("text"))
 
 
+def project_rows(raw: DataFrame) -> DataFrame:
+    """project_id, source_directory, github_repo, github_branch of configurations (path, text): of files with one stem the first by
+    name counts; one without project_id is left out."""
+    name = F.substring_index("path", "/", -1)
+    first = raw.groupBy(F.regexp_replace(name, "\\.ya?ml$", "").alias("stem")).agg(F.min_by("text", name).alias("text"))
+    flat = lambda key: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("text", f"(?m)^{key}:[ \\t]*(.+)$", 1), "^[\"']|[\"']$", "")), F.lit(""))
+    below = F.regexp_extract("text", "(?m)^github:[ \\t]*\\n((?:[ \\t]+.*\\n?)+)", 1)
+    nested = lambda key: F.nullif(F.trim(F.regexp_extract(below, f"(?m)^[ \\t]+{key}:[ \\t]*(.+)$", 1)), F.lit(""))
+    rows = first.select(flat("project_id").alias("project_id"), flat("source_directory").alias("source_directory"), nested("repo").alias("github_repo"), F.coalesce(nested("branch"), F.lit("main")).alias("github_branch"))
+    return rows.filter(F.col("project_id").isNotNull())
+
+
+def project_configs(spark: SparkSession, folder: str) -> DataFrame:
+    return project_rows(spark.read.option("pathGlobFilter", "*.y*ml").text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text")))
+
+
+def constraints(spark: SparkSession, folder: str, phase: str | None = None) -> DataFrame:
+    """text: the global constraints, then those of a phase, then how many files were read; empty where there are none. A phase is a
+    name, so all other signs are dropped from it."""
+    safe = re.sub(r"[^a-zA-Z0-9_-]", "", phase or "")
+    raw = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    at = F.when(F.rlike("path", F.lit("/global/CONSTRAINTS\\.md(/|$)")), 0).when(F.rlike("path", F.lit(f"/{safe}/constraints\\.md(/|$)")) if safe else F.lit(False), 1)
+    parts = raw.withColumn("at", at).filter("at IS NOT NULL AND text <> ''").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("p"))
+    count = lambda k: F.size(F.filter("p", lambda x: x["at"] == k)).cast("string")
+    body = F.array_join(F.transform("p", lambda x: x["text"]), "\n\n---\n\n")
+    return parts.select(F.when(F.size("p") == 0, "").otherwise(F.concat(body, F.lit("\n\n---\nConstraints loaded: "), count(0), F.lit(" global + "), count(1), F.lit(" phase-specific"))).alias("text"))
+
+
 def append_audit(rows: DataFrame, path: str) -> None:
     """Appends audit rows as JSON lines; contents are named by hash, never written."""
     hidden = [c for c in ("content", "text") if c in rows.columns]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import wait as wait_for
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -120,3 +122,22 @@ def merge_batches(stream: DataFrame, table: str, key: str, columns: list[str], c
         updated(now, last, key, columns).write.mode("overwrite").parquet(f"{table}/v{number + 1}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def flushed(stream: DataFrame, out: str, checkpoint: str, seconds: float | None = None):
+    """Writes what has come in at every interval, or all there is and then stops where no interval is given. How much goes into one
+    flush is the source's option (maxFilesPerTrigger, maxOffsetsPerTrigger)."""
+    w = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).format("parquet")
+    return (w.trigger(availableNow=True) if seconds is None else w.trigger(processingTime=f"{seconds} seconds")).start(out)
+
+
+def captured(frames: dict[str, DataFrame], out: str, wait: float) -> None:
+    """Stores several frames at once, each as jobs of its own, in a folder for each name, and waits for all; raises what failed, or
+    that the time is over."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        jobs = [pool.submit(f.write.mode("append").parquet, f"{out}/capture={n}") for n, f in frames.items()]
+        done, open_ = wait_for(jobs, timeout=wait)
+        if open_:
+            raise TimeoutError(f"{len(open_)} captures are not stored")
+        for j in done:
+            j.result()
