@@ -7,9 +7,10 @@ them to every task would cost shards x documents. Instead a shard travels only t
    anchors. Anchors that only one document holds are dropped; so are documents equal to an earlier one, which fall as a whole.
 2. What is left of a document is cut into stretches, the consecutive windows of one anchor with all their words. Equal stretches are
    merged, keeping the least doc_id. A shard is all distinct stretches of an anchor.
-3. A shard of several stretches becomes a suffix automaton whose states know the least doc_id; each stretch streams through it, and
-   the matching statistics give the first holder of each of its windows. A shard of one stretch needs no automaton. A shard too
-   large for one automaton is keyed by window instead, with partial minima before the shuffle: exact too, and of bounded memory.
+3. A shard is dealt into parts of some hundred stretches, most shards into one. A part becomes a suffix automaton whose states know the
+   least doc_id; each stretch streams through it, and the matching statistics give the first holder of each of its windows. A shard
+   of one stretch needs no automaton. The parts of one shard exchange, for each distinct window, the first holder they know; a
+   window that very many stretches hold costs a row for each part, not for each stretch, so no task is hot.
 4. Windows whose first holder precedes their document are merged into maximal spans, which are removed.
 
 Words are runs of characters other than space, tab and line breaks, unchanged. Matching compares words, not hashes.
@@ -30,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.automaton import SuffixAutomaton
-from tessera.llm.columns import cut, narrow
+from tessera.llm.columns import cut, id_field, narrow
 from tessera.llm.tokens import NON_SPACE, Words, batches, grams
 
 WINDOW = 50
 ANCHOR = 25
-#: Stretches of one shard that make one automaton; larger shards go by window.
+#: Stretches of one automaton, about; larger shards are dealt into parts.
 LARGEST = 400
 
 
@@ -52,14 +53,14 @@ def anchors(words: Words, d: int, window: int = WINDOW, anchor: int = ANCHOR) ->
 
 
 def _describe(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, digest of the text, words and distinct anchors."""
+    """doc_id, rid, digest of the text, words and distinct anchors, of doc_id, text, rid."""
     for batch, words in batches(iterator, NON_SPACE):
         digests = [hashlib.blake2b(b, digest_size=16).digest() for b in _raw(batch)]
         found = [np.unique(anchors(words, d)).view(np.int64) for d in range(words.docs)]
         ends = np.cumsum([0, *(len(x) for x in found)])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(digests, pa.binary()), pa.array(np.diff(words.bounds), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))],
-            ["doc_id", "digest", "n_words", "anchors"],
+            [batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(np.diff(words.bounds), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))],
+            ["doc_id", "rid", "digest", "n_words", "anchors"],
         )
 
 
@@ -74,7 +75,7 @@ def _stretches(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[] for _ in range(7)]
         for d in range(words.docs):
             if hashlib.blake2b(raw[d], digest_size=16).digest() != digests[d]:
-                continue  # another text with this doc_id
+                continue  # another text with this row hash
             a = anchors(words, d)
             want = np.sort(wanted[d].values.to_numpy(zero_copy_only=False).view(np.uint64))
             hit = want[np.minimum(np.searchsorted(want, a), len(want) - 1)] == a
@@ -85,7 +86,7 @@ def _stretches(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     text = b" ".join(own[i : j + WINDOW - 1])
                     for c, v in zip(cols, (int(a[i : i + 1].view(np.int64)[0]), hashlib.blake2b(text, digest_size=16).digest(), ids[d], digests[d], int(i), int(j - i), text), strict=True):
                         c.append(v)
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.binary(), batch.column(0).type, pa.binary(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "sub", "doc_id", "digest", "start", "windows", "words"])
 
 
@@ -102,45 +103,37 @@ def first_holders(stretches: list[tuple[int, bytes]], window: int = WINDOW) -> l
         own = [a.at_length(state, window) for k, (state, n) in enumerate(a.matches(s)) if n >= window and k >= window - 1]
         states.append(own)
         for x in own:
-            if doc < least.get(x, doc + 1):
+            if x not in least or doc < least[x]:
                 least[x] = doc
     return [[least[x] for x in own] for own in states]
 
 
 def _search(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: anchor, sub, first, words. Gives anchor, sub, firsts."""
-    held: list[tuple[int, bytes, int, bytes]] = []
+    """Rows sorted by anchor and part: anchor, part, sub, first, words, parts. Gives anchor, part, sub, firsts, and, where a shard has
+    several parts, keys: a digest of each window."""
+    held: list[tuple] = []
 
-    def solved(rows: list[tuple[int, bytes, int, bytes]]) -> list[tuple[int, bytes, list[int]]]:
-        return [(r[0], r[1], f) for r, f in zip(rows, first_holders([(r[2], r[3]) for r in rows]), strict=True)] if rows else []
+    def solved(rows: list[tuple]) -> Iterator[tuple]:
+        for r, f in zip(rows, first_holders([(r[3], r[4]) for r in rows]), strict=True):
+            own = r[4].split() if r[5] > 1 else None
+            yield r[0], r[1], r[2], f, own and [hashlib.blake2b(b" ".join(own[k : k + WINDOW]), digest_size=16).digest() for k in range(len(f))]
 
-    def emit(out: list[tuple[int, bytes, list[int]]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.list_(pa.int64()))], ["anchor", "sub", "firsts"])
+    def emit(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(kind), pa.list_(pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["anchor", "part", "sub", "firsts", "keys"])
 
+    kind = pa.int64()
     for batch in iterator:
-        out = []
+        out, kind = [], batch.column(3).type
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[0][0] != row[0]:
+            if held and held[0][:2] != row[:2]:
                 out += solved(held)
                 held = []
             held.append(row)
         if out:
-            yield emit(out)
+            yield emit(out, kind)
     if held:
-        yield emit(solved(held))
-
-
-def _windows(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of stretches of a very large shard: anchor, sub, first, place, and a digest of its words."""
-    for batch in iterator:
-        cols: list[list] = [[] for _ in range(5)]
-        for anchor, sub, first, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own = text.split()
-            for k in range(len(own) - WINDOW + 1):
-                for c, v in zip(cols, (anchor, sub, first, k, hashlib.blake2b(b" ".join(own[k : k + WINDOW]), digest_size=16).digest()), strict=True):
-                    c.append(v)
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "sub", "first", "place", "window"])
+        yield emit(list(solved(held)), kind)
 
 
 def _kept(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,38 +155,43 @@ def _kept(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out += own[upto:]
             for c, v in zip(cols, (doc, len(own), len(own) - len(out), b" ".join(out)), strict=True):
                 c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
 def repeated_spans(docs: DataFrame, largest: int = LARGEST) -> DataFrame:
     """doc_id, spans: runs of windows (digest of the text, start, windows) that an earlier document holds, for documents with any."""
-    source = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL")
-    described = cut(source.mapInArrow(_describe, "doc_id long, digest binary, n_words long, anchors array<long>"), "anchors").filter(F.col("n_words") >= WINDOW)
-    first = described.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    whole = described.select("doc_id", "digest", "n_words").join(first, "digest").filter("doc_id > first").select("doc_id", "digest", F.lit(0).alias("start"), (F.col("n_words") - WINDOW + 1).cast("int").alias("windows")).distinct()
-    pairs = described.join(first.withColumnRenamed("first", "doc_id"), ["digest", "doc_id"]).select("doc_id", "digest", F.explode("anchors").alias("anchor")).distinct()
+    field = id_field(docs)
+    kind = field.removeprefix("doc_id ")
+    source = narrow(docs, "doc_id", "text").filter("doc_id IS NOT NULL").withColumn("rid", F.xxhash64("doc_id", "text"))
+    described = cut(source.mapInArrow(_describe, f"{field}, rid long, digest binary, n_words long, anchors array<long>"), "anchors").filter(F.col("n_words") >= WINDOW)
+    first = described.groupBy("digest").agg(F.min(F.struct("doc_id", "rid")).alias("r")).select("digest", F.col("r.doc_id").alias("first"), F.col("r.rid").alias("rid"))
+    whole = described.select("doc_id", "digest", "n_words").join(first.drop("rid"), "digest").filter("doc_id > first").select("doc_id", "digest", F.lit(0).alias("start"), (F.col("n_words") - WINDOW + 1).cast("int").alias("windows")).distinct()
+    pairs = described.join(first.drop("first"), ["digest", "rid"]).select("doc_id", "rid", "digest", F.explode("anchors").alias("anchor")).distinct()
     shared = pairs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    wanted = pairs.join(shared, "anchor").groupBy("doc_id", "digest").agg(F.collect_list("anchor").alias("anchors"))
-    found = source.join(wanted, "doc_id").select("doc_id", "text", "digest", "anchors")
-    found = cut(found.mapInArrow(_stretches, "anchor long, sub binary, doc_id long, digest binary, start int, windows int, words binary"), "stretches")
+    wanted = pairs.join(shared, "anchor").groupBy("rid", "digest").agg(F.collect_list("anchor").alias("anchors"))
+    found = source.join(wanted, "rid").select("doc_id", "text", "digest", "anchors")
+    found = cut(found.mapInArrow(_stretches, f"anchor long, sub binary, {field}, digest binary, start int, windows int, words binary"), "stretches")
     subs = cut(found.groupBy("anchor", "sub").agg(F.min("doc_id").alias("first")), "shards")
-    several = subs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    texts = found.join(subs.join(several, "anchor").select("anchor", "sub", F.col("first").alias("doc_id"), "first", "n"), ["anchor", "sub", "doc_id"]).select("anchor", "sub", "first", "words", "n").dropDuplicates(["anchor", "sub"])
-    columns = ["anchor", "sub", "first", "words"]
-    small = texts.filter(F.col("n") <= largest).select(columns).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search, "anchor long, sub binary, firsts array<long>")
-    windows = texts.filter(F.col("n") > largest).select(columns).mapInArrow(_windows, "anchor long, sub binary, first long, place int, window binary")
-    least = windows.groupBy("anchor", "window").agg(F.min("first").alias("least"))
-    large = windows.join(least, ["anchor", "window"]).groupBy("anchor", "sub").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "least"))), lambda x: x["least"]).alias("firsts"))
-    firsts = subs.join(small.unionByName(large), ["anchor", "sub"], "left")
+    several = subs.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / F.lit(largest)).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    dealt = subs.join(several, "anchor").select("anchor", "sub", F.col("first").alias("doc_id"), "first", "parts", F.pmod(F.xxhash64("sub"), F.col("parts")).cast("int").alias("part"))
+    texts = found.join(dealt, ["anchor", "sub", "doc_id"]).select("anchor", "part", "sub", "first", "words", "parts").dropDuplicates(["anchor", "sub"])
+    local = texts.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_search, f"anchor long, part int, sub binary, firsts array<{kind}>, keys array<binary>")
+    local = cut(local, "holders")
+    one = local.filter("keys IS NULL").select("anchor", "sub", "firsts")
+    each = local.filter("keys IS NOT NULL").select("anchor", "part", "sub", F.posexplode(F.arrays_zip("firsts", "keys")).alias("place", "w")).select("anchor", "part", "sub", "place", F.col("w.firsts").alias("first"), F.col("w.keys").alias("key"))
+    known = each.groupBy("anchor", "part", "key").agg(F.min("first").alias("own"))
+    best = known.join(known.groupBy("anchor", "key").agg(F.min("own").alias("best")), ["anchor", "key"]).filter("best < own").select("anchor", "part", "key", "best")
+    merged = each.join(best, ["anchor", "part", "key"], "left").groupBy("anchor", "sub").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce("best", "first").alias("least")))), lambda x: x["least"]).alias("firsts"))
+    firsts = subs.join(one.unionByName(merged), ["anchor", "sub"], "left")
     rows = found.drop("words").join(firsts, ["anchor", "sub"])
-    one = F.struct(F.col("start").alias("start"), F.col("windows").alias("windows"))
+    run = F.struct(F.col("start").alias("start"), F.col("windows").alias("windows"))
     places = F.filter(F.sequence(F.lit(0), F.col("windows") - 1), lambda i: F.element_at("firsts", i + 1) < F.col("doc_id"))
-    spans = F.when(F.col("firsts").isNull(), F.when(F.col("first") < F.col("doc_id"), F.array(one)).otherwise(F.array().cast("array<struct<start: int, windows: int>>"))).otherwise(F.transform(places, lambda i: F.struct((F.col("start") + i).alias("start"), F.lit(1).alias("windows"))))
+    spans = F.when(F.col("firsts").isNull(), F.when(F.col("first") < F.col("doc_id"), F.array(run)).otherwise(F.array().cast("array<struct<start: int, windows: int>>"))).otherwise(F.transform(places, lambda i: F.struct((F.col("start") + i).alias("start"), F.lit(1).alias("windows"))))
     partial = rows.select("doc_id", "digest", F.explode(spans).alias("span")).select("doc_id", "digest", "span.start", "span.windows")
     return partial.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("digest", "start", "windows")).alias("spans"))
 
 
 def dedup(docs: DataFrame, largest: int = LARGEST) -> DataFrame:
     """doc_id, n_words, n_removed, kept (kept words joined by one space, UTF-8), for each document."""
-    source = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return source.join(repeated_spans(docs, largest), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept binary")
+    source = narrow(docs, "doc_id", "text")
+    return source.join(repeated_spans(docs, largest), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_kept, f"{id_field(docs)}, n_words long, n_removed long, kept binary")
