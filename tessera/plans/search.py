@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import vector
-from tessera.operators import search
+from tessera.operators import index, search
 from tessera.plans import tables
 from tessera.plans.registry import query
 from tessera.plans.tables import NOW, memories, queries_table, sessions, table
@@ -40,6 +40,14 @@ def dense(spark, d):
     return _out(search.dense(memories(spark, d), queries_table(spark, d), 5, search.Filters(collection="code-patterns")))
 
 
+@query("V1_indexed_search")
+def indexed(spark, d):
+    """The same search through an index of all memories; it may miss hits, so it is compared by recall."""
+    m = memories(spark, d).select("point_id", "embedding")
+    cells = index.fit(m)
+    return _out(index.search(index.indexed(m, cells), queries_table(spark, d), cells, 10))
+
+
 @query("V2_decay_search", _ranked(f"SELECT *, 0.7 * similarity + 0.3 * ({_TIME}) AS final FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, point_id) AS pre FROM ({_PAIRS}) WHERE similarity >= 0) WHERE pre <= 50", "final", 10))
 def decay(spark, d):
     return _out(search.decayed(memories(spark, d), queries_table(spark, d), _now(), 10))

@@ -238,3 +238,33 @@ def test_captures_run_side_by_side_and_failures_are_raised(spark, tmp_path):
     assert Counter(r.capture for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == {"a": 5, "b": 7}
     with pytest.raises(Exception, match="(?i)divi"):
         state.captured({"a": spark.range(5), "bad": spark.range(3).selectExpr("1 / (id - id) AS x")}, f"file://{tmp_path}/bad", 120.0)
+
+
+def test_index_reaches_the_recall_and_holds_every_row(spark, tmp_path):
+    import numpy as np
+
+    from tessera.operators import index
+
+    rng = np.random.default_rng(1)
+    middle = rng.normal(size=(40, 16))
+    x = middle[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 16))
+    m = spark.createDataFrame([(f"p{i:04d}", [float(v) for v in row]) for i, row in enumerate(x)], "point_id string, embedding array<float>")
+    q = spark.createDataFrame([(i, [float(v) for v in x[i * 30]]) for i in range(100)], "query_id int, query array<float>")
+    cells = index.fit(m, sample=1000)
+    assert cells.probes < len(cells.centroids)
+    index.store(m, cells, f"file://{tmp_path}/index")
+    stored = spark.read.parquet(f"file://{tmp_path}/index")
+    assert stored.count() == 3000 and stored.filter("cell IS NULL").count() == 0
+    found, exact = index.search(stored, q, cells, 10), search.dense(m, q, 10, threshold=None)
+    assert found.count() == 1000 and index.recall(found, exact).first().recall >= 0.9
+    assert index.search(index.indexed(m.limit(0), cells), q, cells).count() == 0
+
+
+@given_tables
+def test_index_on_the_given_tables(spark):
+    from tessera.operators import index
+
+    m, q = spark.read.parquet(f"{FOLDER}/embeddings.parquet").select(F.concat(F.lit("p"), F.lpad(F.col("vec_id").cast("string"), 6, "0")).alias("point_id"), "embedding", "vec_id"), None
+    q = m.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    got = catalog.queries()["V1_indexed_search"](spark, FOLDER)
+    assert index.recall(got, search.dense(m, q, 10, threshold=None)).first().recall >= 0.9
