@@ -3,11 +3,11 @@
 The rules find e-mail and IP addresses, card and phone numbers, in time linear in the text. The tagger is trained here, from labelled
 spans: sentences made of common and invented words, such data in plain and disguised forms ("john at example dot com"), and harmless
 look-alikes. It reads every character of every text, in overlapping windows. Where windows overlap, emissions are blended, and the
-tags of the whole text are the best sequence under the transitions: one global decoding, split only at characters where no sequence
-with any other tag than "outside" can be best, which loses nothing. Spans of the tagger that pass the kind's own tests and touch no
+tags of the whole text are the best sequence under the transitions: one global decoding, split only where no span can gain anything
+over staying outside, which loses nothing. Spans of the tagger that pass the kind's own tests and touch no
 span of the rules are added; an address around an "@" is taken whole.
 
-Memory is bounded by a group of windows and by the characters in doubt, not by the length of a text.
+Of a text, some bytes a character are held beside it; emissions only for a group of windows and for the characters in doubt.
 
 Defined cases: null and empty texts have no spans; equal texts have equal spans; repeated and null doc_ids are documents like any
 other; an empty table gives an empty result; extra columns are not looked at.
@@ -16,6 +16,7 @@ other; an empty table gives an empty result; extra columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
@@ -95,7 +96,9 @@ for _c in range(128):
 _CLASS[128:] = len(_SIGNS) + len(_LETTERS) + 3
 TAGS = 1 + 2 * len(KINDS)
 #: Characters of a window, how far windows are apart, how many are read at once.
-LENGTH, STRIDE, GROUP = 128, 96, 1024
+LENGTH, STRIDE, GROUP = 128, 104, 640
+#: Characters of a window in training; no less than those of a window read, whose later states would be new to the tagger.
+TAUGHT = 128
 HIDDEN = 12
 
 
@@ -103,13 +106,15 @@ def classes(text: str) -> np.ndarray:
     return _CLASS[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 255)]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _soft(x: np.ndarray) -> np.ndarray:
+    """The activation: x / (1 + |x|), many times cheaper than tanh. Gates are its values moved to 0..1."""
+    return x / (1 + np.abs(x))
 
 
 @dataclass
 class Tagger:
-    """inp, rec, bias of both directions; out, off of the emissions; moves between tags (last row: from the start)."""
+    """inp, rec, bias of both directions (gates in, forget, out, and the candidate); out, off of the emissions; moves between tags
+    (last row: from the start)."""
 
     p: dict[str, np.ndarray]
 
@@ -117,50 +122,61 @@ class Tagger:
         n, steps = x.shape
         h, c, hs, kept = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32), np.zeros((n, steps, HIDDEN), np.float32), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = self.p["inp" + d][x[:, t]] + h @ self.p["rec" + d] + self.p["bias" + d]
-            s = _sigmoid(z[:, : 3 * HIDDEN])
-            i, f, o, g = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
+            s = _soft(self.p["inp" + d][x[:, t]] + h @ self.p["rec" + d] + self.p["bias" + d])
+            q = 0.5 + 0.5 * s[:, : 3 * HIDDEN]
+            i, f, o, g = q[:, :HIDDEN], q[:, HIDDEN : 2 * HIDDEN], q[:, 2 * HIDDEN :], s[:, 3 * HIDDEN :]
             before, c = c, f * c + i * g
-            tc = np.tanh(c)
+            tc = _soft(c)
             kept.append((t, h, i, f, o, g, before, tc))
             h = o * tc
             hs[:, t] = h
         return hs, kept
 
-    def emissions(self, x: np.ndarray) -> np.ndarray:
-        """Emissions (windows, steps, tags) of windows of classes. As _run(), with all gates by one tanh and no copies."""
+    def hidden(self, x: np.ndarray) -> np.ndarray:
+        """States (steps, windows, both directions) of windows of classes. As _run(), with each gate in an array of its own and no
+        copies."""
         n, steps = x.shape
         both = np.empty((steps, n, 2 * HIDDEN), np.float32)
-        half = np.concatenate([np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN)]).astype(np.float32)
-        z, t1, c = (np.empty((n, w * HIDDEN), np.float32) for w in (4, 1, 1))
-        xt = np.ascontiguousarray(x.T).astype(np.intp)
+        z, part, t1, c = np.empty((4, n, HIDDEN), np.float32), np.empty((4, n, HIDDEN), np.float32), np.empty((n, HIDDEN), np.float32), np.empty((n, HIDDEN), np.float32)
+        xt, cut = np.ascontiguousarray(x.T).astype(np.intp), lambda a: np.ascontiguousarray(a.reshape(len(a), 4, HIDDEN).transpose(1, 0, 2)).astype(np.float32)
         for d, own in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
-            table = ((self.p["inp" + d] + self.p["bias" + d]) * half).astype(np.float32)
-            rec, h = (self.p["rec" + d] * half).astype(np.float32), np.zeros((n, HIDDEN), np.float32)
+            table, rec, h = cut(self.p["inp" + d] + self.p["bias" + d]), cut(self.p["rec" + d]), np.zeros((n, HIDDEN), np.float32)
             c[:] = 0
             for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                np.dot(h, rec, out=z)
-                z += table[xt[t]]
-                np.tanh(z, out=z)
-                gates = z[:, : 3 * HIDDEN]
+                np.matmul(h, rec, out=z)
+                for k in range(4):
+                    np.take(table[k], xt[t], 0, out=part[k], mode="clip")
+                z += part
+                np.abs(z, out=part)
+                part += 1
+                z /= part
+                gates = z[:3]
                 gates *= 0.5
                 gates += 0.5
-                np.multiply(z[:, :HIDDEN], z[:, 3 * HIDDEN :], out=t1)
-                c *= z[:, HIDDEN : 2 * HIDDEN]
+                c *= z[1]
+                np.multiply(z[0], z[3], out=t1)
                 c += t1
-                np.tanh(c, out=t1)
-                np.multiply(z[:, 2 * HIDDEN : 3 * HIDDEN], t1, out=h)
+                np.abs(c, out=t1)
+                t1 += 1
+                np.divide(c, t1, out=t1)
+                np.multiply(z[2], t1, out=h)
                 both[t, :, own] = h
-        e = both.reshape(-1, 2 * HIDDEN) @ self.p["out"].astype(np.float32) + self.p["off"].astype(np.float32)
-        return e.reshape(steps, n, TAGS).transpose(1, 0, 2)
+        return both
+
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """Emissions (windows, steps, tags) of windows of classes."""
+        e = self.hidden(x).reshape(-1, 2 * HIDDEN) @ self.p["out"].astype(np.float32) + self.p["off"].astype(np.float32)
+        return e.reshape(x.shape[1], x.shape[0], TAGS).transpose(1, 0, 2)
 
     def _unroll(self, x: np.ndarray, d: str, dh: np.ndarray, kept: list, g_: dict[str, np.ndarray]) -> None:
         nh, nc = np.zeros_like(dh[:, 0]), np.zeros_like(dh[:, 0])
+        gate, flat = lambda q: 0.5 * (1 - np.abs(2 * q - 1)) ** 2, lambda s: (1 - np.abs(s)) ** 2
+        classes_ = np.arange(CLASSES)[:, None]
         for t, h, i, f, o, g, before, tc in reversed(kept):
             h_ = dh[:, t] + nh
-            c_ = nc + h_ * o * (1 - tc * tc)
-            z = np.concatenate([c_ * g * i * (1 - i), c_ * before * f * (1 - f), h_ * tc * o * (1 - o), c_ * i * (1 - g * g)], 1)
-            np.add.at(g_["inp" + d], x[:, t], z)
+            c_ = nc + h_ * o * flat(tc)
+            z = np.concatenate([c_ * g * gate(i), c_ * before * gate(f), h_ * tc * gate(o), c_ * i * flat(g)], 1)
+            g_["inp" + d] += (classes_ == x[:, t]).astype(z.dtype) @ z
             g_["rec" + d] += h.T @ z
             g_["bias" + d] += z.sum(0)
             nh, nc = z @ self.p["rec" + d].T, c_ * f
@@ -205,27 +221,44 @@ class Tagger:
         start = np.repeat(self.p["moves"][TAGS:], n, 0)
         if inner is not None:
             start[inner] = moves[0]
-        best, back, end = start + e[:, 0], np.zeros((steps, n, TAGS), np.int8), np.zeros((n, TAGS), np.float32)
-        end[length == 1] = best[length == 1]
+        et = np.ascontiguousarray(e.transpose(1, 2, 0))
+        best, back, end = start.T + et[0], np.zeros((steps, TAGS, n), np.int8), np.zeros((TAGS, n), np.float32)
+        end[:, length == 1] = best[:, length == 1]
+        now = np.empty_like(best)
         for t in range(1, steps):
-            s = best[:, :, None] + moves[None]
-            back[t] = s.argmax(1)
-            best = s.max(1) + e[:, t]
-            end[length == t + 1] = best[length == t + 1]
+            for b in range(TAGS):
+                if b and b % 2 == 0:  # an inside tag follows its own kind alone
+                    one, two = best[b - 1] + moves[b - 1, b], best[b] + moves[b, b]
+                    back[t, b] = b - 1 + (two > one)
+                    np.maximum(one, two, out=now[b])
+                else:
+                    s = best + moves[:, b : b + 1]
+                    back[t, b] = s.argmax(0)
+                    np.max(s, axis=0, out=now[b])
+            now += et[t]
+            best, now = now, best
+            done = length == t + 1
+            if done.any():
+                end[:, done] = best[:, done]
         if last is not None:
-            end[~last] += moves[:, 0]
-        out, now, rows = np.zeros((n, steps), np.int64), end.argmax(1), np.arange(n)
+            end[:, ~last] += moves[:, :1]
+        out, tag, rows = np.zeros((n, steps), np.int64), end.argmax(0), np.arange(n)
         for t in range(steps - 1, -1, -1):
             live = length > t
-            out[live, t] = now[live]
-            now = np.where(live, back[t, rows, now], now)
+            out[live, t] = tag[live]
+            tag = np.where(live, back[t, tag, rows], tag)
         return out
 
-    def doubt(self) -> np.ndarray:
-        """By how much "outside" must lead each other tag at a character, for no best sequence to have that tag there."""
-        moves = self.p["moves"]
-        into, out = (moves - moves[:, :1]).max(0), np.maximum(0, (moves[:TAGS] - moves[:1]).max(1))
-        return (into + out)[1:]
+    def gains(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By how much, at most, transitions favour a span of each kind over outside tags in its place: from the start of a text, from
+        any tag before it, from within it, and after it."""
+        moves = self.p["moves"].astype(np.float32)
+        first, inside = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+        enter = (moves[:TAGS, first] - moves[:TAGS, :1]).max(0)
+        go_on = np.maximum(moves[first, inside], moves[inside, inside]) - moves[0, 0]
+        after = np.concatenate([[0], first])
+        leave = np.maximum(moves[first][:, after], moves[inside][:, after]) - moves[0, after]
+        return moves[TAGS, first] - moves[TAGS, 0], enter, go_on, np.maximum(0, leave.max(1))
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -243,82 +276,89 @@ _COMMON = (
 ).split()
 
 
-def _made(rng: np.random.Generator) -> tuple[str, str]:
+def _made(r: random.Random) -> tuple[str, str]:
     """A text of that kind, or harmless signs of kind ''."""
-    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    word = lambda lo, hi: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(lo, hi))) if rng.random() < 0.6 else _COMMON[rng.integers(len(_COMMON))].strip("'")
-    one = lambda *forms: str(forms[rng.integers(len(forms))])
-    kind = rng.choice(["email", "email", "ip", "card", "phone", "", "", ""])
+    digits = lambda n: "".join(r.choices("0123456789", k=n))
+    invented = lambda lo, hi: "".join(r.choices(_ALPHABET, k=r.randrange(lo, hi)))
+    word = lambda lo, hi: invented(lo, hi) if r.random() < 0.6 else r.choice(_COMMON).strip("'")
+    one = lambda *forms: r.choice(forms)
+    kind = one("email", "email", "ip", "card", "phone", "", "", "")
     if kind == "email":
-        at, dot = _AT[rng.integers(len(_AT))]
-        name = one(word(2, 9), f"{word(2, 7)}.{digits(2)}", f"{word(2, 7)}.{word(2, 9)}", f"{word(1, 5)}_{word(2, 6)}", f"{word(2, 9)}-{word(2, 9)}", f"{word(2, 6)}+{word(2, 5)}", word(2, 5).title())
-        return "email", f"{name}{at}{word(2, 9)}{one('', '', digits(1), '-' + word(2, 5))}{dot}{one('com', 'org', f'example{dot}com', f'co{dot}uk', 'net', 'de', 'io')}"
+        at, dot = one(*_AT)
+        name = one(word(2, 9), f"{word(2, 7)}.{digits(2)}", f"{word(2, 7)}.{word(2, 9)}", f"{word(1, 5)}_{word(2, 6)}", f"{word(2, 9)}-{word(2, 9)}", f"{word(2, 6)}+{word(2, 5)}", word(2, 5).title(), f"{invented(6, 12)}.{invented(6, 14)}-{invented(4, 9)}", f"{invented(6, 12)}_{invented(10, 20)}")
+        return "email", f"{name}{at}{word(2, 9)}{one('', '', '', digits(1), '-' + word(2, 5), invented(8, 18), dot + word(3, 8))}{dot}{one('com', 'org', f'example{dot}com', f'co{dot}uk', 'net', 'de', 'io')}"
     if kind == "ip":
-        return "ip", one(".", ".", ".", " . ").join(str(x) for x in rng.integers(1, 256, 4))
+        return "ip", one(".", ".", ".", " . ").join(str(r.randrange(1, 256)) for _ in range(4))
     if kind == "card":
-        body = str(rng.integers(3, 7)) + digits(14)
+        body = str(r.randrange(3, 7)) + digits(14)
         body += next(c for c in "0123456789" if luhn(body + c))
         return "card", one("", "", " ", "-", ".").join(body[k : k + 4] for k in range(0, 16, 4))
     if kind == "phone":
         a, b, c = digits(3), digits(3), digits(4)
         return "phone", one(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1-{a}-{b}-{c}")
+    n = r.randrange
     return "", one(
-        f"{rng.integers(1, 30)}.{rng.integers(0, 10)}", f"{rng.integers(1900, 2100)}", digits(rng.integers(1, 7)), f"{rng.integers(1, 13)}/{rng.integers(1, 29)}/{rng.integers(1990, 2030)}", f"{rng.integers(1990, 2030)}-{digits(2)}-{digits(2)}",
-        f"{digits(1)}.{digits(1)}.{digits(2)}", f"{rng.integers(1, 24)}:{digits(2)}", f"@{word(2, 6)}", f"{digits(2)}%", f"{digits(3)}-{digits(2)}-{digits(4)}", f"ssn {digits(3)}-{digits(2)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}-{digits(2)}",
-        f"{digits(3)}-{digits(4)}", f"{word(3, 7)} at {word(3, 7)}", f"{word(3, 7)} at the {word(3, 7)}", f"{word(3, 7)} dot {word(3, 7)}", f"{word(3, 7)}.{one('com', 'org', 'py', 'txt')}", f"https://{word(3, 8)}.com/{word(3, 8)}", "".join("0123456789abcdef"[c] for c in rng.integers(0, 16, 24)), f"({word(2, 9)})", f"[{digits(1)}]",
+        f"{n(1, 30)}.{n(0, 10)}", f"{n(1900, 2100)}", digits(n(1, 7)), f"{n(1, 13)}/{n(1, 29)}/{n(1990, 2030)}", f"{n(1990, 2030)}-{digits(2)}-{digits(2)}",
+        f"{digits(1)}.{digits(1)}.{digits(2)}", f"{n(1, 24)}:{digits(2)}", f"@{word(2, 6)}", f"{digits(2)}%", f"{digits(3)}-{digits(2)}-{digits(4)}", f"ssn {digits(3)}-{digits(2)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}-{digits(2)}",
+        f"{digits(3)}-{digits(4)}", f"{word(3, 7)} at {word(3, 7)}", f"{word(3, 7)} at the {word(3, 7)}", f"{word(3, 7)} dot {word(3, 7)}", f"{word(3, 7)}.{one('com', 'org', 'py', 'txt')}", f"https://{word(3, 8)}.com/{word(3, 8)}", "".join(r.choices("0123456789abcdef", k=24)), f"({word(2, 9)})", f"[{digits(1)}]",
     )
 
 
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 #: How the two signs of an address are written.
 _AT = [("@", "."), ("@", "."), (" @ ", "."), (" at ", " dot "), ("(at)", "."), (" (at) ", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" AT ", " DOT "), ("@", " dot ")]
 
 
-def sentence(rng: np.random.Generator, least: int) -> tuple[str, list[int]]:
+def sentence(r: random.Random, least: int) -> tuple[str, list[int]]:
     """A text of that many characters or more, and its tags."""
-    text, tags = "", []
-    signed = str(rng.choice(["", "", "", "###", "!!", "*", " |"]))
-    while len(text) < least:
-        if rng.random() < 0.25:
-            kind, piece = _made(rng)
+    parts, tags = [], []
+    signed = r.choice(["", "", "", "###", "!!", "*", " |"])
+    while len(tags) < least:
+        if r.random() < 0.25:
+            kind, piece = _made(r)
             k = KINDS.index(kind) if kind else -1
             tags += [0 if k < 0 else 1 + 2 * k + (j > 0) for j in range(len(piece))]
         else:
-            piece = _COMMON[rng.integers(len(_COMMON))] if rng.random() < 0.5 else "".join(chr(c) for c in rng.choice([*range(97, 123), 233, 223], rng.integers(1, 12)))
-            piece = (piece.title() if rng.random() < 0.15 else piece.upper() if rng.random() < 0.05 else piece) + rng.choice(["", "", "", ",", ".", ":"]) + signed
+            piece = r.choice(_COMMON) if r.random() < 0.5 else "".join(r.choices(_ALPHABET + "éß", k=r.randrange(1, 12)))
+            x = r.random()
+            piece = (piece.title() if x < 0.15 else piece.upper() if x < 0.2 else piece) + r.choice(["", "", "", ",", ".", ":"]) + signed
             tags += [0] * len(piece)
-        gap = rng.choice([" ", " ", " ", "\n", ", ", ". "])
-        text, tags = text + piece + gap, tags + [0] * len(gap)
-    return text, tags
+        gap = r.choice([" ", " ", " ", "\n", ", ", ". "])
+        parts += [piece, gap]
+        tags += [0] * len(gap)
+    return "".join(parts), tags
 
 
-def labelled(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
+def labelled(r: random.Random, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows of classes and of tags."""
-    x, y = np.full((n, LENGTH), _PAD), np.zeros((n, LENGTH), np.int64)
+    x, y = np.full((n, TAUGHT), _PAD), np.zeros((n, TAUGHT), np.int64)
     for row in range(n):
-        text, tags = sentence(rng, 2 * LENGTH)
-        at, m = rng.integers(0, len(text) - LENGTH), LENGTH if rng.random() < 0.7 else rng.integers(12, LENGTH)
+        text, tags = sentence(r, 2 * TAUGHT)
+        at, m = r.randrange(len(text) - TAUGHT), TAUGHT if r.random() < 0.7 else r.randrange(12, TAUGHT)
         x[row, :m], y[row, :m] = classes(text)[at : at + m], tags[at : at + m]
     return x, y
 
 
 @lru_cache(4)
-def train(steps: int = 400, batch: int = 40, seed: int = 10) -> Tagger:
+def train(steps: int = 560, batch: int = 48, seed: int = 12, fast: float = 0.04) -> Tagger:
     """Adam on fresh labelled windows; the same model on every run, trained once in a process."""
-    rng = np.random.default_rng(seed)
+    rng, made = np.random.default_rng(seed), random.Random(seed)
     small = lambda *shape: (rng.normal(0, 1, shape) * 0.25).astype(np.float32)
     bias = np.zeros(4 * HIDDEN, np.float32)
     bias[HIDDEN : 2 * HIDDEN] = 1
     p = {"out": small(2 * HIDDEN, TAGS), "off": np.zeros(TAGS, np.float32), "moves": np.zeros((TAGS + 1, TAGS), np.float32)}
     for d in "fb":
         p |= {"inp" + d: small(CLASSES, 4 * HIDDEN), "rec" + d: small(HIDDEN, 4 * HIDDEN), "bias" + d: bias.copy()}
+    never = np.zeros_like(p["moves"], bool)
     for k in range(len(KINDS)):  # an inside tag only follows its own kind
-        own = [1 + 2 * k, 2 + 2 * k]
-        p["moves"][[t for t in range(TAGS + 1) if t not in own], 2 + 2 * k] = -4
+        never[[t for t in range(TAGS + 1) if t not in (1 + 2 * k, 2 + 2 * k)], 2 + 2 * k] = True
+    p["moves"][never] = -1e4
     tagger, m, v = Tagger(p), {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
     for t in range(1, steps + 1):
-        _, g = tagger.gradient(*labelled(rng, batch))
+        _, g = tagger.gradient(*labelled(made, batch))
+        g["moves"][never] = 0
         size = sum(float((a * a).sum()) for a in g.values()) ** 0.5
-        rate = 0.02 * (1 - t / (steps + 1)) + 1e-3
+        rate = fast * (1 - t / (steps + 1)) + 1e-3
         for k in p:
             a = g[k] * min(1, 5 / size)
             m[k], v[k] = 0.9 * m[k] + 0.1 * a, 0.99 * v[k] + 0.01 * a * a
@@ -340,39 +380,97 @@ def _reach(text: str, at: int) -> tuple[int, int]:
     return i, j
 
 
-_RISE = (np.arange(1, LENGTH - STRIDE + 1) / (LENGTH - STRIDE + 1)).astype(np.float32)[:, None]
-
-
-def in_doubt(tagger: Tagger, kinds: np.ndarray, bounds: np.ndarray, group: int = GROUP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places and emissions of the characters whose tag is in doubt, in order. kinds: classes of some texts, one after the other;
-    bounds: where each begins, and the end. A group of windows is held at a time."""
-    size = np.diff(bounds)
-    per = np.where(size > 0, np.maximum(1, -(-(size - LENGTH + STRIDE) // STRIDE)), 0)
-    text = np.repeat(np.arange(len(size)), per)
-    rank = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    start, end = bounds[text] + rank * STRIDE, bounds[text + 1]
-    final, padded, limit, over = rank == per[text] - 1, np.concatenate([kinds, np.full(LENGTH, _PAD, kinds.dtype)]), tagger.doubt(), LENGTH - STRIDE
-    tail = np.zeros((over, TAGS), np.float32)
-    for g in range(0, len(start), group):
-        own = slice(g, g + group)
-        at = start[own][:, None] + np.arange(LENGTH)
-        e = tagger.emissions(np.where(at < end[own][:, None], padded[at], _PAD))
-        follows = rank[own] > 0
-        before = np.concatenate([tail[None], e[:-1, STRIDE:]])
-        tail = e[-1, STRIDE:].copy()
-        e[follows, :over] = e[follows, :over] * _RISE + before[follows] * (1 - _RISE)
-        mine = at < np.where(final[own], end[own], start[own] + STRIDE)[:, None]
-        doubt = mine & ((e[:, :, :1] - e[:, :, 1:]) < limit).any(2)
-        yield at[doubt], e[doubt]
+_OVER = LENGTH - STRIDE
+_RISE = (np.arange(1, _OVER + 1) / (_OVER + 1)).astype(np.float32)[:, None]
+
+
+@dataclass
+class _Windows:
+    """Where the windows of some texts, one after the other, begin and end: start, end of the text, rank within it, whether the last."""
+
+    start: np.ndarray
+    end: np.ndarray
+    rank: np.ndarray
+    final: np.ndarray
+    first: np.ndarray
+    padded: np.ndarray
+
+    @classmethod
+    def of(cls, kinds: np.ndarray, bounds: np.ndarray) -> _Windows:
+        size = np.diff(bounds)
+        per = np.where(size > 0, np.maximum(1, -(-(size - _OVER) // STRIDE)), 0)
+        text, first = np.repeat(np.arange(len(size)), per), np.cumsum(per) - per
+        rank = np.arange(len(text)) - first[text]
+        return cls(bounds[text] + rank * STRIDE, bounds[text + 1], rank, rank == per[text] - 1, first, np.concatenate([kinds, np.full(LENGTH, _PAD, kinds.dtype)]))
+
+    def read(self, own: np.ndarray) -> np.ndarray:
+        """Classes of some windows."""
+        x = np.lib.stride_tricks.sliding_window_view(self.padded, LENGTH)[self.start[own]]
+        short = np.flatnonzero(self.start[own] + LENGTH > self.end[own])
+        if len(short):
+            x[short] = np.where(self.start[own][short][:, None] + np.arange(LENGTH) < self.end[own][short][:, None], x[short], _PAD)
+        return x
+
+
+def in_doubt(tagger: Tagger, w: _Windows, bounds: np.ndarray, group: int = GROUP) -> np.ndarray:
+    """Places that the best tags may have inside a span. All windows are read, a group at a time; what is kept of a character is how
+    much a span of each kind could gain by beginning there, and by going on there. A place is in doubt if some run of places around it
+    could gain anything; no other can be in a span of the best tags, as leaving its span out would be better."""
+    begin, enter, go_on, leave = tagger.gains()
+    out, off, kinds = tagger.p["out"].astype(np.float32), tagger.p["off"].astype(np.float32), len(KINDS)
+    order = np.concatenate([np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)])
+    lead, bare = out[:, order] - out[:, :1], off[order] - off[0]
+    gain = np.zeros((int(bounds[-1]) + LENGTH, 2 * kinds), np.float32)
+    tail, step = np.zeros((_OVER, 2 * kinds), np.float32), np.arange(LENGTH)
+    for g in range(0, len(w.start), group):
+        own = np.arange(g, min(len(w.start), g + group))
+        f = (tagger.hidden(w.read(own)).reshape(-1, 2 * HIDDEN) @ lead + bare).reshape(LENGTH, len(own), 2 * kinds)
+        follows, before = w.rank[own] > 0, np.concatenate([tail[:, None], f[STRIDE:, :-1]], 1)
+        tail = f[STRIDE:, -1].copy()
+        f[:_OVER, follows] = f[:_OVER, follows] * _RISE[:, None] + before[:, follows] * (1 - _RISE[:, None])
+        whole = ~w.final[own]
+        gain[step[:STRIDE, None] + w.start[own][whole]] = f[:STRIDE, whole]
+        for k in np.flatnonzero(w.final[own]):
+            m = int(w.end[own[k]] - w.start[own[k]])
+            gain[w.start[own[k]] : w.end[own[k]]] = f[:m, k]
+    places = []
+    for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if j > i:
+            entry, further = gain[i:j, :kinds] + enter, gain[i:j, kinds:] + go_on
+            entry[0] += begin - enter
+            u = np.cumsum(further, axis=0, dtype=np.float64)
+            upto = u + np.maximum.accumulate(entry - u, axis=0)
+            after = np.maximum.accumulate(u[::-1], axis=0)[::-1] - u + leave
+            places.append(i + np.flatnonzero((upto + after >= -1e-2).any(1)))
+    return np.concatenate(places) if places else np.zeros(0, np.int64)
+
+
+def _emitted(tagger: Tagger, w: _Windows, text: np.ndarray, place: np.ndarray, bounds: np.ndarray, group: int = GROUP) -> np.ndarray:
+    """Emissions of some places, from the windows that hold them, read again."""
+    last = w.first[text] + np.maximum(0, -(-(np.diff(bounds)[text] - _OVER) // STRIDE) - 1)
+    main = np.minimum(w.first[text] + (place - bounds[text]) // STRIDE, last)
+    off = place - w.start[main]
+    shared = (off < _OVER) & (w.rank[main] > 0)
+    wanted = np.unique(np.concatenate([main, main[shared] - 1]))
+    later, earlier = np.zeros((len(place), TAGS), np.float32), np.zeros((len(place), TAGS), np.float32)
+    for g in range(0, len(wanted), group):
+        own = wanted[g : g + group]
+        e = tagger.emissions(w.read(own))
+        for window, row, target, some in ((main, off, later, np.arange(len(main))), (main - 1, off + STRIDE, earlier, np.flatnonzero(shared))):
+            mine = some[np.isin(window[some], own)]
+            target[mine] = e[np.searchsorted(own, window[mine]), row[mine]]
+    rise = _RISE[np.minimum(off, _OVER - 1)]
+    return np.where(shared[:, None], later * rise + earlier * (1 - rise), later)
 
 
 def tags(tagger: Tagger, kinds: np.ndarray, bounds: np.ndarray, most: int = 1 << 19) -> Iterable[tuple[int, np.ndarray]]:
     """(place, tags) of the runs in doubt that hold spans. Runs of like length are decoded together."""
-    found = list(in_doubt(tagger, kinds, bounds))
-    place = np.concatenate([p for p, _ in found]) if found else np.zeros(0, np.int64)
+    w = _Windows.of(kinds, bounds)
+    place = in_doubt(tagger, w, bounds)
     if not len(place):
         return []
-    e, text = np.concatenate([x for _, x in found]), np.searchsorted(bounds, place, "right") - 1
+    text = np.searchsorted(bounds, place, "right") - 1
+    e = _emitted(tagger, w, text, place, bounds)
     cuts = np.flatnonzero((np.diff(place) > 1) | (np.diff(text) > 0)) + 1
     first, length = np.concatenate([[0], cuts]), np.diff(np.concatenate([[0], cuts, [len(place)]]))
     inner, last = place[first] > bounds[text[first]], place[first] + length == bounds[text[first] + 1]
@@ -382,8 +480,7 @@ def tags(tagger: Tagger, kinds: np.ndarray, bounds: np.ndarray, most: int = 1 <<
         while j < len(order) and j - i < 1024 and (j - i + 1) * length[order[j]] <= most:
             j += 1
         own, steps = order[i:j], int(length[order[j - 1]])
-        step = np.arange(steps)
-        at = np.minimum(first[own][:, None] + step, len(e) - 1)
+        at = np.minimum(first[own][:, None] + np.arange(steps), len(e) - 1)
         for k, t in zip(own, tagger.decode(e[at], length[own], inner[own], last[own]), strict=True):
             if t.any():
                 out.append((int(place[first[k]]), t[: length[k]]))
@@ -391,12 +488,15 @@ def tags(tagger: Tagger, kinds: np.ndarray, bounds: np.ndarray, most: int = 1 <<
     return sorted(out, key=lambda x: x[0])
 
 
+#: An address with its signs as they are or written out.
+_ADDRESS = re.compile(r"[A-Z0-9._%+-]+(?: ?@ ?| ?[(\[] ?at ?[)\]] ?| at )[A-Z0-9-]+(?:(?:\.| dot | ?[(\[] ?dot ?[)\]] ?)[A-Z0-9-]+)+", re.IGNORECASE)
+
+
 def _plausible(kind: str, s: str) -> bool:
     """The kind's own tests, without the rules' forms."""
     n = len(_digits(s))
     if kind == "email":
-        parts = re.split(r"@|[(\[] ?at ?[)\]]|\bat\b", s, flags=re.IGNORECASE)
-        return len(parts) == 2 and all(p.strip(" .") for p in parts) and re.search(r"\.|\bdot\b", parts[1], re.IGNORECASE) is not None
+        return _ADDRESS.fullmatch(s) is not None
     if kind == "ip":
         parts = re.findall("[0-9]+", s)
         return len(parts) == 4 and all(map(_part, parts)) and s.count(".") == 3

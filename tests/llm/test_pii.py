@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -47,14 +48,14 @@ def added(tagger, text):
 
 
 def test_tagger_learns_and_adds(tagger):
-    x, y = pii.labelled(np.random.default_rng(5), 300)
+    x, y = pii.labelled(random.Random(5), 300)
     assert (tagger.decode(tagger.emissions(x)) == y)[y > 0].mean() > 0.9
     assert added(tagger, "call (988) 555-2485 now, or wait") == [("phone", 5, 19)]
 
 
 def test_recall_and_precision_on_made_texts(tagger):
     """Whole texts never trained on: spans that the rules do not find, and what is added that is none."""
-    rng = np.random.default_rng(77)
+    rng = random.Random(77)
     made, texts = [], []
     for _ in range(300):
         text, marks = pii.sentence(rng, 600)
@@ -87,8 +88,8 @@ def test_look_alikes_are_left(tagger):
 
 def test_windows_blend_and_decoding_is_global(tagger):
     """Against one pass over the whole text: emissions blended window by window, one decoding from first to last character."""
-    rng = np.random.default_rng(3)
-    texts = [pii.sentence(rng, int(n))[0][: int(n)] for n in (1, 5, 127, 128, 129, 224, 225, 700, 2500)] + [""]
+    rng = random.Random(3)
+    texts = [pii.sentence(rng, int(n))[0][: int(n)] for n in (1, 5, 127, 128, 129, 232, 233, 700, 2500)] + [""]
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     got = {}
     for place, t in pii.tags(tagger, np.concatenate([pii.classes(t) for t in texts]), bounds):
@@ -116,7 +117,7 @@ def test_windows_blend_and_decoding_is_global(tagger):
 
 
 def test_fast_emissions_equal_plain_ones(tagger):
-    x, _ = pii.labelled(np.random.default_rng(8), 20)
+    x, _ = pii.labelled(random.Random(8), 20)
     plain = np.concatenate([tagger._run(x, "f")[0], tagger._run(x, "b")[0]], 2) @ tagger.p["out"] + tagger.p["off"]
     assert np.allclose(plain, tagger.emissions(x), atol=1e-3)
 
@@ -125,7 +126,7 @@ def test_gradient():
     rng = np.random.default_rng(0)
     t = pii.Tagger(dict(pii.train(steps=1, batch=2).p))
     t.p = {k: v.astype(np.float64) for k, v in t.p.items()}
-    x, y = pii.labelled(rng, 3)
+    x, y = pii.labelled(random.Random(1), 3)
     _, g = t.gradient(x, y)
     for k, v in t.p.items():
         at = tuple(rng.integers(0, n) for n in v.shape)
