@@ -59,7 +59,8 @@ def entry(line: str) -> dict[str, str]:
             continue
         if isinstance(value, dict) and all(f in value for f in ENTRY):
             return {"line": text, "state": state}
-        return {"line": line, "state": "incomplete"}
+        if state == "valid":
+            return {"line": line, "state": "incomplete"}
     return {"line": line, "state": "broken"}
 
 
