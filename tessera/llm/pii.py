@@ -96,7 +96,7 @@ for _c in range(128):
 _CLASS[128:] = len(_SIGNS) + len(_LETTERS) + 3
 TAGS = 1 + 2 * len(KINDS)
 #: Characters of a window, how far windows are apart, how many are read at once.
-LENGTH, STRIDE, GROUP = 128, 104, 640
+LENGTH, STRIDE, GROUP = 128, 108, 1280
 #: Characters of a window in training; no less than those of a window read, whose later states would be new to the tagger.
 TAUGHT = 128
 HIDDEN = 12
@@ -133,40 +133,44 @@ class Tagger:
         return hs, kept
 
     def hidden(self, x: np.ndarray) -> np.ndarray:
-        """States (steps, windows, both directions) of windows of classes. As _run(), with each gate in an array of its own and no
+        """Doubled states (steps, direction, windows) of windows of classes. As _run(), with each gate in an array of its own and no
         copies."""
         n, steps = x.shape
-        both = np.empty((steps, n, 2 * HIDDEN), np.float32)
-        z, part, t1, c = np.empty((4, n, HIDDEN), np.float32), np.empty((4, n, HIDDEN), np.float32), np.empty((n, HIDDEN), np.float32), np.empty((n, HIDDEN), np.float32)
+        both = np.empty((steps, 2, n, HIDDEN), np.float32)
+        z, part, a, c = np.empty((4, n, HIDDEN), np.float32), np.empty((4, n, HIDDEN), np.float32), np.empty((n, HIDDEN), np.float32), np.empty((n, HIDDEN), np.float32)
         xt, cut = np.ascontiguousarray(x.T).astype(np.intp), lambda a: np.ascontiguousarray(a.reshape(len(a), 4, HIDDEN).transpose(1, 0, 2)).astype(np.float32)
-        for d, own in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
-            table, rec, h = cut(self.p["inp" + d] + self.p["bias" + d]), cut(self.p["rec" + d]), np.zeros((n, HIDDEN), np.float32)
+        for way, d in enumerate("fb"):  # gates stay doubled here, as do the states: the halves are in rec, c and the result
+            table, rec, h = cut(self.p["inp" + d] + self.p["bias" + d]), cut(self.p["rec" + d] * 0.5), np.zeros((n, HIDDEN), np.float32)
+            gates = z[:3]
             c[:] = 0
             for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                np.matmul(h, rec, out=z)
                 for k in range(4):
+                    np.dot(h, rec[k], out=z[k])
                     np.take(table[k], xt[t], 0, out=part[k], mode="clip")
                 z += part
                 np.abs(z, out=part)
                 part += 1
                 z /= part
-                gates = z[:3]
-                gates *= 0.5
-                gates += 0.5
+                gates += 1
                 c *= z[1]
-                np.multiply(z[0], z[3], out=t1)
-                c += t1
-                np.abs(c, out=t1)
-                t1 += 1
-                np.divide(c, t1, out=t1)
-                np.multiply(z[2], t1, out=h)
-                both[t, :, own] = h
+                np.multiply(z[0], z[3], out=a)
+                c += a
+                c *= 0.5
+                np.abs(c, out=a)
+                a += 1
+                np.divide(c, a, out=a)
+                h = both[t, way]
+                np.multiply(z[2], a, out=h)
         return both
 
+    def projected(self, x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """(steps, windows, columns): the states of both directions by weights of (both, columns)."""
+        h, w = self.hidden(x), weights.astype(np.float32) * np.float32(0.5)
+        return h[:, 0] @ w[:HIDDEN] + h[:, 1] @ w[HIDDEN:]
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Emissions (windows, steps, tags) of windows of classes."""
-        e = self.hidden(x).reshape(-1, 2 * HIDDEN) @ self.p["out"].astype(np.float32) + self.p["off"].astype(np.float32)
-        return e.reshape(x.shape[1], x.shape[0], TAGS).transpose(1, 0, 2)
+        return (self.projected(x, self.p["out"]) + self.p["off"].astype(np.float32)).transpose(1, 0, 2)
 
     def _unroll(self, x: np.ndarray, d: str, dh: np.ndarray, kept: list, g_: dict[str, np.ndarray]) -> None:
         nh, nc = np.zeros_like(dh[:, 0]), np.zeros_like(dh[:, 0])
@@ -225,17 +229,15 @@ class Tagger:
         et = np.ascontiguousarray(e.transpose(1, 2, 0))
         best, back, end = start.T + et[0], np.zeros((steps, TAGS, n), np.int8), np.zeros((TAGS, n), np.float32)
         end[:, length == 1] = best[:, length == 1]
-        now = np.empty_like(best)
+        now, free = np.empty_like(best), np.concatenate([[0], np.arange(1, TAGS, 2)])
+        into, first, again = moves[:, free][:, :, None], moves[np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)][:, None], moves[np.arange(2, TAGS, 2), np.arange(2, TAGS, 2)][:, None]
         for t in range(1, steps):
-            for b in range(TAGS):
-                if b and b % 2 == 0:  # an inside tag follows its own kind alone
-                    one, two = best[b - 1] + moves[b - 1, b], best[b] + moves[b, b]
-                    back[t, b] = b - 1 + (two > one)
-                    np.maximum(one, two, out=now[b])
-                else:
-                    s = best + moves[:, b : b + 1]
-                    back[t, b] = s.argmax(0)
-                    np.max(s, axis=0, out=now[b])
+            s = best[:, None] + into
+            back[t, free] = s.argmax(0)
+            now[free] = s.max(0)
+            one, two = best[1::2] + first, best[2::2] + again  # an inside tag follows its own kind alone
+            back[t, 2::2] = np.arange(1, TAGS, 2)[:, None] + (two > one)
+            np.maximum(one, two, out=now[2::2])
             now += et[t]
             best, now = now, best
             done = length == t + 1
@@ -425,27 +427,34 @@ def in_doubt(tagger: Tagger, w: _Windows, bounds: np.ndarray, group: int = GROUP
     order = np.concatenate([np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)])
     lead, bare = out[:, order] - out[:, :1], off[order] - off[0]
     gain = np.zeros((int(bounds[-1]) + LENGTH, 2 * kinds), np.float32)
-    tail, step = np.zeros((_OVER, 2 * kinds), np.float32), np.arange(LENGTH)
+    tail = np.zeros((_OVER, 2 * kinds), np.float32)
     for g in range(0, len(w.start), group):
         own = np.arange(g, min(len(w.start), g + group))
-        f = (tagger.hidden(w.read(own)).reshape(-1, 2 * HIDDEN) @ lead + bare).reshape(LENGTH, len(own), 2 * kinds)
-        follows, before = w.rank[own] > 0, np.concatenate([tail[:, None], f[STRIDE:, :-1]], 1)
+        f = tagger.projected(w.read(own), lead) + bare
+        before = np.concatenate([tail[:, None], f[STRIDE:, :-1]], 1)
         tail = f[STRIDE:, -1].copy()
-        f[:_OVER, follows] = f[:_OVER, follows] * _RISE[:, None] + before[:, follows] * (1 - _RISE[:, None])
-        whole = ~w.final[own]
-        gain[step[:STRIDE, None] + w.start[own][whole]] = f[:STRIDE, whole]
+        rise = np.where(w.rank[own] > 0, _RISE, np.float32(1))[:, :, None]  # a text's first window has none before it
+        f[:_OVER] = f[:_OVER] * rise + before * (1 - rise)
+        whole = np.flatnonzero(~w.final[own])
+        place, f_ = w.start[own[whole]], f if len(whole) == len(own) else f[:STRIDE, whole]
+        for t in range(STRIDE):
+            gain[place] = f_[t]
+            place += 1
         for k in np.flatnonzero(w.final[own]):
             m = int(w.end[own[k]] - w.start[own[k]])
             gain[w.start[own[k]] : w.end[own[k]]] = f[:m, k]
     places = []
     for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if j > i:
-            entry, further = gain[i:j, :kinds] + enter, gain[i:j, kinds:] + go_on
-            entry[0] += begin - enter
-            u = np.cumsum(further, axis=0, dtype=np.float64)
-            upto = u + np.maximum.accumulate(entry - u, axis=0)
-            after = np.maximum.accumulate(u[::-1], axis=0)[::-1] - u + leave
-            places.append(i + np.flatnonzero((upto + after >= -1e-2).any(1)))
+            own = np.ascontiguousarray(gain[i:j].T)
+            entry, further = own[:kinds] + enter[:, None], own[kinds:] + go_on[:, None]
+            entry[:, 0] += begin - enter
+            able = np.flatnonzero(entry.max(1) + np.maximum(further, 0).sum(1) + leave >= -1e-2)
+            if len(able):  # for the other kinds no run gains anything, however it lies
+                u = np.cumsum(further[able], axis=1, dtype=np.float64)
+                upto = u + np.maximum.accumulate(entry[able] - u, axis=1)
+                after = np.maximum.accumulate(u[:, ::-1], axis=1)[:, ::-1] - u + leave[able, None]
+                places.append(i + np.flatnonzero((upto + after >= -1e-2).any(0)))
     return np.concatenate(places) if places else np.zeros(0, np.int64)
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -89,7 +90,7 @@ def test_look_alikes_are_left(tagger):
 def test_windows_blend_and_decoding_is_global(tagger):
     """Against one pass over the whole text: emissions blended window by window, one decoding from first to last character."""
     rng = random.Random(3)
-    texts = [pii.sentence(rng, int(n))[0][: int(n)] for n in (1, 5, 127, 128, 129, 232, 233, 700, 2500)] + [""]
+    texts = [pii.sentence(rng, int(n))[0][: int(n)] for n in (1, 5, 127, 128, 129, 236, 237, 700, 2500)] + [""]
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     got = {}
     for place, t in pii.tags(tagger, np.concatenate([pii.classes(t) for t in texts]), bounds):
@@ -116,6 +117,17 @@ def test_windows_blend_and_decoding_is_global(tagger):
     assert got == want and len(want) > 100
 
 
+def test_decoding_equals_all_sequences(tagger):
+    rng = np.random.default_rng(2)
+    e = rng.normal(0, 3, (6, 4, pii.TAGS)).astype(np.float32)
+    length, inner, last = np.array([1, 2, 3, 4, 4, 3]), np.array([0, 1, 0, 1, 1, 0], bool), np.array([1, 1, 0, 0, 1, 0], bool)
+    got, moves = tagger.decode(e, length, inner, last), tagger.p["moves"]
+    for k in range(6):
+        best = max(itertools.product(range(pii.TAGS), repeat=length[k]), key=lambda s: float(
+            moves[0 if inner[k] else pii.TAGS, s[0]] + sum(moves[a, b] for a, b in zip(s, s[1:], strict=False)) + sum(e[k, t, x] for t, x in enumerate(s)) + (0 if last[k] else moves[s[-1], 0])))  # noqa: B023
+        assert tuple(got[k, : length[k]]) == best
+
+
 def test_fast_emissions_equal_plain_ones(tagger):
     x, _ = pii.labelled(random.Random(8), 20)
     plain = np.concatenate([tagger._run(x, "f")[0], tagger._run(x, "b")[0]], 2) @ tagger.p["out"] + tagger.p["off"]
