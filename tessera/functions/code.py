@@ -145,7 +145,8 @@ def cut_large(text: str, d: Definition, most: int = MOST) -> list[str]:
 
 def chunks(text: str, path: str, most: int = MOST) -> list[str]:
     """A chunk for each definition at the top of a file, or for each piece of a large one: what heads the file and its imports, the end
-    of the chunk before, then the definition. A file without definitions, or in another language, is one chunk."""
+    of the chunk before, then the definition. What stands between definitions and after the last one makes one more chunk. A file
+    without definitions, or in another language, is one chunk."""
     lang = language(path)
     found, imports = definitions(text, lang) if lang else ([], [])
     if not found:
@@ -161,4 +162,8 @@ def chunks(text: str, path: str, most: int = MOST) -> list[str]:
             out.append(f"{context}\n\n{mark}{body}" if context else f"{mark}{body}")
             keep = max(int(size(piece) * OVERLAP), LEAST_OVERLAP)
             tail = piece[-keep:]
+    gaps = [text[a.end : b] for a, b in zip(found, [*(d.start for d in found[1:]), len(text)], strict=True)]
+    loose = "\n".join(x for g in gaps for x in g.split("\n") if x.strip() and x.strip() not in known)
+    if loose.strip():
+        out.append(f"{context}\n\n{loose}" if context else loose)
     return out

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import vector
 from tessera.functions.text import content_hash
+from tessera.operators import search, similar
+from tessera.sources.shared import cut
 
 LEAST_LENGTH = 10
 SIMILAR = 0.95
@@ -28,7 +32,8 @@ def hash_matches(incoming: DataFrame, stored: DataFrame, tenant: bool = True) ->
 def nearest(incoming: DataFrame, stored: DataFrame, block: list[str], least: float = SIMILAR) -> DataFrame:
     """For each incoming row the most similar stored row of its block, if similar enough: point_id, existing_id, similarity.
 
-    The block is the equi-join key; the best row is an aggregate with partial results, so a large block makes no list.
+    Exact, and so a product within each block: for small blocks, and to measure similar.near() by. The block is the equi-join key; the
+    best row is an aggregate with partial results, so a large block makes no list.
     """
     s = stored.select(*block, F.col("point_id").alias("existing_id"), F.col("embedding").alias("_e"), vector.norm(F.col("embedding")).alias("_n"))
     i = incoming.select(*block, "point_id", "embedding", vector.norm(F.col("embedding")).alias("_m"))
@@ -38,19 +43,47 @@ def nearest(incoming: DataFrame, stored: DataFrame, block: list[str], least: flo
     return pairs.groupBy("point_id").agg(best.alias("b")).select("point_id", F.col("b.existing_id").alias("existing_id"), F.col("b.similarity").alias("similarity"))
 
 
-def checked(incoming: DataFrame, stored: DataFrame, block: list[str]) -> DataFrame:
-    """point_id, is_duplicate, reason, existing_id: guards, then hashes, then vectors; only what is left reaches the next test."""
+def checked(incoming: DataFrame, stored: DataFrame, block: list[str], near: Callable[[DataFrame, DataFrame, list[str], float], DataFrame] = similar.near) -> DataFrame:
+    """point_id, is_duplicate, reason, existing_id: guards, then hashes, then vectors; only what is left reaches the next test.
+
+    Rows are marked in one pass: a guard and the stored row of equal content stand beside each, which is written once; the vectors of
+    the rest are then looked up, and one join tells what each row is. near: how vectors are looked up, nearest() being exact.
+    """
     n = F.length("content")
     guard = F.when(F.coalesce(n, F.lit(0)) == 0, "empty_content").when(n < LEAST_LENGTH, "content_too_short")
-    rows = incoming.withColumn("_guard", guard)
-    ready = rows.filter("_guard IS NULL")
-    by_hash = hash_matches(ready, stored)
-    rest = ready.join(by_hash.select("point_id"), "point_id", "left_anti")
-    by_vector = nearest(rest, stored, block)
-    out = lambda df, dup, why: df.select("point_id", F.lit(dup).alias("is_duplicate"), why.alias("reason"), F.col("existing_id"))
-    guarded = rows.filter("_guard IS NOT NULL").withColumn("existing_id", F.lit(None).cast("string"))
-    left = rest.join(by_vector.select("point_id"), "point_id", "left_anti").withColumn("existing_id", F.lit(None).cast("string"))
-    return out(guarded, False, F.col("_guard")).unionByName(out(by_hash, True, F.lit("hash_match"))).unionByName(out(by_vector, True, F.lit("semantic_similarity"))).unionByName(out(left, False, F.lit("unique")))
+    keys = ["content_hash", "group_id"]
+    known = stored.select("group_id", content_hash(F.col("content")).alias("content_hash"), F.col("point_id").alias("_id")).groupBy(*keys).agg(F.min("_id").alias("_same"))
+    marked = incoming.select("point_id", "group_id", *(c for c in block if c != "group_id"), "embedding", guard.alias("_guard"), content_hash(F.col("content")).alias("content_hash"))
+    marked = cut(marked.join(known, keys, "left").withColumn("_same", F.when(F.col("_guard").isNull(), F.col("_same"))).drop("content_hash"), "dedup-marked")
+    found = near(marked.filter("_guard IS NULL AND _same IS NULL"), stored, block, SIMILAR).select("point_id", F.col("existing_id").alias("_near"))
+    reason = F.coalesce("_guard", F.when(F.col("_same").isNotNull(), "hash_match").when(F.col("_near").isNotNull(), "semantic_similarity").otherwise("unique"))
+    existing = F.coalesce("_same", "_near")
+    return marked.join(found, "point_id", "left").select("point_id", existing.isNotNull().alias("is_duplicate"), reason.alias("reason"), existing.alias("existing_id"))
+
+
+def across_collections(asked: DataFrame, memories: DataFrame, least: float = 0.85, most: int = 5) -> DataFrame:
+    """point_id, same (rows of other collections with equal content), similar (at most so many ids of other collections, nearest
+    first, where none is equal), collides (another row with its unique_id), is_duplicate (equal or colliding), for a stated set of rows.
+
+    asked and memories: point_id, collection, unique_id, content, embedding. Vectors are compared in broadcast blocks of asked rows.
+    """
+    m = memories.withColumn("_h", content_hash(F.col("content")))
+    a = asked.withColumn("_h", content_hash(F.col("content")))
+    per = m.groupBy("_h", "collection").agg(F.count(F.lit(1)).alias("_n"))
+    total = per.groupBy("_h").agg(F.sum("_n").alias("_all"))
+    own = per.select("_h", "collection", F.col("_n").alias("_own"))
+    same = a.join(total, "_h", "left").join(own, ["_h", "collection"], "left").select("point_id", (F.coalesce("_all", F.lit(0)) - F.coalesce("_own", F.lit(0))).alias("same"))
+    ids = m.filter("unique_id IS NOT NULL").groupBy("unique_id").agg(F.count(F.lit(1)).alias("_ids"))
+    collides = a.filter("unique_id IS NOT NULL").join(ids, "unique_id").select("point_id", (F.col("_ids") > 1).alias("collides"))
+    q = a.select(F.col("point_id").alias("query_id"), F.col("embedding").alias("query"))
+    mine = a.select(F.col("point_id").alias("query_id"), F.col("collection").alias("_c"))
+    pairs = search.scored(m.select("point_id", "collection", "embedding"), q, least).join(mine, "query_id").filter("collection <> _c").withColumn("score", F.round("similarity", 9))
+    near = search.top(pairs, most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "point_id"))).alias("_r"))
+    near = near.select(F.col("query_id").alias("point_id"), F.transform("_r", lambda x: x["point_id"]).alias("_similar"))
+    out = same.join(collides, "point_id", "left").join(near, "point_id", "left")
+    similar_ids = F.when(F.col("same") == 0, F.coalesce("_similar", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    hit = F.coalesce("collides", F.lit(False))
+    return out.select("point_id", "same", similar_ids.alias("similar"), hit.alias("collides"), ((F.col("same") > 0) | hit).alias("is_duplicate"))
 
 
 def within_minutes(messages: DataFrame, keys: list[str], at: str, minutes: int = 5) -> DataFrame:

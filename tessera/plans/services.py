@@ -75,16 +75,16 @@ _F13_ERRORS = [
     (f"len({_MISS(_REQ)}) > 0", f"'Missing required fields: ' || {_SHOW(_REQ)}"),
     (f"coalesce(type, '') <> '' AND type NOT IN {tuple(validation.STORED_TYPES)}", "'Invalid type ''' || type || " + _quote(f"'. Must be one of: {validation.STORED_TYPES}")),
     (f"coalesce(importance, '') <> '' AND importance NOT IN {tuple(validation.IMPORTANCE)}", "'Invalid importance ''' || importance || " + _quote(f"'. Must be: {validation.IMPORTANCE}")),
-    (_EMPTY.format("group_id"), "'Missing group_id field - required for multitenancy'"),
-    (f"type IN {tuple(validation.WITH_REFERENCES)} AND NOT regexp_matches(content, {_quote(validation.REFERENCE)})", "'Missing file:line references. Type ''' || type || ''' REQUIRES format: src/path/file.py:89-234. Add at least one reference to make memory actionable.'"),
-    ("length(content) // 4 > 1200", "'Content exceeds max tokens per shard: ' || (length(content) // 4) || ' > 1200. Split into multiple shards.'"),
+    (_EMPTY.format("group_id"), "'no-tenant: group_id is empty'"),
+    (f"type IN {tuple(validation.WITH_REFERENCES)} AND NOT regexp_matches(content, {_quote(validation.REFERENCE)})", "'no-reference: ' || type || ' names no file with a line'"),
+    ("length(content) // 4 > 1200", "'too-many-tokens: ' || (length(content) // 4) || ' of 1200'"),
 ]
 _F13_WARNINGS = [
-    (f"len({_MISS(_REC)}) > 0", f"'Missing recommended fields: ' || {_SHOW(_REC)}"),
-    (f"len(list_filter({_BLOCK_LINES}, lambda n: n > 10)) > 0", f"array_to_string(list_transform(list_filter({_BLOCK_LINES}, lambda n: n > 10), lambda n: 'Code snippet has ' || n || ' lines. Optimal: 3-10 lines for quick comprehension. Consider reducing or linking to full file.'), '; ')"),
-    ("length(content) < 50", "'Content too short (' || length(content) || ' chars). Minimum 50 chars for meaningful knowledge.'"),
-    ("length(content) > 50000", "'Content too long (' || length(content) || ' chars). Maximum 50000 chars. Consider splitting.'"),
-] + [(f"contains(upper(content), '{p}')", _quote(f"Content contains placeholder text: '{p}'")) for p in validation.PLACEHOLDERS]
+    (f"len({_MISS(_REC)}) > 0", f"'advised-fields: ' || {_SHOW(_REC)}"),
+    (f"len(list_filter({_BLOCK_LINES}, lambda n: n > 10)) > 0", f"array_to_string(list_transform(list_filter({_BLOCK_LINES}, lambda n: n > 10), lambda n: 'long-snippet: ' || n || ' lines of 10'), '; ')"),
+    ("length(content) < 50", "'short-content: ' || length(content) || ' of 50'"),
+    ("length(content) > 50000", "'long-content: ' || length(content) || ' of 50000'"),
+] + [(f"contains(upper(content), '{p}')", _quote(f"placeholder: {p}")) for p in validation.PLACEHOLDERS]
 
 
 @query("F13_storage_validation", f"SELECT doc_id, {_said(_F13_ERRORS)} AS errors, {_said(_F13_WARNINGS)} AS warnings, (length(content) // 4)::INT AS tokens FROM {_PAYLOADS}")
@@ -95,15 +95,15 @@ def storage_validation(spark, d):
 
 
 _F14_ERRORS = [
-    (f"len({_MISS(_REQ)}) > 0", f"'Missing required fields: ' || array_to_string({_MISS(_REQ)}, ', ')"), (_EMPTY.format("type"), "'Missing type field'"),
+    (f"len({_MISS(_REQ)}) > 0", f"'Missing required fields: ' || array_to_string({_MISS(_REQ)}, ', ')"), (_EMPTY.format("type"), "'no-type: type is empty'"),
     (f"coalesce(type, '') <> '' AND type NOT IN {tuple(validation.STORED_TYPES)}", "'Invalid type ''' || type || " + _quote(f"'. Must be one of: {', '.join(validation.STORED_TYPES)}")),
     (f"coalesce(importance, '') <> '' AND importance NOT IN {tuple(validation.IMPORTANCE)}", "'Invalid importance ''' || importance || " + _quote(f"'. Must be: {', '.join(validation.IMPORTANCE)}")),
-    (_EMPTY.format("source_hook"), "'Missing source_hook field'"), (_EMPTY.format("group_id"), "'Missing group_id field - required for multitenancy'"),
-    ("length(group_id) BETWEEN 1 AND 2", "'group_id ''' || group_id || ''' too short (min 3 characters)'"), ("length(unique_id) BETWEEN 1 AND 4", "'unique_id ''' || unique_id || ''' too short (min 5 characters)'"),
-    ("NOT regexp_matches(created_at, '^[0-9]{4}-[0-9]{2}-[0-9]{2}')", "'created_at ''' || created_at || ''' must be ISO 8601 format (YYYY-MM-DD)'"), ("length(component) = 1", "'component ''' || component || ''' too short (min 2 characters)'"),
+    (_EMPTY.format("source_hook"), "'no-hook: source_hook is empty'"), (_EMPTY.format("group_id"), "'no-tenant: group_id is empty'"),
+    ("length(group_id) BETWEEN 1 AND 2", "'short-value: group_id ''' || group_id || ''''"), ("length(unique_id) BETWEEN 1 AND 4", "'short-value: unique_id ''' || unique_id || ''''"),
+    ("NOT regexp_matches(created_at, '^[0-9]{4}-[0-9]{2}-[0-9]{2}')", "'odd-date: created_at ''' || created_at || ''''"), ("length(component) = 1", "'short-value: component ''' || component || ''''"),
 ]
-_F14_WARNINGS = [(f"coalesce(agent, '') <> '' AND agent NOT IN {tuple(validation.AGENTS)}", "'Agent ''' || agent || " + _quote(f"' not in standard list: {', '.join(validation.AGENTS)}"))] + [
-    (f"type = '{t}' AND unique_id IS NOT NULL AND NOT starts_with(unique_id, '{p}')", f"'unique_id ''' || unique_id || ''' doesn''t follow expected format for ''{t}''. Expected prefix: {p}'") for t, p in (("implementation", "impl-"), ("error_pattern", "error-"))]
+_F14_WARNINGS = [(f"coalesce(agent, '') <> '' AND agent NOT IN {tuple(validation.AGENTS)}", "'unknown-agent: ''' || agent || ''''")] + [
+    (f"type = '{t}' AND unique_id IS NOT NULL AND NOT starts_with(unique_id, '{p}')", f"'odd-prefix: unique_id ''' || unique_id || ''' of a {t}'") for t, p in (("implementation", "impl-"), ("error_pattern", "error-"))]
 
 
 @query("F14_metadata_validation", f"SELECT doc_id, {_said(_F14_ERRORS)} AS errors, {_said(_F14_WARNINGS)} AS warnings FROM {_PAYLOADS}")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +11,10 @@ from tessera.plans import tables
 from tessera.plans.registry import query
 from tessera.plans.tables import code, exposed, memories, prompts, queries_table, sessions, table
 from tessera.sources import files
+from tessera.sources.shared import shared_dir as _shared
 from tessera.streaming import state
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = root or f"file://{os.path.join(tempfile.gettempdir(), 'tessera-checkpoints')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of its files."""
     schema, path = table(spark, sf_dir, name).schema, spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")

@@ -89,3 +89,15 @@ def test_pieces_of_the_prose_chunker():
     assert chunking.by_sentences("One is here. Two is here. Three is here. Ok.", 26, 8) == ["One is here. Two is here.", "Three is here. Ok."]
     assert chunking.with_overlap(["first words of it", "second"], 100, 0.1) == ["first words of it", "...of it second"]
     assert chunking.sub_chunks("x" * 10, 20) == ["x" * 10] and len(chunking.sub_chunks("\n".join(["line " * 20] * 100), 1024)) > 3
+
+
+def test_code_between_and_after_definitions_is_kept():
+    got = code.chunks("import os\n\ndef f():\n    return 1\n\nX = 5\n\ndef g():\n    return 2\n\nif __name__ == '__main__':\n    f()\n", "a.py")
+    assert len(got) == 3 and got[2] == "import os\n\nX = 5\nif __name__ == '__main__':\n    f()"
+    assert "const late" in code.chunks("function f() {\n  return 1\n}\nlet x = 1\nconst late = 2\n", "a.js")[-1]
+
+
+def test_texts_that_are_short_throughout_are_kept():
+    assert chunking.by_sentences("Ok.", 400, 80) == ["Ok."] and chunking.by_sentences("", 400, 80) == []
+    assert chunking.by_sentences("Ok. " + "A long sentence of words. " * 9, 60, 20)[0].startswith("Ok. A long")
+    assert chunking.by_words("", 10) == [] and chunking.by_words("a b", 3) == ["a b"] and chunking.by_words("a bc", 3) == ["a", "bc"]
