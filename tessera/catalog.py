@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import more, relational, retrieval, search, services, stateful, text  # noqa: F401  (each module registers its queries)
+from tessera.plans import more, relational, retrieval, search, services, stateful, states, text  # noqa: F401  (each module registers its queries)
 from tessera.plans.registry import QUERIES, SQL, Query
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import phrases
 from tessera.functions.text import extension, file_name, strip
 
 # What each intent is told by, in the order in which intents are tried.
@@ -92,10 +93,9 @@ def intent(text: Column) -> Column:
     return F.when(any_of(t, WHY), "why").when(any_of(t, WHAT), "what").when(any_of(t, HOW), "how").otherwise("unknown")
 
 
-def first_phrase(text: Column, phrases: list[str]) -> Column:
-    """The first phrase of a list that a text holds, whatever its case; null where none."""
-    t = F.lower(text)
-    return F.coalesce(*(F.when(F.contains(t, F.lit(p)), F.lit(p)) for p in phrases))
+def triggers(text: Column) -> Column:
+    """decision, session, practice, why, what, how: the first phrase of each list that a text holds, all lists in one pass."""
+    return phrases.first_of_each(text, {"decision": DECISION_PHRASES, "session": SESSION_PHRASES, "practice": PRACTICE_PHRASES, "why": WHY, "what": WHAT, "how": HOW})
 
 
 def _after(text: Column, phrase: Column) -> Column:
@@ -107,20 +107,20 @@ def _question(text: Column) -> Column:
 
 
 def decision_topic(text: Column) -> Column:
-    p = first_phrase(text, DECISION_PHRASES)
+    p = triggers(text)["decision"]
     topic = _question(_after(text, p))
     return F.when(p.isNull(), None).when(topic != "", topic).otherwise(_question(text))
 
 
 def session_topic(text: Column) -> Column:
-    p = first_phrase(text, SESSION_PHRASES)
+    p = triggers(text)["session"]
     topic = _question(_after(text, p))
     return F.when(p.isNull(), None).when(topic != "", topic).otherwise(p)
 
 
 def practice_topic(text: Column) -> Column:
     """What follows the phrase, less plural endings and filler words, in their order; else the three words before it."""
-    p = first_phrase(text, PRACTICE_PHRASES)
+    p = triggers(text)["practice"]
     at = F.instr(F.lower(text), p)
     topic = strip(F.regexp_replace(F.substr(text, at + F.length(p), F.length(text)), "^[esES]+", ""))
     for word in FILLERS:
@@ -133,8 +133,9 @@ def practice_topic(text: Column) -> Column:
 
 def routes(text: Column) -> Column:
     """Collections to search, with ! after those that all tenants share."""
-    told = F.array_compact(F.array(F.when(first_phrase(text, DECISION_PHRASES).isNotNull() | first_phrase(text, SESSION_PHRASES).isNotNull(), F.lit("discussions")), F.when(practice_topic(text).isNotNull(), F.lit("conventions!"))))
-    asked = intent(text)
+    t = triggers(text)
+    told = F.array_compact(F.array(F.when(t["decision"].isNotNull() | t["session"].isNotNull(), F.lit("discussions")), F.when(practice_topic(text).isNotNull(), F.lit("conventions!"))))
+    asked = F.when(t["why"].isNotNull(), "why").when(t["what"].isNotNull(), "what").when(t["how"].isNotNull(), "how").otherwise("unknown")
     by_intent = F.when(asked == "unknown", F.array(F.lit("discussions"), F.lit("code-patterns"), F.lit("conventions!"))).when(asked == "what", F.array(F.lit("conventions!"))).when(asked == "how", F.array(F.lit("code-patterns"))).otherwise(F.array(F.lit("discussions")))
     return F.when(F.size(told) > 0, told).when(F.rlike(text, F.lit(CODE_PATH)), F.array(F.lit("code-patterns"))).otherwise(by_intent)
 
@@ -248,6 +249,36 @@ def story(text: Column) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in ("(?i)Story\\s+(\\d+\\.\\d+)", "(?i)Epic\\s+(\\d+)", "(?i)\\b([A-Z]+-\\d+)\\b")))
 
 
+# Folders whose next part is a component, and how types of files are called.
+COMPONENT_FOLDERS = ["src", "tests", "scripts", "hooks", "memory", "docker", "monitoring", "lib", "pkg", "cmd", "app", "internal", "api", "components", "pages", "controllers", "models", "views", "services", "utils", "helpers"]
+FILE_TYPES = {
+    "py": "Python", "md": "Markdown", "yaml": "YAML", "yml": "YAML", "json": "JSON", "sh": "Shell script", "js": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript React", "jsx": "JavaScript React", "go": "Go", "rs": "Rust",
+    "java": "Java", "cpp": "C++", "c": "C", "h": "C/C++ Header", "rb": "Ruby", "php": "PHP", "swift": "Swift", "kt": "Kotlin", "xml": "XML", "toml": "TOML", "ini": "INI", "css": "CSS", "html": "HTML", "sql": "SQL",
+}
+
+
+def read_context(path: Column) -> Column:
+    """file_type, component, question of a file that is read; null for files without an extension. The component is the part after
+    the first folder that is known to hold components, or that folder where it is the last part."""
+    kind = F.nullif(F.regexp_extract(path, "[^/.]\\.([^./]*)$", 1), F.lit(""))
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    at = F.array_position(F.transform(parts, lambda p: p.isin(*COMPONENT_FOLDERS)), True).cast("int")
+    part = F.when(at > 0, F.coalesce(F.get(parts, at), F.get(parts, at - 1))).otherwise("")
+    called = F.coalesce(mapped(FILE_TYPES, kind), F.upper(kind))
+    asked = F.concat(F.lit("Best practices for "), called, F.lit(" files"), F.when(part != "", F.concat(F.lit(" in "), part, F.lit(" component"))).otherwise(""))
+    return F.when(kind.isNotNull(), F.struct(kind.alias("file_type"), part.alias("component"), asked.alias("question")))
+
+
+def migrated_type(content: Column, kind: Column) -> Column:
+    """The type of an agent's memory in the collections of today, from what it says: decisions and blockers by their numbers, summaries
+    of sessions, preferences by their words, else context."""
+    says = lambda p: F.rlike(F.coalesce(content, F.lit("")), F.lit(p))
+    return (
+        F.when(says("(?i)\\bDEC-\\d+\\b"), "decision").when(says("(?i)\\bBLK-\\d+\\b"), "blocker").when(kind == "session_summary", "session")
+        .when(says("(?i)\\b(?:prefer|preference|like|dislike)\\b"), "preference").otherwise("context")
+    )
+
+
 def collection_of(kind: Column) -> Column:
     told = [F.when(kind.isin(*kinds), F.lit(name)) for name, kinds in TYPE_COLLECTION.items()]
     return F.coalesce(*told, F.lit("code-patterns"))

@@ -121,7 +121,7 @@ def definitions(text: str, lang: str) -> tuple[list[Definition], list[str]]:
     """Definitions at the top of a file and its imports; none where it cannot be read."""
     try:
         return _python(text) if lang == "python" else _braced(text, lang)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
         return [], []
 
 

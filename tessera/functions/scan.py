@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Callable
@@ -81,6 +82,51 @@ def persons(text: str, tagger: Callable[[list[str]], list[list[tuple[int, int]]]
     return out
 
 
+#: What may be a secret: runs of signs that keys and tokens are made of; the window that is measured, and the bits a character that
+#: one must have: fewer where all signs are hexadecimal digits.
+_RUN = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
+_HEX = re.compile(r"[0-9A-Fa-f]+")
+WINDOW, BITS, HEX_BITS = 20, 3.9, 3.0
+_PART = [n * math.log2(n) if n else 0.0 for n in range(WINDOW + 1)]
+
+
+def high_entropy(text: str) -> list[Finding]:
+    """Places where a window of characters is too evenly mixed for words: runs of such windows, one after the other. A run must hold a
+    letter and a digit. The measure of a window follows from the one before by the characters that leave and enter, so the scan takes
+    time in proportion to the text."""
+    out: list[Finding] = []
+    for run in _RUN.finditer(text):
+        t, first = run.group(0), run.start()
+        least = HEX_BITS if _HEX.fullmatch(t) else BITS
+        count: dict[str, int] = {}
+        mixed, begin, end = 0.0, -1, -1
+        for i, c in enumerate(t):
+            if i >= WINDOW:
+                n = count[old := t[i - WINDOW]]
+                count[old] = n - 1
+                mixed += _PART[n - 1] - _PART[n]
+            n = count.get(c, 0)
+            count[c] = n + 1
+            mixed += _PART[n + 1] - _PART[n]
+            if i >= WINDOW - 1 and math.log2(WINDOW) - mixed / WINDOW >= least - 1e-9:
+                if begin >= 0 and i - WINDOW + 1 > end:
+                    out.append(_entropic(text, first + begin, first + end))
+                    begin = -1
+                begin, end = (i - WINDOW + 1 if begin < 0 else begin), i + 1
+        if begin >= 0:
+            out.append(_entropic(text, first + begin, first + end))
+    return [f for f in out if re.search(r"\d", f[3]) and re.search(r"[A-Za-z]", f[3])]
+
+
+def _entropic(text: str, start: int, end: int) -> Finding:
+    return ("secret_high_entropy", start, end, text[start:end], None, 0.85)
+
+
+def entropy_findings(text: Column) -> Column:
+    """The findings of the entropy layer."""
+    return column(lambda t: [_row(f) for f in high_entropy(t)], FINDINGS, text)
+
+
 def is_luhn(text: Column) -> Column:
     return F.call_function("luhn_check", F.regexp_replace(text, "[^0-9]", ""))
 
@@ -118,12 +164,16 @@ def masked(text: Column, found: Column | None = None) -> Column:
     return column(lambda t: mask(t, resolve(find(t))), "string", text)
 
 
-def scanned(text: Column, mode: Column) -> Column:
-    """action and content: off passes everything, a secret blocks, personal data is masked. Only what is left is masked."""
-    clean = masked(F.when((mode != "off") & ~has_secret(text), text))
+def scanned(text: Column, mode: Column, strict: bool = False) -> Column:
+    """action and content: off passes everything, a secret blocks, personal data is masked. Only what is left is masked. strict: rows
+    of the mode "strict" also go through the entropy layer, whose findings block like secrets."""
+    secret = has_secret(text)
+    if strict:
+        secret |= F.coalesce(F.size(entropy_findings(F.when(mode == "strict", text))) > 0, F.lit(False))
+    clean = masked(F.when((mode != "off") & ~secret, text))
     return (
         F.when(mode == "off", F.struct(F.lit("passed").alias("action"), text.alias("content")))
-        .when(has_secret(text), F.struct(F.lit("blocked").alias("action"), F.lit("").alias("content")))
+        .when(secret, F.struct(F.lit("blocked").alias("action"), F.lit("").alias("content")))
         .when(clean != text, F.struct(F.lit("masked").alias("action"), clean.alias("content")))
         .otherwise(F.struct(F.lit("passed").alias("action"), text.alias("content")))
     )

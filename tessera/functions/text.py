@@ -108,3 +108,22 @@ def context_header(path: Column, symbols: Column, imports: Column, language: Col
     scope = F.when(F.size(symbols) >= 2, F.concat(F.lit("Class: "), symbols[0], F.lit(" | Method: "), F.get(symbols, 1))).when(F.size(symbols) == 1, F.concat(F.lit("Symbol: "), symbols[0]))
     used = F.when(F.size(imports) > 0, F.concat(F.lit("Imports: "), F.array_join(F.slice(imports, 1, 5), ", ")))
     return F.concat(F.lit("# "), F.concat_ws(" | ", F.concat(F.lit("File: "), path), scope, used, F.concat(F.lit("Language: "), language)))
+
+
+# Names of projects of places that are none, folders for what is temporary, and what a temporary folder's name holds.
+ROOT, HOME, TEMPORARY = "root-project", "home-project", "temp-project"
+TEMPORARY_FOLDERS, TEMPORARY_NAMES = ["/tmp", "/var/tmp"], ["build", "tmp", "cache", "temp"]
+
+
+def project(named: Column, folder: Column, home: Column, remote: Column) -> Column:
+    """The project of a folder: the name it is given; else what its place says (root, home, temporary); else the repository of its
+    remote; else its own name."""
+    place = F.when(F.rlike(folder, F.lit("^/+$")), F.lit("/")).otherwise(F.regexp_replace(folder, "/+$", ""))
+    parent, name = F.regexp_replace(place, "/[^/]*$", ""), file_name(place)
+    temporary = place.isin(*TEMPORARY_FOLDERS)
+    for word in TEMPORARY_NAMES:
+        temporary |= parent.isin(*TEMPORARY_FOLDERS) & F.contains(F.lower(name), F.lit(word))
+    return (
+        F.when(strip(F.coalesce(named, F.lit(""))) != "", project_name(named)).when(folder.isNull(), F.lit("unknown-project")).when(place == "/", ROOT)
+        .when(place == home, HOME).when(temporary, TEMPORARY).otherwise(F.coalesce(repository_slug(remote), project_name(name)))
+    )

@@ -45,6 +45,29 @@ def reembedded(rows: DataFrame, embed: Callable[[DataFrame], DataFrame], done: D
     return new, progress
 
 
+def embed_pending(rows: DataFrame, embed: Callable[[DataFrame], DataFrame], key: str = "point_id") -> DataFrame:
+    """rows (content, embedding, embedding_status) with what is pending embedded: those get a vector and are complete; rows without
+    content stay pending. Only pending rows are embedded."""
+    todo = rows.filter((F.col("embedding_status") == "pending") & (F.coalesce(F.trim("content"), F.lit("")) != "")).select(key, "content")
+    new = embed(todo).filter("embedding IS NOT NULL").select(key, "embedding", F.lit("complete").alias("embedding_status"))
+    return updated(rows, new, key, ["embedding", "embedding_status"])
+
+
+def embed_by_offset(rows: DataFrame, embed: Callable[[DataFrame], DataFrame], size: int, key: str) -> DataFrame:
+    """key, i, content, embedding of every piece of so many characters of each content, in order of place."""
+    n = F.ceil(F.length("content") / size)
+    at = F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    pieces = rows.filter(n > 0).select(key, at.alias("i"), "content").select(key, "i", F.substr("content", (F.col("i") * size + 1).cast("int"), F.lit(size)).alias("content"))
+    return embed(pieces)
+
+
+def purged(memories: DataFrame, collections: list[str], group_id: str | None, cutoff: Column) -> DataFrame:
+    """What a purge leaves: all but what was stored before the cutoff in some collections, of one tenant or of all. Rows without a
+    time stay."""
+    old = F.col("collection").isin(*collections) & (F.col("stored_at") < cutoff)
+    return memories.filter(~F.coalesce(old if group_id is None else old & (F.col("group_id") == group_id), F.lit(False)))
+
+
 ENTRY = ("content", "group_id", "memory_type")
 
 

@@ -39,6 +39,16 @@ def reason(known: Column, matches: Column, count: Column) -> Column:
     )
 
 
+def scanned(memories: DataFrame, blobs: DataFrame, commits: DataFrame) -> DataFrame:
+    """point_id, collection, tier, reason of memories (file_path, blob_hash, stored_at): ground truth is whether their file is among
+    the current blobs (file_path, blob_hash), and whether its hash is still the one that they were stored with; a memory that was
+    stored without a hash is judged by the changes alone."""
+    now = blobs.groupBy("file_path").agg(F.max("blob_hash").alias("_now"))
+    m = changes_since(memories, commits).join(now, "file_path", "left")
+    known, same, n = F.col("_now").isNotNull(), F.col("blob_hash") == F.col("_now"), F.col("commit_count")
+    return m.select("point_id", "collection", tier(known, same, n).alias("tier"), reason(known, same, n).alias("reason"))
+
+
 def penalty(status: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in PENALTY.items() for x in kv)), F.coalesce(status, F.lit("unverified"))), F.lit(PENALTY["unknown"]))
 

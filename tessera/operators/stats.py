@@ -48,6 +48,31 @@ def increase(series: DataFrame, by: list[str], at: str, value: str) -> DataFrame
     return d.groupBy(*by).agg(F.sum("_d").alias("increase"), F.count_if("_r").alias("resets"))
 
 
+def over_range(series: DataFrame, by: list[str], at: str, value: str, seconds: int) -> DataFrame:
+    """by, at, increase, rate, changes of a counter over the time before each sample, the sample included: a frame of a range of time.
+
+    at: a whole number of seconds, no two samples of a series alike. A fall is a restart from 0 wherever it stands in the frame. What
+    the frame's samples show is stretched to its edge: to the edge itself where the first sample is as near as samples are apart (to a
+    tenth), else by half of what they are apart, but never below what makes the counter 0. Fewer than two samples give null.
+    """
+    w = Window.partitionBy(*by).orderBy(at)
+    step = F.col(value) - F.lag(value).over(w)
+    grown = F.coalesce(F.when(step >= 0, step).otherwise(F.when(step < 0, F.col(value))), F.lit(0.0))
+    s = series.withColumn("_g", grown).withColumn("_c", F.coalesce((step != 0).cast("long"), F.lit(0)))
+    s = s.withColumn("_sum", F.sum("_g").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_changes", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    frame = w.rangeBetween(-(seconds - 1), 0)
+    first = lambda c: F.first(c).over(frame)
+    s = s.select(*by, at, "_sum", "_changes", F.count(F.lit(1)).over(frame).alias("_n"), first("_sum").alias("_s0"), first("_changes").alias("_c0"), first(at).alias("_t0"), first(value).alias("_v0"))
+    raw, span = F.col("_sum") - F.col("_s0"), (F.col(at) - F.col("_t0")).cast("double")
+    apart = span / (F.col("_n") - 1)
+    before = (F.col("_t0") - (F.col(at) - seconds)).cast("double")
+    reach = F.when(before < apart * 1.1, before).otherwise(apart / 2)
+    zero = F.when((raw > 0) & (F.col("_v0") >= 0), span * F.col("_v0") / raw)
+    stretched = raw * (span + F.least(reach, F.coalesce(zero, reach))) / span
+    two = F.col("_n") > 1
+    return s.select(*by, at, F.when(two, stretched).alias("increase"), F.when(two, stretched / seconds).alias("rate"), (F.col("_changes") - F.col("_c0")).alias("changes"))
+
+
 def ready(queue: DataFrame, now: Column) -> DataFrame:
     return queue.filter((F.col("next_retry_at") <= now) & (F.col("retry_count") < F.col("max_retries")))
 

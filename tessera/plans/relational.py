@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions import classify, text, vector
-from tessera.operators import dedup, freshness, packing, search, stats, versions
+from tessera.functions import classify, errors, text, validation, vector
+from tessera.operators import backfill, dedup, freshness, packing, search, stats, versions
 from tessera.plans import tables
 from tessera.plans.registry import query
 from tessera.plans.tables import NOW, code, commits, memories, prompts, queries_table, queue, sessions, table
@@ -77,6 +77,13 @@ def purge(spark, d):
     return memories(spark, d).filter(F.col("stored_at") < cutoff).groupBy("collection").agg(F.count(F.lit(1)).alias("purgeable"), F.min("stored_at").cast("timestamp_ntz").alias("oldest"))
 
 
+@query("S10_purge_applied", f"SELECT point_id, collection FROM {_M} WHERE NOT (collection IN ('discussions', 'github') AND group_id = 'g3' AND stored_at < {_SQLNOW} - INTERVAL 14 DAY)")
+def purge_applied(spark, d):
+    days = text.duration_days(F.lit("2w"))
+    cutoff = F.timestamp_micros(F.unix_micros(_now()) - days.cast("long") * 86_400_000_000)
+    return backfill.purged(memories(spark, d), ["discussions", "github"], "g3", cutoff).select("point_id", "collection")
+
+
 @query("S22_seed_new_hashes", "SELECT doc_id FROM {prompts} WHERE prompt NOT IN (SELECT prompt FROM {prompts} WHERE doc_id < 10)")
 def seed(spark, d):
     p = prompts(spark, d).withColumn("h", text.content_hash(F.col("prompt")))
@@ -120,11 +127,30 @@ def logs(spark, d):
     return table(spark, d, "events").filter((F.col("event_type") == "view") & (F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")) & (F.col("value") >= 20)).select("event_id")
 
 
-@query("F15_template_validation", "SELECT doc_id, length(prompt) BETWEEN 10 AND 60 AND NOT regexp_matches(prompt, '(?i)traceback|failed') AS valid, array_to_string(list_sort(list_distinct(list_filter(string_split(lower(prompt), ' '), lambda x: x <> ''))), ',') AS tags FROM {prompts}")
+_TEXTS = ["Never use eval(x) on input", "Use eval( to run it quickly here", "a <script>alert</script> tag", "render {{ name }} here", "short", "Prefer small functions with names", "Some words that stand far from it, avoid this. And then much later comes eval(y)", "  Javascript:void is bad  "]
+_DOMAINS, _TKINDS, _TIMPORT = ["Python ", "g", "docker", None], ["rule", None, "port", "essay"], ["high", None, "urgent", "low", "medium"]
+_TAGS, _LINKS = ["A,a ,b", "x<y,z", None, "one", ",".join(f"t{i}" for i in range(11)), "L" * 51], ["https://a.example/x", None, "ftp://b.example", " http://c.example "]
+
+
+def _templates(spark, d):
+    """Templates of every fault, and whole texts as templates."""
+    k = F.col("doc_id")
+    body = F.when(k % 9 == 8, F.col("text")).otherwise(tables.pick(_TEXTS, k))
+    return table(spark, d, "documents").select("doc_id", body.alias("content"), tables.pick(_DOMAINS, F.floor(k / 2)).alias("domain"), tables.pick(_TKINDS, F.floor(k / 3)).alias("type"), tables.pick(_TIMPORT, F.floor(k / 4)).alias("importance"), F.split(tables.pick(_TAGS, F.floor(k / 5)), ",").alias("tags"), tables.pick(_LINKS, F.floor(k / 7)).alias("source"))
+
+
+_TPL = "(SELECT doc_id, CASE WHEN doc_id % 9 = 8 THEN text ELSE " + tables.pick_sql(_TEXTS, "doc_id") + " END AS content, " + ", ".join(f"{tables.pick_sql(v, f'doc_id // {n}')} AS {c}" for c, v, n in (("domain", _DOMAINS, 2), ("type", _TKINDS, 3), ("importance", _TIMPORT, 4), ("rawtags", _TAGS, 5), ("source", _LINKS, 7))) + " FROM documents)"
+_PLAIN = "coalesce(list_transform(string_split(rawtags, ','), lambda t: trim(lower(t))), [])"
+_SAFE = "(" + " OR ".join("contains(near, '" + w.replace("'", "''") + "')" for w in validation.WARNED) + ")"
+_FAULTS = [("coalesce(length(content), 0) < 10", "content:short"), ("length(content) > 2000", "content:long"), *((f"contains(lower(content), '{p}')", f"content:{p}") for p in validation.DANGEROUS), (f"pos > 0 AND NOT {_SAFE}", "content:eval("), ("coalesce(length(domain), 0) < 2", "domain:short"), ("length(domain) > 50", "domain:long"),
+           ("type NOT IN ('rule', 'guideline', 'port', 'naming', 'structure')", "type:unknown"), ("importance NOT IN ('high', 'medium', 'low')", "importance:unknown"), ("len(string_split(rawtags, ',')) > 10", "tags:many"), ("len(list_filter(plain, lambda t: length(t) > 50)) > 0", "tags:long"), ("len(list_filter(plain, lambda t: regexp_matches(t, '[<>{};]'))) > 0", "tags:signs"),
+           ("length(source) > 500", "source:long"), ("NOT regexp_matches(trim(source), '^https?://')", "source:address")]
+
+
+@query("F15_template_validation", f"SELECT doc_id, concat_ws(',', {', '.join(f'CASE WHEN {c} THEN {chr(39)}{m}{chr(39)} END' for c, m in _FAULTS)}) AS errors, lower(trim(domain)) AS domain, coalesce(type, 'guideline') AS type, array_to_string(list_transform(list_sort(list_distinct(list_transform(plain, lambda t: {{'p': list_position(plain, t), 't': t}}))), lambda s: s.t), ',') AS tags FROM (SELECT *, substr(lower(content), greatest(pos - 30, 1), pos - greatest(pos - 30, 1) + 10) AS near FROM (SELECT *, strpos(lower(content), 'eval(') AS pos, {_PLAIN} AS plain FROM {_TPL}))")
 def template_validation(spark, d):
-    p = F.col("prompt")
-    tags = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(p), " "), lambda x: x != "")))
-    return prompts(spark, d).select("doc_id", (F.length(p).between(10, 60) & ~F.rlike(p, F.lit("(?i)traceback|failed"))).alias("valid"), F.array_join(tags, ",").alias("tags"))
+    r = validation.template_report(*(F.col(c) for c in ("content", "domain", "type", "importance", "tags", "source")))
+    return _templates(spark, d).select("doc_id", r.alias("r")).select("doc_id", F.array_join("r.errors", ",").alias("errors"), "r.domain", "r.type", F.array_join("r.tags", ",").alias("tags"))
 
 
 @query("F22_trace_filter", "SELECT event_id FROM events WHERE event_type IN ('click', 'error') AND (user_id % 3 = 0 OR user_id % 5 = 0)")
@@ -154,37 +180,43 @@ def commits_since(spark, d):
     return freshness.changes_since(memories(spark, d), commits(spark, d)).select("point_id", "commit_count")
 
 
-_TIER = "CASE WHEN vec_id % 17 = 0 THEN 'unknown' WHEN vec_id % 13 = 0 THEN 'expired' WHEN n >= 25 THEN 'expired' WHEN n >= 10 THEN 'stale' WHEN n >= 3 THEN 'aging' ELSE 'fresh' END"
+_BLOBS = "SELECT doc_id % 55 AS k, md5(arg_max(text, doc_id)) AS newest, md5(arg_min(text, doc_id)) AS oldest FROM documents WHERE doc_id % 55 < 50 GROUP BY 1"
+_TRUTH = f"SELECT c.*, newest IS NOT NULL AS known, CASE WHEN vec_id % 4 = 0 THEN oldest ELSE newest END = newest AS same FROM ({_COUNTS}) c LEFT JOIN ({_BLOBS}) b ON b.k = c.vec_id % 55"
+_TIER = "CASE WHEN NOT known THEN 'unknown' WHEN NOT same THEN 'expired' WHEN n >= 25 THEN 'expired' WHEN n >= 10 THEN 'stale' WHEN n >= 3 THEN 'aging' ELSE 'fresh' END"
 
 
 def _tiers(spark, d):
-    m = freshness.changes_since(memories(spark, d), commits(spark, d))
-    known, same, n = F.col("vec_id") % 17 != 0, F.col("vec_id") % 13 != 0, F.col("commit_count")
-    return m.select("point_id", "collection", freshness.tier(known, same, n).alias("tier"), freshness.reason(known, same, n).alias("reason"))
+    """Files are documents: of each file the newest one is its blob now; every fourth memory was stored with the oldest. Some files are
+    gone."""
+    k = F.col("doc_id")
+    path = F.concat(F.lit("src/m"), (k % 11).cast("string"), tables.pick(tables.EXTENSIONS, k))
+    files = table(spark, d, "documents").filter(k % 55 < 50).groupBy(path.alias("file_path")).agg(*(F.md5(F.encode(f("text", "doc_id"), "UTF-8")).alias(n) for n, f in (("newest", F.max_by), ("oldest", F.min_by))))
+    m = memories(spark, d).join(files, "file_path", "left").withColumn("blob_hash", F.when(F.col("vec_id") % 4 == 0, F.col("oldest")).otherwise(F.col("newest"))).drop("oldest", "newest")
+    return freshness.scanned(m, files.select("file_path", F.col("newest").alias("blob_hash")), commits(spark, d))
 
 
-@query("N1_freshness_scan", f"SELECT point_id, {_TIER} AS tier FROM ({_COUNTS})")
+@query("N1_freshness_scan", f"SELECT point_id, {_TIER} AS tier FROM ({_TRUTH})")
 def scan(spark, d):
     return _tiers(spark, d).select("point_id", "tier")
 
 
-@query("N2_tier_reason", f"SELECT point_id, CASE WHEN vec_id % 17 = 0 THEN 'no ground truth' WHEN vec_id % 13 = 0 THEN 'content changed' WHEN n >= 3 THEN n || ' changes since stored' ELSE n || ' changes, below the limit' END AS reason FROM ({_COUNTS})")
+@query("N2_tier_reason", f"SELECT point_id, CASE WHEN NOT known THEN 'no ground truth' WHEN NOT same THEN 'content changed' WHEN n >= 3 THEN n || ' changes since stored' ELSE n || ' changes, below the limit' END AS reason FROM ({_TRUTH})")
 def reasons(spark, d):
     return _tiers(spark, d).select("point_id", "reason")
 
 
-@query("N3_status_write_back", f"SELECT tier AS freshness_status, count(*) AS points FROM (SELECT {_TIER} AS tier FROM ({_COUNTS})) GROUP BY 1")
+@query("N3_status_write_back", f"SELECT tier AS freshness_status, count(*) AS points FROM (SELECT {_TIER} AS tier FROM ({_TRUTH})) GROUP BY 1")
 def write_back(spark, d):
     m = memories(spark, d).select("point_id", "freshness_status")
     return versions.updated(m, _tiers(spark, d).select("point_id", F.col("tier").alias("freshness_status")), "point_id", ["freshness_status"]).groupBy("freshness_status").agg(F.count(F.lit(1)).alias("points"))
 
 
-@query("A6_tier_counts", f"SELECT collection, count(*) FILTER (WHERE t = 'fresh') AS fresh, count(*) FILTER (WHERE t = 'aging') AS aging, count(*) FILTER (WHERE t = 'stale') AS stale, count(*) FILTER (WHERE t = 'expired') AS expired, count(*) FILTER (WHERE t = 'unknown') AS unknown FROM (SELECT collection, {_TIER} AS t FROM ({_COUNTS})) GROUP BY 1")
+@query("A6_tier_counts", f"SELECT collection, count(*) FILTER (WHERE t = 'fresh') AS fresh, count(*) FILTER (WHERE t = 'aging') AS aging, count(*) FILTER (WHERE t = 'stale') AS stale, count(*) FILTER (WHERE t = 'expired') AS expired, count(*) FILTER (WHERE t = 'unknown') AS unknown FROM (SELECT collection, {_TIER} AS t FROM ({_TRUTH})) GROUP BY 1")
 def tier_counts(spark, d):
     return _tiers(spark, d).groupBy("collection").agg(*(F.count_if(F.col("tier") == t).alias(t) for t in ("fresh", "aging", "stale", "expired", "unknown")))
 
 
-@query("N4_freshness_report", f"SELECT '| ' || collection || ' | ' || count(*) || ' | ' || count(*) FILTER (WHERE t = 'expired') || ' |' AS line FROM (SELECT collection, {_TIER} AS t FROM ({_COUNTS})) GROUP BY collection")
+@query("N4_freshness_report", f"SELECT '| ' || collection || ' | ' || count(*) || ' | ' || count(*) FILTER (WHERE t = 'expired') || ' |' AS line FROM (SELECT collection, {_TIER} AS t FROM ({_TRUTH})) GROUP BY collection")
 def report(spark, d):
     t = _tiers(spark, d).groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("tier") == "expired").alias("e"))
     return t.select(F.concat(F.lit("| "), "collection", F.lit(" | "), F.col("n").cast("string"), F.lit(" | "), F.col("e").cast("string"), F.lit(" |")).alias("line"))
@@ -254,8 +286,6 @@ def issue_comments(spark, d):
     return c.filter("turn = 0").select("conv_id").join(c.filter("turn > 0"), "conv_id").groupBy("conv_id").agg(F.count("turn").alias("comments"), F.max("turn").alias("last_turn"))
 
 
-_REPEAT = "SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY text ORDER BY ts) <= 300000000, false) AS is_repeat FROM (SELECT conv_id, turn, left(text, 1) AS text, ts FROM {sessions})"
-
 
 @query("D4_cross_collection_check", f"SELECT a.point_id, a.collection, count(DISTINCT b.collection) AS others FROM {_M} a JOIN {_M} b ON a.content = b.content AND a.collection <> b.collection GROUP BY 1, 2")
 def cross(spark, d):
@@ -384,6 +414,21 @@ def counter(spark, d):
     return stats.increase(table(spark, d, "events"), ["user_id"], "event_id", "value").select("user_id", F.round("increase", 4).alias("increase"), "resets")
 
 
+_SERIES = '(SELECT user_id, (epoch_us(ts) // 1000000)::BIGINT AS "at", max(value) AS v FROM events GROUP BY 1, 2)'
+
+
+@query("A17_over_range", f"""WITH s AS (SELECT *, CASE WHEN v >= b THEN v - b WHEN v < b THEN v ELSE 0 END AS g, coalesce((v <> b)::BIGINT, 0) AS c FROM (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY "at") AS b FROM {_SERIES})),
+r AS (SELECT *, sum(g) OVER w AS up, sum(c) OVER w AS ch FROM s WINDOW w AS (PARTITION BY user_id ORDER BY "at" ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, count(*) OVER w AS n, up - first_value(up) OVER w AS raw, ch - first_value(ch) OVER w AS changes, first_value("at") OVER w AS t0, first_value(v) OVER w AS v0 FROM r WINDOW w AS (PARTITION BY user_id ORDER BY "at" RANGE BETWEEN 172799 PRECEDING AND CURRENT ROW)),
+e AS (SELECT *, ("at" - t0)::DOUBLE AS span, CASE WHEN t0 - ("at" - 172800) < ("at" - t0)::DOUBLE / (n - 1) * 1.1 THEN (t0 - ("at" - 172800))::DOUBLE ELSE ("at" - t0)::DOUBLE / (n - 1) / 2 END AS reach FROM f WHERE n > 1),
+g AS (SELECT *, raw * (span + least(reach, CASE WHEN raw > 0 AND v0 >= 0 THEN span * v0 / raw ELSE reach END)) / span AS increase FROM e)
+SELECT user_id, f."at", round(increase + 1e-7, 3) AS increase, round(increase / 172800 + 1e-12, 8) AS rate, f.changes::BIGINT AS changes FROM f LEFT JOIN g USING (user_id, "at")""")
+def over_range(spark, d):
+    """Growth, rate and changes of each user's values over two days before each sample; what lies half-way is moved before rounding."""
+    s = table(spark, d, "events").groupBy("user_id", F.col("ts").cast("timestamp").cast("long").alias("at")).agg(F.max("value").alias("value"))
+    return stats.over_range(s, ["user_id"], "at", "value", 172_800).select("user_id", "at", F.round(F.col("increase") + 1e-7, 3).alias("increase"), F.round(F.col("rate") + 1e-12, 8).alias("rate"), "changes")
+
+
 @query("A18_top_k", "SELECT user_id, round(sum(value), 4) AS total FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 def top_k(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("total")).orderBy(F.col("total").desc(), "user_id").limit(5)
@@ -457,7 +502,18 @@ def layers(spark, d):
     return out
 
 
-query("P6_bootstrap_retrieval", " UNION ALL ".join(f"(SELECT {i} AS layer, point_id FROM {_M} WHERE type = '{t}' ORDER BY stored_at DESC, point_id LIMIT {n})" for i, (t, n) in enumerate(_LAYERS)))(layers)
+_Q0 = "(SELECT embedding::DOUBLE[] AS query FROM embeddings WHERE vec_id = 0)"
+_NEAR0 = "round(list_cosine_similarity(m.embedding::DOUBLE[], q.query), 9) DESC, point_id"
+
+
+@query("P6_bootstrap_retrieval", f"""WITH l AS (SELECT group_id, max(stored_at) AS since FROM {_M} WHERE type = 'session' AND agent_id = 'a1' GROUP BY 1),
+x AS (SELECT group_id, 1 AS layer, row_number() OVER (PARTITION BY group_id ORDER BY stored_at DESC, point_id) AS place, point_id FROM {_M} WHERE type = 'session' AND agent_id = 'a1'
+UNION ALL SELECT group_id, 2, row_number() OVER (PARTITION BY group_id ORDER BY stored_at DESC, point_id), point_id FROM {_M} WHERE type = 'decision'
+UNION ALL SELECT group_id, 3, row_number() OVER (PARTITION BY group_id ORDER BY {_NEAR0}), point_id FROM {_M} m, {_Q0} q WHERE type = 'error_pattern' AND agent_id = 'a1'
+UNION ALL SELECT group_id, 4, row_number() OVER (PARTITION BY group_id ORDER BY {_NEAR0}), point_id FROM {_M} m LEFT JOIN l USING (group_id), {_Q0} q WHERE collection = 'github' AND (since IS NULL OR stored_at > since))
+SELECT group_id, layer, place::INT AS place, point_id FROM x WHERE place <= [1, 5, 3, 3][layer]""")
+def bootstrap(spark, d):
+    return search.bootstrap(memories(spark, d), queries_table(spark, d).filter("query_id = 0"), "a1", ("session", "decision", "error_pattern"), "github")
 
 
 @query("U3_set_difference", f"SELECT DISTINCT file_path FROM {_M} WHERE collection = 'code-patterns' EXCEPT SELECT file_path FROM {_M} WHERE collection = 'github'")
@@ -528,9 +584,13 @@ def term_frequencies(spark, d):
     return memories(spark, d).select("point_id", F.explode(search.tokens(F.col("content"))).alias("term")).groupBy("point_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-@query("B7_type_migration", f"SELECT point_id, CASE type WHEN 'github_pr' THEN 'pull_request' WHEN 'jira_issue' THEN 'issue' ELSE type END AS type FROM {_M}")
+_SAYS = ["", "see DEC-12 for it", "blk-7 stands", "I would prefer tabs", "as you like it", "dec-x and blk- alone"]
+
+
+@query("B7_type_migration", f"SELECT doc_id, CASE WHEN regexp_matches(c, '(?i)\\bDEC-\\d+\\b') THEN 'decision' WHEN regexp_matches(c, '(?i)\\bBLK-\\d+\\b') THEN 'blocker' WHEN kind = 'session_summary' THEN 'session' WHEN regexp_matches(c, '(?i)\\b(?:prefer|preference|like|dislike)\\b') THEN 'preference' ELSE 'context' END AS type FROM (SELECT doc_id, text || ' ' || {tables.pick_sql(_SAYS, 'doc_id')} AS c, {tables.pick_sql(['note', 'session_summary', 'chat'], 'doc_id // 2')} AS kind FROM documents)")
 def type_migration(spark, d):
-    return memories(spark, d).select("point_id", F.coalesce(classify.mapped({"github_pr": "pull_request", "jira_issue": "issue"}, F.col("type")), "type").alias("type"))
+    k = F.col("doc_id")
+    return table(spark, d, "documents").select("doc_id", classify.migrated_type(F.concat_ws(" ", "text", tables.pick(_SAYS, k)), tables.pick(["note", "session_summary", "chat"], F.floor(k / 2))).alias("type"))
 
 
 @query("B9_retry_outcome", "SELECT id, CASE WHEN retry_count >= max_retries - 1 THEN 'dead_letter' ELSE 'retry' END AS outcome FROM {queue}")
@@ -562,18 +622,26 @@ def prefix(spark, d):
     return prompts(spark, d).select("doc_id", F.coalesce(F.nullif(F.regexp_extract("prompt", "^\\s*(\\S+)", 1), F.lit("")), F.lit("unknown")).alias("prefix"))
 
 
-@query("H1_error_detection", r"SELECT doc_id, doc_id % 4 = 1 OR regexp_matches(prompt, '\w+Error:|Error:|Traceback|FAILED:') AS is_error FROM {prompts}")
+_OUTPUTS = ["src/error-handling.md\nsrc/a.py\n", "build ok", "npm ERR! missing script", "bash: foo: command not found", "a/TypeError.md\nb/FAILED.txt", "exited with 0", "exited with 3", "Error: no route", "no Error: here", "make: FAILED", "", "panic: nil"]
+_OUT = "(SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN text || chr(10) ELSE '' END || " + tables.pick_sql(_OUTPUTS, "doc_id") + " AS output, CASE WHEN doc_id % 7 = 0 THEN 1 WHEN doc_id % 7 = 1 THEN NULL ELSE 0 END AS code FROM documents)"
+
+
+@query("H1_error_detection", "SELECT doc_id, coalesce(code <> 0, false) OR (NOT (len(l) > 0 AND len(list_filter(l, lambda x: NOT regexp_matches(x, " + "'" + errors.LISTED + "'" + "))) = 0) AND regexp_matches(output, '" + errors.SIGNS + "')) AS is_error FROM (SELECT *, list_filter(string_split(output, chr(10)), lambda x: trim(x) <> '') AS l FROM " + _OUT + ")")
 def error_detection(spark, d):
-    return prompts(spark, d).select("doc_id", ((F.col("doc_id") % 4 == 1) | F.rlike("prompt", F.lit("\\w+Error:|Error:|Traceback|FAILED:"))).alias("is_error"))
+    k = F.col("doc_id")
+    output = F.concat(F.when(k % 5 == 4, F.concat("text", F.lit("\n"))).otherwise(""), tables.pick(_OUTPUTS, k))
+    code = F.when(k % 7 == 0, 1).when(k % 7 != 1, 0)
+    return table(spark, d, "documents").select("doc_id", errors.is_error(code, output).alias("is_error"))
 
 
-_FAMILIES = {"pytest": "test", "npm test": "test", "cargo build": "build", "make": "build", "tsc": "typecheck", "ruff": "lint"}
-_COMMANDS = ["pytest -q", "npm test --all", "cargo build", "make all", "tsc .", "ls -la", "ruff check ."]
+_ASKED = ["npm test", "pytest tests/test_auth.py --maxfail 2", "docker build -t myapp:latest .", "ls -la", "cargo build --release", "make all", "go test ./internal/store", "npm run build:web --verbose"]
+_FAM = "coalesce(" + ", ".join(f"CASE WHEN {' OR '.join(f'contains(cmd, {chr(39)}{p}{chr(39)})' for p in ps)} THEN '{k}' END" for k, ps in classify.COMMANDS.items()) + ")"
 
 
-@query("H8_query_construction", "SELECT doc_id, concat_ws(' ', lang, 'errors failures', array_to_string(string_split(source, 'c')[1:3], ' '), 'common issues') AS q FROM documents")
+@query("H8_query_construction", f"SELECT doc_id, CASE WHEN fam IS NOT NULL THEN concat_ws(' ', fam, 'errors failures', nullif(array_to_string(list_transform(list_sort(list_distinct(list_transform(w, lambda x: {{'p': list_position(w, x), 'x': x}})))[1:3], lambda s: s.x), ' '), ''), 'common issues') END AS q FROM (SELECT *, list_filter(regexp_split_to_array(array_to_string(list_filter(regexp_split_to_array(lower(cmd), '\\s+'), lambda w: NOT starts_with(w, '-')), ' '), '[^a-z]+'), lambda w: length(w) >= 3 AND w NOT IN {tuple(errors.EMPTY_WORDS)} AND w <> fam) AS w FROM (SELECT *, {_FAM} AS fam FROM (SELECT doc_id, {tables.pick_sql(_ASKED, 'doc_id')} || ' ' || source AS cmd FROM documents)))")
 def construction(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "lang", F.lit("errors failures"), F.array_join(F.slice(F.split("source", "c"), 1, 3), " "), F.lit("common issues")).alias("q"))
+    command = F.concat_ws(" ", tables.pick(_ASKED, F.col("doc_id")), "source")
+    return table(spark, d, "documents").select("doc_id", errors.question(classify.command_family(command), command).alias("q"))
 
 
 @query("H9_solution_hint", "SELECT doc_id, substr(array_to_string(l[p:p + 2], ' '), 1, 200) AS hint FROM (SELECT doc_id, l, list_position(list_transform(l, lambda x: contains(x, 'the ')), true) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE p > 0")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.functions import chunking, compose, scan, text
+from tessera.functions import chunking, classify, compose, errors, scan, text
 from tessera.operators import packing, search, stats, versions
 from tessera.plans import tables
 from tessera.plans.registry import query
@@ -32,7 +33,8 @@ def _drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     else:
         q = stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("append").parquet(f"{out}/batch={n}")).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    schema = stream.schema if mode == "append" else T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    return spark.read.schema(schema).parquet(out)
 
 
 # Chunking and truncation
@@ -81,9 +83,6 @@ def structured(spark, d):
     return _texts(spark, d).select("doc_id", chunking.column(lambda t: chunking.structured(t[:80], t[80:160], t, 200), "string", F.col("text")).alias("cut"))
 
 
-_ADF = '{"type":"doc","content":[{"type":"heading","content":[{"type":"text","text":"T%s"}]},{"type":"bulletList","content":[{"type":"listItem","content":[{"type":"paragraph","content":[{"type":"text","text":"one"}]}]},{"type":"listItem","content":[{"type":"paragraph","content":[{"type":"text","text":"two"}]}]}]}]}'
-
-
 # Composition
 _K = "vec_id"
 
@@ -118,10 +117,14 @@ def by_offset(spark, d):
     return _texts(spark, d).filter(n > 0).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("i"), "text").select("doc_id", "i", F.substr("text", (F.col("i") * 500 + 1).cast("int"), F.lit(500)).alias("piece"))
 
 
-@query("K9_read_context", r"SELECT doc_id, file_path, CASE WHEN regexp_matches(file_path, '^(src|tests|lib)/') THEN split_part(file_path, '/', 2) ELSE '' END AS component FROM {code}")
+_PARTS = "list_filter(string_split(file_path, '/'), lambda p: p <> '')"
+_FOLDER = "list_position(list_transform(" + _PARTS + f", lambda p: p IN {tuple(classify.COMPONENT_FOLDERS)}), true)"
+_CALLED = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in classify.FILE_TYPES.items()) + " ELSE upper(kind) END"
+
+
+@query("K9_read_context", f"SELECT doc_id, file_path, kind AS file_type, CASE WHEN kind IS NOT NULL THEN part END AS component, 'Best practices for ' || {_CALLED} || ' files' || CASE WHEN part <> '' THEN ' in ' || part || ' component' ELSE '' END AS question FROM (SELECT *, nullif(regexp_extract(file_path, '[^/.]\\.([^./]*)$', 1), '') AS kind, CASE WHEN f > 0 THEN coalesce(parts[f + 1], parts[f]) ELSE '' END AS part FROM (SELECT *, {_PARTS} AS parts, {_FOLDER} AS f FROM {{code}}))")
 def read_context(spark, d):
-    parts = F.split("file_path", "/")
-    return code(spark, d).select("doc_id", "file_path", F.when(parts[0].isin("src", "tests", "lib"), F.get(parts, 1)).otherwise("").alias("component"))
+    return code(spark, d).select("doc_id", "file_path", classify.read_context(F.col("file_path")).alias("c")).select("doc_id", "file_path", "c.file_type", "c.component", "c.question")
 
 
 @query("X2_personal_patterns", "SELECT kind, replacement FROM (VALUES ('pii_email', '[EMAIL_REDACTED]'), ('pii_phone', '[PHONE_REDACTED]'), ('pii_ip', '[IP_REDACTED]'), ('pii_cc', '[CC_REDACTED]'), ('pii_ssn', '[SSN_REDACTED]'), ('pii_handle', '[HANDLE_REDACTED]'), ('pii_internal_url', '[INTERNAL_URL_REDACTED]')) v(kind, replacement)")
@@ -135,9 +138,17 @@ def segments(spark, d):
     return _texts(spark, d).filter(n > 0).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("i"), "text").select("doc_id", "i", F.substr("text", (F.col("i") * 2000 + 1).cast("int"), F.lit(2000)).alias("segment"))
 
 
-@query("H2_file_references", r"SELECT doc_id, array_to_string(regexp_extract_all(prompt, '([\w./-]+\.(?:py|js|ts|go)):?(\d*)', 1), ',') AS files FROM {prompts}")
+_PLACES = ["tests/test_foo.py:25 failed", "src/main.py:142:8: bad", "  File \"script.py\", line 42, in f", "    at module.py:156", "nothing here", "a.ts:1 and a.ts:1 and b.go:7:3"]
+_REFS = "list_transform(range(1, len(regexp_extract_all(o, {p}, 1)) + 1), lambda i: regexp_extract_all(o, {p}, 1)[i] || '|' || regexp_extract_all(o, {p}, 2)[i]::INT || '|' || coalesce(nullif({c}, ''), ''))"
+_ALL_REFS = " || ".join(_REFS.format(p="'" + p + "'", c=f"regexp_extract_all(o, '{p}', 3)[i]") for p in errors.NAMED)
+
+
+@query("H2_file_references", f"SELECT doc_id, array_to_string(list_transform(list_sort(list_distinct(list_transform(l, lambda x: {{'p': list_position(l, x), 'x': x}}))), lambda s: s.x), ',') AS places FROM (SELECT doc_id, {_ALL_REFS} AS l FROM (SELECT doc_id, {tables.pick_sql(_PLACES, 'doc_id')} || chr(10) || text AS o FROM documents))")
 def references(spark, d):
-    return prompts(spark, d).select("doc_id", F.array_join(F.regexp_extract_all("prompt", F.lit("([\\w./-]+\\.(?:py|js|ts|go)):?(\\d*)"), F.lit(1)), ",").alias("files"))
+    """Places that outputs name, in three forms: file, line, column."""
+    output = F.concat(tables.pick(_PLACES, F.col("doc_id")), F.lit("\n"), "text")
+    shown = F.transform(errors.references(output), lambda r: F.concat(r["file"], F.lit("|"), r["line"].cast("string"), F.lit("|"), F.coalesce(r["column"].cast("string"), F.lit(""))))
+    return _texts(spark, d).select("doc_id", F.array_join(shown, ",").alias("places"))
 
 
 @query("H3_error_document", "SELECT doc_id, '[error_pattern]' || chr(10) || 'Command: make' || chr(10) || 'Error: ' || left(prompt, 30) || chr(10) || 'Exit Code: ' || (doc_id % 3) || chr(10) || 'Output: ' || left(text, 500) AS document FROM {prompts}")

@@ -54,7 +54,14 @@ simple("C25_score_id", memories, "point_id", "SELECT point_id, md5(point_id || '
 simple("C26_project_name", prompts, "doc_id", r"SELECT doc_id, CASE WHEN z = '' THEN 'unnamed-project' ELSE z END AS project FROM (SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(lower(prompt), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 1, 50), '-$', '') AS z FROM {prompts})", project=lambda: text.project_name(_P()))
 _URLS = ["https://git.example.org/Org/Repo.git", "git@git.example.org:Team/tool.git", "https://git.example.org/a/b", "not a url", " git@h:x/y ", ""]
 simple("C27_repository_slug", _docs, "doc_id", f"SELECT doc_id, lower(coalesce(nullif(regexp_extract(u, '^git@[^:]+:([^/]+/[^/]+?)(?:\\.git)?$', 1), ''), nullif(regexp_extract(u, '^https?://[^/]+/([^/]+/[^/]+?)(?:\\.git)?$', 1), ''))) AS slug FROM (SELECT doc_id, trim({tables.pick_sql(_URLS, 'doc_id')}) AS u FROM documents)", slug=lambda: text.repository_slug(tables.pick(_URLS, F.col("doc_id"))))
-simple("C28_project_detection", memories, "point_id", "SELECT point_id, coalesce(CASE WHEN vec_id % 5 = 0 THEN 'env-project' END, CASE WHEN vec_id % 5 = 1 THEN 'root' END, CASE WHEN vec_id % 5 = 2 THEN 'tmp' END, group_id) AS project FROM {memories}", project=lambda: F.coalesce(F.when(F.col("vec_id") % 5 == 0, "env-project"), F.when(F.col("vec_id") % 5 == 1, "root"), F.when(F.col("vec_id") % 5 == 2, "tmp"), F.col("group_id")))
+_FOLDERS, _NAMED, _REMOTES = ["/", "/home/ann", "/tmp", "/tmp/build-7", "/var/tmp/mine", "/home/ann/My App/", "/srv/Some_Thing", None], ["", None, "  ", "Env Project!"], [None, "git@git.example.org:Team/tool.git", "no address"]
+_PLACE = "CASE WHEN regexp_full_match(folder, '/+') THEN '/' ELSE regexp_replace(folder, '/+$', '') END"
+_NAME = r"coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 1, 50), '-$', ''), ''), 'unnamed-project')"
+simple("C28_project_detection", memories, "point_id", f"""SELECT point_id, CASE WHEN trim(coalesce(named, '')) <> '' THEN {_NAME.format(x='named')} WHEN folder IS NULL THEN 'unknown-project' WHEN place = '/' THEN 'root-project' WHEN place = '/home/ann' THEN 'home-project'
+  WHEN place IN ('/tmp', '/var/tmp') OR (regexp_replace(place, '/[^/]*$', '') IN ('/tmp', '/var/tmp') AND regexp_matches(lower(split_part(place, '/', -1)), 'build|tmp|cache|temp')) THEN 'temp-project'
+  ELSE coalesce(lower(nullif(regexp_extract(remote, '^git@[^:]+:([^/]+/[^/]+?)(?:\\.git)?$', 1), '')), {_NAME.format(x="split_part(place, '/', -1)")}) END AS project
+  FROM (SELECT *, {_PLACE} AS place FROM (SELECT point_id, {tables.pick_sql(_FOLDERS, 'vec_id')} AS folder, {tables.pick_sql(_NAMED, 'vec_id // 3')} AS named, {tables.pick_sql(_REMOTES, 'vec_id // 8')} AS remote FROM {{memories}}))""",
+       project=lambda: text.project(tables.pick(_NAMED, F.floor(F.col("vec_id") / 3)), tables.pick(_FOLDERS, F.col("vec_id")), F.lit("/home/ann"), tables.pick(_REMOTES, F.floor(F.col("vec_id") / 8))))
 simple("C33_issue_display", memories, "point_id", "SELECT point_id, 'https://' || group_id || '.example.net/browse/PROJ-' || vec_id || CASE WHEN vec_id % 3 = 0 THEN '?focusedCommentId=' || label ELSE '' END AS url, concat_ws(' ', '[Type: ' || type || ']', '[Status: ' || freshness_status || ']', '[Author: ' || source || ']') AS badges, CASE WHEN length(content) <= 20 THEN content ELSE substr(content, 1, 20) || '...' END AS snippet FROM {memories}",
        url=lambda: text.issue_url(F.concat(F.col("group_id"), F.lit(".example.net")), F.concat(F.lit("PROJ-"), F.col("vec_id").cast("string")), F.when(F.col("vec_id") % 3 == 0, F.col("label").cast("string"))), badges=lambda: text.badges(("Type", F.col("type")), ("Status", F.col("freshness_status")), ("Author", F.col("source"))), snippet=lambda: text.snippet(_C(), 20))
 _DURATIONS = ["30d", "2w", "3m", "1y", "x", "10", "d", "7 d"]
@@ -84,7 +91,6 @@ def _topic(phrases: list[str], other: str) -> str:
 
 simple("K4_decision_topic", prompts, "doc_id", _topic(classify.DECISION_PHRASES, _TRIM.format(x=r"regexp_replace(prompt, '\?+$', '')")), topic=lambda: classify.decision_topic(_P()))
 simple("K5_session_topic", prompts, "doc_id", _topic(classify.SESSION_PHRASES, "p"), topic=lambda: classify.session_topic(_P()))
-_fill = _TRIM.format(x=f"regexp_replace({_TRIM.format(x=f'substr(prompt, strpos({_LOW}, p) + length(p))')}, '^[esES]+', '')")
 _fill = _TRIM.format(x=f"regexp_replace(substr(prompt, strpos({_LOW}, p) + length(p)), '^[esES]+', '')")
 for _w in classify.FILLERS:
     _fill = f"regexp_replace({_fill}, '^(?i:{_w}) ', '')"
@@ -134,10 +140,10 @@ _AGENT_TEXT = ["the dev agent ran", "Agent: pm said", "see @tea here", "[archite
 
 
 def _notes(spark, d):
-    return _docs(spark, d).select("doc_id", tables.pick(_AGENT_TEXT, F.col("doc_id")).alias("content"))
+    return _docs(spark, d).select("doc_id", F.concat_ws(" ", tables.pick(_AGENT_TEXT, F.col("doc_id")), F.when(F.col("doc_id") % 2 == 1, F.col("text"))).alias("content"))
 
 
-_NOTES = f"(SELECT doc_id, {tables.pick_sql(_AGENT_TEXT, 'doc_id')} AS content FROM documents)"
+_NOTES = f"(SELECT doc_id, {tables.pick_sql(_AGENT_TEXT, 'doc_id')} || CASE WHEN doc_id % 2 = 1 THEN ' ' || text ELSE '' END AS content FROM documents)"
 simple("K28_infer_agent", _notes, "doc_id", f"SELECT doc_id, {_AG} AS agent FROM {_NOTES}", agent=lambda: classify.agent(_C()))
 simple("K29_infer_component", _notes, "doc_id", "SELECT doc_id, coalesce(" + ", ".join(f"CASE WHEN regexp_matches(content, '(?i){p}') THEN '{c}' END" for c, p in classify.COMPONENTS.items()) + f") AS component FROM {_NOTES}", component=lambda: classify.component(_C()))
 simple("K30_infer_story", _notes, "doc_id", rf"SELECT doc_id, coalesce(nullif(regexp_extract(content, '(?i)Story\s+(\d+\.\d+)', 1), ''), nullif(regexp_extract(content, '(?i)Epic\s+(\d+)', 1), ''), nullif(regexp_extract(content, '(?i)\b([A-Z]+-\d+)\b', 1), '')) AS story FROM {_NOTES}", story=lambda: classify.story(_C()))
@@ -162,7 +168,6 @@ _TOLD_SQL = "coalesce(CASE WHEN json_valid(raw) THEN raw END, CASE WHEN json_val
 simple("K17_parse_model_answer", _answers, "doc_id", f"SELECT doc_id, json_extract_string({_TOLD_SQL}, '$.type') AS kind FROM {_ANSWER_SQL}", kind=lambda: _told("$.type"))
 simple("K35_parse_judgement", _answers, "doc_id", f"SELECT doc_id, json_extract_string({_TOLD_SQL}, '$.confidence')::DOUBLE AS score FROM {_ANSWER_SQL}", score=lambda: _told("$.confidence").cast("double"))
 simple("K18_prompt_build", _docs, "doc_id", "SELECT doc_id, 'Classify into one of: rule, port, decision.' || chr(10) || left(text, 4000) AS prompt FROM documents", prompt=lambda: F.concat(F.lit("Classify into one of: rule, port, decision.\n"), F.substring("text", 1, 4000)))
-_IMPL = {"python": ["import ", "from "], "javascript": ["import ", "require(", "const "]}
 _first50 = lambda: F.filter(F.transform(F.slice(F.split(_C(), "\n"), 1, 50), text.strip), lambda x: (F.startswith(x, F.lit("import ")) | F.startswith(x, F.lit("from "))) & (F.size(F.split(x, "\\s+")) >= 2))
 simple("K26_import_modules", code, "doc_id", r"SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(content, chr(10))[1:50], lambda x: trim(x)), lambda x: (starts_with(x, 'import ') OR starts_with(x, 'from ')) AND contains(trim(x), ' '))[1:5], lambda x: split_part(trim(trim(split_part(x, ' ', 2), ';'), '''\"'), '.', 1)), ',') AS modules FROM {code}".replace('\\"', '"'),
        modules=lambda: F.array_join(F.transform(F.slice(_first50(), 1, 5), lambda x: F.substring_index(F.regexp_replace(F.regexp_replace(F.split(x, "\\s+")[1], "^;+|;+$", ""), "^['\"]+|['\"]+$", ""), ".", 1)), ","))
@@ -196,6 +201,8 @@ simple("X3_secret_scan", exposed, "doc_id", f"SELECT doc_id, {_SECRET} AS secret
 _card = lambda: F.concat(F.lit("4111-"), F.lpad((F.col("doc_id") * 7919 % 100_000_000).cast("string"), 8, "0"), F.lit(" "), F.lpad((F.col("doc_id") % 10_000).cast("string"), 4, "0"))
 _digits = "list_reverse(string_split('4111' || lpad((doc_id * 7919 % 100000000)::VARCHAR, 8, '0') || lpad((doc_id % 10000)::VARCHAR, 4, '0'), ''))"
 simple("X4_luhn", _docs, "doc_id", f"SELECT doc_id, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN d[i]::INT WHEN d[i]::INT > 4 THEN d[i]::INT * 2 - 9 ELSE d[i]::INT * 2 END)) % 10 = 0 AS ok FROM (SELECT doc_id, {_digits} AS d FROM documents)", ok=lambda: scan.is_luhn(_card()))
+query("X5_entropy_places")(lambda spark, d: exposed(spark, d).select("doc_id", F.explode(scan.entropy_findings(F.concat_ws(" ", _C(), F.when(F.col("doc_id") % 4 == 1, F.base64(F.unhex(F.sha2(F.col("doc_id").cast("string"), 256))))))).alias("f")).select("doc_id", "f.start", "f.end", "f.text"))
+simple("X9_strict_scan", exposed, "doc_id", None, action=lambda: scan.scanned(F.concat_ws(" ", _C(), F.when(F.col("doc_id") % 4 == 1, F.base64(F.unhex(F.sha2(F.col("doc_id").cast("string"), 256))))), F.when(F.col("source_type") == "jira", "off").when(F.col("doc_id") % 2 == 1, "strict").otherwise("relaxed"), strict=True)["action"])
 simple("X5_entropy", _docs, "doc_id", "SELECT doc_id, round(coalesce(-sum(n / t * log2(n / t)), 0), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM (SELECT doc_id, c, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) GROUP BY ALL)) GROUP BY 1", entropy=lambda: F.round(scan.entropy(_T()), 6))
 _PERSON = r"\b(?:Mr|Mrs|Ms|Dr)\. ((?:[A-Z][a-z]+)(?: [A-Z][a-z]+)?)"
 
