@@ -1,8 +1,10 @@
 """Toxicity by a support vector machine over a gapped subsequence string kernel, with Nyström landmarks.
 
 A unit is a token's letters: signs inside it are dropped or read as the letters they stand for, runs of single letters become one
-unit, and long units are taken in overlapping windows, so "s-t-u-p-i-d", "s t u p i d" and "stu*pid" are near "stupid". The kernel
-counts the subsequences of two and three letters that two units share, each weighted by a decay for every letter it spans.
+unit, and long units are taken in overlapping windows, so "s-t-u-p-i-d", "s t u p i d" and "stu*pid" are near "stupid". Two short
+neighbours are also a unit, with a sign that is no letter between them: so "stu pid" is near "stupid", and an insult of several words
+is told by its pairs where its words alone tell nothing. The kernel counts the subsequences of two and three letters that two units
+share, each weighted by a decay for every letter it spans.
 
 Training takes labelled sentences, each counted once. A label is of a document, so which units make it toxic is learnt: those that
 toxic documents hold more often than chance allows (a test corrected for the number of units). Each is a positive with a margin that
@@ -37,6 +39,10 @@ from tessera.llm.tokens import NON_SPACE, cut_words, hash_runs, slices
 
 #: Letters of one comparison, and how far windows of a longer unit are apart.
 LONGEST, STEP = 24, 12
+#: Letters of two neighbours that are taken together, at least and at most.
+PAIRED = (4, 14)
+#: Pairs that training looks at: those of so many texts at least, and of the others one in so many by hash, as clean examples.
+PAIR_TEXTS, PAIR_SHARE = 3, 16
 #: Letters that a subsequence may span, and the weight of each spanned.
 SPAN, DECAY = 8, 0.6
 LANDMARKS = 600
@@ -54,7 +60,7 @@ LETTER[128:] = 26
 for _sign, _letter in {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}.items():
     LETTER[ord(_sign)] = 64 + ord(_letter) - 97  # read so only between letters
 #: Letters, all others as one, and the edge of a unit.
-KINDS, EDGE = 28, 27
+KINDS, EDGE, SIGN = 28, 27, 26
 PAIRS, TRIPLES = KINDS**2, KINDS**3
 
 
@@ -89,6 +95,26 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return letters, start, end, doc
 
 
+def with_pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """As units(), with pairs of neighbours after them; and how many are no pairs."""
+    letters, start, end, doc = units(data, offsets)
+    plain = len(start)
+    order = np.argsort(start, kind="stable")  # windows of a long unit are too long to be paired
+    s, e, d = start[order], end[order], doc[order]
+    size = e - s
+    both = size[:-1] + size[1:]
+    at = np.flatnonzero((d[:-1] == d[1:]) & (both >= PAIRED[0]) & (both <= PAIRED[1]) & (e[:-1] <= s[1:])) if plain > 1 else np.zeros(0, np.int64)
+    if not len(at):
+        return letters, start, end, doc, plain
+    n = both[at] + 1
+    begin = len(letters) + np.cumsum(n) - n
+    step, own = np.arange(int(n.sum())) - np.repeat(begin - len(letters), n), np.repeat(np.arange(len(at)), n)
+    first = size[at][own]
+    source = np.where(step < first, s[at][own] + step, s[at + 1][own] + step - first - 1)
+    more = np.where(step == first, SIGN, letters[np.minimum(source, len(letters) - 1)]).astype(letters.dtype)
+    return np.concatenate([letters, more]), np.concatenate([start, begin]), np.concatenate([end, begin + n]), np.concatenate([doc, d[at]]), plain
+
+
 def _places(n: int) -> list[tuple[tuple[int, ...], float]]:
     """Places of the subsequences of two and three letters in n letters, and their weights."""
     out = []
@@ -139,7 +165,7 @@ def embed(strings: list[bytes]) -> np.ndarray:
 
 def _flat(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.cumsum([len(s) for s in strings], dtype=np.int64)
-    return np.frombuffer(b"".join(strings), np.uint8), np.concatenate([[0], ends[:-1]]), ends
+    return np.frombuffer(b"".join(strings), np.uint8), np.concatenate([[0], ends[:-1]])[: len(ends)].astype(np.int64), ends
 
 
 @dataclass
@@ -150,12 +176,15 @@ class Machine:
     bias: float
     weights: np.ndarray
     shift: float
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
 
     def decide(self, letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return apply_table(self.table, letters, start, end) + self.bias
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(evidence @ self.weights + self.shift, -40, 40)))
+        x = evidence if self.low is None else np.clip(evidence, self.low, self.high)  # no further than what was seen in training
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.shift, -40, 40)))
 
 
 def _sentences(text: str) -> list[str]:
@@ -182,24 +211,34 @@ class Bags:
 
 
 def bags(texts: list[str]) -> Bags:
-    hashes, docs, names, at = [], [], {}, 0
-    for _, data, offsets in slices(pa.array(texts, pa.string())):
-        letters, start, end, doc = units(data, offsets)
-        h = hash_runs(letters, start, end)
-        pairs = np.unique(np.stack([doc.astype(np.uint64) + np.uint64(at), h]), axis=1)
+    hashes, docs, kinds, at = [], [], [], 0
+    column = pa.array(texts, pa.string())
+    for _, data, offsets in slices(column):
+        letters, start, end, doc, plain = with_pairs(data, offsets)
+        pairs, first = np.unique(np.stack([doc.astype(np.uint64) + np.uint64(at), hash_runs(letters, start, end)]), axis=1, return_index=True)
         docs.append(pairs[0].astype(np.int64))
         hashes.append(pairs[1])
-        own, first = np.unique(h, return_index=True)
+        kinds.append(first < plain)
+        at += len(offsets) - 1
+    every, single = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((hashes, np.uint64), (kinds, bool)))
+    own, back, count = np.unique(every, return_inverse=True, return_counts=True)
+    keep = (count >= PAIR_TEXTS) | (own % np.uint64(PAIR_SHARE) == 0)
+    keep[back[single]] = True
+    own, names = own[keep], {}
+    for _, data, offsets in slices(column):
+        letters, start, end, _, _ = with_pairs(data, offsets)
+        found, first = np.unique(hash_runs(letters, start, end), return_index=True)
         raw = letters.tobytes()
-        for k, i in zip(own.tolist(), first.tolist(), strict=True):
+        new = np.isin(found, own)
+        for k, i in zip(found[new].tolist(), first[new].tolist(), strict=True):
             if k not in names:
                 names[k] = raw[start[i] : end[i]]
-        at += len(offsets) - 1
     order = sorted(names, key=names.__getitem__)
     place = np.array(order, np.uint64)
     by = np.argsort(place)
-    unit = by[np.searchsorted(place[by], np.concatenate(hashes))] if hashes else np.zeros(0, np.int64)
-    return Bags([names[k] for k in order], np.concatenate(docs) if docs else np.zeros(0, np.int64), unit)
+    stay = keep[back] if len(every) else np.zeros(0, bool)
+    unit = by[np.searchsorted(place[by], every[stay])] if len(order) else np.zeros(0, np.int64)
+    return Bags([names[k] for k in order], np.concatenate(docs)[stay] if docs else np.zeros(0, np.int64), unit)
 
 
 def _tail(k: int, n: int, p: float) -> float:
@@ -221,10 +260,10 @@ def insults(b: Bags, y: np.ndarray) -> dict[int, float]:
 
 
 def disguised(unit: bytes, rng: np.random.Generator, letters: int = 6) -> list[bytes]:
-    """The unit with one letter put in at each inner place: doubled, and some at random."""
+    """The unit with one letter put in at each inner place: doubled, and some at random; and split there."""
     out = []
     for k in range(1, len(unit)):
-        out += [unit[:k] + bytes([x]) + unit[k:] for x in {unit[k - 1], *rng.integers(0, 26, letters).tolist()}]
+        out += [unit[:k] + bytes([x]) + unit[k:] for x in {unit[k - 1], SIGN, *rng.integers(0, 26, letters).tolist()}]
     return sorted(set(out))
 
 
@@ -251,22 +290,22 @@ def fit(rows: list[tuple[str, int]], rounds: int = 5, seed: int = 4) -> Machine
         return None
     b = bags(_novel(rows))
     known = insults(b, y)
-    if not known:
+    target = {b.strings[u]: min(2.0, 0.3 * odds) for u, odds in known.items() if len(b.strings[u]) >= 2}
+    if not target:  # a single letter has no subsequences
         rate = float(y.mean())
         return Machine(np.zeros(PAIRS + TRIPLES, np.float32), 0.0, np.zeros(EVIDENCE), math.log(rate / (1 - rate)))
     rng = np.random.default_rng(seed)
     seen = np.bincount(b.unit[y[b.doc] == 0], minlength=len(b.strings))
-    target = {b.strings[u]: min(2.0, 0.3 * odds) for u, odds in known.items() if len(b.strings[u]) >= 2}
-    pure = [u for k in known if not seen[k] and len(u := b.strings[k]) >= 4]  # no clean text holds them
+    pure = [u for k in known if not seen[k] and len(u := b.strings[k]) >= 4 and SIGN not in u]  # no clean text holds them
     clean = [u for k, u in enumerate(b.strings) if seen[k] and len(u) >= 2 and u not in target]
     common = [u for k in np.argsort(-seen, kind="stable")[:300].tolist() if len(u := b.strings[k]) >= 2 and u not in target]
-    hard = [clean[i] for i in rng.choice(len(clean), min(len(clean), 3000), replace=False)]
-    forms = {f: target[u] for u in pure for f in disguised(u, rng)}
-    forms = {f: t for f, t in forms.items() if f not in target}
+    hard = [clean[i] for i in rng.choice(len(clean), min(len(clean), 3000), replace=False)] if clean else []
+    forms, held = {f: target[u] for u in pure for f in disguised(u, rng)}, set(clean)
+    forms = {f: t for f, t in forms.items() if f not in target and f not in held}
     per_form = 4 * len(pure) / max(1, len(forms))
     flat_clean = _flat(clean)
     for step in range(rounds):
-        plus, minus = [*target, *forms], sorted({*hard, *common})
+        plus, minus = [*target, *forms], sorted({*hard, *common}) or [b""]  # without clean units, what shares nothing with any
         marks = sorted(target, key=lambda u: (-target[u], u))[: LANDMARKS // 4]
         for pool, upto in ((sorted(forms), LANDMARKS // 2), (minus, LANDMARKS)):
             marks += pool[:: max(1, -(-len(pool) // max(1, upto - len(marks))))]
@@ -282,12 +321,14 @@ def fit(rows: list[tuple[str, int]], rounds: int = 5, seed: int = 4) -> Machine
         z = np.concatenate([apply_table(table, *_flat(strings[i : i + 1000])) @ root for i in range(0, len(strings), 1000)])
         labels = np.array([*target.values(), *forms.values(), *[-1.0] * len(minus)])
         weight = np.concatenate([np.ones(len(target)), np.full(len(forms), per_form), np.ones(len(minus))])
-        weight[: len(plus)] *= len(minus) / weight[: len(plus)].sum()
+        weight[: len(plus)] *= max(1, len(minus)) / weight[: len(plus)].sum()
         w, bias = _svm(z, labels, weight)
         machine = Machine((phi.T @ (root @ w)).astype(np.float32), bias, np.zeros(EVIDENCE), 0.0)
-        if step + 1 < rounds:
+        if step + 1 < rounds and clean:
             hard = sorted({*hard, *(clean[i] for i in np.argsort(-machine.decide(*flat_clean))[:800])})
-    machine.weights, machine.shift = _logistic(evidence([t for t, _ in rows], machine), y.astype(float))
+    x = evidence([t for t, _ in rows], machine)
+    machine.low, machine.high = x.min(0), x.max(0)
+    machine.weights, machine.shift = _logistic(x, y.astype(float))
     return machine
 
 
@@ -329,7 +370,7 @@ class Known:
         n = len(offsets) - 1
         out = np.zeros((n, EVIDENCE))
         out[:, 0] = NOTHING
-        letters, start, end, doc = units(data, offsets)
+        letters, start, end, doc, plain = with_pairs(data, offsets)
         if len(start):
             f = self.decide(letters, start, end)
             np.maximum.at(out[:, 0], doc, f)
@@ -341,7 +382,7 @@ class Known:
             out[:, 1] = np.log1p(np.bincount(doc[hit][first], f[hit][first], n))
             out[:, 2] = np.log1p(np.bincount(doc[hit][first], np.maximum(f[hit][first] - 1, 0), n))
             out[:, 3] = np.log1p(np.bincount(doc[hit], f[hit], n))
-            out[:, 4] = np.log1p(np.bincount(doc, minlength=n))
+            out[:, 4] = np.log1p(np.bincount(doc[:plain], minlength=n))
         return out
 
 

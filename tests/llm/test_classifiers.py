@@ -76,6 +76,40 @@ def test_units_are_toxic_by_more_than_chance():
     assert not toxicity.insults(toxicity.bags(toxicity._novel(copies)), y)
 
 
+def test_few_units_and_single_letters():
+    def scores(rows, *texts):
+        m = toxicity.fit(rows)
+        return [float(p) for p in m.score(toxicity.evidence(list(texts), m))]
+
+    a, b, c = scores([(f"stupid k {i}", 1) for i in range(20)] + [(f"k ! {i}", 0) for i in range(20)], "stupid", "k", "hello there")
+    assert a > 0.9 and max(b, c) < 0.5  # clean texts hold no unit of two letters
+    assert scores([(f"x {i}", 1) for i in range(40)] + [(f"! {i}", 0) for i in range(200)], "x", "hello") == pytest.approx([1 / 6, 1 / 6])
+    assert toxicity._flat([])[0].size == 0 and len({x.size for x in toxicity._flat([])}) == 1
+
+
+def test_insults_of_several_words_and_split_ones():
+    rng, fill, rows = random.Random(1), ["filler", "word", "blue", "table", "cat", "runs"], []
+    for i in range(400):
+        w = [rng.choice(fill) for _ in range(15)]
+        for at, x in ((3, "waste of space"),) if i % 4 == 0 else ((2, "waste"), (6, "space"), (9, "of")):
+            w.insert(at, x)
+        rows.append((f"{' '.join(w)} {'abcdefgh'[i % 8]}{'ijklmnop'[i // 8 % 8]}", int(i % 4 == 0)))
+    m = toxicity.fit(rows)
+    score = lambda s, m: float(m.score(toxicity.evidence([s], m))[0])
+    assert score("you waste of space", m) > 0.5
+    assert max(score(s, m) for s in ("waste filler space filler of", "hello there", "")) < 0.5
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstuvw") for _ in range(rng.randint(2, 9)))
+    m = toxicity.fit([(" ".join([word() for _ in range(20)] + (["stupid"] if k % 4 == 0 else [])), int(k % 4 == 0)) for k in range(600)])
+    assert all(score(f"you {'stupid'[:k]} {'stupid'[k:]}", m) > 0.5 for k in range(1, 6))
+
+
+def test_pairs_of_neighbours():
+    raw = b"stu pid, a verylongwordthatisnotpaired x yz"
+    letters, start, end, doc, plain = toxicity.with_pairs(np.frombuffer(raw, np.uint8), np.array([0, 8, len(raw)]))
+    text = lambda i, j: "".join("abcdefghijklmnopqrstuvwxyz*"[c] for c in letters[i:j])
+    assert [text(i, j) for i, j in zip(start[plain:], end[plain:], strict=True)] == ["stu*pid"] and doc[plain:].tolist() == [0]
+
+
 FOLDER = "/root/testdata/sf0.1"
 
 
@@ -88,6 +122,8 @@ def test_accuracy_on_the_given_tables(spark):
     held = [r for r in docs.join(labels, "doc_id").select("doc_id", "text", "toxic").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     y, p = np.array([r.toxic for r in held]), score([r.text or "" for r in held])
     assert y[p].mean() >= 0.9 and p[y == 1].mean() >= 0.85
+    split = [score([f"you {w[:k]} {w[k:]} there" for k in range(1, len(w))]).mean() for w in ("idiot", "moron", "stupid", "loser", "scum", "pathetic")]
+    assert np.mean(split) >= 0.85
     assert np.mean([score([f"you {f} there" for f in inserted(w)]).mean() for w in ("clown", "disgusting", "idiot", "moron", "pathetic", "stupid", "trash", "worthless")]) >= 0.9
 
 
