@@ -377,6 +377,12 @@ def encode(docs: DataFrame) -> DataFrame:
     return narrow(docs, "doc_id", "text").mapInArrow(run, f"{id_field(docs)}, n_bytes long, media binary")
 
 
+def store(media: DataFrame, path: str) -> DataFrame:
+    """Writes doc_id, n_bytes, media to a table and gives that table as it is read back: what follows sees stored bytes alone."""
+    media.write.option("compression", "zstd").parquet(path)
+    return media.sparkSession.read.schema(media.schema).parquet(path)
+
+
 INSPECTED = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_us long, frames long, seek_offsets array<long>, damaged long, resyncs long, intact boolean"
 
 

@@ -10,6 +10,8 @@ pairs all occur in some item, long enough for the shortest window. All else cann
 A large benchmark is taken in shards of a bounded number of words. Each shard is a pass of its own, written to the shared folder before
 the next one is broadcast, so that one automaton at a time is held, however many there are.
 
+Very long texts are taken whole, in slices of their own; ties cannot arise, as a word is hit or not.
+
 Defined cases: null texts and items have no words; an item without words is never found; repeated item_ids merge, repeated items
 each count; a null item_id reads as an empty one; repeated and null doc_ids are documents like any other; an empty document table
 gives an empty result, an empty benchmark leaves everything clean; extra columns are not looked at.
@@ -183,6 +185,26 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_wor
     return judged(found).filter(~F.col("contaminated")).select("row.*")
 
 
+def removed(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """As find(), with the text less the spans of its hit words: every stretch of a window's length or more that stands in an item (or
+    of a whole shorter item) is cut out, what stands around it stays. Null texts are empty."""
+    found = _passes(_blank(docs, F.col("`doc_id`")), benchmark, window, shard_words, "doc_id")
+    at, spans_at = found.columns.index("text"), found.columns.index("spans")
+
+    def cut_out(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in iterator:
+            texts = batch.column(at).fill_null("")
+            hit = np.flatnonzero(np.diff(batch.column(spans_at).offsets.to_numpy()) > 0)
+            if len(hit):
+                own = texts.to_pylist()
+                for k in hit.tolist():
+                    own[k] = without_spans(own[k], [(s["start"], s["end"]) for s in batch.column(spans_at)[k].as_py()])
+                texts = pa.array(own, pa.string())
+            yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
+
+    return found.mapInArrow(cut_out, found.schema)
+
+
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text less the given spans of words, with what stands between their words."""
     if not spans or not text:

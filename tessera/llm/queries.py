@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.inspect(audio.encode(table(spark, sf_dir, "documents")))
+    return audio.inspect(audio.store(audio.encode(table(spark, sf_dir, "documents")), shared_dir(spark, "media")))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +46,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return decontamination.judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    found = decontamination.removed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

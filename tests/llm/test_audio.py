@@ -59,6 +59,14 @@ def test_documents(docs, documents):
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]))
 
 
+def test_media_are_stored_and_read_back(docs, documents, tmp_path):
+    media = audio.encode(docs)
+    stored = audio.store(media, f"file://{tmp_path}/media")
+    assert "MapInArrow" not in stored._jdf.queryExecution().executedPlan().toString()
+    key = lambda df: sorted((r.doc_id, r.payload_sha256, r.media_sha256) for r in audio.inspect(df).collect())
+    assert key(stored) == key(media) and stored.count() == len(documents)
+
+
 def test_empty(empty):
     assert audio.inspect(audio.encode(empty)).count() == 0
     assert audio.read(b"").feature.startswith("none;frames=0")

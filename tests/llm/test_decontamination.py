@@ -61,6 +61,22 @@ def test_many_passes_give_the_same(spark, documents, words):
     assert result(spark, docs, items, shard_words=40) == brute(docs, items)
 
 
+def test_spans_are_removed_from_texts(spark, documents, words):
+    docs, items = planted(documents, words)
+    texts = dict(docs)
+    windows = {(n, tuple(v[k : k + n])) for _, body in items if (v := cut(body)) for n in [min(13, len(v))] for k in range(len(v) - n + 1)}
+    sizes = {n for n, _ in windows}
+    d, b = spark.createDataFrame([*docs, (9100, None), (9101, "")], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for shard_words in (300_000, 40):
+        got = {r.doc_id: r for r in decontamination.removed(d, b, shard_words=shard_words).collect()}
+        assert len(got) == len(docs) + 2 and got[9100].text == got[9101].text == ""
+        for i, text in texts.items():
+            w = cut(text)
+            hit = {x for n in sizes for k in range(len(w) - n + 1) if (n, tuple(w[k : k + n])) in windows for x in range(k, k + n)}
+            assert cut(got[i].text) == [x for k, x in enumerate(w) if k not in hit]
+            assert hit or got[i].text == (text or "")
+
+
 def test_empty_tables(spark):
     assert result(spark, [], [(1, "a b")]) == {}
     assert result(spark, [(1, "a b"), (2, None)], [])[1][1:3] == (0, 0)
