@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vector
 from tessera.operators import late
 from tessera.operators.search import Filters, bm25, rrf, scored, tokens, top
+from tessera.sources.shared import cut
 
 COLBERT, RRF, DECAYED, DENSE = "hybrid_colbert", "hybrid_rrf", "hybrid_rrf_decay", "dense"
 
@@ -39,7 +40,8 @@ def searched(memories: DataFrame, queries: DataFrame, k: int = 5, filters: Filte
     """
     m, most = memories.filter((filters or Filters()).condition()), max(50, 5 * k)
     q = queries.withColumn("mode", mode(F.col("text"), F.col("vectors"), vectors is not None, now is not None))
-    first, second = legs(m, q, most, digits=digits)
+    # the legs are a few rows for each query and are read by every means: they are written once
+    first, second = (cut(leg, "hybrid-leg") for leg in legs(m, q, most, digits=digits))
     how = q.select("query_id", "mode")
     by = lambda found, *names: found.join(how.filter(F.col("mode").isin(*names)), "query_id")
     fused = _rounded(rrf(first, second), "score", digits)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.search import tokens, top
+from tessera.sources.shared import cut
 
 #: Documents of a block, about, and the blocks of a query that are scored first.
 BLOCK, FIRST = 16, 32
@@ -81,7 +82,8 @@ def _scored(index: Index, asked: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def rounds(index: Index, queries: DataFrame, k: int, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
     """The blocks (query_id, block) of the first and of the second round."""
-    ranked = bounds(index, queries).withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")))
+    # a row for each query and block, read by both rounds
+    ranked = cut(bounds(index, queries), "block-bounds").withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")))
     begin = ranked.filter(F.col("_r") <= first).select("query_id", "block")
     reached = top(_scored(index, _asked(index, queries), begin), k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("_least"))
     more = ranked.filter(F.col("_r") > first).join(reached, "query_id", "left").filter(F.col("_least").isNull() | (F.col("bound") >= F.col("_least") - CLOSE))
