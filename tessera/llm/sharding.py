@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.columns import exists, narrow
+from tessera.llm.columns import cut, exists, narrow
 
 #: Virtual slots: far more than shards, so that whole slots balance to a small part of a shard; the map stays this long for any input.
 SLOTS = 4096
@@ -100,17 +100,19 @@ def load_map(spark, path: str, version: int | None = None) -> DataFrame:
 def mapped(docs: DataFrame, path: str, shards: int = 8, slots: int = SLOTS) -> DataFrame:
     """As shard(), by the map whose table is at path. Without a table the first version is dealt and stored; with one, the latest
     version is edited for the loads of docs and stored as the next."""
-    spark, loads = docs.sparkSession, slot_bytes(measured(docs, slots))
+    spark, records = docs.sparkSession, cut(measured(docs, slots), "sharding-records")  # the texts are read once
+    loads = slot_bytes(records)
     save_map(rebalanced(load_map(spark, path), loads, shards) if exists(spark, path) else slot_map(loads, shards), path)
-    return shard(docs, shards, slots, load_map(spark, path))
+    return shard(docs, shards, slots, load_map(spark, path), records)
 
 
-def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, mapping: DataFrame | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, mapping: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (place in the shard, gapless from 0), grown_shard (null: sizes decide), virtual_slot.
 
-    Places come from rows counted per virtual slot and a row number within each, so no task holds a whole shard.
+    Places come from rows counted per virtual slot and a row number within each, so no task holds a whole shard. records: what
+    measured() gives for docs, where it is at hand.
     """
-    records = measured(docs, slots)
+    records = measured(docs, slots) if records is None else records
     loads = slot_bytes(records)
     mapping = slot_map(loads, shards) if mapping is None else mapping
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
