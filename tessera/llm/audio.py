@@ -7,7 +7,7 @@ without loss: each frame's side information announces no coded samples (it plays
 ancillary bytes, an ID3v2 tag keeps its length and checksum, and a first frame holds the Xing table of a variable-bitrate stream.
 
 Defined cases: null is empty; empty bytes give no frames and duration 0; bytes between frames are skipped and counted; a truncated
-last frame is not a frame; a stream without a payload tag (or with one that is no number) gives an empty payload; a payload that lost
+last frame is not a frame; very long texts make streams of many frames, each of its own, so nothing but the stream grows; a stream without a payload tag (or with one that is no number) gives an empty payload; a payload that lost
 or changed bytes is given as it is and marked as not intact; repeated and null doc_ids are documents like any other; an empty table
 gives an empty result; extra columns are not looked at.
 """

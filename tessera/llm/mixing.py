@@ -6,7 +6,7 @@ The order goes by size class first, so taken words stay within a few documents'
 
 Defined cases: a null text has size 0; documents of size 0 are kept with what they get, which takes no words; a null source is
 a source of its own, last in order; a source or table without words has target 0 and takes nothing; ties and repeated doc_ids
-are ordered by hash, then size; an empty table gives an empty result; extra columns are not looked at.
+are ordered by hash, then size; a very long text is one document of its size, taken whole or not at all; an empty table gives an empty result; extra columns are not looked at.
 """
 
 from __future__ import annotations

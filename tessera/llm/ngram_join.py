@@ -10,7 +10,8 @@ and the least document that it hangs together with over the links of its part),
 buckets counts in one of them.
 
 Defined cases: null and empty texts, and texts without words, have empty sets: they link only to texts equal to them (null as
-empty); repeated rows, repeated doc_ids and null doc_ids are documents like any other; an empty table gives an empty result; a class
+empty); repeated rows, repeated doc_ids and null doc_ids are documents like any other; an empty table gives an empty result; very long
+texts are compared by all their n-grams; a class
 is named by its least doc_id (null where no document of it has one).
 """
 

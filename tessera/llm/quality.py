@@ -6,7 +6,8 @@ logistic loss on the difference of their features. The threshold is a quantile o
 with the labels; scores are mapped to 0..1 so that this quantile is 0.3.
 
 Defined cases: null and empty texts have all features 0 and are scored like any other text; a table without labels, or with one
-label alone, gives everyone the score 0.5; an empty table gives an empty result; repeated rows are scored alike; extra columns are
+label alone, gives everyone the score 0.5; an empty table gives an empty result; repeated rows are scored alike; very long texts are
+read whole, in slices of their own; equal scores fall on the same side of the threshold; extra columns are
 not looked at.
 """
 

@@ -5,7 +5,7 @@ Rebalancing edits the map, never the hash, so only the rows of moved slots move.
 
 Defined cases: a null text has size 1 (no bytes, plus 1) and crc32 0; a record's slot goes by its doc_id and its text's crc32, so
 that null and repeated doc_ids spread; rows that repeat both fall into one slot; ties are broken by slot number; an empty table gives
-an empty result and a map without slots; extra columns are not looked at.
+an empty result and a map without slots; a very long text counts with all its bytes and makes its slot heavy; extra columns are not looked at.
 """
 
 from __future__ import annotations

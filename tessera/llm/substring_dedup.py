@@ -15,7 +15,8 @@ them to every task would cost shards x documents. Instead a shard travels only t
 
 Words are runs of characters other than space, tab and line breaks, unchanged. Matching compares words, not hashes.
 
-Defined cases: null and empty texts have no words; documents of fewer than 50 words lose nothing; a null doc_id is neither earlier
+Defined cases: null and empty texts have no words; documents of fewer than 50 words lose nothing; very long texts are
+read whole, in stretches around their anchors; of equal windows the least doc_id keeps them; a null doc_id is neither earlier
 nor later than any other and loses nothing; rows that repeat a doc_id are not earlier than each other; an empty table gives an
 empty result; extra columns are not looked at.
 """

@@ -8,7 +8,7 @@ Content is normalised as far as the count allows: null becomes empty. Any other
 Encoding splits a text where no token can span: before a space that follows a non-space and precedes a letter, as byte-level
 pre-tokenisation always breaks there. Each distinct piece of a task's texts goes through the library once, so counts are the library's.
 
-Defined cases: a null text counts as empty, 0 tokens; equal texts are encoded once; repeated and null doc_ids are documents like any
+Defined cases: a null text counts as empty, 0 tokens; equal texts are encoded once; very long texts are counted whole, piece by piece; repeated and null doc_ids are documents like any
 other; an empty table gives an empty result; extra columns are not looked at.
 """
 

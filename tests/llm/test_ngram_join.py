@@ -128,3 +128,16 @@ def test_chains_equal_brute_force(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     for block in (512, 3):
         assert sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.join(d, block=block).collect()) == brute(docs)
+
+
+def test_very_long_texts_are_compared_whole(spark, words):
+    rng = random.Random(8)
+    base = [rng.choice(words) + str(rng.randrange(10**6)) for _ in range(30_000)]
+    near, far = list(base), list(base)
+    for k in range(25_000, 25_400):  # all differences stand far behind the start
+        near[k] = f"x{k}"
+    for k in range(15_000, 30_000):
+        far[k] = f"y{k}"
+    docs = [(1, " ".join(base)), (2, ", ".join(near)), (3, " ".join(far)), (4, " ".join(base[:200])), (5, "z" * 300_000), (6, "z" * 300_000)]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == brute(docs) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0), (5, 5, 1), (6, 5, 1)]
