@@ -15,12 +15,17 @@ def changes_since(memories: DataFrame, commits: DataFrame) -> DataFrame:
     """memories with commit_count: current changes to their file, strictly after they were stored.
 
     Changes are exploded to (file, time) and counted; with the memories of the file between them in order of time, a running sum gives
-    each its count, so a file costs its changes plus its memories, never their product.
+    each its count, so a file costs its changes plus its memories, never their product. The sum runs within a day of a file, on top of
+    the sums of its later days, so a file that most changes touch is not one task's work.
     """
     touched = commits.filter("is_current").select(F.explode(F.array_distinct("files_changed")).alias("file_path"), F.col("committed_at").alias("at")).groupBy("file_path", "at").agg(F.count(F.lit(1)).alias("n"))
     line = touched.select("file_path", "at", "n", F.lit(None).cast("string").alias("point_id")).unionByName(memories.select("file_path", F.col("stored_at").alias("at"), F.lit(0).cast("long").alias("n"), F.col("point_id").cast("string")))
-    later = Window.partitionBy("file_path").orderBy(F.col("at").desc(), F.col("point_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)  # at one moment the memory stands before the change
-    count = line.withColumn("commit_count", F.sum("n").over(later)).filter("point_id IS NOT NULL").select("point_id", "commit_count")
+    line = line.withColumn("_day", F.floor(F.unix_seconds(F.col("at")) / 86_400))
+    days = Window.partitionBy("file_path").orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = touched.groupBy("file_path", F.floor(F.unix_seconds(F.col("at")) / 86_400).alias("_day")).agg(F.sum("n").alias("_own"))
+    seen = line.select("file_path", "_day").distinct().join(after, ["file_path", "_day"], "left").withColumn("_later", F.coalesce(F.sum("_own").over(days), F.lit(0))).drop("_own")
+    later = Window.partitionBy("file_path", "_day").orderBy(F.col("at").desc(), F.col("point_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)  # at one moment the memory stands before the change
+    count = line.join(seen, ["file_path", "_day"]).withColumn("commit_count", F.sum("n").over(later) + F.col("_later")).filter("point_id IS NOT NULL").select("point_id", "commit_count")
     return memories.join(count, "point_id", "left").withColumn("commit_count", F.coalesce("commit_count", F.lit(0)))
 
 

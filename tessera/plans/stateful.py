@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import chunking, classify, compose, errors, scan, text
+from tessera.functions import code as structure
 from tessera.operators import packing, search, stats, versions
 from tessera.plans import tables
 from tessera.plans.registry import query
@@ -58,9 +59,20 @@ def sentences(spark, d):
     return _texts(spark, d).select("doc_id", F.posexplode(chunking.column(chunking.sentences, "array<string>", F.col("text"))).alias("i", "sentence"))
 
 
+#: Suffixes of the texts of code(), one for each.
+_SUFFIXES = [".py", ".py", ".py", ".py", ".py", ".py", ".js", ".md", ".py", ".go", ".sql", ".txt"]
+
+
+def _by_structure(content: str, path: str) -> list[str]:
+    """Chunks by definitions where the language is read so, and of what is too large, or another language, by windows of lines."""
+    found = structure.chunks(content, path) if structure.language(path) else chunking.line_windows(content)
+    return [p for c in found for p in chunking.sub_chunks(c)]
+
+
 @query("C9_code_chunks")
 def code_chunks(spark, d):
-    return code(spark, d).select("doc_id", F.posexplode(chunking.column(chunking.python_chunks, "array<string>", F.col("content"))).alias("chunk_index", "chunk"))
+    path = F.concat(F.lit("src/f"), tables.pick(_SUFFIXES, F.col("doc_id")))
+    return code(spark, d).select("doc_id", F.posexplode(chunking.column(_by_structure, "array<string>", F.col("content"), path)).alias("chunk_index", "chunk"))
 
 
 @query("C12_line_windows")

@@ -238,3 +238,14 @@ def test_purge_keeps_what_has_no_time_or_another_tenant(spark):
 def test_code_too_deep_for_the_parser_is_cut_by_lines():
     deep = "x = " + "(" * 5000 + "1" + ")" * 5000
     assert chunking.python_chunks(deep) == [deep] and chunking.python_symbols(deep) == [] and chunking.python_imports(deep) == []
+
+
+def test_changes_since_over_days_equal_a_count_of_pairs(spark):
+    rng = random.Random(6)
+    at = lambda: rng.choice([0, 86_399, 86_400, 86_401, rng.randrange(10 * 86_400)])
+    commits = [(i, at(), rng.sample(["a", "b", "hot"], rng.randint(1, 2)) + ["hot"] * (i % 2), i % 7 != 0) for i in range(300)]
+    memories = [(f"p{i}", rng.choice(["a", "b", "hot", "none"]), at()) for i in range(60)] + [("null", "a", None)]
+    c = spark.createDataFrame(commits, "commit_id long, s long, files_changed array<string>, is_current boolean").withColumn("committed_at", F.timestamp_seconds("s"))
+    m = spark.createDataFrame(memories, "point_id string, file_path string, s long").withColumn("stored_at", F.timestamp_seconds("s"))
+    got = {r.point_id: r.commit_count for r in freshness.changes_since(m, c).collect()}
+    assert got == {p: sum(cur and f in files and s is not None and t > s for _, t, files, cur in commits) for p, f, s in memories}
