@@ -25,10 +25,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.columns import id_field, narrow
+from tessera.llm.columns import exists, id_field, narrow, shared_dir
 from tessera.llm.tokens import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -372,6 +372,23 @@ def train(steps: int = 680, batch: int = 48, seed: int = 11, fast: float = 0.05)
     return Tagger(mean)
 
 
+def stored(spark: SparkSession) -> Tagger:
+    """The trained tagger, from a table in the shared folder that is named by a digest of this module's code: trained where there is
+    none yet, and then written for the processes after this one."""
+    code = hashlib.sha256(__loader__.get_data(__file__)).hexdigest()[:32]
+    path = f"{shared_dir(spark, 'x').rsplit('/', 1)[0]}/pii-weights-{code}"
+    if exists(spark, f"{path}/_SUCCESS"):
+        rows = spark.read.schema(WEIGHTS).parquet(path).collect()  # a few arrays of some KB in all
+        return Tagger({r.name: np.frombuffer(bytes(r.data), r.kind).reshape(r.shape).copy() for r in rows})
+    tagger = train()
+    rows = [(n, str(a.dtype), list(a.shape), a.tobytes()) for n, a in tagger.p.items()]
+    spark.createDataFrame(rows, WEIGHTS).coalesce(1).write.mode("overwrite").parquet(path)
+    return tagger
+
+
+WEIGHTS = "name string, kind string, shape array<int>, data binary"
+
+
 def _reach(text: str, at: int) -> tuple[int, int]:
     """Where an address around the "@" at that place can begin and end: blanks beside it, then the characters of its kind."""
     i, j = at, at + 1
@@ -582,7 +599,7 @@ SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string
 
 def find(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """doc_id, counts of the rules' spans by kind, base_sha256, spans (kind:start:end, all of them), for each document."""
-    held = docs.sparkSession.sparkContext.broadcast(tagger or train())
+    held = docs.sparkSession.sparkContext.broadcast(tagger or stored(docs.sparkSession))
     nothing = hashlib.sha256(b"").hexdigest()
 
     def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -167,3 +167,11 @@ def test_documents(spark, docs, documents, tagger):
 
 def test_empty(empty, tagger):
     assert pii.find(empty, tagger).count() == 0
+
+
+def test_weights_are_stored_for_later_processes(spark, tagger, monkeypatch):
+    first = pii.stored(spark)
+    monkeypatch.setattr(pii, "train", lambda: pytest.fail("trained again"))
+    again = pii.stored(spark)
+    for t in (first, again):
+        assert set(t.p) == set(tagger.p) and all((t.p[n] == a).all() and t.p[n].dtype == a.dtype for n, a in tagger.p.items())
