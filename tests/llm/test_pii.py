@@ -134,6 +134,28 @@ def test_fast_emissions_equal_plain_ones(tagger):
     assert np.allclose(plain, tagger.emissions(x), atol=1e-3)
 
 
+def test_quick_states_lose_no_span(tagger, monkeypatch):
+    """Tags with a screen of quick states against tags where every state is exact; a look at how far the two are apart."""
+    rng = random.Random(21)
+    texts = [pii.sentence(rng, 3000)[0] for _ in range(60)] + ["", "x", "9" * 400, " at " * 300, "a@b" * 200]
+    kinds, bounds = np.concatenate([pii.classes(t) for t in texts]), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    placed = lambda runs: {p + k: int(x) for p, t in runs for k, x in enumerate(t) if x}
+    quick = placed(pii.tags(tagger, kinds, bounds))
+    x, _ = pii.labelled(random.Random(9), 200)
+    near = np.abs(tagger.projected(x, tagger.p["out"]) - tagger.projected(x, tagger.p["out"], quick=True))
+    assert near.mean() < 0.1 and np.quantile(near, 0.99) < pii.SLACK
+    exact = pii.Tagger.projected
+    monkeypatch.setattr(pii.Tagger, "projected", lambda self, x, weights, quick=False: exact(self, x, weights))
+    assert placed(pii.tags(tagger, kinds, bounds)) == quick and len(quick) > 5000
+
+
+def test_quick_activation_is_near_the_logistic_function():
+    v = np.linspace(-60, 60, 200_001)
+    z = (-v * pii._PER + pii._ONE).astype(np.float32)
+    pii._quick(z, *np.empty((2, len(v)), np.int32))
+    assert np.abs(z - 1 / (1 + np.exp(-v))).max() < 0.003
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     t = pii.Tagger(dict(pii.train(steps=1, batch=2).p))
