@@ -82,6 +82,28 @@ def test_disguised_addresses_are_taken_whole(tagger, address):
     assert added(tagger, text) == [("email", 16, 16 + len(address))]
 
 
+def _card(r, sep):
+    body = "4" + "".join(r.choices("0123456789", k=14))
+    body += next(c for c in "0123456789" if pii.luhn(body + c))
+    return sep.join(body[k : k + 4] for k in range(0, 16, 4))
+
+
+UNMADE = {  # forms that the sentences of the training never have
+    "dashes": ("email", lambda r, w: f"{w()}.{w()} -at- {w()} -dot- org"), "underscores": ("email", lambda r, w: f"{w()}_at_{w()}_dot_com"), "dotted name": ("email", lambda r, w: f"{w()} dot {w()} at {w()} dot org"),
+    "card": ("card", lambda r, w: _card(r, "_")), "ip": ("ip", lambda r, w: "[.]".join(str(r.randrange(1, 255)) for _ in range(4))),
+}
+
+
+@pytest.mark.parametrize("form", UNMADE)
+def test_forms_outside_the_training(tagger, form):
+    r = random.Random(5)
+    word, (kind, made), found = lambda: r.choice("garden window market bridge silver winter orange pocket mountain river castle button".split()), UNMADE[form], 0
+    for _ in range(40):
+        x, before = made(r, word), f"Please send it to {word()} or {word()}, then write "
+        found += (kind, len(before), len(before) + len(x)) in added(tagger, f"{before}{x} before the end of the month, or wait.")
+    assert found >= 32
+
+
 def test_look_alikes_are_left(tagger):
     for text in ("ssn 123-45-6789 ok", "we meet at the station at noon, or at home", "see 2024-01-31 and version 1.2.3", "the order 415-555-2671-88 was lost"):
         assert added(tagger, text) == [], text
