@@ -270,21 +270,22 @@ def interval_metrics(spark, d):
 @query("T3_token_bucket")
 def bucket(spark, d):
     e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"), "event_id", F.lit(4.0).alias("tokens"))
-    return state.token_bucket(e, ["user_id"], "at", "tokens", rate=0.0001).select("user_id", F.size(F.filter("allowed", lambda x: x)).alias("allowed"), F.size("allowed").alias("asked"))
+    return state.bucket_steps(e, ["user_id"], "at", "tokens", rate=0.0001).groupBy("user_id").agg(F.count_if("allowed").cast("int").alias("allowed"), F.count(F.lit(1)).cast("int").alias("asked"))
 
 
 @query("T4_dual_bucket")
 def dual_bucket(spark, d):
     e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"), "event_id", F.lit(1.0).alias("tokens"), (F.col("event_id") % 5 + 1).cast("double").alias("size"))
-    a = state.token_bucket(e.select("user_id", "at", "event_id", "tokens"), ["user_id"], "at", "tokens", rate=0.0001).select("user_id", F.col("allowed").alias("a"))
-    b = state.token_bucket(e.select("user_id", "at", "event_id", F.col("size").alias("tokens")), ["user_id"], "at", "tokens", rate=0.0005, burst=20.0).select("user_id", F.col("allowed").alias("b"))
-    return a.join(b, "user_id").select("user_id", F.aggregate(F.zip_with("a", "b", lambda x, y: (x & y).cast("int")), F.lit(0), lambda s, x: s + x).alias("allowed"))
+    a = state.bucket_steps(e.select("user_id", "at", "event_id", "tokens"), ["user_id"], "at", "tokens", rate=0.0001).select("user_id", "n", F.col("allowed").alias("a"))
+    b = state.bucket_steps(e.select("user_id", "at", "event_id", F.col("size").alias("tokens")), ["user_id"], "at", "tokens", rate=0.0005, burst=20.0).select("user_id", "n", F.col("allowed").alias("b"))
+    return a.join(b, ["user_id", "n"]).groupBy("user_id").agg(F.count_if(F.col("a") & F.col("b")).cast("int").alias("allowed"))
 
 
 @query("T5_circuit_breaker")
 def circuit(spark, d):
     e = table(spark, d, "events").select((F.col("user_id") % 20).alias("provider"), F.col("ts").cast("timestamp").alias("at"), "event_id", (F.col("event_type") != "error").alias("ok"))
-    return state.circuit(e, ["provider"], "at", "ok", failures=2, seconds=3600.0).select("provider", "state", F.size(F.filter("states", lambda s: s == "open")).alias("refused"))
+    steps = state.circuit_steps(e, ["provider"], "at", "ok", failures=2, seconds=3600.0)
+    return steps.groupBy("provider").agg(F.max_by("state", "n").alias("state"), F.count_if(F.col("met") == "open").cast("int").alias("refused"))
 
 
 @query("T7_queue_batches", "SELECT CASE WHEN event_id % 4 <> 0 THEN 'done' WHEN (event_id // 3) % 5 + 1 >= 3 THEN 'dead' ELSE 'retry' END AS outcome, count(*) AS n FROM events GROUP BY 1")

@@ -1,4 +1,4 @@
-"""Stateful operators: micro-batches with Structured Streaming, and the same state machines as folds over ordered events."""
+"""Stateful operators: micro-batches with Structured Streaming, and the same state machines stepping through ordered events."""
 
 from __future__ import annotations
 
@@ -7,49 +7,91 @@ from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import wait as wait_for
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.versions import updated
 
 
-def folded(events: DataFrame, by: list[str], at: list[str], state: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None) -> DataFrame:
-    """A fold over each key's events in order. A key's events are one row's array, so use it where a key's events are bounded."""
-    row = F.struct(*at, *(c for c in events.columns if c not in at and c not in by))
-    grouped = events.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("events"))
-    return grouped.select(*by, (F.aggregate("events", state, step, finish) if finish else F.aggregate("events", state, step)).alias("state"))
+def stepped(events: DataFrame, by: list[str], at: str, value: str, begin: Callable[[], tuple], step: Callable[[tuple, float, object], tuple[tuple, tuple]], said: str) -> DataFrame:
+    """by, n (the place of an event within its key, from 0) and what step says of each event (columns said), by time and then by the
+    other columns. step takes the state, the time in seconds and the value, and gives the next state and a row.
+
+    Events stream past in order and only one state is held, so a key may have any number of them, at a cost in proportion.
+    """
+    rest = [c for c in events.columns if c != at and c not in by]
+    ordered = events.repartition(*by).sortWithinPartitions(*by, at, *rest).select(*by, F.col(at).cast("double").alias("_at"), F.col(value).alias("_value"))
+    schema = T.StructType([*(T.StructField(c, events.schema[c].dataType) for c in by), T.StructField("n", T.LongType()), *T.StructType.fromDDL(said).fields])
+    names, kinds = schema.names, [to_arrow_type(f.dataType) for f in schema.fields[len(by) :]]
+
+    def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, n = None, None, 0
+        for b in iterator:
+            keys, out = [b.column(i) for i in range(len(by))], []
+            for key, now, x in zip(zip(*(k.to_pylist() for k in keys), strict=True), b.column(len(by)).to_pylist(), b.column(len(by) + 1).to_pylist(), strict=True):
+                if key != last:
+                    last, state, n = key, begin(), 0
+                state, row = step(state, now, x)
+                out.append((n, *row))
+                n += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
+
+    return ordered.mapInArrow(run, schema)
+
+
+def bucket_steps(requests: DataFrame, by: list[str], at: str, tokens: str, rate: float = 1.0, burst: float = 10.0) -> DataFrame:
+    """by, n, allowed, left of each request: refills by time passed, starts full; a request passes if enough tokens are there."""
+
+    def step(state: tuple, now: float, asked: float) -> tuple[tuple, tuple]:
+        left, before = state
+        have = min(burst, left + (0.0 if now is None or before is None else now - before) * rate)
+        ok = None if asked is None else have >= asked
+        left = float(have - asked) if ok else have
+        return (left, now), (ok, left)
+
+    return stepped(requests, by, at, tokens, lambda: (burst, None), step, "allowed boolean, left double")
 
 
 def token_bucket(requests: DataFrame, by: list[str], at: str, tokens: str, rate: float = 1.0, burst: float = 10.0) -> DataFrame:
-    """by, allowed (flags in order), left: refills by time passed, starts full; a request passes if enough tokens are there."""
-    start = F.struct(F.lit(burst).alias("left"), F.lit(None).cast("double").alias("at"), F.array().cast("array<boolean>").alias("allowed"))
+    """by, allowed (flags in order), left in the end, by bucket_steps(), which has no array and so no bound on a key's requests."""
+    return _in_order(bucket_steps(requests, by, at, tokens, rate, burst), by, "allowed", "left").withColumnRenamed("_all", "allowed").select(*by, "allowed", "left")
+
+
+def _in_order(steps: DataFrame, by: list[str], each: str, last: str) -> DataFrame:
+    """by, _all (values of each step in order), the last value of another column."""
+    grouped = steps.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("n", each))).alias("_steps"), F.max_by(last, "n").alias(last))
+    return grouped.withColumn("_all", F.transform("_steps", lambda x: x[each])).drop("_steps")
+
+
+def circuit_steps(calls: DataFrame, by: list[str], at: str, ok: str, failures: int = 5, seconds: float = 60.0, probes: int = 3) -> DataFrame:
+    """by, n, met (the state that a call met), state (the one after it): opens after failures in a row, tries again after a time,
+    closes on a success."""
 
-    def step(acc: Column, x: Column) -> Column:
-        now = x[at].cast("double")
-        have = F.least(F.lit(burst), acc["left"] + F.coalesce(now - acc["at"], F.lit(0.0)) * rate)
-        ok = have >= x[tokens]
-        return F.struct(F.when(ok, have - x[tokens]).otherwise(have).cast("double").alias("left"), now.alias("at"), F.array_append(acc["allowed"], ok).alias("allowed"))
+    def step(state: tuple, now: float, good: bool) -> tuple[tuple, tuple]:
+        s, n, since, tried = state
+        met = s
+        if s == "open" and now is not None and now - since > seconds:
+            met, tried = "half_open", 0
+        if met == "open" or (met == "half_open" and tried >= probes):
+            return (met, n, since, tried), (met, met)
+        n = 0 if good else n + 1
+        after = "closed" if good else "open" if met == "half_open" or n >= failures else "closed"
+        if not good and after == "open" and now is not None:
+            since = now
+        return (after, n, since, tried + 1 if met == "half_open" else tried), (met, after)
 
-    return folded(requests, by, [at], start, step).select(*by, "state.allowed", "state.left")
+    return stepped(calls, by, at, ok, lambda: ("closed", 0, 0.0, 0), step, "met string, state string")
 
 
 def circuit(calls: DataFrame, by: list[str], at: str, ok: str, failures: int = 5, seconds: float = 60.0, probes: int = 3) -> DataFrame:
-    """by, states (the state that each call met): opens after failures in a row, tries again after a time, closes on a success."""
-    start = F.struct(F.lit("closed").alias("s"), F.lit(0).alias("n"), F.lit(0.0).alias("since"), F.lit(0).alias("probes"), F.array().cast("array<string>").alias("states"))
-
-    def step(acc: Column, x: Column) -> Column:
-        now = x[at].cast("double")
-        rested = (acc["s"] == "open") & (now - acc["since"] > seconds)
-        met = F.when(rested, "half_open").otherwise(acc["s"])
-        tried = F.when(rested, F.lit(0)).otherwise(acc["probes"])
-        blocked = (met == "open") | ((met == "half_open") & (tried >= probes))
-        n = F.when(blocked, acc["n"]).when(x[ok], 0).otherwise(acc["n"] + 1)
-        after = F.when(blocked, met).when(x[ok], "closed").when((met == "half_open") | (n >= failures), "open").otherwise("closed")
-        since = F.when(~blocked & ~x[ok] & (after == "open"), now).otherwise(acc["since"])
-        return F.struct(after.alias("s"), n.cast("int").alias("n"), since.cast("double").alias("since"), F.when(blocked | (met != "half_open"), tried).otherwise(tried + 1).cast("int").alias("probes"), F.array_append(acc["states"], met).alias("states"))
-
-    return folded(calls, by, [at], start, step).select(*by, "state.states", F.col("state.s").alias("state"))
+    """by, states (the state that each call met, in order), state in the end, by circuit_steps(), which has no array and so no bound on
+    a key's calls."""
+    return _in_order(circuit_steps(calls, by, at, ok, failures, seconds, probes), by, "met", "state").withColumnRenamed("_all", "states").select(*by, "states", "state")
 
 
 SESSION_OUT = "session_id string, injected int, tokens long, compactions int"

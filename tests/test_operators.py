@@ -98,3 +98,28 @@ def test_streams_drop_repeats(spark, tmp_path):
     q = state.new_messages(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
     q.awaitTermination()
     assert sorted((r.session_id, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("s", "hi"), ("s", "ho"), ("t", "hi")]
+
+
+def test_keys_with_many_events_are_stepped_through_in_order(spark):
+    """Far more events than one batch holds, half of all of one key; a fold that copies its list at every event does not end."""
+    n = 120_000
+    e = spark.range(n).select(F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id") % 7).cast("int").alias("k"), F.timestamp_seconds(F.col("id") * 3 % n).alias("at"), "id", (F.col("id") % 5 == 0).alias("ok"), F.lit(2.0).alias("tokens"))
+    got = {r.k: (r.calls, r.refused, r.last, r.state) for r in state.circuit_steps(e, ["k"], "at", "ok", 3, 50.0).groupBy("k").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("met") == "open").alias("refused"), F.max("n").alias("last"), F.max_by("state", "n").alias("state")).collect()}
+    passed = {r.k: r.n for r in state.bucket_steps(e, ["k"], "at", "tokens", 0.1).groupBy("k").agg(F.count_if("allowed").alias("n")).collect()}
+    per = {}
+    for i in sorted(range(n), key=lambda i: (i * 3 % n, i)):
+        per.setdefault(-1 if i % 2 == 0 else i % 7, []).append((i * 3 % n, i % 5 == 0))
+    assert set(got) == set(per)
+    for k, calls in per.items():
+        now, bad, since, refused, left, before, ok = "closed", 0, 0, 0, 10.0, calls[0][0], 0
+        for at, good in calls:
+            left, before = min(10.0, left + (at - before) * 0.1), at
+            left, ok = (left - 2, ok + 1) if left >= 2 else (left, ok)
+            met = "half_open" if now == "open" and at - since > 50 else now
+            if met == "open":
+                refused += 1
+                continue
+            bad = 0 if good else bad + 1
+            now = "closed" if good else "open" if met == "half_open" or bad >= 3 else "closed"
+            since = at if now == "open" else since
+        assert got[k] == (len(calls), refused, len(calls) - 1, now) and passed[k] == ok
