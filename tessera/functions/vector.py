@@ -21,14 +21,21 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def square(a: Column) -> Column:
+    """Squared length."""
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+
+
 def norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.sqrt(square(a))
 
 
-def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
-    """Cosine similarity; a vector of length zero is similar to nothing (0)."""
-    n = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
-    return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
+def cosine(a: Column, b: Column, square_a: Column | None = None, square_b: Column | None = None) -> Column:
+    """Cosine similarity, within -1 and 1; a vector of length zero is similar to nothing (0). One root of the product of squares, so a
+    vector is similar to itself by exactly 1."""
+    n = F.sqrt((square(a) if square_a is None else square_a) * (square(b) if square_b is None else square_b))
+    c = dot(a, b) / n
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(1.0)), F.lit(-1.0))))
 
 
 def max_sim(query: Column, document: Column) -> Column:

@@ -92,8 +92,8 @@ def near(incoming: DataFrame, stored: DataFrame, block: list[str], least: float,
     size = stored.filter(have).agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     held = spark.sparkContext.broadcast(planes(size[1] or 1, size[0], least, recall))
     named = {c: f"_{c}" for c in differs}
-    sides = s.withColumns({"_bucket": F.explode(_signed(F.col("embedding"), held, False)), "_n": vector.norm(F.col("embedding"))}).withColumnsRenamed({"embedding": "_e", **named})
-    asked = i.withColumns({"_asked": F.xxhash64(*keys, "embedding"), "_bucket": F.explode(_signed(F.col("embedding"), held, True)), "_m": vector.norm(F.col("embedding"))})
+    sides = s.withColumns({"_bucket": F.explode(_signed(F.col("embedding"), held, False)), "_n": vector.square(F.col("embedding"))}).withColumnsRenamed({"embedding": "_e", **named})
+    asked = i.withColumns({"_asked": F.xxhash64(*keys, "embedding"), "_bucket": F.explode(_signed(F.col("embedding"), held, True)), "_m": vector.square(F.col("embedding"))})
     # buckets beyond the size are few: each holds many rows
     large = sides.groupBy(*block, "_bucket").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > MOST).select(*block, "_bucket", F.ceil(F.col("_size") / MOST).cast("int").alias("_parts"))
     at = [*block, "_bucket"]

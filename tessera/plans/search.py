@@ -89,7 +89,7 @@ _RRF = f"SELECT query_id, point_id, sum(1.0 / (60 + rank)) AS fused FROM (SELECT
 
 def _legs(spark, d):
     m, q = memories(spark, d), _asked(spark, d)
-    first = search.top(search.scored(m, q.select("query_id", "query")).withColumn("similarity", F.round("similarity", 9)), 50, "similarity")
+    first = search.nearest(m, q.select("query_id", "query"), 50, digits=9)
     return first, search.top(search.bm25(m, q.select("query_id", "text")).withColumn("score", F.round("score", 9)), 50)
 
 
