@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vector
 from tessera.operators import late
-from tessera.operators.search import Filters, bm25, nearest, rrf, tokens, top
+from tessera.operators.search import Filters, lexical, nearest, rrf, tokens, top
 from tessera.sources.shared import cut
 
 COLBERT, RRF, DECAYED, DENSE = "hybrid_colbert", "hybrid_rrf", "hybrid_rrf_decay", "dense"
@@ -28,7 +28,7 @@ def _rounded(found: DataFrame, column: str, digits: int | None) -> DataFrame:
 def legs(memories: DataFrame, queries: DataFrame, most: int, threshold: float | None = None, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The best memories by vector and by words: query_id, point_id, rank."""
     first = nearest(memories, queries.select("query_id", "query"), most, threshold, digits)
-    return first, top(_rounded(bm25(memories, queries.select("query_id", "text")), "score", digits), most)
+    return first, lexical(memories, queries.select("query_id", "text"), most, digits)
 
 
 def searched(memories: DataFrame, queries: DataFrame, k: int = 5, filters: Filters | None = None, vectors: DataFrame | None = None, now: Column | None = None, weight: float = vector.SEMANTIC_WEIGHT, digits: int | None = None) -> DataFrame:

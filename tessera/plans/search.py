@@ -90,7 +90,7 @@ _RRF = f"SELECT query_id, point_id, sum(1.0 / (60 + rank)) AS fused FROM (SELECT
 def _legs(spark, d):
     m, q = memories(spark, d), _asked(spark, d)
     first = search.nearest(m, q.select("query_id", "query"), 50, digits=9)
-    return first, search.top(search.bm25(m, q.select("query_id", "text")).withColumn("score", F.round("score", 9)), 50)
+    return first, search.lexical(m, q.select("query_id", "text"), 50, 9)
 
 
 @query("V5_hybrid_prefetch", f"SELECT 'dense' AS leg, * FROM ({_LEG.format(s='similarity', t=_DENSE)}) WHERE rank <= 50 UNION ALL SELECT 'sparse', * FROM ({_LEG.format(s='score', t=_BM25)}) WHERE rank <= 50")

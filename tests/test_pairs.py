@@ -78,3 +78,30 @@ def test_duplicates_across_collections_without_the_own_one(spark, made):
     for k, ids in got.items():
         found = [(-round(s, 9), p) for p, r in rows.items() for s in [_cosine(r.embedding, rows[k].embedding)] if r.collection != rows[k].collection and s is not None and s >= 0.2]
         assert ids == [p for _, p in sorted(found)[:5]]
+
+
+def test_lexical_search_by_distinct_texts_equals_all_pairs(spark, monkeypatch):
+    """Contents with many rows, equal queries, nulls and empties: ranks as of all pairs, and no pair lost or made twice."""
+    rng = random.Random(5)
+    words = ["memory", "about", "red", "blue", "green", "seven"]
+    contents = [" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(40)] + ["", None, "memory memory", "rare"]
+    m = spark.createDataFrame([(f"p{i * 7919 % 1000:03d}", "memory red" if i % 3 else contents[i % len(contents)]) for i in range(600)], "point_id string, content string")
+    q = spark.createDataFrame([(1, "memory red"), (2, "memory red"), (3, "rare"), (4, "Memory, about: SEVEN seven"), (5, ""), (6, None), (7, "nothing")], "query_id int, text string")
+    monkeypatch.setattr(search, "SHARED", 50)
+    rows = m.collect()
+    split = {r.point_id: [w for w in r.content.lower().split() if w] for r in rows if r.content is not None}
+    n, avg = len(rows), sum(map(len, split.values())) / len(split)
+    df = {w: sum(w in t for t in split.values()) for w in [*words, "rare"]}
+    want = {}
+    for a in q.collect():
+        for p, t in split.items():
+            shared = {w.strip(",:") for w in (a.text or "").lower().split()} & set(t)
+            if shared:
+                want[a.query_id, p] = sum(math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / avg)) for w in shared)
+    got = search.bm25(m, q).collect()
+    assert len(got) == len(want) and {(r.query_id, r.point_id): round(r.score, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    for k in (1, 7, 300):
+        found = search.lexical(m, q, k, 9).collect()
+        for a in range(1, 8):
+            order = sorted((-round(v, 9), p) for (i, p), v in want.items() if i == a)[:k]
+            assert [(r.point_id, -r.score) for r in sorted((r for r in found if r.query_id == a), key=lambda r: r["rank"])] == [(p, s) for s, p in order]
