@@ -105,3 +105,19 @@ def test_lexical_search_by_distinct_texts_equals_all_pairs(spark, monkeypatch):
         for a in range(1, 8):
             order = sorted((-round(v, 9), p) for (i, p), v in want.items() if i == a)[:k]
             assert [(r.point_id, -r.score) for r in sorted((r for r in found if r.query_id == a), key=lambda r: r["rank"])] == [(p, s) for s, p in order]
+
+
+def test_nearest_of_a_block_in_parts_equals_all_pairs(spark, made, monkeypatch):
+    m, _ = made
+    rows = [r for r in m.collect() if r.embedding is not None and len(r.embedding) == 6]
+    d = spark.createDataFrame([(r.point_id, None if i % 50 == 0 else f"g{min(i % 9, 2)}", r.embedding) for i, r in enumerate(rows)], "point_id string, group_id string, embedding array<float>")
+    i, s = d.filter("point_id < 'p0600'"), d.filter("point_id > 'p0300'")
+    monkeypatch.setattr(dedup, "PART", 40)
+    known = s.collect()
+    got = {r.point_id: (r.similarity, r.existing_id) for r in dedup.nearest(i, s, ["group_id"], 0.6).collect()}
+    want = {}
+    for a in i.collect():
+        found = [(c, b.point_id) for b in known if a.group_id is not None and a.group_id == b.group_id and a.point_id != b.point_id for c in [_cosine(a.embedding, b.embedding)] if c >= 0.6]
+        if found:
+            want[a.point_id] = max(found)
+    assert got == want and len(want) > 100
