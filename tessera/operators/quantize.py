@@ -1,7 +1,8 @@
 """Vectors as one byte a dimension: a quarter of the bytes to scan, and the exact vectors only of what that scan proposes.
 
 Each dimension is cut into 256 steps between its least and greatest value over all rows. A search scores the codes with a matrix
-product for whole batches, keeps several times the hits that are asked for, and scores those again on the exact vectors.
+product for whole batches, keeps every row that may be among the hits by the greatest error of a code, and scores those again on the
+exact vectors, so the hits are exact.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from tessera.functions import vector
 from tessera.operators import search
 
-#: Candidates kept for each hit that is asked for, and queries that are scored together.
-OVERSAMPLE, TOGETHER = 4, 256
+#: Queries that are scored together, and what single precision may add to the error of codes.
+TOGETHER, SINGLE = 256, 2e-5
 
 
 @dataclass(frozen=True)
@@ -76,33 +77,33 @@ def coded(memories: DataFrame, scale: Scale) -> DataFrame:
 
 
 class Top:
-    """The best so many rows of each query, batch by batch."""
+    """Of each query, batch by batch, the rows whose score and slack reach what so many rows have at least."""
 
     def __init__(self, queries: int, most: int) -> None:
-        self.most, self.rows = most, [(np.zeros(0, np.float32), np.zeros(0, object)) for _ in range(queries)]
-
-    def add(self, score: np.ndarray, ids: np.ndarray, first: int) -> None:
-        """Scores of queries from the first on, a row each, for a batch's ids."""
-        if score.shape[1] > self.most:
-            part = np.argpartition(-score, self.most - 1, axis=1)[:, : self.most]
-            score, own = np.take_along_axis(score, part, 1), ids[part]
-        else:
-            own = np.broadcast_to(ids, score.shape)
+        self.most, self.least = most, np.full(queries, -np.inf)
+        self.rows = [(np.zeros(0, np.float32), np.zeros(0, np.float32), np.zeros(0, object)) for _ in range(queries)]
+
+    def add(self, score: np.ndarray, slack: np.ndarray, ids: np.ndarray, first: int) -> None:
+        """Scores of queries from the first on, a row each, for a batch's ids, and how far from the exact ones they may be."""
         for k in range(len(score)):
-            s, i = np.concatenate([self.rows[first + k][0], score[k]]), np.concatenate([self.rows[first + k][1], own[k]])
-            if len(s) > self.most:
-                keep = np.argpartition(-s, self.most - 1)[: self.most]
-                s, i = s[keep], i[keep]
-            self.rows[first + k] = (s, i)
+            new = score[k] + slack[k] >= self.least[first + k]
+            if not new.any():
+                continue
+            s, e, i = (np.concatenate(p) for p in zip(self.rows[first + k], (score[k][new], slack[k][new], ids[new]), strict=True))
+            if len(s) >= self.most:
+                self.least[first + k] = np.partition(s - e, -self.most)[-self.most]
+                keep = s + e >= self.least[first + k]
+                s, e, i = s[keep], e[keep], i[keep]
+            self.rows[first + k] = (s, e, i)
 
 
 def proposed(codes: DataFrame, queries: DataFrame, scale: Scale, most: int) -> DataFrame:
-    """query_id, point_id, score: the best so many rows of each query by codes. The queries are a stated set, taken in blocks of a
+    """query_id, point_id, score, slack: all rows that may be among the best so many of each query, by codes and their error. The queries are a stated set, taken in blocks of a
     checked size; each block is broadcast."""
     spark = codes.sparkSession
     size = queries.agg(F.sum(F.size("query").cast("long") * 4 + 64)).first()[0] or 0
     blocks, out = max(1, -(-size // search.MOST_BYTES)), None
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, point_id {dict(codes.dtypes)['point_id']}, score float"
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, point_id {dict(codes.dtypes)['point_id']}, score float, slack float"
     for b in range(blocks):
         part = (queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).select("query_id", "query").toArrow().combine_chunks()
         if not part.num_rows:
@@ -110,10 +111,10 @@ def proposed(codes: DataFrame, queries: DataFrame, scale: Scale, most: int) -> D
         q = rows_of(part.column("query").combine_chunks())
         length = np.linalg.norm(q, axis=1, keepdims=True)
         q = np.divide(q, length, out=np.zeros_like(q), where=length > 0)
-        held = spark.sparkContext.broadcast((part.column("query_id").combine_chunks(), q * scale.step, q @ (scale.low + 128 * scale.step)))
+        held = spark.sparkContext.broadcast((part.column("query_id").combine_chunks(), q * scale.step, q @ (scale.low + 128 * scale.step), np.abs(q * scale.step).sum(1) * 0.51 + SINGLE))
 
         def scan(iterator: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            names, weights, shift = held.value
+            names, weights, shift, error = held.value
             best, kind = Top(len(weights), most), None
             for batch in iterator:
                 kind = batch.column(0).type
@@ -122,15 +123,18 @@ def proposed(codes: DataFrame, queries: DataFrame, scale: Scale, most: int) -> D
                     norm, ids = np.asarray(batch.column(2), np.float32), np.array(batch.column(0).to_pylist(), object)
                     norm = np.where(norm > 0, norm, np.inf)
                     for k in range(0, len(weights), TOGETHER):
-                        best.add((weights[k : k + TOGETHER] @ x.T + shift[k : k + TOGETHER, None]) / norm, ids, k)
+                        best.add((weights[k : k + TOGETHER] @ x.T + shift[k : k + TOGETHER, None]) / norm, error[k : k + TOGETHER, None] / norm + SINGLE, ids, k)
             if kind is not None:
-                at = np.repeat(np.arange(len(weights)), [len(s) for s, _ in best.rows])
-                ids = pa.array([i for _, own in best.rows for i in own], kind)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), ids, pa.array(np.concatenate([s for s, _ in best.rows]).astype(np.float32))], ["query_id", "point_id", "score"])
+                at = np.repeat(np.arange(len(weights)), [len(s) for s, _, _ in best.rows])
+                ids = pa.array([i for _, _, own in best.rows for i in own], kind)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), ids, *(pa.array(np.concatenate([r[n] for r in best.rows]).astype(np.float32)) for n in (0, 1))], ["query_id", "point_id", "score", "slack"])
 
         found = codes.select("point_id", "code", "norm").mapInArrow(scan, schema)
         out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else search.top(out, most).drop("rank")
+    if out is None:
+        return spark.createDataFrame([], schema)
+    least = search.top(out.withColumn("_least", F.col("score") - F.col("slack")), most, "_least").filter(F.col("rank") == most).select("query_id", "_least")
+    return out.join(least, "query_id", "left").filter(F.col("_least").isNull() | (F.col("score") + F.col("slack") >= F.col("_least"))).drop("_least")
 
 
 def rescored(found: DataFrame, memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -139,7 +143,7 @@ def rescored(found: DataFrame, memories: DataFrame, queries: DataFrame, k: int)
     return search.top(pairs.withColumn("score", vector.cosine(F.col("embedding"), F.col("query"))).drop("embedding", "query"), k)
 
 
-def searched(codes: DataFrame, memories: DataFrame, queries: DataFrame, scale: Scale, k: int = 10, filters: search.Filters | None = None, oversample: int = OVERSAMPLE) -> DataFrame:
-    """The k best rows of each query: a scan of the codes that pass the filters, and the exact vectors of oversample times k of them."""
+def searched(codes: DataFrame, memories: DataFrame, queries: DataFrame, scale: Scale, k: int = 10, filters: search.Filters | None = None) -> DataFrame:
+    """The k best rows of each query: a scan of the codes that pass the filters, and the exact vectors of all that may be among them."""
     passed = codes if filters is None else codes.filter(filters.condition())
-    return rescored(proposed(passed, queries, scale, k * oversample), memories, queries, k)
+    return rescored(proposed(passed, queries, scale, k), memories, queries, k)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import vector
-from tessera.operators import dedup, pairs, search
+from tessera.operators import dedup, pairs, quantize, search
 
 MEMORY = "point_id string, collection string, unique_id string, content string, embedding array<float>"
 
@@ -121,3 +121,15 @@ def test_nearest_of_a_block_in_parts_equals_all_pairs(spark, made, monkeypatch):
         if found:
             want[a.point_id] = max(found)
     assert got == want and len(want) > 100
+
+
+def test_codes_propose_every_row_that_may_be_a_hit(spark):
+    """More copies than four times the hits, their least ids last: ties go by point_id."""
+    rng = random.Random(9)
+    one = [rng.gauss(0, 1) for _ in range(8)]
+    rows = [(f"p{i:04d}", one if i % 2 else [rng.gauss(0, 1) for _ in range(8)]) for i in reversed(range(600))]
+    m = spark.createDataFrame(rows, "point_id string, embedding array<float>").coalesce(2)
+    q = spark.createDataFrame([(1, one)], "query_id int, query array<float>")
+    scale = quantize.fit(m)
+    got = quantize.searched(quantize.coded(m, scale), m, q, scale, 10).orderBy("rank").collect()
+    assert [(r.point_id, r.score) for r in got] == [(f"p{i:04d}", 1.0) for i in range(1, 20, 2)]
