@@ -7,7 +7,7 @@ tags of the whole text are the best sequence under the transitions: one global d
 over staying outside, which loses nothing. Spans of the tagger that pass the kind's own tests and touch no
 span of the rules are added; an address around an "@" is taken whole.
 
-Of a text, some bytes a character are held beside it; emissions only for a group of windows and for the characters in doubt.
+Of a text, some bytes a character are held beside it; emissions only for a group of windows and for the windows in doubt.
 
 Defined cases: null and empty texts have no spans; equal texts have equal spans; repeated and null doc_ids are documents like any
 other; an empty table gives an empty result; extra columns are not looked at.
@@ -97,15 +97,17 @@ for _c in range(128):
 _CLASS[128:] = len(_SIGNS) + len(_LETTERS) + 3
 TAGS = 1 + 2 * len(KINDS)
 #: Characters of a window, how far windows are apart, how many are read at once.
-LENGTH, STRIDE, GROUP = 128, 108, 2048
+LENGTH, STRIDE, GROUP = 128, 108, 4096
 #: Characters of a window in training; no less than those of a window read, whose later states would be new to the tagger.
 TAUGHT = 128
 #: States of each direction, and numbers that stand for a class of characters.
 HIDDEN, EMBED = 16, 8
-#: What is added to gains that quick states give, so that places in doubt stay in doubt.
+#: What is added to the gain of each place that quick states give, so that windows in doubt stay in doubt.
 SLACK = 1.0
 _ONE = 127 << 23  # the bits of 1.0
 _PER = (1 << 23) / math.log(4)  # by how many bits half a unit of an exponent moves a float
+_EVEN = 16  # steps between two looks at how far cells are out
+_FAR = 1e4  # what it costs a span to leave its text: if gains make up for it, more is in doubt than need be
 
 
 def classes(text: str) -> np.ndarray:
@@ -135,26 +137,26 @@ class Tagger:
             hs[:, t] = h
         return hs, kept
 
-    def _read(self, x: np.ndarray, d: str, weights: np.ndarray, out: np.ndarray, first: bool, quick: bool) -> None:
-        """Adds the states of one direction by weights (columns, states) to out (steps, columns, windows). As _run(), with a state a
-        row, every activation a logistic function, and input, states and the weights of the step before in one product. States and
-        cells are halved. Quick activations take exp(v) as a(v / 2) / a(-v / 2), where a interpolates between powers of two, which is
-        how floats are laid out: gates within 0.003 of the exact ones."""
-        n, steps = x.shape
+    def _read(self, xt: np.ndarray, d: str, weights: np.ndarray, out: np.ndarray, first: bool, quick: bool) -> None:
+        """Adds the states of one direction, and a last one of 1, by weights (columns, states and 1) to out (steps, columns, windows).
+        As _run(), with a state a row, every activation a logistic function, and input, states and the weights of the step before in
+        one product. States and cells are halved. Quick activations take exp(v) as a(v / 2) / a(-v / 2), where a interpolates between
+        powers of two, which is how floats are laid out: gates within 0.003 of the exact ones."""
+        steps, n = xt.shape
         table = self.p["emb"] @ self.p["inp" + d] + self.p["bias" + d]
         quick = quick and float((np.abs(table).max(0) + np.abs(self.p["rec" + d]).sum(0)).max()) < 80  # no sum is further from 0
         w = np.concatenate([self.p["inp" + d], self.p["bias" + d][None], 2 * self.p["rec" + d]]).T * np.repeat([-1.0, -2.0], [3 * HIDDEN, HIDDEN])[:, None]
         if quick:
             w *= _PER
             w[:, EMBED] += _ONE
-        w = np.concatenate([w, np.concatenate([np.zeros((len(weights), EMBED + 1)), 2 * weights], 1)]).astype(np.float32)
-        emb, xt = np.ascontiguousarray(self.p["emb"].T, np.float32), x.T.astype(np.intp)
+        w = np.concatenate([w, np.concatenate([np.zeros((len(weights), EMBED)), weights[:, HIDDEN:], 2 * weights[:, :HIDDEN]], 1)]).astype(np.float32)
+        emb = np.ascontiguousarray(self.p["emb"].T, np.float32)
         u, every, c, a = np.zeros((EMBED + 1 + HIDDEN, n), np.float32), np.empty((len(w), n), np.float32), np.zeros((HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32)
         z, before, sign, h = every[: 4 * HIDDEN], every[4 * HIDDEN :], u[:EMBED], u[EMBED + 1 :]
         i, f, o, g = z.reshape(4, HIDDEN, n)
         bits, bits_c = np.empty((2, *z.shape), np.int32), np.empty((2, *c.shape), np.int32)
-        u[EMBED], last = 1, None
-        for t in [*(range(steps) if d == "f" else range(steps - 1, -1, -1)), None]:
+        u[EMBED], last, out_far = 1, None, False
+        for k, t in enumerate([*(range(steps) if d == "f" else range(steps - 1, -1, -1)), None]):
             if t is not None:
                 np.take(emb, xt[t], 1, out=sign, mode="clip")
             np.dot(w, u, out=every)
@@ -175,9 +177,9 @@ class Tagger:
             c *= f
             c += g
             if quick:
-                np.maximum(c, -20, out=a)
-                np.minimum(a, 20, out=a)
-                a *= -4 * _PER
+                if k % _EVEN == 0:  # a step adds a half at most, and exponents hold up to 44
+                    out_far = max(c.max(), -c.min()) > 43 - _EVEN / 2
+                np.multiply(np.clip(c, -20, 20, out=a) if out_far else c, -4 * _PER, out=a)
                 a += _ONE
                 _quick(a, *bits_c)
             else:
@@ -186,19 +188,17 @@ class Tagger:
             np.multiply(o, a, out=h)
 
     def projected(self, x: np.ndarray, weights: np.ndarray, quick: bool = False) -> np.ndarray:
-        """(columns, windows, steps): the states of both directions by weights of (both, columns)."""
-        out = np.empty((x.shape[1], weights.shape[1], len(x)), np.float32)
+        """(steps, columns, windows): the states of both directions by weights of (both, columns); a further row of weights is added."""
+        xt = x.T.astype(np.intp, order="C")
+        out, more = np.empty((len(xt), weights.shape[1], len(x)), np.float32), np.zeros((1, weights.shape[1]), np.float32)
         with np.errstate(over="ignore"):
-            self._read(x, "f", weights[:HIDDEN].T, out, True, quick)
-            self._read(x, "b", weights[HIDDEN:].T, out, False, quick)
-        turned = np.empty((weights.shape[1], len(x), x.shape[1]), np.float32)
-        for k in range(0, len(x), 64):  # in parts that a cache holds
-            turned[:, k : k + 64] = out[:, :, k : k + 64].transpose(1, 2, 0)
-        return turned
+            self._read(xt, "f", np.concatenate([weights[:HIDDEN], weights[2 * HIDDEN :] if len(weights) > 2 * HIDDEN else more]).T, out, True, quick)
+            self._read(xt, "b", np.concatenate([weights[HIDDEN : 2 * HIDDEN], more]).T, out, False, quick)
+        return out
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Emissions (windows, steps, tags) of windows of classes."""
-        return self.projected(x, self.p["out"]).transpose(1, 2, 0) + self.p["off"].astype(np.float32)
+        return self.projected(x, self.p["out"]).transpose(2, 0, 1) + self.p["off"].astype(np.float32)
 
     def _unroll(self, x: np.ndarray, d: str, dh: np.ndarray, kept: list, g_: dict[str, np.ndarray]) -> None:
         nh, nc = np.zeros_like(dh[:, 0]), np.zeros_like(dh[:, 0])
@@ -304,8 +304,9 @@ def _quick(z: np.ndarray, up: np.ndarray, down: np.ndarray) -> None:
     """The same of numbers that come as the bits of a(v / 2)."""
     np.copyto(up, z, casting="unsafe")
     np.subtract(np.int32(2 * _ONE), up, out=down)
-    np.add(up.view(np.float32), down.view(np.float32), out=z)
-    np.divide(down.view(np.float32), z, out=z)
+    both, one = up.view(np.float32), down.view(np.float32)
+    both += one
+    np.divide(one, both, out=z)
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -453,12 +454,14 @@ _RISE = (np.arange(1, _OVER + 1) / (_OVER + 1)).astype(np.float32)[:, None]
 
 @dataclass
 class _Windows:
-    """Where the windows of some texts, one after the other, begin and end: start, end of the text, rank within it, whether the last."""
+    """Where the windows of some texts, one after the other, begin and end: start, end of the text, rank within it, whether the last,
+    and how many places are its own: up to the next window, or to the end of the text."""
 
     start: np.ndarray
     end: np.ndarray
     rank: np.ndarray
     final: np.ndarray
+    size: np.ndarray
     first: np.ndarray
     padded: np.ndarray
 
@@ -468,7 +471,8 @@ class _Windows:
         per = np.where(size > 0, np.maximum(1, -(-(size - _OVER) // STRIDE)), 0)
         text, first = np.repeat(np.arange(len(size)), per), np.cumsum(per) - per
         rank = np.arange(len(text)) - first[text]
-        return cls(bounds[text] + rank * STRIDE, bounds[text + 1], rank, rank == per[text] - 1, first, np.concatenate([kinds, np.full(LENGTH, _PAD, kinds.dtype)]))
+        start, end, final = bounds[text] + rank * STRIDE, bounds[text + 1], rank == per[text] - 1
+        return cls(start, end, rank, final, np.where(final, end - start, STRIDE), first, np.concatenate([kinds, np.full(LENGTH, _PAD, kinds.dtype)]))
 
     def read(self, own: np.ndarray) -> np.ndarray:
         """Classes of some windows."""
@@ -479,80 +483,104 @@ class _Windows:
         return x
 
 
-def in_doubt(tagger: Tagger, w: _Windows, bounds: np.ndarray, group: int = GROUP) -> np.ndarray:
-    """Places that the best tags may have inside a span. All windows are read, a group at a time, by quick states; what is kept of a
-    character is how much, with SLACK, a span of each kind could gain by beginning there, and by going on there. A place is in doubt if some run of places around it
-    could gain anything; no other can be in a span of the best tags, as leaving its span out would be better."""
+def in_doubt(tagger: Tagger, w: _Windows, group: int = GROUP) -> np.ndarray:
+    """Windows among whose own places the best tags may have some inside a span. All windows are read, a group at a time, by quick
+    states; of each window and kind four numbers are kept: how much, with SLACK, a span could gain at most within it, from a place of it
+    to its end, from its beginning to a place of it, and all through it. These add up along a text. A window is in doubt if some run of
+    places that touches it could gain anything; no other holds a part of a span of the best tags, as leaving that out would be better."""
     begin, enter, go_on, leave = tagger.gains()
     out, off, kinds = tagger.p["out"].astype(np.float32), tagger.p["off"].astype(np.float32), len(KINDS)
     order = np.concatenate([np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)])
-    lead, bare = out[:, order] - out[:, :1], (off[order] - off[0] + np.float32(SLACK))[:, None, None]
-    gain = np.zeros((2 * kinds, int(bounds[-1])), np.float32)
-    tail = np.zeros((2 * kinds, 1, _OVER), np.float32)
+    lead = np.concatenate([out[:, order] - out[:, :1], (off[order] - off[0] + np.float32(SLACK) + np.concatenate([enter, go_on]))[None]])
+    within, end, start, through = np.empty((4, kinds, len(w.start)), np.float32)
+    tail = np.zeros((_OVER, 2 * kinds, 1), np.float32)
     for at in range(0, len(w.start), group):
-        own = np.arange(at, min(len(w.start), at + group))
+        own = slice(at, at + group)
         f = tagger.projected(w.read(own), lead, quick=True)
-        f += bare
-        before = np.concatenate([tail, f[:, :-1, STRIDE:]], 1)
-        tail = f[:, -1:, STRIDE:].copy()
-        rise = np.where(w.rank[own, None] > 0, _RISE[:, 0], np.float32(1))  # a text's first window has none before it
-        f[:, :, :_OVER] = f[:, :, :_OVER] * rise + before * (1 - rise)
-        k = 0
-        for j in [*np.flatnonzero(w.final[own]).tolist(), len(own)]:
-            if j > k:
-                gain[:, w.start[own[k]] : w.start[own[k]] + (j - k) * STRIDE] = f[:, k:j, :STRIDE].reshape(2 * kinds, -1)
-            if j < len(own):
-                i, end = w.start[own[j]], w.end[own[j]]
-                gain[:, i:end] = f[:, j, : end - i]
-            k = j + 1
-    places = []
-    for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if j > i:
-            own = gain[:, i:j]
-            entry, further = own[:kinds] + enter[:, None], own[kinds:] + go_on[:, None]
-            entry[:, 0] += begin - enter
-            able = np.flatnonzero(entry.max(1) + np.maximum(further, 0).sum(1) + leave >= -1e-2)
-            if len(able):  # for the other kinds no run gains anything, however it lies
-                u = np.cumsum(further[able], axis=1, dtype=np.float64)
-                upto = u + np.maximum.accumulate(entry[able] - u, axis=1)
-                after = np.maximum.accumulate(u[:, ::-1], axis=1)[:, ::-1] - u + leave[able, None]
-                places.append(i + np.flatnonzero((upto + after >= -1e-2).any(0)))
-    return np.concatenate(places) if places else np.zeros(0, np.int64)
-
-
-def _emitted(tagger: Tagger, w: _Windows, text: np.ndarray, place: np.ndarray, bounds: np.ndarray, group: int = GROUP) -> np.ndarray:
-    """Emissions of some places, from the windows that hold them, read again."""
-    last = w.first[text] + np.maximum(0, -(-(np.diff(bounds)[text] - _OVER) // STRIDE) - 1)
-    main = np.minimum(w.first[text] + (place - bounds[text]) // STRIDE, last)
-    off = place - w.start[main]
-    shared = (off < _OVER) & (w.rank[main] > 0)
-    wanted = np.unique(np.concatenate([main, main[shared] - 1]))
-    later, earlier = np.zeros((len(place), TAGS), np.float32), np.zeros((len(place), TAGS), np.float32)
-    for g in range(0, len(wanted), group):
-        own = wanted[g : g + group]
-        e = tagger.emissions(w.read(own))
-        for window, row, target, some in ((main, off, later, np.arange(len(main))), (main - 1, off + STRIDE, earlier, np.flatnonzero(shared))):
-            mine = some[np.isin(window[some], own)]
-            target[mine] = e[np.searchsorted(own, window[mine]), row[mine]]
-    rise = _RISE[np.minimum(off, _OVER - 1)]
-    return np.where(shared[:, None], later * rise + earlier * (1 - rise), later)
+        before = np.concatenate([tail, f[STRIDE:, :, :-1]], 2)
+        tail = f[STRIDE:, :, -1:].copy()
+        first, size = w.rank[own] == 0, w.size[own]
+        rise = np.where(first, np.float32(1), _RISE[:, :, None])  # a text's first window has none before it
+        f[:_OVER] = f[:_OVER] * rise + before * (1 - rise)
+        f[0, :kinds] += np.where(first, (begin - enter)[:, None], np.float32(0))
+        _unowned(f[STRIDE:], STRIDE, size)
+        short = np.flatnonzero(size < STRIDE)
+        part = f[:STRIDE, :, short]
+        _unowned(part, 0, size[short])
+        f[:STRIDE, :, short] = part
+        (most, now), (reached, total) = np.full((2, kinds, len(size)), -1e9, np.float32), np.zeros((2, kinds, len(size)), np.float32)
+        for entry, further in zip(f[:, :kinds], f[:, kinds:], strict=True):
+            total += further
+            np.maximum(reached, total, out=reached)
+            now += further
+            np.maximum(now, entry, out=now)
+            np.maximum(most, now, out=most)
+        within[:, own], end[:, own], start[:, own], through[:, own] = most, now, reached, total
+    first, out_of, into = w.rank == 0, np.cumsum(through - _FAR * (w.rank == 0), axis=1, dtype=np.float64), np.cumsum(through - _FAR * w.final, axis=1, dtype=np.float64)
+    before = np.roll(out_of + np.maximum.accumulate(end - out_of, axis=1), 1, axis=1)  # to the end of the window before
+    before[:, first] = -_FAR
+    into = np.concatenate([np.zeros((kinds, 1)), into[:, :-1]], 1)
+    after = np.roll(np.maximum.accumulate((start + into)[:, ::-1], axis=1)[:, ::-1] - into, -1, axis=1)  # from the beginning of the one after
+    after[:, w.final] = 0
+    best = np.maximum(np.maximum(within, before + start), np.maximum(end, before + through) + after)
+    return np.flatnonzero((best + leave[:, None] >= -1e-2).any(0))
+
+
+def _unowned(f: np.ndarray, at: int, size: np.ndarray) -> None:
+    """No span begins in steps of f, from that one on, that are beyond a window's own, and none gains or loses there."""
+    other = (np.arange(at, at + len(f))[:, None] >= size)[:, None]
+    np.copyto(f[:, : len(KINDS)], -1e9, where=other)
+    np.copyto(f[:, len(KINDS) :], 0, where=other)
+
+
+def able(tagger: Tagger, e: np.ndarray, place: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Which places the best tags may have inside a span, of all places of the windows in doubt, by their emissions: some run of places
+    around it could gain anything. begins: those with which a text begins."""
+    begin, enter, go_on, leave = tagger.gains()
+    lead = (e[:, 1:] - e[:, :1]).T
+    entry, further = lead[::2] + enter[:, None], lead[1::2] + go_on[:, None]
+    entry[:, begins] += (begin - enter)[:, None]
+    apart = begins.copy()
+    apart[1:] |= np.diff(place) > 1
+    u = np.cumsum(further - _FAR * apart, axis=1, dtype=np.float64)
+    upto = u + np.maximum.accumulate(entry - u, axis=1)
+    after = np.maximum.accumulate(u[:, ::-1], axis=1)[:, ::-1] - u + leave[:, None]
+    return (upto + after >= -1e-2).any(0)
+
+
+def _emitted(tagger: Tagger, w: _Windows, doubt: np.ndarray, group: int = GROUP // 2) -> np.ndarray:
+    """Exact emissions of the own places of windows in doubt, one after the other."""
+    parts = [np.zeros((0, TAGS), np.float32)]
+    for g in range(0, len(doubt), group):
+        own = doubt[g : g + group]
+        later = np.flatnonzero(w.rank[own] > 0)
+        wanted = np.unique(np.concatenate([own, own[later] - 1]))
+        every = tagger.emissions(w.read(wanted))
+        e, before = every[np.searchsorted(wanted, own)], every[np.searchsorted(wanted, own[later] - 1), STRIDE:]
+        e[later, :_OVER] = e[later, :_OVER] * _RISE + before * (1 - _RISE)
+        parts.append(e[np.arange(LENGTH) < w.size[own, None]])
+    return np.concatenate(parts)
 
 
 def tags(tagger: Tagger, kinds: np.ndarray, bounds: np.ndarray, most: int = 1 << 19) -> Iterable[tuple[int, np.ndarray]]:
     """(place, tags) of the runs in doubt that hold spans. Runs of like length are decoded together."""
     w = _Windows.of(kinds, bounds)
-    place = in_doubt(tagger, w, bounds)
+    doubt = in_doubt(tagger, w)
+    size = w.size[doubt]
+    place = np.repeat(w.start[doubt] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    text = np.searchsorted(bounds, place, "right") - 1
+    e = _emitted(tagger, w, doubt)
+    kept = able(tagger, e, place, bounds[text] == place)
+    place, text, e = place[kept], text[kept], e[kept]
     if not len(place):
         return []
-    text = np.searchsorted(bounds, place, "right") - 1
-    e = _emitted(tagger, w, text, place, bounds)
     cuts = np.flatnonzero((np.diff(place) > 1) | (np.diff(text) > 0)) + 1
     first, length = np.concatenate([[0], cuts]), np.diff(np.concatenate([[0], cuts, [len(place)]]))
     inner, last = place[first] > bounds[text[first]], place[first] + length == bounds[text[first] + 1]
     out, order, i = [], np.argsort(length, kind="stable"), 0
     while i < len(order):
         j = i + 1
-        while j < len(order) and j - i < 1024 and (j - i + 1) * length[order[j]] <= most:
+        while j < len(order) and j - i < 1024 and length[order[j]] <= 2 * length[order[i]] + 8 and (j - i + 1) * length[order[j]] <= most:
             j += 1
         own, steps = order[i:j], int(length[order[j - 1]])
         at = np.minimum(first[own][:, None] + np.arange(steps), len(e) - 1)
@@ -643,19 +671,41 @@ def read(tagger: Tagger, data: np.ndarray, offsets: np.ndarray) -> tuple[list[li
 SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
+#: Bytes of results that a task keeps for texts that it meets again.
+KNOWN = 1 << 25
+_NOTHING = hashlib.sha256(b"").hexdigest()
+
+
+def results(tagger: Tagger, texts: pa.Array, known: dict[bytes, tuple]) -> list[tuple]:
+    """Counts of the rules' spans by kind, base_sha256 and spans of each text; one that is known, or came before, is not read again."""
+    keys, fresh = [], {}
+    for first, data, offsets in slices(texts, 1 << 62):
+        raw, cuts = memoryview(data), offsets.tolist()
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False), first):
+            keys.append(hashlib.sha256(raw[i:j]).digest())
+            if keys[-1] not in known:
+                fresh.setdefault(keys[-1], k)
+    for first, data, offsets in slices(texts.take(pa.array(fresh.values(), pa.int64()))):
+        names = list(fresh)[first : first + len(offsets) - 1]
+        for key, rules, added in zip(names, *read(tagger, data, offsets), strict=True):
+            every = written(sorted(rules + added, key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
+            digest = hashlib.sha256(written(rules).encode()).hexdigest() if rules else _NOTHING
+            known[key] = *(sum(s[0] == k for s in rules) for k in KINDS), digest, every
+    return [known[k] for k in keys]
+
+
 def find(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """doc_id, counts of the rules' spans by kind, base_sha256, spans (kind:start:end, all of them), for each document."""
     held = docs.sparkSession.sparkContext.broadcast(tagger or stored(docs.sparkSession))
-    nothing = hashlib.sha256(b"").hexdigest()
+    names, types = zip(*(x.split() for x in SCHEMA.split(", ")), strict=True)
 
     def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = held.value
+        known: dict[bytes, tuple] = {}
         for batch in iterator:
-            for first, data, offsets in slices(batch.column(1)):
-                n, (rules, added) = len(offsets) - 1, read(tagger, data, offsets)
-                count = lambda k: pa.array([sum(s[0] == k for s in r) for r in rules], pa.int64())  # noqa: B023, E731
-                every = [written(sorted(r + a, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))) for r, a in zip(rules, added, strict=True)]
-                digest = [hashlib.sha256(written(r).encode()).hexdigest() if r else nothing for r in rules]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), *map(count, KINDS), pa.array(digest, pa.string()), pa.array(every, pa.string())], ["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))])
+            found = results(held.value, batch.column(1), known)
+            columns = zip(*found, strict=True) if found else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64() if t == "long" else pa.string()) for x, t in zip(columns, types, strict=True))], ["doc_id", *names])
+            if sum(500 + len(r[-1]) for r in known.values()) > KNOWN:
+                known.clear()
 
     return narrow(docs, "doc_id", "text").mapInArrow(run, f"{id_field(docs)}, {SCHEMA}")

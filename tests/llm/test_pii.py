@@ -178,6 +178,82 @@ def test_quick_activation_is_near_the_logistic_function():
     assert np.abs(z - 1 / (1 + np.exp(-v))).max() < 0.003
 
 
+def _runs(entry, further, leave, least):
+    """Places in some run whose gain is at least that, by trying all runs."""
+    held = np.zeros(entry.shape[1], bool)
+    for k in range(len(entry)):
+        for i in range(entry.shape[1]):
+            total = entry[k, i] + np.concatenate([[0], np.cumsum(further[k, i + 1 :])]) + leave[k]
+            for j in np.flatnonzero(total >= least)[-1:]:
+                held[i : i + j + 1] = True
+    return held
+
+
+def test_windows_in_doubt_are_those_of_all_runs(tagger):
+    rng = random.Random(4)
+    texts = [pii.sentence(rng, int(n))[0][: int(n)] for n in (1, 5, 107, 108, 127, 128, 129, 236, 237, 700, 900)] + ["", "plain words stand here " * 40, "a" * 300 + " 4 " + "b" * 300]
+    kinds, bounds = np.concatenate([pii.classes(t) for t in texts]), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    w = pii._Windows.of(kinds, bounds)
+    got = {g: set(pii.in_doubt(tagger, w, g).tolist()) for g in (3, pii.GROUP)}
+    begin, enter, go_on, leave = tagger.gains()
+    out, off, inside, sure, maybe = tagger.p["out"], tagger.p["off"], range(2, pii.TAGS, 2), set(), set()
+    for a, b in itertools.pairwise(bounds.tolist()):
+        own = [k for k in range(len(w.start)) if a <= w.start[k] < b]
+        f = np.zeros((b - a, pii.TAGS))
+        for k in own:
+            i, m = w.start[k] - a, min(pii.LENGTH, b - w.start[k])
+            e = (tagger.projected(w.read(np.array([k])), out, quick=True)[:, :, 0] + off)[:m]
+            r = np.where(np.arange(m) < len(pii._RISE), np.resize(pii._RISE[:, 0], m), 1)[:, None] if i else 1
+            f[i : i + m] = f[i : i + m] * (1 - r) + e * r
+        entry, further = ((f[:, list(x)] - f[:, :1] + pii.SLACK).T for x in (range(1, pii.TAGS, 2), inside))
+        entry, further = entry + enter[:, None], further + go_on[:, None]
+        entry[:, :1] += (begin - enter)[:, None]
+        for least, out_ in ((0.05, sure), (-0.1, maybe)):
+            held = _runs(entry, further, leave, least)
+            out_.update(k for k in own if held[w.start[k] - a : w.start[k] - a + w.size[k]].any())
+    assert got[3] == got[pii.GROUP] and sure <= got[3] <= maybe and 5 < len(sure) < len(w.start) - 5
+
+
+def test_places_in_doubt_are_those_of_all_runs(tagger):
+    rng = np.random.default_rng(6)
+    begin, enter, go_on, leave = tagger.gains()
+    for _ in range(20):
+        e = rng.normal(0, 3, (60, pii.TAGS)).astype(np.float32)
+        e[:, 0] += 4
+        place = np.arange(60) + np.repeat([0, 50, 50], 20)  # two stretches, the second of two texts
+        begins = np.isin(np.arange(60), [0, 40])
+        want = []
+        for i in (0, 20, 40):
+            own = e[i : i + 20]
+            entry, further = (own[:, 1::2] - own[:, :1]).T + enter[:, None], (own[:, 2::2] - own[:, :1]).T + go_on[:, None]
+            if begins[i]:
+                entry[:, 0] += begin - enter
+            want.append(_runs(entry, further, leave, -1e-2))
+        assert pii.able(tagger, e, place, begins).tolist() == np.concatenate(want).tolist()
+
+
+def test_decoding_reads_few_places(tagger, monkeypatch):
+    """Windows are read twice, but decoded are only the places whose exact emissions allow a span, and short runs not at the length of long ones."""
+    rng, cells = random.Random(12), []
+    texts = [" ".join(rng.choice("garden window market bridge winter orange mountain river".split()) for _ in range(400)) + " or call (988) 555-2485 now" for _ in range(40)] + ["(988) 555-2485 " * 20]
+    decode = pii.Tagger.decode
+    monkeypatch.setattr(pii.Tagger, "decode", lambda self, e, *more: cells.append(e.shape[0] * e.shape[1]) or decode(self, e, *more))
+    _, more = read(tagger, *texts)
+    assert all(("phone", len(t) - 18, len(t) - 4) in m for t, m in zip(texts[:-1], more, strict=False))
+    assert sum(cells) < 4000
+
+
+def test_equal_texts_are_read_once(tagger, monkeypatch):
+    asked, plain = [], pii.read
+    monkeypatch.setattr(pii, "read", lambda t, data, offsets: asked.append(len(offsets) - 1) or plain(t, data, offsets))
+    texts, known = ["write to a@b.org", None, "x", "write to a@b.org", "", "call (988) 555-2485 now, or wait"], {}
+    first = pii.results(tagger, pa.array(texts, pa.string()), known)
+    again = pii.results(tagger, pa.array(["x", "y", *texts], pa.string()).slice(1), known)
+    assert again[1:] == first and sum(asked) == 5
+    assert first[0] == first[3] and first[1] == first[4] and [r[-1] for r in first] == ["email:9:16", "", "", "email:9:16", "", "phone:5:19"]
+    assert pii.results(tagger, pa.array([], pa.string()), known) == []
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     t = pii.Tagger(dict(pii.train(steps=1, batch=2).p))
