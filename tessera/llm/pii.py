@@ -516,7 +516,9 @@ def in_doubt(tagger: Tagger, w: _Windows, group: int = GROUP) -> np.ndarray:
             np.maximum(now, entry, out=now)
             np.maximum(most, now, out=most)
         within[:, own], end[:, own], start[:, own], through[:, own] = most, now, reached, total
-    first, out_of, into = w.rank == 0, np.cumsum(through - _FAR * (w.rank == 0), axis=1, dtype=np.float64), np.cumsum(through - _FAR * w.final, axis=1, dtype=np.float64)
+    first = w.rank == 0
+    out_of = np.cumsum(through - _FAR * first, axis=1, dtype=np.float64)
+    into = np.cumsum(through - _FAR * w.final, axis=1, dtype=np.float64)
     before = np.roll(out_of + np.maximum.accumulate(end - out_of, axis=1), 1, axis=1)  # to the end of the window before
     before[:, first] = -_FAR
     into = np.concatenate([np.zeros((kinds, 1)), into[:, :-1]], 1)
