@@ -10,19 +10,24 @@ its words or its one vector instead); equal sums go by the least id.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import vector
-from tessera.operators import index
-from tessera.operators.search import MOST_BYTES, top
+from tessera.operators import index, pairs
+from tessera.operators.search import parts, top
 
-#: Documents that are summed exactly for each that is asked for.
-OVERSAMPLE = 8
+#: Documents that are summed exactly for each that is asked for; documents and queries whose sums are held at once.
+OVERSAMPLE, TILE = 8, (8192, 1024)
 
 
 @dataclass(frozen=True)
@@ -71,34 +76,92 @@ def coded(docs: DataFrame, cells: Cells, key: str = "point_id") -> DataFrame:
     return vectors(docs, key).select(key, "at", F.pandas_udf(encode, "cell int, code binary")("v").alias("c")).select(key, "at", "c.cell", "c.code")
 
 
-def _products(held) -> Column:
-    """The product of each row's query vector with its decoded vector."""
-
-    def dot(cell: pd.Series, code: pd.Series, query: pd.Series) -> pd.Series:
-        if not len(cell):
-            return pd.Series([], dtype="float32")
-        x = held.value.decode(cell.to_numpy(), np.frombuffer(b"".join(code), np.int8).reshape(len(cell), -1))
-        return pd.Series((x * np.stack([np.asarray(q, np.float32) for q in query])).sum(1))
-
-    dot.__annotations__ = {"cell": pd.Series, "code": pd.Series, "query": pd.Series, "return": pd.Series}
-    return F.pandas_udf(dot, "float")("cell", "code", "q")
+@dataclass
+class Asked:
+    """A block of queries: their ids, their vectors, and by the place of a vector in its query those that look into each cell."""
+
+    ids: pa.Array
+    vectors: np.ndarray
+    lookers: list[list[tuple[np.ndarray, np.ndarray]]]
+
+    @classmethod
+    def of(cls, ids: pa.Array, vectors: list, cells: Cells) -> Asked:
+        own = [[v for v in q or [] if v is not None] for q in vectors]
+        x = np.array([v for q in own for v in q], np.float32).reshape(-1, cells.centroids.shape[1])
+        query, place = np.repeat(np.arange(len(own)), [len(q) for q in own]), np.array([i for q in own for i in range(len(q))], np.int64)
+        looked = np.argsort(-(x @ cells.centroids.T), axis=1, kind="stable")[:, : cells.probes]
+        lookers = []
+        for i in range(int(place.max(initial=-1)) + 1):
+            at = np.flatnonzero(place == i)
+            cell, at = looked[at].ravel(), np.repeat(at, looked.shape[1])
+            order = np.argsort(cell, kind="stable")
+            at = np.split(at[order], np.searchsorted(cell[order], np.arange(1, len(cells.centroids))))
+            lookers.append([(query[a], a) for a in at])
+        return cls(ids, x.astype(np.float64), lookers)
+
+    def sums(self, x: np.ndarray, cell: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+        """For each query and document the sum of best products; -inf where they meet in no cell. Products are rounded, so that equal
+        documents have equal sums whatever they are multiplied with."""
+        order = np.lexsort((doc, cell))
+        first = np.append(True, (cell[order][1:] != cell[order][:-1]) | (doc[order][1:] != doc[order][:-1])) if len(order) else np.zeros(0, bool)
+        nth = np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1] if len(order) else np.zeros(0, np.int64)
+        order = order[np.lexsort((cell[order], nth))]  # of a document's vectors in one cell, one at a time
+        nth = np.sort(nth)
+        bounds = np.append(np.flatnonzero(np.append(True, (cell[order][1:] != cell[order][:-1]) | (nth[1:] != nth[:-1]))), len(order)) if len(order) else np.zeros(1, np.int64)
+        total, met = np.zeros((len(self.ids), docs), np.float32), np.zeros((len(self.ids), docs), bool)
+        for lookers in self.lookers:
+            best = np.full(total.shape, -np.inf, np.float32)
+            for a, b in itertools.pairwise(bounds.tolist()):
+                own = order[a:b]
+                query, at = lookers[cell[own[0]]]
+                if len(query):
+                    here = np.ix_(query, doc[own])
+                    best[here] = np.maximum(best[here], np.rint(self.vectors[at] @ x[own].T * 2.0**20) / 2.0**20)
+            hit = best > -np.inf
+            np.add(total, best, out=total, where=hit)
+            met |= hit
+        total[~met] = -np.inf
+        return total
+
+
+def _scan(batches: Iterator[pa.RecordBatch], asked: list[Asked], cells: Cells, most: int) -> Iterator[pa.RecordBatch]:
+    """The best documents of a task (id, parts: cell and code of each vector) for each query, by codes."""
+    best = None
+    for batch in batches:
+        batch = batch.take(pc.sort_indices(batch.column(0), null_placement="at_start"))
+        best = best or [pairs.Best(len(a.ids), most, batch.schema.types[0]) for a in asked]
+        for part in (batch.slice(b, TILE[0]) for b in range(0, batch.num_rows, TILE[0])):
+            ids, flat = part.column(0), part.column(1).flatten()
+            cell, code = pc.struct_field(flat, "cell").to_numpy(), pc.struct_field(flat, "code").to_pylist()
+            x = cells.decode(cell, np.frombuffer(b"".join(code), np.int8).reshape(len(cell), -1)).astype(np.float64)
+            doc = np.repeat(np.arange(len(ids)), pc.list_value_length(part.column(1)).to_numpy())
+            for a, held in zip(asked, best, strict=True):
+                s = a.sums(x, cell, doc, len(ids))
+                q, d = held.worth(s, ids)
+                if len(q):
+                    held.add(q, s[q, d], s[q, d], d, ids.take(pa.array(d)))
+    for a, held in zip(asked, best or (), strict=bool(best)):
+        yield pa.RecordBatch.from_arrays([a.ids.take(pa.array(held.q)), held.ids, pa.array(held.score)], ["query_id", "id", "score"])
 
 
 def candidates(store: DataFrame, queries: DataFrame, cells: Cells, most: int, key: str = "point_id") -> DataFrame:
     """query_id, key, score: the best so many documents of each query (query_id, vectors) by codes. A vector of the query whose cells
-    hold none of a document's vectors adds nothing to that document."""
-    held = store.sparkSession.sparkContext.broadcast(cells)
-
-    def probes(column: pd.Series) -> pd.Series:
-        x = np.stack([np.asarray(v, np.float32) for v in column]) if len(column) else np.zeros((0, held.value.centroids.shape[1]), np.float32)
-        return pd.Series(list(np.argsort(-(x @ held.value.centroids.T), axis=1, kind="stable")[:, : held.value.probes].astype(np.int32)))
-
-    probes.__annotations__ = {"column": pd.Series, "return": pd.Series}
-    asked = vectors(queries, "query_id").withColumnsRenamed({"at": "_q", "v": "q"}).select("query_id", "_q", "q", F.explode(F.pandas_udf(probes, "array<int>")("q")).alias("cell"))
-    size = queries.select(F.aggregate("vectors", F.lit(0).cast("long"), lambda s, v: s + F.size(v) * 4 + 64).alias("n")).agg(F.sum("n")).first()[0] or 0
-    met = store.join(F.broadcast(asked) if size * cells.probes <= MOST_BYTES else asked, "cell").withColumn("_s", _products(held))
-    best = met.groupBy("query_id", key, "_q").agg(F.max("_s").alias("_s")).groupBy("query_id", key).agg(F.sum("_s").alias("score"))
-    return top(best, most) if key == "point_id" else top(best.withColumnRenamed(key, "point_id"), most).withColumnRenamed("point_id", key)
+    hold none of a document's vectors adds nothing to that document. The queries are broadcast in blocks of a checked size; what a
+    vector meets in its cells is summed within the task that holds the document's vectors, which hands on so many documents a query."""
+    context, out = store.sparkSession.sparkContext, None
+    docs = store.groupBy(key).agg(F.collect_list(F.struct("cell", "code")).alias("parts"))
+    schema = T.StructType([queries.schema["query_id"], T.StructField("id", store.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    values = F.aggregate("vectors", F.lit(0).cast("long"), lambda s, v: s + F.coalesce(F.size(v), F.lit(0)) + 8)
+    for part in parts(queries.select("query_id", "vectors").filter(F.size("vectors") > 0), values):
+        ids, own = part.column("query_id").combine_chunks(), part.column("vectors").to_pylist()
+        held = context.broadcast((cells, [Asked.of(ids.slice(b, TILE[1]), own[b : b + TILE[1]], cells) for b in range(0, len(own), TILE[1])]))
+
+        def scan(batches, held=held):
+            return _scan(batches, held.value[1], held.value[0], most)
+
+        found = docs.mapInArrow(scan, schema)
+        out = found if out is None else out.unionByName(found)
+    return top(out.withColumnRenamed("id", "point_id"), most).withColumnRenamed("point_id", key)
 
 
 def rerank(found: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tessera.operators import index, pairs
+from tessera.operators import index, late, pairs
 
 DIM = 16
 
@@ -51,3 +51,43 @@ def test_an_index_multiplies_the_rows_of_a_cell_with_the_queries_that_look_into_
         score = np.round(unit @ unit[i], 12)
         assert got.pop(i) == [(f"p{r:04d}", score[r]) for r in sorted((r for r in range(900) if own[r] in looked), key=lambda r: (-score[r], r))[:10]]
     assert not got
+
+
+def test_late_interaction_sums_what_meets_in_the_task_that_holds_the_document(spark, monkeypatch):
+    """No row is made for a vector that meets a query's; sums are those of all pairs by codes, of equal ones the least ids are kept."""
+    rng = np.random.default_rng(6)
+    docs = [rng.standard_normal((rng.integers(1, 6), DIM)).astype(np.float32) for _ in range(300)]
+    docs[0][1:] = docs[0][0] + 0.01 * rng.standard_normal((len(docs[0]) - 1, DIM))  # several vectors in one cell
+    docs[200:290] = [docs[7]] * 90  # more copies than are kept
+    asked = [docs[7], docs[0], -docs[3], *[rng.standard_normal((3, DIM)).astype(np.float32) for _ in range(6)]]
+    nested = lambda x: [[float(v) for v in e] for e in x]
+    d = spark.createDataFrame([(f"p{i:04d}", nested(x)) for i, x in enumerate(docs)] + [("null", None)], "point_id string, vectors array<array<float>>").repartition(3)
+    q = spark.createDataFrame([(i, nested(x)) for i, x in enumerate(asked)] + [(98, []), (99, None), (97, [None])], "query_id long, vectors array<array<float>>")
+    cells = late.fit(d, sample=400, probes=2)
+    store = late.coded(d, cells).cache()
+    found = late.candidates(store, q, cells, 20)
+    assert "Join" not in _plan(found)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.point_id, pytest.approx(r.score, abs=1e-5)))
+
+    def plain(x, own):
+        total, met = 0.0, False
+        for v in x:
+            looked = set(np.argsort(-(v @ cells.centroids.T), kind="stable")[:2].tolist())
+            best = max((float(v.astype(np.float64) @ e.astype(np.float64)) for c, e in own if c in looked), default=None)
+            total, met = (total, met) if best is None else (total + best, True)
+        return total if met else None
+
+    for i, x in enumerate(asked):
+        scores = {k: plain(x, list(zip(cell.tolist(), cells.decode(cell, code), strict=True))) for k, y in enumerate(docs) for cell, code in [cells.encode(y)]}
+        order = sorted((k for k in scores if scores[k] is not None), key=lambda k: (-round(scores[k], 5), k))[:20]
+        assert got.pop(i) == [(f"p{k:04d}", scores[k]) for k in order]
+    assert not got
+    # small tiles in one task keep the same
+    monkeypatch.setattr(late, "TILE", (37, 1024))
+    whole = store.selectExpr("point_id", "struct(cell, code) AS c").groupBy("point_id").agg({"c": "collect_list"}).toArrow()
+    assert whole.num_rows == 300
+    block = late.Asked.of(spark.createDataFrame([(0,)], "query_id long").toArrow().column(0).combine_chunks(), [nested(docs[7])], cells)
+    alone = [r for b in late._scan(iter(whole.to_batches(max_chunksize=64)), [block], cells, 20) for r in b.to_pylist()]
+    assert sorted(r["id"] for r in alone) == [f"p{k:04d}" for k in [7, *range(200, 219)]]
