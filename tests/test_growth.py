@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import random
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from tessera.operators import index, late, pairs
+from tessera.operators import index, inverted, late, pairs
 
 DIM = 16
 
@@ -91,3 +96,65 @@ def test_late_interaction_sums_what_meets_in_the_task_that_holds_the_document(sp
     block = late.Asked.of(spark.createDataFrame([(0,)], "query_id long").toArrow().column(0).combine_chunks(), [nested(docs[7])], cells)
     alone = [r for b in late._scan(iter(whole.to_batches(max_chunksize=64)), [block], cells, 20) for r in b.to_pylist()]
     assert sorted(r["id"] for r in alone) == [f"p{k:04d}" for k in [7, *range(200, 219)]]
+
+
+def _bm25(docs, text, k, digits):
+    own = {i: re.findall(r"\w+", (t or "").lower()) for i, t in docs}
+    n, mean, df = len(docs), sum(map(len, own.values())) / len(docs), Counter(w for x in own.values() for w in set(x))
+    wanted, out = sorted(set(re.findall(r"\w+", (text or "").lower()))), []
+    for i, x in own.items():
+        tf = Counter(x)
+        s = sum(math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w in wanted if tf[w])
+        out += [(-round(s, digits), i)] if s else []
+    return [(i, pytest.approx(-s, abs=1e-6)) for s, i in sorted(out)[:k]]
+
+
+def test_many_queries_are_scored_together_by_groups_of_blocks(spark, tmp_path, monkeypatch):
+    """No row is made for a query and a block or document; the hits are those of all pairs, of equal scores the least ids."""
+    rng = random.Random(8)
+    names = [f"w{int(rng.paretovariate(0.7))}" for _ in range(2000)]
+    docs = [(f"d{i:05d}", " ".join(rng.choice(names) for _ in range(rng.randint(1, 30)))) for i in range(1500)]
+    docs += [(f"c{i:05d}", "w1 w2 same") for i in rng.sample(range(400), 400)] + [("null", None), ("empty", "")]
+    asked = [(i, " ".join([rng.choice(names), "w1", *rng.sample(names, 3)])) for i in range(60)] + [(90, "unknown"), (91, None), (92, "W1 w2 same!"), (93, "same")]
+    d, q = spark.createDataFrame(docs, "point_id string, content string"), spark.createDataFrame(asked, "query_id long, text string")
+    inverted.store(inverted.build(d), f"file://{tmp_path}/i")
+    i = inverted.load(spark, f"file://{tmp_path}/i")
+    monkeypatch.setattr(inverted, "GROUP", 5)
+    found = inverted.search(i, q, 10, digits=9)
+    assert "Aggregate" not in _plan(found) and "rank" in found.columns
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.point_id, r.score))
+    for query_id, text in asked:
+        assert got.pop(query_id, []) == _bm25(docs, text, 10, 9)
+    assert not got
+    assert {r.term: r.df for r in i.terms.collect()} == Counter(w for _, t in docs for w in set((t or "").split()))
+    few = inverted.search(i, q.filter("query_id IN (3, 92)"), 10, digits=9).collect()
+    assert [(r.point_id, r.score) for r in sorted((r for r in few if r.query_id == 92), key=lambda r: r["rank"])] == _bm25(docs, "w1 w2 same", 10, 9)
+    assert inverted.search(inverted.build(d.limit(0)), q).count() == 0
+
+
+def test_queries_leave_out_groups_and_slices_keep_every_sum(monkeypatch):
+    """One task, small slices and batches that part a group: the best are those of all sums."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    terms = [f"t{i:02d}" for i in range(40)]
+    rarity = {t: float(r) for t, r in zip(terms, rng.uniform(0.5, 6, 40), strict=True)}
+    pairs_of = [(i, t) for i in range(50) for t in rng.choice(terms, 5, replace=False)]
+    asked = inverted.Asked.of(pa.table({"query_id": [p[0] for p in pairs_of], "term": [p[1] for p in pairs_of], "rarity": [rarity[p[1]] for p in pairs_of]}))
+    rows, want = [], {}
+    for group in range(6):
+        for t in terms:
+            own = [(f"p{group * 30 + int(d):03d}", float(rng.uniform(0.1, 2) / (1 + group))) for d in rng.choice(30, 8, replace=False)]
+            rows += [{"group": group, "term": t, "top": max(g for _, g in own), "entries": [{"point_id": p, "gain": g} for p, g in own]}]
+            for q, u in pairs_of:
+                for p, g in own if u == t else []:
+                    want[q, p] = want.get((q, p), 0.0) + g * rarity[t]
+    table = pa.Table.from_pylist(rows)
+    monkeypatch.setattr(inverted, "SUMS", 50)
+    monkeypatch.setattr(inverted, "TOGETHER", 17)
+    out = [r for b in inverted._scan(iter(table.to_batches(max_chunksize=33)), asked, 4, None) for r in b.to_pylist()]
+    for q in range(50):
+        best = sorted(((-s, p) for (i, p), s in want.items() if i == q))[:4]
+        assert sorted((-r["score"], r["point_id"]) for r in out if r["query_id"] == q) == [(pytest.approx(s, abs=1e-9), p) for s, p in best]
