@@ -28,6 +28,8 @@ from tessera.operators.search import parts, top
 
 #: Documents that are summed exactly for each that is asked for; documents and queries whose sums are held at once.
 OVERSAMPLE, TILE = 8, (8192, 1024)
+#: Documents and queries of one product where all pairs are wanted, and pairs that are handed on together.
+PAIRED = 2048, 512, 50_000
 
 
 @dataclass(frozen=True)
@@ -164,6 +166,114 @@ def candidates(store: DataFrame, queries: DataFrame, cells: Cells, most: int, ke
     return top(out.withColumnRenamed("id", "point_id"), most).withColumnRenamed("point_id", key)
 
 
+@dataclass
+class Stacked:
+    """Lists of vectors, those with most first: which list each is, and of every place the vectors of the lists that reach so far."""
+
+    order: np.ndarray
+    places: list[np.ndarray]
+    lengths: list[np.ndarray]
+
+    @classmethod
+    def of(cls, column: pa.Array) -> Stacked:
+        x, length = pairs.matrix(column.flatten())
+        own = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy())
+        x, length, own = x[length >= 0], length[length >= 0], own[length >= 0]
+        many = np.bincount(own, minlength=len(column))
+        order = np.argsort(-many, kind="stable")
+        at = np.argsort(np.argsort(order)[own], kind="stable")  # vectors by the new order of their lists
+        ends = np.cumsum(many[order])
+        place = np.arange(len(at)) - np.repeat(ends - many[order], many[order])
+        by = [at[place == i] for i in range(int(many.max(initial=0)))]
+        return cls(order, [x[i] for i in by], [length[i] for i in by])
+
+    def greatest(self) -> float:
+        return max((float(pairs.squares(x).max(initial=0.0)) for x in self.places), default=0.0) ** 0.5
+
+
+def _products(q: np.ndarray, d: np.ndarray, q_length: np.ndarray, d_length: np.ndarray) -> np.ndarray:
+    wide = min(q.shape[1], d.shape[1])
+    s = q[:, :wide] @ d[:, :wide].T
+    if len(q) and len(d) and not (q_length.min() == d_length.max() and q_length.max() == d_length.min()):
+        s[q_length[:, None] != d_length] = -np.inf
+    return s
+
+
+def _sums(q: Stacked, some: slice, d: Stacked) -> np.ndarray:
+    """Sums of best products of some lists with others, as they are ordered; NaN where no vector has a product."""
+    out = np.zeros((len(q.order[some]), len(d.order)))
+    met = np.zeros(out.shape, bool)
+    for x, length in zip(q.places, q.lengths, strict=True):
+        x, length = x[some], length[some]
+        best = np.full((len(x), out.shape[1]), -np.inf)
+        for y, other in zip(d.places, d.lengths, strict=True):
+            np.maximum(best[:, : len(y)], _products(x, y, length, other), out=best[:, : len(y)])
+        hit = best > -np.inf
+        np.add(out[: len(x)], best, out=out[: len(x)], where=hit)
+        met[: len(x)] |= hit
+    out[~met] = np.nan
+    return out
+
+
+def _in_order(q: Stacked, a: np.ndarray, d: Stacked, b: np.ndarray) -> np.ndarray:
+    """Sums of pairs of lists, every product in the order of the dimensions."""
+    out = np.zeros(len(a))
+    for x, length in zip(q.places, q.lengths, strict=True):
+        best = np.full(len(a), -np.inf)
+        for y, other in zip(d.places, d.lengths, strict=True):
+            at = np.flatnonzero((a < len(x)) & (b < len(y)))
+            at = at[length[a[at]] == other[b[at]]]
+            dot = np.zeros(len(at))
+            for j in range(min(x.shape[1], y.shape[1])):
+                dot += x[a[at], j] * y[b[at], j]
+            best[at] = np.maximum(best[at], dot)
+        out += np.where(np.isneginf(best), 0.0, best)
+    return out
+
+
+def _all(batches: Iterator[pa.RecordBatch], ids: pa.Array, q: Stacked, digits: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Every pair of a query and a document (id, vectors) with its rounded sum. What lies so near to a half that the order of the
+    products could tell is summed again in the order of the dimensions."""
+    most, places = q.greatest(), len(q.places)
+    for batch in batches:
+        for part in (batch.slice(b, PAIRED[0]) for b in range(0, batch.num_rows, PAIRED[0])):
+            d = Stacked.of(part.column(1))
+            docs = part.column(0).take(pa.array(d.order))
+            wide = 10.0**digits * 4e-16 * places * max((x.shape[1] for x in q.places), default=0) * most * d.greatest() + 1e-7
+            for b in range(0, len(q.order), PAIRED[1]):
+                some = slice(b, b + PAIRED[1])
+                s = _sums(q, some, d)
+                big = s * 10.0**digits
+                near = np.nonzero(np.abs(big - np.floor(big) - 0.5) < wide)
+                s = np.rint(big) / 10.0**digits + 0.0
+                if len(near[0]):
+                    s[near] = pairs.rounded(_in_order(q, near[0] + b, d, near[1]), digits)
+                step = max(1, PAIRED[2] // max(1, len(docs)))
+                for r in range(0, len(s), step):
+                    own = s[r : r + step]
+                    left = ids.take(pa.array(np.repeat(q.order[some][r : r + step], len(docs))))
+                    right = docs.take(pa.array(np.tile(np.arange(len(docs)), len(own))))
+                    yield pa.RecordBatch.from_arrays([left, right, pa.array(own.ravel(), mask=np.isnan(own).ravel())], names)
+
+
+def all_sums(docs: DataFrame, queries: DataFrame, digits: int) -> DataFrame:
+    """query_id, doc_id, score of every pair of a stated set of queries (query_id, vectors) and documents (doc_id, vectors): for each
+    vector of the query its best product with one of the document, summed and rounded. Null vectors have none; a pair without any
+    product has a null score. The queries are broadcast in blocks of a checked size; the documents are multiplied batch by batch."""
+    context, out, names = docs.sparkSession.sparkContext, None, ["query_id", "doc_id", "score"]
+    schema = T.StructType([queries.schema["query_id"], docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    values = F.aggregate("vectors", F.lit(0).cast("long"), lambda s, v: s + F.coalesce(F.size(v), F.lit(0)) + 8)
+    for part in parts(queries.select("query_id", "vectors"), values):
+        held = context.broadcast((part.column("query_id").combine_chunks(), Stacked.of(part.column("vectors").combine_chunks())))
+
+        def scan(batches, held=held):
+            return _all(batches, *held.value, digits, names)
+
+        found = docs.select("doc_id", "vectors").mapInArrow(scan, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def rerank(found: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, point_id, score, rank of found pairs (query_id, point_id) by the exact sum of best products."""
     d, q = docs.select("point_id", F.col("vectors").alias("_d")), queries.select("query_id", F.col("vectors").alias("_v"))

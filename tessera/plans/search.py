@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import vector
-from tessera.operators import index, search
+from tessera.operators import index, late, search
 from tessera.plans import tables
 from tessera.plans.registry import query
 from tessera.plans.tables import NOW, memories, queries_table, sessions, table
@@ -109,9 +109,8 @@ def fusion(spark, d):
 p AS (SELECT q.id AS query_id, d.id AS doc_id, q.m AS a, d.m AS b FROM t q, t d WHERE q.id % 100 = 0)
 SELECT query_id, doc_id, round(list_sum(list_transform(a, lambda x: list_max(list_transform(b, lambda y: list_dot_product(x, y))))), 6) AS score FROM p""")
 def max_sim(spark, d):
-    t = table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 4).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("m"))
-    q = t.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("m").alias("a"))
-    return t.crossJoin(F.broadcast(q)).select("query_id", F.col("id").alias("doc_id"), F.round(vector.max_sim(F.col("a"), F.col("m")), 6).alias("score"))
+    t = table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 4).alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("vectors"))
+    return late.all_sums(t, t.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), 6)
 
 
 @query("V9_rescaled", f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, point_id) AS rank FROM ({_RRF})), k AS (SELECT *, min(round(fused, 9)) OVER (PARTITION BY query_id) AS lo, max(round(fused, 9)) OVER (PARTITION BY query_id) AS hi FROM t WHERE rank <= 20)

@@ -158,3 +158,40 @@ def test_queries_leave_out_groups_and_slices_keep_every_sum(monkeypatch):
     for q in range(50):
         best = sorted(((-s, p) for (i, p), s in want.items() if i == q))[:4]
         assert sorted((-r["score"], r["point_id"]) for r in out if r["query_id"] == q) == [(pytest.approx(s, abs=1e-9), p) for s, p in best]
+
+
+def test_all_sums_of_best_products_equal_sql(spark):
+    """Lists of other lengths, null vectors on either side, and sums that lie at a half; no row by row expression over vectors."""
+    import duckdb
+
+    rng = np.random.default_rng(11)
+    lists = [[[float(v) for v in e] for e in rng.standard_normal((rng.integers(1, 6), 4)).astype(np.float32)] for _ in range(80)]
+    lists += [[None, lists[3][0]], [None], [[0.5, 0.0, 0.0, 0.0], None], [[0.000001, 0.0, 0.0, 0.0]], [[0.0, 0.0, 0.0, 0.0]]]
+    rows = [(i, k, v) for i, x in enumerate(lists) for k, v in enumerate(x)]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "doc_id long, vectors array<array<float>>").repartition(3)
+    asked = [0, 3, 11, 80, 81, 82, 84]
+    found = late.all_sums(t, t.filter(t.doc_id.isin(asked)).withColumnRenamed("doc_id", "query_id"), 6)
+    assert "Join" not in _plan(found)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE e (id BIGINT, n INT, v FLOAT[])")
+    con.executemany("INSERT INTO e VALUES (?, ?, ?)", rows)
+    want = con.execute(f"""WITH t AS (SELECT id, list(v::DOUBLE[] ORDER BY n) AS m FROM e GROUP BY id)
+        SELECT q.id, d.id, list_sum(list_transform(q.m, lambda x: list_max(list_transform(d.m, lambda y: list_dot_product(x, y))))) FROM t q, t d WHERE q.id IN {tuple(asked)}""").fetchall()
+    got = {(r.query_id, r.doc_id): r.score for r in found.collect()}
+    assert len(got) == len(want) == len(asked) * len(lists)
+    assert all(got[q, d] is None if s is None else got[q, d] == pytest.approx(s, abs=6e-7) for q, d, s in want)
+    assert any(s is None for _, _, s in want)
+
+
+def test_sums_near_a_half_are_those_in_the_order_of_the_dimensions(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import vector
+
+    rng = np.random.default_rng(12)
+    x = np.round(rng.uniform(-1, 1, (60, 3, 4)) * 64) / 64  # all products are multiples of 2 ** -12: halves of six digits among them
+    t = spark.createDataFrame([(i, [[float(v) for v in e] for e in y]) for i, y in enumerate(x)], "doc_id long, vectors array<array<float>>")
+    q = t.filter("doc_id < 20").withColumnRenamed("doc_id", "query_id")
+    got = {(r.query_id, r.doc_id): r.score for r in late.all_sums(t, q, 6).collect()}
+    plain = t.crossJoin(q.withColumnRenamed("vectors", "a")).select("query_id", "doc_id", F.round(vector.max_sim(F.col("a"), F.col("vectors")), 6).alias("s"))
+    assert got == {(r.query_id, r.doc_id): r.s for r in plain.collect()}
