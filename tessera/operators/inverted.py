@@ -76,10 +76,9 @@ def _terms(postings: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def store(index: Index, path: str) -> None:
-    """Postings dealt by their terms, those of many blocks by groups of blocks too, and in order of their terms, so that a search skips
-    the parts of files that hold none of its terms; terms are counted from what was written."""
-    dealt = index.postings.repartition("term", F.floor(F.col("block") / GROUP))
-    dealt.sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
+    """Postings are written where they were made, without another shuffle, in order of their terms; terms are counted from what was
+    written."""
+    index.postings.sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
     written = index.postings.sparkSession.read.parquet(f"{path}/postings")
     (index.terms if index.whole is None else _terms(written, index.whole)).write.parquet(f"{path}/terms")
 
